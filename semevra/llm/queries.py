@@ -34,5 +34,54 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__h").alias("host"), F.col("__p").alias("path"), F.round("__host_quality", 6).alias("host_quality"), F.round("__path_quality", 6).alias("path_quality"), F.round("__quality", 6).alias("quality"), F.col("__keep").alias("keep"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_minhash_dedup, op6_quality)}
-ORACLE: dict[str, str] = {}
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from semevra.llm import html
+
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation in the ChatML template, with the ranges of what the assistant says."""
+    from semevra.llm import chat
+
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document; documents of one source and language stay together."""
+    from semevra.llm import sharding
+
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of 50 words or more that several documents have, with its coordinates in each."""
+    from semevra.llm import substrings
+
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every document."""
+    from semevra.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, kept_vec_id) for every near copy among the embeddings."""
+    from semevra.llm import neighbours
+
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def _oracle_chat() -> str:
+    from semevra.llm import chat
+
+    return chat.CHATML_SQL
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_chat_format, op4_minhash_dedup, op5_sharding, op6_quality, op8_substring_dedup, op9_packing, op10_embedding_dedup)}
+ORACLE: dict[str, str] = {"op3_chat_format": _oracle_chat()}

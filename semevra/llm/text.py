@@ -22,7 +22,7 @@ _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 1 << 64)
 
 _WORD = np.zeros(256, dtype=bool)
-for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
+for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _WORD[_c] = True
 _WORD[128:] = True
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -86,9 +86,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: pa.Array, hashes: bool = True) -> Words:
-    """The words of each text."""
-    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    raw, offsets = buffers(low)
+    """The words of each text. Without hashes the offsets are those in the text as it is, not in lower case."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    raw, offsets = buffers(pc.utf8_lower(texts) if hashes else texts)
     n = len(raw)
     w = _WORD[raw]
     before = np.zeros(n + 1, bool)
