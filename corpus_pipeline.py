@@ -1,12 +1,78 @@
-"""A training-corpus pipeline: each stage reads all rows its predecessor wrote and writes what it keeps."""
+"""A training-corpus pipeline of five stages: quality, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents. SQL cannot express them; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from semevra.llm import decontamination, minhash, packing, quality, substrings
+from semevra.session import broadcast_if_small, materialise
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but the rows whose doc_id is in ``ids`` (doc_id); rows without an id stay."""
+    gone = materialise(ids.select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(broadcast_if_small(gone, 24), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the hierarchical quality model keeps. It is fitted to the labelled rows of the table documents.
+
+    Null and empty texts are judged like any other; an empty table stays empty.
+    """
+    model = quality.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).filter("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of least id, of each group of near or exact copies. Of rows that repeat an id one stays (the
+    one of least text); rows without an id stay."""
+    rest = _without(docs, minhash.near_duplicates(docs))
+    again = materialise(rest.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")))
+    twice = rest.join(broadcast_if_small(again, 24), F.col("doc_id") == F.col("__again"), "left_semi")
+    once = rest.join(broadcast_if_small(again, 24), F.col("doc_id") == F.col("__again"), "left_anti")
+    order = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
+    one = twice.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    return once.unionByName(one)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages of 50 words or more that a document of lesser id has."""
+    return substrings.remove_repeats(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return _without(docs, decontamination.leaks(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin of every document, or of each of its pieces."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The result of the last stage over the table documents."""
+    docs = _table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

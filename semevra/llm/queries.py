@@ -56,6 +56,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, share) of the documents that hold benchmark items."""
+    from semevra.llm import decontamination
+
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of 50 words or more that several documents have, with its coordinates in each."""
     from semevra.llm import substrings
@@ -83,5 +90,5 @@ def _oracle_chat() -> str:
     return chat.CHATML_SQL
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_chat_format, op4_minhash_dedup, op5_sharding, op6_quality, op8_substring_dedup, op9_packing, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_chat_format, op4_minhash_dedup, op5_sharding, op6_quality, op7_decontamination, op8_substring_dedup, op9_packing, op10_embedding_dedup)}
 ORACLE: dict[str, str] = {"op3_chat_format": _oracle_chat()}
