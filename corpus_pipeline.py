@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semevra.llm import decontamination, minhash, packing, quality, substrings
-from semevra.session import broadcast_if_small, materialise
+from semevra.session import broadcast_if_small, fresh, materialise
 
 ORACLE_SQL = None
 
@@ -21,8 +21,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but the rows whose doc_id is in ``ids`` (doc_id); rows without an id stay."""
-    gone = materialise(ids.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(broadcast_if_small(gone, 24), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    ids = materialise(ids.select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(broadcast_if_small(ids, 24), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +32,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are judged like any other; an empty table stays empty.
     """
     model = quality.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).filter("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.judge(docs, model).filter("keep").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least id, of each group of near or exact copies. Of rows that repeat an id one stays (the
     one of least text); rows without an id stay."""
     rest = _without(docs, minhash.near_duplicates(docs))
-    again = materialise(rest.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")))
-    twice = rest.join(broadcast_if_small(again, 24), F.col("doc_id") == F.col("__again"), "left_semi")
-    once = rest.join(broadcast_if_small(again, 24), F.col("doc_id") == F.col("__again"), "left_anti")
+    again, place = fresh(docs, "again"), fresh(docs, "place")
+    ids = materialise(rest.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias(again)))
+    ids = broadcast_if_small(ids, 24)
+    once = rest.join(ids, F.col("doc_id") == F.col(again), "left_anti")
+    twice = rest.join(ids, F.col("doc_id") == F.col(again), "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
-    one = twice.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    one = twice.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
     return once.unionByName(one)
 
 

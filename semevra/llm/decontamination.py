@@ -292,12 +292,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null and t is not null")
     bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct().orderBy("i", "t").toArrow()
     whole = Target(bench.column("i").to_numpy(), T.words(bench.column("t").combine_chunks() if bench.num_rows else pa.array([], pa.string())))
+    if not whole.hash:
+        return d.limit(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), F.lit(0.0).alias("share"))
     idf = weights(*block_frequency(d))
     u, s = singular_vectors(*sketch(d, idf, rank))
     table = with_zero((u / np.maximum(s, s.max() * 1e-3) * idf[:, None]).astype(np.float32))
     sc = docs.sparkSession.sparkContext
     out: DataFrame | None = None
-    for at in range(0, max(1, len(whole.hash)), SEGMENTS_A_PASS):
+    for at in range(0, len(whole.hash), SEGMENTS_A_PASS):
         part = Target(np.zeros(0), T.Words(np.zeros(0, T.U64), np.zeros(1, np.int64), None, None))
         part.item, part.hash, part.size = whole.item[at : at + SEGMENTS_A_PASS], whole.hash[at : at + SEGMENTS_A_PASS], whole.size[at : at + SEGMENTS_A_PASS]
         held = sc.broadcast((table, part, idf))

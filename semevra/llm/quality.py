@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semevra.llm import text as T
-from semevra.session import broadcast_if_small
+from semevra.session import broadcast_if_small, materialise
 
 MAX_LABELLED = 8_000
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b"!", b"*#$%&@^~=<>{}[]\\/|_+", b".,;:?'\"()-"]
@@ -145,28 +145,25 @@ def posteriors(paths: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, model: tuple, text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """``docs`` with host_quality, path_quality, quality (posterior probability) and keep appended, under prefixed names.
+    """(doc, host, path, host_quality, path_quality, quality, keep): doc is the row of ``docs`` as a struct.
 
-    The appended columns are __host_quality, __path_quality, __quality and __keep, so columns of the input with clashing
-    names stay. A null host or path counts as the empty one. Null and empty texts are judged by their (zero) statistics.
-    Repeated rows are judged alike, and each counts in its path. An empty table gives an empty result. A hot host is no
-    problem: the sums are combined map-side and the site table is joined by broadcast while its counted size allows.
+    quality is the posterior probability of good; keep is ``quality >= 0.5``. By default the host is the column source and
+    the path the column lang below it. A null host or path counts as the empty one. Null and empty texts are judged by their
+    (zero) statistics. Repeated rows are judged alike, and each counts in its path. Columns of the input may have any names.
+    An empty table gives an empty result. A hot host is no problem: the sums are combined map-side and the site table is
+    joined by broadcast while its counted size allows.
     """
-    host = F.coalesce(F.col("source") if host is None else host, F.lit("")).cast("string")
-    path = F.coalesce(F.col("lang") if path is None else path, F.lit("")).cast("string")
+    host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit(""))
+    path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
     prior = model[3]
-    scored = docs.select("*", host.alias("__h"), path.alias("__p"), evidence(model, F.col(text_col).cast("string")).alias("__l"))
-    p = 1 / (1 + F.exp(-F.col("__l")))
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), host.alias("host"), path.alias("path"), evidence(model, F.col(text_col).cast("string")).alias("l"))
+    p = 1 / (1 + F.exp(-F.col("l")))
     # Sums of integers do not depend on the order in which tasks end.
     unit = 1 << 30
-    sums = scored.select("__h", "__p", F.round(p * unit).cast("long").alias("u")).groupBy(F.col("__h").alias("host"), F.col("__p").alias("path"))
+    sums = scored.select("host", "path", F.round(p * unit).cast("long").alias("u")).groupBy("host", "path")
     sums = sums.agg(F.count("*").alias("n"), F.sum("u").alias("u"), F.sum(F.round(F.col("u").cast("double") * F.col("u") / unit).cast("long")).alias("uu"))
-    paths = sums.select("host", "path", F.col("n").cast("double").alias("n"), (F.col("u") / unit).alias("s"), (F.col("uu") / unit).alias("ss"))
-    from semevra.session import materialise
-
-    paths = materialise(paths)
-    sites = posteriors(paths).select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("host_quality").alias("__host_quality"), F.col("path_quality").alias("__path_quality"))
-    q = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("__path_quality")))
-    logit = F.col("__l") - F.lit(prior) + F.log(q / (1 - q))
-    out = scored.join(broadcast_if_small(sites, 120), ["__h", "__p"]).withColumn("__quality", 1 / (1 + F.exp(-logit)))
-    return out.withColumn("__keep", F.col("__quality") >= 0.5)
+    paths = materialise(sums.select("host", "path", F.col("n").cast("double").alias("n"), (F.col("u") / unit).alias("s"), (F.col("uu") / unit).alias("ss")))
+    q = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("path_quality")))
+    quality = 1 / (1 + F.exp(-(F.col("l") - F.lit(prior) + F.log(q / (1 - q)))))
+    out = scored.join(broadcast_if_small(posteriors(paths), 120), ["host", "path"]).withColumn("quality", quality)
+    return out.select("doc", "host", "path", "host_quality", "path_quality", "quality", (F.col("quality") >= 0.5).alias("keep"))

@@ -30,8 +30,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from semevra.llm import quality
 
     docs = table(spark, sf_dir, "documents")
-    out = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).filter("__keep")
-    return out.select("doc_id", F.col("__h").alias("host"), F.col("__p").alias("path"), F.round("__host_quality", 6).alias("host_quality"), F.round("__path_quality", 6).alias("path_quality"), F.round("__quality", 6).alias("quality"), F.col("__keep").alias("keep"))
+    out = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).filter("keep")
+    return out.select("doc.doc_id", "host", "path", F.round("host_quality", 6).alias("host_quality"), F.round("path_quality", 6).alias("path_quality"), F.round("quality", 6).alias("quality"), "keep")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

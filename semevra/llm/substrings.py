@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from semevra.llm import text as T
 from semevra.llm.grouping import components
-from semevra.session import broadcast_if_small, materialise
+from semevra.session import broadcast_if_small, fresh, materialise
 
 K, M = 50, 24
 LONGEST = 1 << 20
@@ -143,9 +143,10 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     the start stays. Columns stay as they are, but that n_chars, if there is one, is the new length where a text was cut.
     Rows of one id are cut alike. Rows without an id, and null texts, stay as they are.
     """
-    found = repeats(docs, k, m, id_col, text_col).filter("first <> doc").groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("__cuts"))
-    found = materialise(found.withColumnRenamed("doc", "__doc"))
-    joined = docs.join(broadcast_if_small(found, 400), F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
+    doc, cuts, new = fresh(docs, "doc"), fresh(docs, "cuts"), fresh(docs, "new")
+    found = repeats(docs, k, m, id_col, text_col).filter("first <> doc").groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("start", "count")).alias(cuts))
+    found = materialise(found)
+    joined = docs.join(broadcast_if_small(found, 400), F.col(id_col).cast("long") == F.col(doc), "left").drop(doc)
 
     @F.arrow_udf("string")
     def strike(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -181,8 +182,9 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
                 out.append(b"".join(parts).decode())
         return pa.array(out, pa.string())
 
-    cut = joined.filter("__cuts is not null").withColumn("__new", strike(F.col(text_col).cast("string"), F.col("__cuts"))).filter("__new is not null")
-    cut = cut.withColumn(text_col, F.col("__new"))
+    cut = joined.filter(F.col(cuts).isNotNull()).withColumn(new, strike(F.col(text_col).cast("string"), F.col(cuts))).filter(F.col(new).isNotNull())
+    cut = cut.withColumn(text_col, F.col(new))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("__new").cast(docs.schema["n_chars"].dataType))
-    return joined.filter("__cuts is null").select(*docs.columns).unionByName(cut.select(*docs.columns))
+        cut = cut.withColumn("n_chars", F.length(new).cast(docs.schema["n_chars"].dataType))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.filter(F.col(cuts).isNull()).select(*columns).unionByName(cut.select(*columns))
