@@ -35,3 +35,10 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
 
     cap = max(1, limit // max(1, row_bytes))
     return F.broadcast(df) if df.limit(cap + 1).count() <= cap else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
