@@ -205,8 +205,6 @@ def build_baseline(df: DataFrame, tenant: str, generation: str, seed: int = 42,
     order = np.argsort(np.array(got.column("event_id").to_pylist(), object), kind="stable")
     x = np.array(got.column("vector").combine_chunks().flatten(), np.float32).reshape(len(order), -1)[order]
     c, _ = kmeans(x, BASELINE_CLUSTERS, 25, seed, 8)
-    norm = np.linalg.norm(c.astype(float), axis=1, keepdims=True)
-    c = (c / np.maximum(norm, 1e-12)).astype(np.float32)
     scores = with_novelty(df, c.tolist()).select("novelty")
     n = scores.count()
     rank = int(round((n - 1) * BASELINE_QUANTILE))

@@ -71,26 +71,30 @@ def quota(df: DataFrame, arrival: str = "arrival_ms", seq: str = "seq", events:
 
 
 def key_dictionary(df: DataFrame, known: list[str], turn: list[str], limit: int = M.MAX_DICTIONARY) -> DataFrame:
-    """(event_id, tenant_id, over_dictionary): rows whose new keys no longer fit the store's dictionary.
+    """``df`` with over_dictionary: the row brings attribute keys that no longer fit the store's dictionary.
 
-    Only rows that bring a key outside ``known`` take part; keys are taken in order until the dictionary is full.
+    Keys are taken in order until it is full. A set of new keys that did not fit once never fits later (room shrinks at
+    least as fast as the set), so the first row with each set decides for all; only distinct sets meet in one task.
     """
-    new = df.select("event_id", "tenant_id", *turn, F.array_except(F.map_keys("attributes"), F.array(*[F.lit(k) for k in known]) if known else F.array().cast("array<string>")).alias("keys")).filter("size(keys) > 0")
+    fresh = F.array_except(F.map_keys("attributes"), F.array(*[F.lit(k) for k in known]) if known else F.array().cast("array<string>"))
+    d = df.withColumn("_keys", F.sort_array(F.coalesce(fresh, F.array().cast("array<string>"))))
+    sets = d.filter("size(_keys) > 0").groupBy("_keys").agg(F.min(F.struct(*turn)).alias("_first")).withColumn("_all", F.lit(1))
     room = limit - len(known)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(turn, kind="stable")
+        pdf = pdf.assign(o=[tuple(f.values()) for f in pdf["_first"]]).sort_values("o", kind="stable")
         seen: set[str] = set()
         over = []
-        for keys in pdf["keys"]:
+        for keys in pdf["_keys"]:
             more = set(keys) - seen
             bad = len(seen) + len(more) > room
             over.append(bad)
             if not bad:
                 seen |= more
-        return pdf[["event_id", "tenant_id"]].assign(over_dictionary=over)
+        return pdf[["_keys"]].assign(over=over)
 
-    return new.groupBy(F.lit(1)).applyInPandas(run, "event_id string, tenant_id string, over_dictionary boolean")
+    judged = sets.groupBy("_all").applyInPandas(run, "_keys array<string>, over boolean").filter("over")
+    return d.join(judged, "_keys", "left").withColumn("over_dictionary", F.coalesce("over", F.lit(False))).drop("_keys", "over")
 
 
 CONTENT = ["tenant_id", "event_time", "event_name", "cost", "error", "body", "trace_id", "span_id", "attributes"]
@@ -122,10 +126,9 @@ def admit(df: DataFrame, now_ms: int, seen: DataFrame | None = None, known_keys:
     d = df.withColumn("observed_time", F.lit(now_ms).cast("long")).withColumn("reason", validation_reason(now_ms))
     good = d.filter("reason is null").withColumn("arrival_ms", F.lit(now_ms).cast("long"))
     turns = good.withColumn("turn", F.row_number().over(Window.partitionBy("tenant_id").orderBy(seq)))
-    over = key_dictionary(turns, known_keys or [], ["turn", "tenant_id"]).filter("over_dictionary").select("event_id", "tenant_id").distinct().withColumn("over_dictionary", F.lit(True))
-    turns = turns.join(over, ["event_id", "tenant_id"], "left")
+    turns = key_dictionary(turns, known_keys or [], ["turn", "tenant_id"])
     late = turns.filter("over_dictionary").withColumn("reason", F.lit("attribute_key_cardinality_exceeded"))
-    charged = quota(turns.filter("over_dictionary is null").drop("over_dictionary"), seq="turn")
+    charged = quota(turns.filter("not over_dictionary").drop("over_dictionary"), seq="turn")
     spent = charged.filter("over_quota").withColumn("reason", F.lit("quota_exceeded"))
     judged = idempotency(charged.filter("not over_quota").drop("over_quota"), seen, seq)
     judged = judged.withColumn("reason", F.when(F.col("verdict") == "conflict", "idempotency_conflict").when(F.col("verdict") == "replay", "replay"))

@@ -42,3 +42,15 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name = "_" + name
     return name
+
+
+#: Bytes of an Arrow batch on its way to a Python worker.
+ARROW_BATCH = "8m"
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch size to ARROW_BATCH if it still has Spark's default, which is meant for narrow rows:
+    batches of whole texts otherwise take tens of MB twice, in the JVM and in the worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "67108864", "64m"):
+        conf.set(name, ARROW_BATCH)

@@ -34,7 +34,7 @@ def parse_tsv(lines: DataFrame, column: str = "value") -> DataFrame:
     """Events of TSV lines: seven fields; blank lines and a header are skipped; a bad field raises. observed_time is event_time."""
     f = F.split(column, "\t", -1)
     df = lines.filter((F.trim(column) != "") & ~F.col(column).startswith("event_id\t"))
-    x = df.select(*[f.getItem(i).alias(n) for i, n in enumerate(TSV_COLUMNS)], F.size(f).alias("fields"))
+    x = df.select(*[F.get(f, F.lit(i)).alias(n) for i, n in enumerate(TSV_COLUMNS)], F.size(f).alias("fields"))
     bad = lambda what: F.raise_error(F.concat(F.lit(f"bad {what} in TSV line of "), F.coalesce("event_id", F.lit("?"))))
     low = F.lower("error")
     error = F.when(low.isin("1", "true"), True).when(low.isin("0", "false"), False).otherwise(bad("error").cast("boolean"))
@@ -176,9 +176,10 @@ def cluster_corpus(spark: SparkSession, n: int, shape: str = "balanced", seed: i
     rng = Random(seed)
     vocabulary = [[f"w{c}x{j}" for j in range(6)] for c in range(clusters)]
     shared = [f"common{j}" for j in range(6)]
+    steps = np.cumsum([1 / (i + 1) for i in range(clusters)])
     rows = []
     for i in range(n):
-        c = i % clusters if shape != "zipf" else min(int((clusters + 1) ** rng.float()) - 1, clusters - 1)
+        c = i % clusters if shape != "zipf" else min(int(np.searchsorted(steps, rng.float() * steps[-1])), clusters - 1)
         if shape == "noise":
             words = [f"n{rng.below(100_000)}" for _ in range(5)]
         else:
