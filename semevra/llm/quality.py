@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semevra.llm import text as T
-from semevra.session import broadcast_if_small, materialise
+from semevra.session import bounded_batches, broadcast_if_small, materialise
 
 MAX_LABELLED = 8_000
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b"!", b"*#$%&@^~=<>{}[]\\/|_+", b".,;:?'\"()-"]
-_LUT = np.zeros((len(_CLASSES), 256), bool)
+_CLASS = np.full(256, len(_CLASSES), np.int32)
 for _i, _c in enumerate(_CLASSES):
-    _LUT[_i, list(_c)] = True
+    _CLASS[list(_c)] = _i
 N_FEATURES = len(_CLASSES) + 8
 
 
@@ -30,27 +30,27 @@ def statistics(texts: pa.Array) -> np.ndarray:
     w = T.words(texts)
     n, size = len(texts), np.maximum(np.diff(off), 1)
     out = np.zeros((n, N_FEATURES))
-    for i, lut in enumerate(_LUT):
-        c = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(lut[raw], out=c[1:])
-        out[:, i] = (c[off[1:]] - c[off[:-1]]) / size
+    k = len(_CLASSES)
+    kinds = np.bincount(np.repeat(np.arange(n, dtype=np.int32) * (k + 1), np.diff(off)) + _CLASS[raw], minlength=n * (k + 1)).reshape(n, k + 1)
+    out[:, :k] = kinds[:, :k] / size[:, None]
     words = np.maximum(w.counts, 1)
     doc = w.doc
-    k = len(_CLASSES)
-    order = np.lexsort((w.hash, doc))
-    h, d = w.hash[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    at = np.flatnonzero(new)
+    # 44 bits of the hash beside the text: words of one text that agree in them count as one.
+    h = np.sort((doc.astype(T.U64) << T.U64(44)) | (w.hash >> T.U64(20)))
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     runs = np.diff(np.r_[at, len(h)])
+    owner = (h[at] >> T.U64(44)).astype(np.int64)
+    distinct = np.bincount(owner, minlength=n)
     top = np.zeros(n)
-    np.maximum.at(top, d[at], runs)
+    if len(at):
+        cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        top[owner[cut]] = np.maximum.reduceat(runs, cut)
     length = (w.end - w.start).astype(float)
     out[:, k] = np.log1p(w.counts)
     out[:, k + 1] = np.bincount(doc, length, n) / words
     out[:, k + 2] = np.sqrt(np.maximum(np.bincount(doc, length**2, n) / words - out[:, k + 1] ** 2, 0))
-    out[:, k + 3] = np.bincount(d[at], minlength=n) / words
-    out[:, k + 4] = np.bincount(d[at], minlength=n) / words * np.log1p(w.counts)
+    out[:, k + 3] = distinct / words
+    out[:, k + 4] = distinct / words * np.log1p(w.counts)
     out[:, k + 5] = top / words
     p, pd_ = T.valid_grams(w, 2)
     same = w.hash[p] == w.hash[p + 1] if len(p) else np.zeros(0, bool)
@@ -81,6 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     Rows without id, text or label are not used; an id labelled twice counts by its largest label. Where one class is
     missing the model says nothing: every document's evidence is 0.
     """
+    bounded_batches(docs)
     lab = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
     lab = lab.orderBy(F.xxhash64("k"), "k").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).dropna().join(F.broadcast(lab), "k")
@@ -153,6 +154,7 @@ def judge(docs: DataFrame, model: tuple, text_col: str = "text", host: Column |
     An empty table gives an empty result. A hot host is no problem: the sums are combined map-side and the site table is
     joined by broadcast while its counted size allows.
     """
+    bounded_batches(docs)
     host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit(""))
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
     prior = model[3]
