@@ -149,7 +149,7 @@ class Engine:
             change["parts"] = snap.parts + self.store.write_parts(encode(rows, book), snap.active)
         return self.store.commit(snap, **change) if change else snap
 
-    def admit_and_ingest(self, events: DataFrame, now_ms: int | None = None, batch: int | None = None) -> dict[str, int]:
+    def admit_and_ingest(self, events: DataFrame, now_ms: int | None = None, batch: int | None = None, grants: DataFrame | None = None) -> dict[str, int]:
         """One micro-batch with all admission checks; rejected rows go to the dead-letter log. Counts by outcome.
 
         Dead letters and idempotency keys are written under the batch number and refer to it, so a replay overwrites them.
@@ -162,13 +162,13 @@ class Engine:
             return {}
         number = snap.data["batch"] + 1 if batch is None else batch
         if "seq" not in events.columns:
-            events = events.withColumn("seq", F.row_number().over(Window.orderBy("event_time", "event_id")) if events.isStreaming is False else F.lit(0))
+            events = events.withColumn("seq", F.row_number().over(Window.partitionBy("tenant_id").orderBy("event_time", "event_id")))
         seen = None
         if self.store.files.exists("idempotency"):
             seen = self.spark.read.parquet(f"{self.store.root}/idempotency").filter((F.col("batch") < number) & (F.col("at") >= now - M.IDEMPOTENCY_MS))
             seen = seen.groupBy("tenant_id", "key").agg(F.max_by("hash", "at").alias("hash"))
         known = snap.data.get("keys", [])
-        judged = materialise(ingest.admit(events, now, seen, known))
+        judged = materialise(ingest.admit(events, now, seen, known, grants=grants, model=self.embedder.model_id))
         good = with_vectors(judged.filter("reason is null"), self.embedder)
         good = materialise(good)
         failed = good.filter("vector is null").drop("vector").withColumn("reason", F.lit("embedding_failed"))
@@ -423,6 +423,13 @@ class Engine:
         self.register(embedder)
         return maintenance.create_generation(self.store, embedder.model_id, embedder.version, self._train(embedder))
 
+    def install_generation(self, embedder: HashEmbedder, book: Codebook) -> str:
+        self.register(embedder)
+        return maintenance.install_generation(self.store, embedder.model_id, embedder.version, book)
+
+    def backup(self, to: str) -> int:
+        return maintenance.backup(self.store, to)
+
     def generation_canary(self, generation: str) -> Snapshot:
         return maintenance.set_state(self.store, generation, "canary")
 

@@ -81,3 +81,10 @@ def embed_column(embedder: HashEmbedder, text: Column) -> Column:
 
 def with_vectors(df: DataFrame, embedder: HashEmbedder, text_col: str = "body", vector_col: str = "vector") -> DataFrame:
     return df.withColumn(vector_col, embed_column(embedder, F.col(text_col)))
+
+
+def lookup_vectors(df: DataFrame, vectors: DataFrame, text_col: str = "body", vector_col: str = "vector") -> DataFrame:
+    """``df`` with the frozen vector of each body, from a table (body, vector); null where there is none. Bodies join by
+    their SHA-256, so long texts are not shuffled twice; the first of several vectors of a body counts."""
+    v = vectors.select(F.sha2(text_col, 256).alias("_k"), F.col(vector_col).alias("_v")).groupBy("_k").agg(F.min("_v").alias(vector_col))
+    return df.withColumn("_k", F.sha2(text_col, 256)).join(v, "_k", "left").drop("_k")

@@ -118,10 +118,22 @@ def idempotency(batch: DataFrame, seen: DataFrame | None, seq: str = "seq") -> D
     return b.withColumn("verdict", F.when(fresh, "new").when(F.col("hash") == first, "replay").otherwise("conflict")).drop("old")
 
 
-def admit(df: DataFrame, now_ms: int, seen: DataFrame | None = None, known_keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
+def preflight(df: DataFrame, grants: DataFrame, model: str, purpose: str = "ingest", seq: str = "seq") -> DataFrame:
+    """``df`` with denied: the tenant has no grant for the model and purpose, or its budget of events is spent by earlier rows.
+
+    grants: (tenant_id, model, purpose, budget); a null budget is unlimited. Tenants are few, so the grants are broadcast
+    while they are below Spark's own limit.
+    """
+    g = grants.filter((F.col("model") == model) & (F.col("purpose") == purpose)).groupBy("tenant_id").agg(F.max(F.coalesce("budget", F.lit((1 << 62)))).alias("_budget"))
+    d = df.join(g, "tenant_id", "left").withColumn("_n", F.row_number().over(Window.partitionBy("tenant_id").orderBy(seq)))
+    return d.withColumn("denied", F.col("_budget").isNull() | (F.col("_n") > F.col("_budget"))).drop("_budget", "_n")
+
+
+def admit(df: DataFrame, now_ms: int, seen: DataFrame | None = None, known_keys: list[str] | None = None, seq: str = "seq", grants: DataFrame | None = None, model: str = "") -> DataFrame:
     """``df`` (events and a sequence number) with observed_time stamped, and reason (null: admitted; 'replay': suppressed).
 
-    Order of the checks: validation, lateness, key dictionary, quota, idempotency; the first that fails names the reason.
+    Order of the checks: validation, lateness, key dictionary, quota, idempotency, and the model's grants if any are given;
+    the first that fails names the reason.
     """
     d = df.withColumn("observed_time", F.lit(now_ms).cast("long")).withColumn("reason", validation_reason(now_ms))
     good = d.filter("reason is null").withColumn("arrival_ms", F.lit(now_ms).cast("long"))
@@ -132,6 +144,10 @@ def admit(df: DataFrame, now_ms: int, seen: DataFrame | None = None, known_keys:
     spent = charged.filter("over_quota").withColumn("reason", F.lit("quota_exceeded"))
     judged = idempotency(charged.filter("not over_quota").drop("over_quota"), seen, seq)
     judged = judged.withColumn("reason", F.when(F.col("verdict") == "conflict", "idempotency_conflict").when(F.col("verdict") == "replay", "replay"))
+    if grants is not None:
+        fresh = preflight(judged.filter("reason is null"), grants, model, seq=seq)
+        fresh = fresh.withColumn("reason", F.when(F.col("denied"), "model_policy_denied")).drop("denied")
+        judged = judged.filter("reason is not null").unionByName(fresh.select(*judged.columns))
     columns = [*df.columns, "reason"] if "observed_time" in df.columns else [*df.columns, "observed_time", "reason"]
     out = d.filter("reason is not null").select(*columns)
     for part in (late, spent, judged):

@@ -145,6 +145,28 @@ def create_generation(store: Store, model_id: str, version: str, book: Codebook)
     return g
 
 
+def install_generation(store: Store, model_id: str, version: str, book: Codebook) -> str:
+    """Register a shipped codebook and make it active; doing so again changes nothing."""
+    g = create_generation(store, model_id, version, book)
+    if store.snapshot().active != g:
+        set_state(store, g, "active")
+    return g
+
+
+def backup(store: Store, to: str) -> int:
+    """Copy the current snapshot (manifest, codebooks, parts) to another root of the same file system or another; a store
+    opened there answers alike. Returns the number of parts. Rows are copied by tasks, one job for each set of files."""
+    snap = store.snapshot()
+    target = Store.init(store.spark, to, **store.config)
+    for g in snap.data["generations"]:
+        target.files.write(f"generations/{g}.json", store.files.read(f"generations/{g}.json"))
+    for p in snap.parts:
+        rows = store.spark.read.parquet(f"{store.root}/{p['path']}")
+        rows.sortWithinPartitions("centroid", "event_time", "event_id").write.parquet(f"{target.root}/{p['path']}")
+    target.commit(target.snapshot(), **{k: v for k, v in snap.data.items() if k not in ("parent", "id", "at")})
+    return len(snap.parts)
+
+
 def migrate(store: Store, generation: str, embedder: HashEmbedder, max_parts: int | None = None) -> int:
     """Re-embed parts of other generations into ``generation``, partition by partition; the number of parts moved."""
     snap = store.snapshot()

@@ -380,6 +380,23 @@ def idempotency_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.idempotency(d, None, "number").select("event_id", "verdict")
 
 
+@register("model_preflight", EV + ", g(tenant_id, budget) AS (VALUES ('t0', 100), ('t1', 700), ('t2', NULL), ('t3', 0)) SELECT event_id, CASE WHEN tenant_id NOT IN (SELECT tenant_id FROM g) THEN TRUE ELSE coalesce(rn > budget, FALSE) END AS denied FROM (SELECT ev.event_id, ev.tenant_id, g.budget, row_number() OVER (PARTITION BY ev.tenant_id ORDER BY number) AS rn FROM ev LEFT JOIN g ON ev.tenant_id = g.tenant_id)")
+def model_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that their tenant's grants for the model do not cover."""
+    grants = spark.createDataFrame([("t0", "m", "ingest", 100), ("t1", "m", "ingest", 700), ("t2", "m", "ingest", None), ("t3", "m", "ingest", 0), ("t4", "other", "ingest", 9)], "tenant_id string, model string, purpose string, budget long")
+    return ingest.preflight(canonical(spark, sf_dir), grants, "m", seq="number").select("event_id", "denied")
+
+
+@register("lookup_vectors", EV + ", v AS (SELECT DISTINCT event_type || ' ' || props AS body FROM events WHERE event_type = 'view') SELECT event_id, body IN (SELECT body FROM v) AS found FROM ev")
+def lookup_vectors_by_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen vectors found by body (here those of the views)."""
+    from semevra.functions.embed import lookup_vectors
+
+    ev = canonical(spark, sf_dir)
+    frozen = ev.filter("event_name = 'view'").select("body", F.array(F.lit(1.0).cast("float")).alias("vector"))
+    return lookup_vectors(ev, frozen).select("event_id", F.col("vector").isNotNull().alias("found"))
+
+
 @register("bucket_window", EV + ", b AS (SELECT event_id, tenant_id, event_time, sha256(tenant_id) AS h FROM ev) SELECT event_id, CAST(CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 16 AS INTEGER) AS bucket, event_time - event_time % 86400000 AS window_start FROM b")
 def bucket_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The partition of every event: tenant bucket and day."""

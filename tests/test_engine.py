@@ -504,6 +504,21 @@ def test_batches_dead_letters_and_replay_across_batches(spark, tmp_path):
     assert sorted(r.reason for r in dead.collect()) == ["embedding_failed", "idempotency_conflict", "invalid_cost"]
 
 
+def test_grants_install_and_backup(spark, tmp_path):
+    e = Engine.init(spark, (tmp_path / "a").as_uri(), dim=16, nlist=2, pq_m=2, restarts=1)
+    rng = np.random.default_rng(0)
+    book = train(rng.normal(size=(50, 16)).astype(np.float32), 2, 2, 1)
+    g = e.install_generation(e.embedder, book)
+    at = e.snapshot().id
+    assert e.install_generation(e.embedder, book) == g == e.snapshot().active and e.snapshot().id == at
+    grants = spark.createDataFrame([("t1", "hash-embedder", "ingest", 2), ("t2", "other", "ingest", None)], "tenant_id string, model string, purpose string, budget long")
+    rows = [event(i) for i in range(3)] + [event(9, tenant="t2")]
+    assert e.admit_and_ingest(events(spark, rows), NOW, grants=grants) == {"admitted": 2, "model_policy_denied": 2}
+    assert e.backup((tmp_path / "b").as_uri()) == 1
+    other = Engine(spark, (tmp_path / "b").as_uri())
+    assert other.verify() == [] and ids(other.search(M.Query(text="body number")).rows) == ids(e.search(M.Query(text="body number")).rows)
+
+
 def test_stream_of_json_lines_is_ingested_once(spark, tmp_path):
     e = Engine.init(spark, (tmp_path / "store").as_uri(), dim=16, nlist=2, pq_m=2, restarts=1)
     source = tmp_path / "in"
