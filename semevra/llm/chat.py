@@ -21,6 +21,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from semevra.session import bounded_batches
 
 CHATML = (
     "{% for m in messages %}{{ '<|im_start|>' + m.role + '\\n' }}{% if m.role == 'assistant' %}{% generation %}{{ m.content }}"
@@ -442,6 +443,7 @@ def format_chats(turns: DataFrame, template: str = CHATML) -> DataFrame:
     left out. A faulty template raises TemplateError before any row is read. Other columns are not looked at. An empty
     table gives an empty result.
     """
+    bounded_batches(turns)
     compile_template(template)
     t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     grouped = t.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from semevra.llm import text as T
 from semevra.llm.grouping import group, only, shared
-from semevra.session import materialise
+from semevra.session import bounded_batches, materialise
 
 SHINGLE = 3
 BANDS, ROWS = 32, 4
@@ -107,6 +107,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     included) and rows without an id are in no group. Similarity exactly at the threshold counts. Columns other than the
     two are not looked at. An empty table gives an empty result.
     """
+    bounded_batches(docs)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from semevra.llm import text as T
 from semevra.llm.grouping import group, only, shared
-from semevra.session import materialise
+from semevra.session import bounded_batches, materialise
 
 THRESHOLD = 0.95
 MISS = 0.02
@@ -38,6 +38,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     one item: it is in the group of any of its vectors. Columns other than the two are not looked at. An empty table gives
     an empty result.
     """
+    bounded_batches(vectors)
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter("id is not null and size(v) > 0")
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

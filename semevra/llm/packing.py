@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semevra.llm import text as T
-from semevra.session import materialise
+from semevra.session import bounded_batches, materialise
 
 CAPACITY = 4096
 BLOCK = 2048
@@ -148,6 +148,7 @@ def _pack_blocks(items: DataFrame, capacity: int, islands: int, epochs: int) ->
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n): words of each row's whole text; rows without an id are left out."""
+    bounded_batches(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

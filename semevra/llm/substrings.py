@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from semevra.llm import text as T
 from semevra.llm.grouping import components
-from semevra.session import broadcast_if_small, fresh, materialise
+from semevra.session import bounded_batches, broadcast_if_small, fresh, materialise
 
 K, M = 50, 24
 LONGEST = 1 << 20
@@ -56,6 +56,7 @@ def paths(w: T.Words, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, n
 def repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, start, count, path, first): the runs of ``count`` k-mers from word ``start`` that occur in two documents at
     least; ``first`` is the least such document. Runs of one document may overlap."""
+    bounded_batches(docs)
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).filter("doc is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     the start stays. Columns stay as they are, but that n_chars, if there is one, is the new length where a text was cut.
     Rows of one id are cut alike. Rows without an id, and null texts, stay as they are.
     """
+    bounded_batches(docs)
     doc, cuts, new = fresh(docs, "doc"), fresh(docs, "cuts"), fresh(docs, "new")
     found = repeats(docs, k, m, id_col, text_col).filter("first <> doc").groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("start", "count")).alias(cuts))
     found = materialise(found)

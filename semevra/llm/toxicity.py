@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semevra.llm import text as T
+from semevra.session import bounded_batches
 
 BITS = 20
 MAX_LABELLED = 24_000
@@ -78,6 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bi
     """Dense weights and bias. Rows without id, text or label are not used; an id labelled twice counts as toxic if any
     of its labels says so, and with several texts each is an example. With no usable row all weights are 0 and the bias
     says clean."""
+    bounded_batches(docs)
     lab = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
     lab = lab.orderBy(F.xxhash64("k"), "k").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).dropna().join(F.broadcast(lab), "k").select(F.xxhash64("k", "t").alias("o"), "y", "t")
@@ -118,6 +120,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
     empty texts score by the bias alone. Repeated rows give repeated, equal results; rows without an id give none; other
     columns are not looked at. An empty table gives an empty result.
     """
+    bounded_batches(docs)
     bits = int(len(weights)).bit_length() - 1
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
