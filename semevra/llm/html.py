@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semevra.llm import text as T
+from semevra.session import bounded_batches
 
 MAX_PAGES = 1500
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.2
@@ -267,7 +268,11 @@ def render(page: Page, keep: np.ndarray | None = None) -> str:
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES, id_col: str = "page_id", html_col: str = "html") -> Boosted:
     """A model of labelled elements with text, of at most ``max_pages`` pages in hash order. Without labels it keeps all."""
-    sample = pages.select(F.col(html_col).cast("string").alias("h")).filter("h is not null").orderBy(F.xxhash64("h"), "h").limit(max_pages)
+    bounded_batches(pages)
+    rows = pages.select(F.col(html_col).cast("string").alias("h")).filter("h is not null").withColumn("o", F.xxhash64("h"))
+    # The sort sees hashes only; the pages of the sample are fetched by them. Equal pages count once.
+    chosen = rows.select("o").distinct().orderBy("o").limit(max_pages)
+    sample = rows.join(F.broadcast(chosen), "o").dropDuplicates(["o"]).select("h")
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,6 +305,7 @@ def extract(pages: DataFrame, model: Boosted, id_col: str = "page_id", html_col:
     Broken HTML is parsed leniently (unclosed and misnested elements are closed as browsers mostly do). Repeated rows give
     repeated results; a null id stays null; other columns are not looked at. An empty table gives an empty result.
     """
+    bounded_batches(pages)
     d = pages.select(F.col(id_col).alias("k"), F.col(html_col).cast("string").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
