@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semevra.session import broadcast_if_small, materialise
+from semevra.session import broadcast_if_small, discard, materialise
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,9 +24,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al. 2014), with each step's edges written to the shared
     folder. Self-loops keep their node as a component of its own. An empty input gives an empty result.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropna().distinct()
-    loops = e.filter("a = b").select(F.col("a").alias("id"))
-    e = materialise(e.filter("a <> b"))
+    every = materialise(edges.dropna().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    loops = every.filter("a = b").select(F.col("a").alias("id"))
+    e = every.filter("a <> b")
     last = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        e = materialise(small.filter("a <> b").distinct())
+        before, e = e, materialise(small.filter("a <> b").distinct())
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == last:
             break
