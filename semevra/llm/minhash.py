@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents are sets of 3-word shingles. Equal sets collapse first. 128 minimum hashes make 32 bands of 4; documents with
+Documents are sets of 3-word shingles. Equal sets collapse first. 160 minimum hashes make 40 bands of 4; documents with
 an equal band are candidates. A pair's signatures are compared 32 places at a time: after each batch it is dropped if
 the posterior probability of a similarity at the threshold or above, under a uniform prior, is below ``miss``. Survivors
 are verified exactly on their texts, and the verified pairs' connected components are the groups.
@@ -21,7 +21,7 @@ from semevra.llm.grouping import group, only, shared
 from semevra.session import bounded_batches, materialise
 
 SHINGLE = 3
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 4
 THRESHOLD = 0.5
 MISS = 0.005
 BATCH = 32
