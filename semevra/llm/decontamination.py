@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semevra.llm import text as T
+from semevra.session import bounded_batches
 
 BLOCK = 32
 BITS = 14
@@ -109,7 +110,7 @@ def sketch(texts: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndar
         y = np.zeros((1 << BITS, rank))
         any_ = False
         for b in batches:
-            for s in T.slices(b, "t", 8 << 20):
+            for s in T.slices(b, "t", 4 << 20):
                 f, block, first = blocks(T.words(s.column("t")))
                 ok = weight[f] > 0
                 f, block = f[ok], block[ok]
@@ -120,6 +121,7 @@ def sketch(texts: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndar
                 z /= np.maximum(np.bincount(block, weight[f].astype(float) ** 2, len(z)), 1e-9)[:, None].astype(np.float32)
                 order = np.argsort(f, kind="stable")
                 y += sum_rows(with_zero(z), block[order], f[order], 1 << BITS, 16)
+                del z, order
         if any_:
             whole = np.rint(y * weight[:, None] * _GRID).astype(np.int64).astype(np.int32)
             n = (1 << BITS) // rows
@@ -289,6 +291,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     for. Rows of one doc_id (or item_id) are one document (item). Null and empty texts and rows without an id match nothing;
     other columns are not looked at. Empty tables give an empty result.
     """
+    bounded_batches(docs)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null and t is not null")
     bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct().orderBy("i", "t").toArrow()
     whole = Target(bench.column("i").to_numpy(), T.words(bench.column("t").combine_chunks() if bench.num_rows else pa.array([], pa.string())))

@@ -7,6 +7,7 @@ does not follow the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_PATTERN = r"[0-9a-z\x80-\U0010ffff]+"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 WINDOW_BYTES = 1 << 19
 
 U64 = np.uint64
@@ -28,6 +29,21 @@ _WORD[128:] = True
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    # Arrays of a slice come from the heap, which give_back() trims; larger ones go back to the system when freed.
+    _LIBC.mallopt(-3, 32 << 20)
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Return unused memory of this worker to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 class _Powers:
     """Powers of the hash base and of its inverse modulo 2^64, grown on demand, once a worker."""
 
@@ -183,6 +199,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(total, done + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def int64(a: np.ndarray) -> pa.Array:
