@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semevra.functions.codebook import Codebook, kmeans
+from semevra.functions.codebook import Codebook, distances, kmeans, probes
 from semevra.functions.vectors import dot
 from semevra.model import RRF_CONSTANT, THRESHOLD_BUDGET, THRESHOLD_SLACK, EngineError
 
@@ -74,6 +74,142 @@ def approximate_topk(df: DataFrame, q: np.ndarray, book: Codebook, lists: Sequen
     return exact_topk(full, [float(x) for x in q], k, threshold)
 
 
+#: Share of the true neighbours that must lie in the probed lists, and that must be found, over CALIBRATION_QUERIES rows as
+#: queries, before all queries run; above the 0.9 that is promised, as the share over all queries may be lower.
+CEILING, FOUND, CALIBRATION_QUERIES = 0.97, 0.95, 200
+#: Rows and queries of one block of a list, about.
+LIST_ROWS, LIST_QUERIES = 4096, 8192
+RANKED = "query_id string, event_id string, score double"
+
+
+def _pair_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines of q (n x dim) with x (n x c x dim), summed element by element in order, as ``scored`` does."""
+    out = np.zeros(x.shape[:2])
+    for j in range(q.shape[1]):
+        out += q[:, j, None].astype(np.float64) * x[:, :, j].astype(np.float64)
+    return np.clip(out, -1.0, 1.0)
+
+
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(*total_order())
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), -1)
+
+
+def exact_topk_of(df: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], k: int) -> DataFrame:
+    """(query_id, event_id, score, centroid) by brute force for a bounded number of queries: one scan, k rows a query and batch."""
+    held = df.sparkSession.sparkContext.broadcast(([n for n, _ in queries], np.array([v for _, v in queries], np.float32)))
+
+    def run(batches):
+        names, q = held.value
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                ids, cent, x = np.array(part.column("event_id").to_pylist(), object), part.column("centroid").to_numpy(), _matrix(part.column("vector"))
+                for i, v in enumerate(q):
+                    s = _pair_scores(v[None], x[None])[0]
+                    t = np.lexsort((ids, -s))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(t)), pa.array(ids[t].tolist(), pa.string()), pa.array(s[t]), pa.array(cent[t])], ["query_id", "event_id", "score", "centroid"])
+
+    return _best(df.select("event_id", "vector", "centroid").mapInArrow(run, RANKED + ", centroid int"), k)
+
+
+def approximate_topk_all(df: DataFrame, queries: DataFrame, book: Codebook, k: int, nprobe: int, cap: int, margin: float, candidates: int) -> DataFrame:
+    """(query_id, event_id, score): IVF-PQ for every row (query_id, vector) of ``queries`` over ``df`` (event_id, vector, centroid, code).
+
+    A query goes to the lists that it probes. In each list the ``candidates`` nearest by code distance are exactly scored and
+    the k best go on, so a query reranks at least its ``candidates`` best codes. Lists are cut into blocks of bounded size.
+    """
+    nlist = len(book.coarse)
+    row_blocks = max(1, -(-df.count() // (nlist * LIST_ROWS)))
+    query_blocks = max(1, -(-queries.count() * nprobe // (nlist * LIST_QUERIES)))
+    held = df.sparkSession.sparkContext.broadcast(book)
+
+    def visit(batches):
+        for b in batches:
+            x = _matrix(b.column("vector"))
+            if not len(x):
+                continue
+            d = distances(x, held.value.coarse)
+            order = np.argsort(d, axis=1, kind="stable")
+            near = np.take_along_axis(d, order, 1)
+            n = [probes(r, nprobe, True, margin, cap) for r in near]
+            at = pa.array(np.repeat(np.arange(len(x)), n))
+            lists = np.concatenate([o[:m] for o, m in zip(order, n)]).astype(np.int32)
+            for i in range(0, len(lists), 8192):
+                t = at.slice(i, 8192)
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(t), b.column("vector").take(t), pa.array(lists[i : i + 8192])], ["query_id", "vector", "centroid"])
+
+    def block(c: str, n: int):
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    visits = queries.select("query_id", "vector").mapInArrow(visit, "query_id string, vector array<float>, centroid int")
+    visits = visits.withColumn("qb", block("query_id", query_blocks)).withColumn("rb", every(row_blocks))
+    rows = df.select("event_id", "vector", "centroid", "code").withColumn("rb", block("event_id", row_blocks)).withColumn("qb", every(query_blocks))
+
+    def search_list(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, found, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            book = held.value
+            right = right.sort_by("event_id")
+            q, x = _matrix(left.column("vector")), _matrix(right.column("vector"))
+            code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+            w, c = book.dim // book.m, min(candidates, len(x))
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256]
+                d = np.zeros((len(part), len(x)), np.float32)
+                for j in range(book.m):
+                    d += distances(part[:, j * w : (j + 1) * w], book.pq[j]).astype(np.float32)[:, code[:, j]]
+                near = np.argpartition(d, c - 1, axis=1)[:, :c] if c < len(x) else np.broadcast_to(np.arange(len(x)), d.shape)
+                near = np.sort(near, axis=1)
+                s = _pair_scores(part, x[near])
+                t = np.argsort(-s, axis=1, kind="stable")[:, :k]  # rows lie in the order of ids, so ties go by id
+                names.append(np.repeat(np.arange(at, at + len(part)), t.shape[1]))
+                found.append(np.take_along_axis(near, t, 1).ravel())
+                scores.append(np.take_along_axis(s, t, 1).ravel())
+        if not names:
+            return pa.table({"query_id": pa.array([], pa.string()), "event_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        return pa.table({"query_id": left.column("query_id").take(pa.array(np.concatenate(names))).combine_chunks(), "event_id": right.column("event_id").take(pa.array(np.concatenate(found))).combine_chunks(), "score": np.concatenate(scores)})
+
+    key = ["centroid", "rb", "qb"]
+    return _best(visits.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(search_list, RANKED), k)
+
+
+def calibrate(df: DataFrame, book: Codebook, k: int, nprobe: int, cap: int, margin: float, candidates: int) -> tuple[int, int, int]:
+    """(nprobe, cap, candidates), grown until CALIBRATION_QUERIES rows of ``df`` as queries find FOUND of their exact neighbours."""
+    sample = df.select(F.col("event_id").alias("query_id"), "vector").orderBy(F.sha2("query_id", 256), "query_id").limit(CALIBRATION_QUERIES)
+    queries = [(r.query_id, r.vector) for r in sample.collect()]
+    truth = exact_topk_of(df, queries, k).collect()
+    if not truth:
+        return nprobe, cap, candidates
+    ranks = {n: book.rank(np.array(v, np.float32)) for n, v in queries}
+    nlist = len(book.coarse)
+
+    def reached() -> float:
+        lists = {n: set(o[: probes(d, nprobe, True, margin, cap)].tolist()) for n, (o, d) in ranks.items()}
+        return sum(r.centroid in lists[r.query_id] for r in truth) / len(truth)
+
+    while reached() < CEILING and nprobe < nlist:
+        nprobe, cap = min(nlist, nprobe + 1), min(nlist, cap + 1)
+    want = {(r.query_id, r.event_id) for r in truth}
+    asked = df.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, vector array<float>")
+    total = df.count()
+    while candidates < total:
+        got = {(r.query_id, r.event_id) for r in approximate_topk_all(df, asked, book, k, nprobe, cap, margin, candidates).collect()}
+        if len(want & got) >= FOUND * len(want):
+            break
+        candidates *= 2
+    return nprobe, cap, candidates
+
+
 def group_survivors(rows: DataFrame, group_k: int, seed: int, survivors: int) -> list[dict]:
     """k-means of the reranked rows (bounded by ``survivors``) with a real row as each group's exemplar."""
     got = rows.limit(survivors).collect()

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from semevra import model as M
 from semevra.engine import run_plan
-from semevra.functions.codebook import probes, train
+from semevra.functions.codebook import train
 from semevra.functions.embed import HashEmbedder, with_vectors
 from semevra.functions.hashing import day_window, tenant_bucket
 from semevra.functions.vectors import dot, l2, nearest
 from semevra.operators import analytics, ingest, search
 from semevra.operators.maintenance import dedup
 from semevra.plans import sql as S
+from semevra.session import materialise
 from semevra.sources import readers
 from semevra.sources.store import encode
 
@@ -297,14 +298,15 @@ def baseline_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ivf_pq_topk")
 def ivf_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate top ten: coarse lists, code distances, exact reranking of fifty candidates."""
+    """Approximate top ten of every embedding as a query: coarse lists, code distances, exact reranking. Lists and candidates
+    start at the model's defaults and grow until a sample of the queries finds 0.95 of its exact neighbours."""
     e = table(spark, sf_dir, "embeddings").select(F.format_string("v%08d", "vec_id").alias("event_id"), F.lit("t").alias("tenant_id"), F.lit("g").alias("generation"), F.col("embedding").alias("vector"))
     got = ingest.stratified_sample(e, 50_000, 42).orderBy(F.sha2("event_id", 256)).toArrow()
-    book = train(np.array(got.column("vector").combine_chunks().flatten(), np.float32).reshape(got.num_rows, -1), 32, 8, 42, 2)
-    q = np.array(query_vector(spark, sf_dir), np.float32)
-    order, dists = book.rank(q)
-    lists = order[: probes(dists, M.NPROBE, True, M.ADAPTIVE_MARGIN, M.ADAPTIVE_MAX)]
-    return search.approximate_topk(encode(e, book), q, book, lists, 10, M.CANDIDATES, M.RERANK).select("event_id", F.round("score", 6).alias("score"))
+    book = train(np.array(got.column("vector").combine_chunks().flatten(), np.float32).reshape(got.num_rows, -1), 32, 8, 42, 8)
+    coded = materialise(encode(e, book).select("event_id", "vector", "centroid", "code"))
+    nprobe, cap, candidates = search.calibrate(coded, book, 10, M.NPROBE, M.ADAPTIVE_MAX, M.ADAPTIVE_MARGIN, M.CANDIDATES)
+    asked = coded.select(F.col("event_id").alias("query_id"), "vector")
+    return search.approximate_topk_all(coded, asked, book, 10, nprobe, cap, M.ADAPTIVE_MARGIN, candidates).withColumn("score", F.round("score", 6))
 
 
 @register("hash_embed")

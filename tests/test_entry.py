@@ -1,9 +1,11 @@
 """The driver's contract: queries run at the smallest scale and agree with their SQL."""
 
+import collections
 import os
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 from semevra import cli
@@ -40,6 +42,20 @@ def test_query_matches_its_sql(spark, con, name):
         assert len(rows) == len({str(r) for r in rows}) > 0
 
 
+def test_every_embedding_finds_its_exact_neighbours(spark):
+    t = spark.read.parquet(f"{SF}/embeddings.parquet").toArrow()
+    x = np.array(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+    ids = [f"v{i:08d}" for i in t.column("vec_id").to_pylist()]
+    got = collections.defaultdict(dict)
+    for r in Q.QUERIES["ivf_pq_topk"](spark, SF).collect():
+        got[r.query_id][r.event_id] = r.score
+    s = x @ x.T
+    want = {q: {ids[j]: s[i, j] for j in np.argsort(-s[i], kind="stable")[:10]} for i, q in enumerate(ids)}
+    assert set(got) == set(ids) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(want[q].keys() & got[q].keys()) / 10 for q in ids]) >= 0.9
+    assert all(abs(got[q][e] - want[q][e]) < 1e-5 for q in ids for e in want[q].keys() & got[q].keys())
+
+
 def test_queries_do_not_depend_on_partitioning(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     names = ("agg_sum_avg_min_max", "group_by_two", "topk_ties", "semantic_cluster", "stratified_sample", "idempotency_verdicts")
