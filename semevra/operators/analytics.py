@@ -197,14 +197,23 @@ def with_novelty(df: DataFrame, centroids: list, vector_col: str = "vector", dig
     return df.withColumn("novelty", v if digits is None else F.round(v, digits))
 
 
+#: Passes of the baseline's k-means, over the sample and over all rows.
+BASELINE_EPOCHS = 25
+
+
 def build_baseline(df: DataFrame, tenant: str, generation: str, seed: int = 42, sample: int = 50_000) -> Baseline:
-    """k-means of up to 16 clusters on a bounded sample (``sample`` rows of least SHA-256 ticket); the threshold is an exact order statistic over all rows."""
+    """k-means of up to 16 clusters over all rows; the threshold is an exact order statistic over all rows.
+
+    A bounded sample (``sample`` rows of least SHA-256 ticket) seeds the centroids; full passes over all rows refine them, at
+    every size.
+    """
     got = df.select("event_id", "vector").orderBy(F.sha2("event_id", 256), "event_id").limit(sample).toArrow()
     if not got.num_rows:
         raise EngineError("a baseline needs rows")
     order = np.argsort(np.array(got.column("event_id").to_pylist(), object), kind="stable")
     x = np.array(got.column("vector").combine_chunks().flatten(), np.float32).reshape(len(order), -1)[order]
-    c, _ = kmeans(x, BASELINE_CLUSTERS, 25, seed, 8)
+    c, _ = kmeans(x, BASELINE_CLUSTERS, BASELINE_EPOCHS, seed, 8)
+    c, _, _ = lloyd(df, c, BASELINE_EPOCHS)
     scores = with_novelty(df, c.tolist()).select("novelty")
     n = scores.count()
     rank = int(round((n - 1) * BASELINE_QUANTILE))

@@ -452,6 +452,19 @@ def test_novelty_drift_and_diff(spark, tmp_path):
     assert sum(r["count"] for r in c.summary.collect()) == 125
 
 
+def test_baseline_is_fitted_to_all_rows(spark):
+    rng = np.random.default_rng(4)
+    means = np.eye(16)
+    x = means[np.arange(640) % 16] + rng.normal(0, 0.1, (640, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(f"e{i:04d}", v.tolist()) for i, v in enumerate(x)], "event_id string, vector array<float>")
+    b = analytics.build_baseline(df, "t", "g", sample=100)
+    c = np.array(b.centroids)
+    near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    # each centroid is the mean of all rows nearest to it, not of those in the sample
+    assert all(np.abs(c[j] - x[near == j].mean(0)).max() < 1e-5 for j in np.unique(near)) and b.rows == 640
+
+
 # ingest ----------------------------------------------------------------------------------------------------------------
 
 NOW = 1_760_000_100_000
