@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semevra import model as M
@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def padded(letter: str, number: str) -> Column:
+    """``letter`` and the number of at least 8 digits; a longer one keeps all its digits, which lpad alone would cut."""
+    n = F.col(number).cast("string")
+    return F.concat(F.lit(letter), F.lpad(n, F.greatest(F.lit(8), F.length(n)), F.lit("0")))
+
+
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table events in the engine's data model."""
     local = "ts" if spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC") else "convert_timezone('UTC', current_timezone(), ts)"
@@ -41,7 +47,7 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.struct(F.lit(M.INT).cast("byte").alias("tag"), F.lit(None).cast("string").alias("s"), k.alias("i"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("boolean").alias("b"))
     ms = F.expr(f"unix_millis(cast({local} as timestamp))")
     return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("event_id"),
+        padded("e", "event_id").alias("event_id"),
         F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"),
         ms.alias("event_time"), ms.alias("observed_time"),
         F.col("event_type").alias("event_name"), F.col("value").alias("cost"), (F.col("event_type") == "error").alias("error"),
@@ -151,7 +157,7 @@ TOP = "SELECT event_id, score FROM {} ORDER BY score DESC, event_id LIMIT {}"
 @register("topk_exact", "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), sc AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS event_id, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], q.v))), 6) AS score FROM embeddings, q) " + TOP.format("sc", 10))
 def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest embeddings."""
-    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("event_id"), F.col("embedding").alias("vector"))
+    e = table(spark, sf_dir, "embeddings").select(padded("v", "vec_id").alias("event_id"), F.col("embedding").alias("vector"))
     return search.exact_topk(e, query_vector(spark, sf_dir), 10, digits=6).select("event_id", "score")
 
 
@@ -210,7 +216,7 @@ SELECT event_id, round(sum(s), 9) AS score FROM u GROUP BY event_id ORDER BY sco
 )
 def rrf_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists."""
-    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("event_id"), F.col("embedding").alias("vector"))
+    e = table(spark, sf_dir, "embeddings").select(padded("v", "vec_id").alias("event_id"), F.col("embedding").alias("vector"))
     ranked = [search.exact_topk(e, query_vector(spark, sf_dir, n), 50, digits=6) for n in (3, 11)]
     fused = search.reciprocal_rank_fusion(ranked, 100).withColumn("score", F.round("score", 9))
     return fused.orderBy(*search.total_order()).limit(10)

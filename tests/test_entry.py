@@ -7,6 +7,7 @@ import sys
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from semevra import cli
 from semevra import queries as Q
@@ -42,6 +43,15 @@ def test_query_matches_its_sql(spark, con, name):
         assert len(rows) == len({str(r) for r in rows}) > 0
 
 
+def test_long_event_ids_stay_apart(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/events.parquet").limit(1)
+    numbers = [7, 99_999_999, *range(100_000_000, 100_000_012), 2**63 - 1]
+    e.crossJoin(spark.createDataFrame([(n,) for n in numbers], "number long")).withColumn("event_id", F.col("number")).drop("number").write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(f"e{n:08d}" for n in numbers)
+    for name in ("merge_dedup", "merge_supersede_hash"):
+        assert sorted(r.event_id for r in Q.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_every_embedding_finds_its_exact_neighbours(spark):
     t = spark.read.parquet(f"{SF}/embeddings.parquet").toArrow()
     x = np.array(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
