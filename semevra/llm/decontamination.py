@@ -7,6 +7,8 @@ right singular vectors (randomised SVD by the Nystrom formula, which needs no se
 and compared by cosine with every benchmark segment; pairs above a threshold that follows the segment's length go to the
 checks: the longest common subsequence of the segment and the passage with one block on either side, by a bit-parallel
 recurrence over all pairs at once, and the share of it in the segment's last quarter, where the answer stands.
+
+Beside that every item, of any length, is looked for as a run of words, exactly and without any threshold.
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ BLOCK = 32
 BITS = 14
 RANK = 64
 MAX_DF = 0.1
+#: Items of fewer words are looked for as exact runs only; a part of so few words says nothing.
 MIN_WORDS = 8
 SEGMENT = 64
-COSINE = 0.35
+COSINE = 0.2
+#: Segments of fewer words go to the checks whatever their cosine.
+UNGATED = 12
 LCS = 0.7
 ANSWER = 0.5
 #: Segments that one pass over the documents looks for; a larger benchmark takes several passes.
@@ -231,8 +236,56 @@ def answer_words(size: np.ndarray) -> np.ndarray:
 
 
 def threshold(size: np.ndarray, cosine: float = COSINE) -> np.ndarray:
-    """Least cosine of a passage that holds a segment of ``size`` words among others."""
-    return cosine * np.sqrt(np.minimum(size, 2 * BLOCK) / (2 * BLOCK))
+    """Least cosine of a passage that holds a segment of ``size`` words among others; none below UNGATED words."""
+    return np.where(size < UNGATED, -np.inf, cosine * np.sqrt(np.minimum(size, 2 * BLOCK) / (2 * BLOCK)))
+
+
+class Runs:
+    """Whole items as runs of words, found by one anchor each: of its runs of at most MIN_WORDS words, the one that the fewest items have."""
+
+    def __init__(self, items: np.ndarray, words: list[np.ndarray]) -> None:
+        kept = [(int(i), h) for i, h in zip(items, words) if len(h)]
+        self.item, self.hash = np.array([i for i, _ in kept], np.int64), [h for _, h in kept]
+        grams = [T.grams(h, min(len(h), MIN_WORDS)) for h in self.hash]
+        seen, inverse, n = np.unique(np.concatenate([*grams, np.zeros(0, T.U64)]), return_inverse=True, return_counts=True)
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        at = 0
+        for i, g in enumerate(grams):
+            offset = int(n[inverse[at : at + len(g)]].argmin())
+            by.setdefault(min(len(self.hash[i]), MIN_WORDS), []).append((int(g[offset]), offset, i))
+            at += len(g)
+        self.anchors = []
+        for width, rows in sorted(by.items()):
+            rows.sort()
+            key = np.array([k for k, _, _ in rows], T.U64)
+            marked = np.zeros(1 << 16, bool)
+            marked[key >> T.U64(48)] = True
+            self.anchors.append((width, key, [(o, i) for _, o, i in rows], marked))
+
+    def find(self, w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of every item that stands in a text, word for word."""
+        doc = w.doc
+        texts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for width, key, rows, marked in self.anchors:
+            g = T.grams(w.hash, width)
+            at = np.flatnonzero(marked[g >> T.U64(48)])
+            low, high = np.searchsorted(key, g[at], "left"), np.searchsorted(key, g[at], "right")
+            at, low, high = at[high > low], low[high > low], high[high > low]
+            order = np.argsort(low, kind="stable")
+            at, low, high = at[order], low[order], high[order]
+            cut = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else low
+            for a, z in zip(cut, np.r_[cut[1:], len(at)]):
+                for offset, i in rows[low[a] : high[a]]:
+                    h = self.hash[i]
+                    start = at[a:z] - offset
+                    start = start[(start >= 0) & (start + len(h) <= len(doc))]
+                    start = start[doc[start] == doc[start + len(h) - 1]]
+                    for j in range(len(h)):
+                        start = start[w.hash[start + j] == h[j]]
+                    found = np.unique(doc[start])
+                    texts.append(found)
+                    items.append(np.full(len(found), self.item[i]))
+        return np.concatenate(texts), np.concatenate(items)
 
 
 def search(w: T.Words, table: np.ndarray, target: Target, vectors: np.ndarray, groups: list, least: np.ndarray, rare: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,35 +339,46 @@ def search(w: T.Words, table: np.ndarray, target: Target, vectors: np.ndarray, g
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, share): documents that hold a benchmark item or a paraphrase, with the largest share found.
 
-    share is the part of the item's words (of its best 64-word segment) that the passage has in their order; at least LCS of
-    them and ANSWER of those in the last quarter. Items of fewer than MIN_WORDS words, null ones among them, are not looked
-    for. Rows of one doc_id (or item_id) are one document (item). Null and empty texts and rows without an id match nothing;
-    other columns are not looked at. Empty tables give an empty result.
+    An item that stands in the text word for word, whatever its length, has a share of 1. Otherwise share is the part of the
+    item's words (of its best 64-word segment) that the passage has in their order; at least LCS of them and ANSWER of those
+    in the last quarter. Items of fewer than MIN_WORDS words are found word for word only; those without words, null ones
+    among them, match nothing. Rows of one doc_id (or item_id) are one document (item). Null and empty texts and rows without
+    an id match nothing; other columns are not looked at. Empty tables give an empty result.
     """
     bounded_batches(docs)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null and t is not null")
     bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct().orderBy("i", "t").toArrow()
-    whole = Target(bench.column("i").to_numpy(), T.words(bench.column("t").combine_chunks() if bench.num_rows else pa.array([], pa.string())))
-    if not whole.hash:
+    numbers, words = bench.column("i").to_numpy(), T.words(bench.column("t").combine_chunks() if bench.num_rows else pa.array([], pa.string()))
+    whole = Target(numbers, words)
+    if not len(words.hash):
         return d.limit(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), F.lit(0.0).alias("share"))
-    idf = weights(*block_frequency(d))
-    u, s = singular_vectors(*sketch(d, idf, rank))
-    table = with_zero((u / np.maximum(s, s.max() * 1e-3) * idf[:, None]).astype(np.float32))
+    idf = table = None
+    if whole.hash:
+        idf = weights(*block_frequency(d))
+        u, s = singular_vectors(*sketch(d, idf, rank))
+        table = with_zero((u / np.maximum(s, s.max() * 1e-3) * idf[:, None]).astype(np.float32))
+    single = [words.hash[a:z] for a, z in zip(words.first, words.first[1:])]
     sc = docs.sparkSession.sparkContext
     out: DataFrame | None = None
-    for at in range(0, len(whole.hash), SEGMENTS_A_PASS):
+    for at in range(0, max(len(whole.hash), len(single)), SEGMENTS_A_PASS):
         part = Target(np.zeros(0), T.Words(np.zeros(0, T.U64), np.zeros(1, np.int64), None, None))
         part.item, part.hash, part.size = whole.item[at : at + SEGMENTS_A_PASS], whole.hash[at : at + SEGMENTS_A_PASS], whole.size[at : at + SEGMENTS_A_PASS]
-        held = sc.broadcast((table, part, idf))
+        runs = Runs(numbers[at : at + SEGMENTS_A_PASS], single[at : at + SEGMENTS_A_PASS])
+        held = sc.broadcast((table, part, idf, runs))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            table, target, weight = held.value
-            vectors, groups, least = target.vectors(table), target.groups(), threshold(target.size, cosine)
-            rare = target.rare(weight)
+            table, target, weight, runs = held.value
+            if target.hash:
+                vectors, groups, least, rare = target.vectors(table), target.groups(), threshold(target.size, cosine), target.rare(weight)
             item = np.array(target.item, np.int64)
             for b in batches:
                 for s in T.slices(b, "t"):
-                    text, seg, share = search(T.words(s.column("t")), table, target, vectors, groups, least, rare)
+                    w = T.words(s.column("t"))
+                    text, exact = runs.find(w)
+                    yield pa.RecordBatch.from_arrays([s.column("id").take(pa.array(text)), pa.array(exact), pa.array(np.ones(len(text)))], ["doc_id", "item_id", "share"])
+                    if not target.hash:
+                        continue
+                    text, seg, share = search(w, table, target, vectors, groups, least, rare)
                     yield pa.RecordBatch.from_arrays([s.column("id").take(pa.array(text)), pa.array(item[seg]), pa.array(np.round(share, 6))], ["doc_id", "item_id", "share"])
 
         found = d.mapInArrow(run, "doc_id long, item_id long, share double")

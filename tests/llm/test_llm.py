@@ -423,6 +423,31 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.leaks(d.limit(0), bench).count() == 0 and decontamination.leaks(d, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    rng = random.Random(31)
+    items = [(1, "What is the capital of France?"), (2, "yes"), (3, "Paris, of course"), (4, prose(150, rng)), (5, "what is the capital of"), (6, None), (7, " ?!")]
+    rows = [(i, prose(200, rng)) for i in range(60)]
+    rows += [(100, prose(90, rng) + " what IS the\ncapital of France " + prose(90, rng)), (101, "paris of"), (102, "course"), (103, "Yes"), (104, prose(30, rng) + " " + items[3][1]), (105, "what is the capital of"), (106, "paris of the course")]
+    found_ = lambda b: {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, rows), spark.createDataFrame(b, "item_id long, text string")).filter("share = 1").collect()}
+    want = {(100, 1), (100, 5), (103, 2), (104, 4), (105, 5)}
+    assert found_(items) == want
+    assert found_([i for i in items if i[0] != 4]) == want - {(104, 4)}
+
+
+def test_altered_items_of_every_length_pass_the_gate(spark):
+    rng = random.Random(32)
+    items, rows = [], [(i, prose(300, rng)) for i in range(100)]
+    for k, n in enumerate(n for n in (8, 10, 12, 16, 24) for _ in range(30)):
+        w = prose(n, rng).split()
+        items.append((k, " ".join(w)))
+        for j in rng.sample(range(n - max(n // 4, 2)), int(0.28 * n)):
+            w[j] = rng.choice(VOCABULARY)
+        rows.append((1000 + k, f"{prose(rng.randint(40, 90), rng)} {' '.join(w)} {prose(90, rng)}"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    shares = [np.mean([(1000 + k, k) in got for k in range(a, a + 30)]) for a in range(0, 150, 30)]
+    assert min(shares) >= 0.9, shares
+
+
 def test_nystrom_finds_the_leading_space():
     rng = np.random.default_rng(15)
     a = rng.normal(size=(400, 8)) * np.array([9, 8, 7, 6, 5, 4, 3, 2.0]) @ rng.normal(size=(8, 60)) + rng.normal(size=(400, 60)) * 0.01
