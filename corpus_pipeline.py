@@ -23,7 +23,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but the rows whose doc_id is in ``ids`` (doc_id); rows without an id stay."""
     gone = fresh(docs, "gone")
     ids = materialise(ids.select(F.col("doc_id").alias(gone)).distinct())
-    return docs.join(broadcast_if_small(ids, 24), F.col("doc_id") == F.col(gone), "left_anti")
+    return docs.join(broadcast_if_small(ids), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rest = _without(docs, minhash.near_duplicates(docs))
     again, place = fresh(docs, "again"), fresh(docs, "place")
     ids = materialise(rest.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias(again)))
-    ids = broadcast_if_small(ids, 24)
+    ids = broadcast_if_small(ids)
     once = rest.join(ids, F.col("doc_id") == F.col(again), "left_anti")
     twice = rest.join(ids, F.col("doc_id") == F.col(again), "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
