@@ -76,7 +76,7 @@ def shared(rows: DataFrame) -> DataFrame:
 def only(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``df`` (id, ...) whose id is in a pair (a, b); the ids are broadcast while their counted size allows."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    return df.join(broadcast_if_small(ids, 24), "id", "left_semi")
+    return df.join(broadcast_if_small(ids), "id", "left_semi")
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:

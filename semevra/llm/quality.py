@@ -167,5 +167,5 @@ def judge(docs: DataFrame, model: tuple, text_col: str = "text", host: Column |
     paths = materialise(sums.select("host", "path", F.col("n").cast("double").alias("n"), (F.col("u") / unit).alias("s"), (F.col("uu") / unit).alias("ss")))
     q = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("path_quality")))
     quality = 1 / (1 + F.exp(-(F.col("l") - F.lit(prior) + F.log(q / (1 - q)))))
-    out = scored.join(broadcast_if_small(posteriors(paths), 120), ["host", "path"]).withColumn("quality", quality)
+    out = scored.join(broadcast_if_small(materialise(posteriors(paths))), ["host", "path"]).withColumn("quality", quality)
     return out.select("doc", "host", "path", "host_quality", "path_quality", "quality", (F.col("quality") >= 0.5).alias("keep"))

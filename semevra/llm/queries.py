@@ -90,5 +90,11 @@ def _oracle_chat() -> str:
     return chat.CHATML_SQL
 
 
+def _oracle_substrings() -> str:
+    from semevra.llm import substrings
+
+    return substrings.ORACLE_SQL
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_chat_format, op4_minhash_dedup, op5_sharding, op6_quality, op7_decontamination, op8_substring_dedup, op9_packing, op10_embedding_dedup)}
-ORACLE: dict[str, str] = {"op3_chat_format": _oracle_chat()}
+ORACLE: dict[str, str] = {"op3_chat_format": _oracle_chat(), "op8_substring_dedup": _oracle_substrings()}

@@ -103,4 +103,4 @@ def shard(docs: DataFrame, shards: int = SHARDS, keys: tuple[str, ...] = ("sourc
     if sizes.isEmpty():
         return d.select("doc_id", F.lit(0).cast("int").alias("shard"), F.col("bytes").alias("group_bytes"))
     where = materialise(assign_groups(sizes, shards))
-    return d.drop("bytes").join(broadcast_if_small(where, 160), "g").select("doc_id", "shard", F.col("bytes").alias("group_bytes"))
+    return d.drop("bytes").join(broadcast_if_small(where), "g").select("doc_id", "shard", F.col("bytes").alias("group_bytes"))

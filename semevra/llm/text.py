@@ -1,8 +1,8 @@
 """Vectorised text kernels: words and their 64-bit hashes straight from Arrow buffers.
 
 A *word* is a maximal run of ASCII letters, digits or non-ASCII characters of the lower-cased text; everything else
-separates. Null and empty texts have no words. Texts are cut at separators into windows of bounded size, so memory
-does not follow the longest text.
+separates. Null and empty texts have no words. Bytes are looked at in windows of fixed size with a carried state, so that
+scratch memory is the same for every text; what grows with a text is the result, 16 bytes a word.
 """
 
 from __future__ import annotations
@@ -45,21 +45,21 @@ def give_back() -> None:
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse modulo 2^64, grown on demand, once a worker."""
+    """Powers of the hash base and of its inverse modulo 2^64, for one window."""
 
-    up = np.ones(1, U64)
-    down = np.ones(1, U64)
+    tables: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, WINDOW_BYTES + 1024)
+    def get(cls) -> tuple[np.ndarray, np.ndarray]:
+        if cls.tables is None:
+            made = []
             with np.errstate(over="ignore"):
-                for name, base in (("up", _B), ("down", _BI)):
-                    a = np.full(size, base, U64)
+                for base in (_B, _BI):
+                    a = np.full(WINDOW_BYTES + 1, base, U64)
                     a[0] = 1
-                    setattr(cls, name, np.cumprod(a, dtype=U64))
-        return cls.up, cls.down
+                    made.append(np.cumprod(a, dtype=U64))
+            cls.tables = made[0], made[1]
+        return cls.tables
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,7 +82,7 @@ class Words:
 
     @property
     def doc(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        return np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
 
     @property
     def counts(self) -> np.ndarray:
@@ -101,82 +101,139 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - base
 
 
-def words(texts: pa.Array, hashes: bool = True) -> Words:
-    """The words of each text. Without hashes the offsets are those in the text as it is, not in lower case."""
+class _Open:
+    """Hash of a word that began in an earlier window: the sum so far and its length."""
+
+    sum, size = 0, 0
+
+    def add(self, part: int, size: int) -> None:
+        self.sum = (self.sum + part * pow(_B, self.size, 1 << 64)) & ((1 << 64) - 1)
+        self.size += size
+
+
+def _join(parts: list[np.ndarray], dtype: type) -> np.ndarray:
+    out = np.concatenate(parts) if len(parts) != 1 else parts[0]
+    parts.clear()
+    return out.astype(dtype, copy=False)
+
+
+def words(texts: pa.Array, hashes: bool = True, lower: bool | None = None) -> Words:
+    """The words of each text. Without hashes the offsets are those in the text as it is, not in lower case, unless asked for."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    raw, offsets = buffers(pc.utf8_lower(texts) if hashes else texts)
+    raw, offsets = buffers(pc.utf8_lower(texts) if (hashes if lower is None else lower) else texts)
     n = len(raw)
-    w = _WORD[raw]
-    before = np.zeros(n + 1, bool)
-    before[1:] = w
-    before[offsets[offsets <= n]] = False
-    starts = np.flatnonzero(w & ~before[:n])
-    after = np.zeros(n + 1, bool)
-    after[:n] = w
-    after[offsets[offsets <= n]] = False
-    ends = np.flatnonzero(w & ~after[1:]) + 1
-    first = np.searchsorted(starts, offsets).astype(np.int64)
-    h = np.empty(len(starts) if hashes else 0, U64)
-    if hashes and len(starts):
-        with np.errstate(over="ignore"):
-            at = 0
-            while at < len(starts):
-                base = int(starts[at])
-                to = max(at + 1, int(np.searchsorted(ends, base + WINDOW_BYTES, "right")))
-                span = int(ends[to - 1]) - base
-                up, down = _Powers.get(span + 1)
-                c = np.empty(span + 1, U64)
+    wide = np.int32 if n < 1 << 31 else np.int64
+    starts, ends, hashed = [np.zeros(0, wide)], [np.zeros(0, wide)], [np.zeros(0, U64)]
+    carry, open_ = False, _Open()
+    with np.errstate(over="ignore"):
+        for a in range(0, n, WINDOW_BYTES):
+            part = raw[a : a + WINDOW_BYTES]
+            m = len(part)
+            w = _WORD[part]
+            last = np.empty(m, bool)
+            last[0], last[1:] = carry, w[:-1]
+            on = w & last
+            cuts = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + m)] - a
+            on[cuts] = False
+            s, e = np.flatnonzero(w & ~on), np.flatnonzero(last & ~on)
+            if hashes:
+                up, down = _Powers.get()
+                c = np.empty(m + 1, U64)
                 c[0] = 0
-                np.cumsum(_TABLE[raw[base : base + span]] * up[:span], out=c[1:])
-                h[at:to] = mix((c[ends[at:to] - base] - c[starts[at:to] - base]) * down[starts[at:to] - base])
-                at = to
-    own = np.repeat(offsets[:-1], np.diff(first))
-    return Words(h, first, starts - own, ends - own)
+                np.cumsum(_TABLE[part] * up[:m], out=c[1:])
+                h = np.empty(len(e), U64)
+                k = int(carry and len(e) > 0)
+                if k:
+                    open_.add(int(c[e[0]]), 0)
+                    h[0] = open_.sum
+                h[k:] = (c[e[k:]] - c[s[: len(e) - k]]) * down[s[: len(e) - k]]
+                hashed.append(mix(h))
+                if w[-1]:
+                    if carry and not len(e):
+                        open_.add(int(c[m]), m)
+                    else:
+                        open_ = _Open()
+                        open_.add(int((c[m : m + 1] - c[s[-1:]])[0] * down[s[-1]]), m - int(s[-1]))
+            starts.append((s + a).astype(wide))
+            ends.append((e + a).astype(wide))
+            carry = bool(w[-1])
+        if carry:
+            ends.append(np.array([n], wide))
+            if hashes:
+                hashed.append(mix(np.array([open_.sum], U64)))
+    h = _join(hashed, U64)
+    start, end = _join(starts, wide), _join(ends, wide)
+    first = np.searchsorted(start, offsets.astype(wide)).astype(np.int64)
+    own = np.repeat(offsets[:-1].astype(wide), np.diff(first))
+    start -= own
+    end -= own
+    return Words(h, first, start.astype(np.int32, copy=False), end.astype(np.int32, copy=False))
+
+
+def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased words with a space before all but the first of each text, as bytes: (bytes, start and end of each word, first word of each text)."""
+    lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    raw, offsets = buffers(lowered)
+    w = words(lowered, hashes=False)
+    spaced = w.start > 0
+    gaps = (w.start + np.repeat(offsets[:-1], w.counts) - 1)[spaced]
+    keep, out = _WORD[raw], raw.copy()
+    keep[gaps], out[gaps] = True, 32
+    size = (w.end - w.start).astype(np.int64)
+    end = np.cumsum(size + spaced)
+    return out[keep], end - size, end, w.first
+
+
+_STEP = 1 << 17
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    a = np.full(n, base & ((1 << 64) - 1), U64)
+    a[:1] = 1
+    return np.cumprod(a, dtype=U64)
 
 
 def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of n words, in order; it ignores where texts end (see valid_grams)."""
     if len(h) < n:
         return np.zeros(0, U64)
+    base = (_B + 2 * salt) & ((1 << 64) - 1) | 1
+    out = np.empty(len(h) - n + 1, U64)
     with np.errstate(over="ignore"):
-        base = (_B + 2 * salt) & ((1 << 64) - 1) | 1
-        if n <= 8:
-            g = h[: len(h) - n + 1].copy()
-            for j in range(1, n):
-                g = g * U64(base) + h[j : len(h) - n + 1 + j]
-            return mix(g)
-        out = np.empty(len(h) - n + 1, U64)
-        inv = pow(base, -1, 1 << 64)
-        step = 1 << 17
-        for at in range(0, len(out), step):
-            m = min(step, len(out) - at)
-            up = np.full(m + n, base, U64)
-            up[0] = 1
-            up = np.cumprod(up, dtype=U64)
-            down = np.full(m, inv, U64)
-            down[0] = 1
-            down = np.cumprod(down, dtype=U64)
-            c = np.zeros(m + n, U64)
-            np.cumsum(h[at : at + m + n - 1] * up[: m + n - 1], out=c[1:])
-            out[at : at + m] = mix((c[n : n + m] - c[:m]) * down)
-        return out
+        if n > 8:
+            up, down = _powers(base, min(len(out), _STEP) + n), _powers(pow(base, -1, 1 << 64), min(len(out), _STEP))
+        for at in range(0, len(out), _STEP):
+            m = min(_STEP, len(out) - at)
+            if n <= 8:
+                g = h[at : at + m].copy()
+                for j in range(1, n):
+                    g = g * U64(base) + h[at + j : at + j + m]
+                out[at : at + m] = mix(g)
+            else:
+                c = np.zeros(m + n, U64)
+                np.cumsum(h[at : at + m + n - 1] * up[: m + n - 1], out=c[1:])
+                out[at : at + m] = mix((c[n : n + m] - c[:m]) * down[:m])
+    return out
 
 
 def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
     """Hash of the words start..end of each range (start < end), over one array of word hashes."""
     out = np.empty(len(start), U64)
+    if (np.diff(start) < 0).any():
+        order = np.argsort(start, kind="stable")
+        out[order] = range_hash(h, start[order], end[order], salt)
+        return out
     base = (_B + 2 * salt) & ((1 << 64) - 1) | 1
-    inv = pow(base, -1, 1 << 64)
+    at = 0
     with np.errstate(over="ignore"):
-        up = np.full(len(h) + 1, base, U64)
-        up[0] = 1
-        up = np.cumprod(up, dtype=U64)
-        c = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * up[: len(h)], out=c[1:])
-        down = np.full(len(h) + 1, inv, U64)
-        down[0] = 1
-        down = np.cumprod(down, dtype=U64)
-        out[:] = mix((c[end] - c[start]) * down[start] + (end - start).astype(U64))
+        while at < len(start):
+            to = int(np.searchsorted(start, start[at] + _STEP, "left"))
+            lo, hi = int(start[at]), int(end[at:to].max())
+            c = np.zeros(hi - lo + 1, U64)
+            np.cumsum(h[lo:hi] * _powers(base, hi - lo), out=c[1:])
+            a, z = start[at:to] - lo, end[at:to] - lo
+            out[at:to] = mix((c[z] - c[a]) * _powers(pow(base, -1, 1 << 64), int(a[-1]) + 1)[a] + (z - a).astype(U64))
+            at = to
     return out
 
 

@@ -468,59 +468,101 @@ def _repeated_corpus():
     for i in range(60, 110):
         w = prose(rng.randint(0, 80), rng)
         rows.append((i, f"{w} {rng.choice(shared)}. {prose(rng.randint(0, 80), rng)}"))
-    rows += [(200, shared[5] + " " + shared[4]), (201, shared[4][: len(shared[4]) // 2] + "  --  " + shared[5]), (202, "same " * 300), (203, (prose(60, rng) + " ") * 3), (204, rows[70][1].upper()), (61, rows[61][1])]
+    rows += [(205, "same " * 290), (200, shared[5] + " " + shared[4]), (201, shared[4][: len(shared[4]) // 2] + "  --  " + shared[5]), (202, "same " * 300), (203, (prose(60, rng) + " ") * 3), (204, rows[70][1].upper()), (61, rows[61][1])]
     return rows
 
 
+def _unitigs(rows, k):
+    """{(id, text): [(start, words, first document, spelled words)]}: runs of k-mers that several ids have, cut wherever a k-mer
+    goes on, or comes from, in more than one way; the end of a text is a way of its own."""
+    texts = {(i, t) for i, t in rows if i is not None and t}
+    after, before, who = (collections.defaultdict(set) for _ in range(3))
+    spelled = {}
+    for i, t in texts:
+        w = found(t)
+        g = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+        spelled[i, t] = w, g
+        for j, x in enumerate(g):
+            who[x].add(i)
+            after[x].add(g[j + 1] if j + 1 < len(g) else None)
+            before[x].add(g[j - 1] if j else None)
+    alone = lambda s: len(s) == 1 and None not in s
+    out = {}
+    for key, (w, g) in spelled.items():
+        runs = []
+        for j, x in enumerate(g):
+            if len(who[x]) < 2:
+                continue
+            if runs and runs[-1][1] == j - 1 and alone(after[g[j - 1]]) and alone(before[x]):
+                runs[-1][1] = j
+            else:
+                runs.append([j, j])
+        out[key] = [(a, z - a + k, min(who[g[a]]), " ".join(w[a : z + k])) for a, z in runs]
+    return out
+
+
+def _same_spans(spark, rows, k, m):
+    want = _unitigs(rows, k)
+    d = docs(spark, rows)
+    keys = {r.key: (r.doc_id, r.text) for r in d.select("doc_id", "text", F.struct("doc_id", substrings.row_key(F.col("text"))).alias("key")).collect()}
+    spans = substrings.repeated_spans(d, k, m).collect()
+    got, units = collections.defaultdict(list), {}
+    for r in spans:
+        i, t = keys[r.doc_id, r.text_key]
+        words = " ".join(found(t)[r.start_word : r.start_word + r.n_words])
+        got[i, t].append((r.start_word, r.n_words, r.first_doc_id, words))
+        assert units.setdefault(r.path_id, words) == words
+    assert len(set(units.values())) == len(units)
+    assert {x: sorted(s) for x, s in got.items()} == {x: s for x, s in want.items() if s}
+    return want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_unitigs_of_a_branching_graph_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(40), " ".join(rng.choice("abc") for _ in range(rng.randint(1, 40)))) for _ in range(60)]
+    rows += [(50, "a " * 30), (51, "a " * 50), (52, "a b " * 20), (53, "b a " * 20), (50, "a " * 30), (54, "c " * 60), (54, "c " * 61)]
+    _same_spans(spark, rows, 6, 3)
+
+
 def test_repeated_spans_and_cuts_against_brute_force(spark):
     rows = _repeated_corpus()
+    rng = random.Random(20)
+    # ids with several texts: one has a copied passage, the other nothing of it
+    rows += [(300, rows[5][1]), (5, prose(200, rng)), (301, prose(100, rng)), (302, prose(30, rng) + " " + rows[-1][1]), (302, prose(140, rng))]
     k = 50
-    where = collections.defaultdict(set)
-    for i, t in rows:
-        w = found(t)
-        for j in range(len(w) - k + 1):
-            where[tuple(w[j : j + k])].add(i)
-    want, gone = set(), collections.defaultdict(set)
-    for i, t in rows:
-        w = found(t)
-        for j in range(len(w) - k + 1):
-            s = where[tuple(w[j : j + k])]
-            if len(s) > 1:
-                want.add((i, j))
-                if min(s) != i:
-                    gone[i].update(range(j, j + k))
+    want = _same_spans(spark, rows, k, 24)
+    gone = {x: {j for a, n, first, _ in s if first != x[0] for j in range(a, a + n)} for x, s in want.items()}
     d = docs(spark, rows + ODD)
-    spans = substrings.repeated_spans(d).collect()
-    got = {(r.doc_id, j) for r in spans for j in range(r.start_word, r.start_word + r.n_words - k + 1)}
-    assert got == want
-    # a unitig: runs of one path spell the same words or parts of them
-    text = {i: found(t) for i, t in rows}
-    by = collections.defaultdict(list)
-    for r in spans:
-        by[r.path_id].append(" ".join(text[r.doc_id][r.start_word : r.start_word + r.n_words]))
-    for runs in by.values():
-        longest = max(runs, key=len)
-        assert sum(x in longest for x in runs) >= len(runs) / 2
     left = substrings.remove_repeats(d)
     assert left.columns == d.columns
     have = collections.defaultdict(list)
     for r in left.collect():
         have[r.doc_id].append(r)
+        assert r.text is None or r.n_chars == len(r.text)
+    by = collections.defaultdict(list)
     for i, t in rows:
-        keep = [x for j, x in enumerate(found(t)) if j not in gone[i]]
-        if not keep and found(t):
-            assert i not in have
-        else:
-            assert all(found(r.text) == keep for r in have[i])
-            assert all(r.n_chars == len(r.text) for r in have[i])
+        keep = [x for j, x in enumerate(found(t)) if j not in gone[i, t]]
+        if keep or not found(t):
+            by[i].append(keep)
+    for i in {i for i, _ in rows}:
+        assert sorted(found(r.text) for r in have[i]) == sorted(by[i])
     assert len(have[None]) == 1 and have[901][0].text is None and have[902][0].text == ""
     assert substrings.repeated_spans(d.limit(0)).count() == 0 and substrings.remove_repeats(d.limit(0)).count() == 0
 
 
+def test_unequal_words_are_no_repeat(spark):
+    d = spark.createDataFrame([(1, "a b c d"), (2, "x A b, c"), (3, "a b q")], "doc long, t string")
+    key = {r.doc: r.k for r in d.select("doc", substrings.row_key(F.col("t")).alias("k")).collect()}
+    units = spark.createDataFrame([(1, key[1], 0, 3, 1, key[1], 0), (2, key[2], 1, 3, 1, key[1], 0), (3, key[3], 0, 3, 1, key[1], 0)], "doc long, row long, start long, words int, first long, first_row long, first_start long")
+    assert [tuple(r) for r in substrings._unequal(d, units).collect()] == [(3, key[3], 0)]
+
+
 def test_long_paths_are_cut_the_same_way(spark, monkeypatch):
     monkeypatch.setattr(substrings, "LONGEST", 8)
     w = T.words(pa.array(["same " * 300, prose(200)]))
-    at, count, doc, _ = substrings.paths(w)
+    at, count, doc, _, loop = substrings.paths(w)
+    assert loop[doc == 0].all() and not loop[doc == 1].any()
     assert count.max() <= 8 and count.sum() == 251 + 151
     place = sorted(j for a, c in zip(at, count) for j in range(a, a + c))
     assert place == [*range(251), *range(300, 451)]
