@@ -2,8 +2,9 @@
 
 Each page is parsed to a DOM. Nodes get features of text, tags and links in their subtree (densities), tag and attribute
 tokens, depth, and their place among siblings. Boosted trees, fitted to a bounded, hash-ordered sample of pages whose own
-semantic elements (article, main; nav, footer, aside, header, ads) supply the labels, score every node; those elements
-are not features. Decoding takes the best of keeping a subtree whole, dropping it whole, or deciding child by child, so a
+semantic elements supply the labels, score every node. What lies inside article or main is content; what lies outside them, on a
+page that has one, and nav, footer, aside and header are not. The names of those elements are no features, and the tokens of
+class and id, which are features, take no part in the labels. Decoding takes the best of keeping a subtree whole, dropping it whole, or deciding child by child, so a
 node is never kept under a dropped ancestor or dropped under a kept one.
 """
 
@@ -12,7 +13,8 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,12 @@ TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.2
 TAG_BUCKETS, ATTR_BUCKETS = 16, 16
 SPLIT_COST = 0.5
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[^A-Za-z/!?]|[^<]+|<", re.S)
-_ATTR = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+#: A text and a tag whose attributes hold no angle brackets and no open quote.
+_PLAIN = re.compile(r"""([^<]*+)(?:<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+)>)?""")
+_SPECIAL = re.compile(r"[>\"']")
+#: A name without a value is taken too, so that no attribute is looked at twice.
+_ATTR = re.compile(r"""([A-Za-z_:][-\w:.]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "template", "noscript", "svg", "head"))
@@ -36,10 +42,86 @@ _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mar
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _GOOD, _BAD = frozenset(("article", "main")), frozenset(("nav", "footer", "aside", "header"))
-_BAD_TOKENS = frozenset(("ad", "ads", "advert", "sidebar", "footer", "nav", "menu", "cookie", "share", "related", "comments"))
 _SENTENCE = re.compile(r"[.!?](?:\s|$)")
 
 
+class _Ahead:
+    """The next place of a pattern at or behind a position, in time linear in the text over all calls with rising positions."""
+
+    __slots__ = ("find", "low", "high")
+
+    def __init__(self, find: Callable[[int], int]) -> None:
+        self.find, self.low, self.high = find, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.low <= at <= self.high:
+            self.low, self.high = at, self.find(at)
+        return self.high
+
+
+def pieces(source: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(tag name or None, closing, attributes or text) in one pass: a text is given as (None, False, text).
+
+    A tag ends at the first > outside quotes, or at the first > of all if a quote stays open; a < without a > behind it, or
+    without a name, is text. Comments, declarations and processing instructions are left out. No part is scanned again and
+    again, so the time is linear in the length of the page, however broken.
+    """
+    n = len(source)
+
+    def behind(x: str) -> Callable[[int], int]:
+        return lambda at: (k if (k := source.find(x, at)) >= 0 else n)
+
+    end, quote = _Ahead(behind(">")), {q: _Ahead(behind(q)) for q in "\"'"}
+    special = _Ahead(lambda at: (m.start() if (m := _SPECIAL.search(source, at)) else n))
+    unclosed: set[int] = set()  # quotes from which no end of a tag is reached
+    at = 0
+    while at < n:
+        plain = _PLAIN.match(source, at)
+        text, slash, tag, attrs = plain.groups()
+        if text:
+            yield None, False, text
+        if tag:
+            yield tag.lower(), slash == "/", attrs
+            at = plain.end()
+            continue
+        lt = at + len(text)
+        if lt >= n:
+            return
+        if source.startswith("<!--", lt):
+            stop = source.find("-->", lt + 4)
+            at = n if stop < 0 else stop + 3
+            continue
+        head = source[lt + 1 : lt + 2]
+        if head in ("!", "?"):
+            gt = end(lt)
+            if gt < n:
+                at = gt + 1
+                continue
+        closing = head == "/"
+        name = _NAME.match(source, lt + 1 + closing)
+        if name is None or end(lt) >= n:
+            step = 1 if name or head in ("", "/", "!", "?", "<") else 2
+            yield None, False, source[lt : lt + step]
+            at = lt + step
+            continue
+        k, seen = name.end(), []
+        while (k := special(k)) < n and source[k] != ">":
+            if k in unclosed:
+                k = n
+                break
+            seen.append(k)
+            shut = quote[source[k]](k + 1)
+            if shut >= n:
+                k = n
+                break
+            k = shut + 1
+        if k >= n:
+            unclosed.update(seen)
+            k = source.find(">", name.end())
+        yield name.group().lower(), closing, source[name.end() : k]
+        at = k + 1
+
+
 class Page:
     """Arrays over the elements of a page in document order; element 0 is the root. runs: (element, text)."""
 
@@ -49,17 +131,22 @@ class Page:
         self.tag, self.attrs, self.parent = ["#root"], [""], [-1]
         self.runs: list[tuple[int, str]] = []
         stack, raw = [0], None
-        for m in _PIECE.finditer(source):
-            closing, name, attrs = m.group(1), m.group(2), m.group(3)
+        block = [0]  # of each place in the stack: the nearest place, itself or below, that is no inline element
+        held: Counter[str] = Counter()
+
+        def shorten(to: int) -> None:
+            for e in stack[to:]:
+                held[self.tag[e]] -= 1
+            del stack[to:], block[to:]
+
+        for name, closing, attrs in pieces(source):
             if name is None:
-                if raw is None and not m.group().startswith("<!") and not m.group().startswith("<?"):
-                    t = m.group()
-                    if t.strip():
-                        self.runs.append((stack[-1], _html.unescape(t)))
+                if raw is None:
+                    if attrs.strip():
+                        self.runs.append((stack[-1], _html.unescape(attrs)))
                     elif self.runs and self.runs[-1][0] == stack[-1]:
                         self.runs.append((stack[-1], " "))
                 continue
-            name = name.lower()
             if raw is not None:
                 if closing and name == raw:
                     raw = None
@@ -70,27 +157,26 @@ class Page:
                 if closing:
                     continue
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if held[name] > 0:
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != name:
+                        k -= 1
+                    shorten(k)
                 continue
             if name in _RAW and not attrs.rstrip().endswith("/"):
                 raw = name
                 continue
             if name in _CLOSES_P or name in _SAME:
-                same = _SAME.get(name, ("p",))
-                k = len(stack) - 1
-                while k > 0 and (self.tag[stack[k]] in _INLINE or self.tag[stack[k]] in same):
-                    if self.tag[stack[k]] in same:
-                        del stack[k:]
-                        break
-                    k -= 1
+                k = block[-1]
+                if k > 0 and self.tag[stack[k]] in _SAME.get(name, ("p",)):
+                    shorten(k)
             self.tag.append(name)
             self.attrs.append(attrs)
             self.parent.append(stack[-1])
             if name not in _VOID and not attrs.rstrip().endswith("/"):
+                block.append(block[-1] if name in _INLINE else len(stack))
                 stack.append(len(self.tag) - 1)
+                held[name] += 1
         n = len(self.tag)
         self.last = list(range(n))
         for i in range(n - 1, 0, -1):
@@ -153,13 +239,16 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labels(page: Page) -> np.ndarray:
-    """1 in content, 0 in boilerplate, -1 unknown, by the semantic elements of the page."""
+    """1 in content, 0 in boilerplate, -1 unknown, by the semantic elements of the page alone."""
     n = len(page.tag)
     out = np.full(n, -1)
+    around = [False] * n  # holds an article or main
+    for i in range(n - 1, 0, -1):
+        if around[i] or page.tag[i] in _GOOD:
+            around[page.parent[i]] = True
     for i in range(1, n):
-        v = out[page.parent[i]]
-        t = page.tag[i]
-        if t in _BAD and v != 1 or (page.attrs[i] and not _BAD_TOKENS.isdisjoint(_tokens(page.attrs[i]))):
+        v, t = out[page.parent[i]], page.tag[i]
+        if t in _BAD and v != 1 or v == -1 and around[0] and not around[i] and t not in _GOOD:
             v = 0
         elif t in _GOOD and v != 0:
             v = 1
@@ -302,8 +391,9 @@ def extract(pages: DataFrame, model: Boosted, id_col: str = "page_id", html_col:
     """(page_id, text, nodes, kept_nodes) for every row.
 
     nodes counts the elements, without those of head, script and the like. Null and empty pages give the empty text.
-    Broken HTML is parsed leniently (unclosed and misnested elements are closed as browsers mostly do). Repeated rows give
-    repeated results; a null id stays null; other columns are not looked at. An empty table gives an empty result.
+    Broken HTML is parsed leniently (unclosed and misnested elements are closed as browsers mostly do). Very long pages are
+    parsed whole, in time linear in their length, however broken. Repeated rows give repeated results; a null id stays null;
+    other columns are not looked at. An empty table gives an empty result.
     """
     bounded_batches(pages)
     d = pages.select(F.col(id_col).alias("k"), F.col(html_col).cast("string").alias("h"))
