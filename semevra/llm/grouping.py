@@ -22,7 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) for the ends of ``edges`` (a, b), label being the least id of the component.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), with each step's edges written to the shared
-    folder. Self-loops keep their node as a component of its own. An empty input gives an empty result.
+    folder. Self-loops keep their node as a component of its own. An empty input gives an empty result. Edges that do not
+    settle in ``rounds`` rounds (their number grows with the logarithm of the longest path) raise an error.
     """
     every = materialise(edges.dropna().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     loops = every.filter("a = b").select(F.col("a").alias("id"))
@@ -41,6 +42,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("label"))
     roots = e.select(F.col("b").alias("id")).unionByName(loops)
     return labels.unionByName(roots.distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label")))
