@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,60 @@ def test_html_odd_pages(spark):
     assert html.render(html.Page("<p>a<p>b <b>c</b><div>d&eacute;</div>")) == "a\nb c\ndé"
 
 
+HOSTILE = ["<a " * 350_000, '<a x="' * 170_000, "<b>" * 150_000 + "</i>" * 150_000, "<b>" * 350_000, '<a ">" ' * 140_000 + '"', "<p><div>" + "<b>" * 100_000 + "<hr>" * 100_000, "<!" * 500_000, "<a " + "b" * 1_000_000 + ">", "<a " + "b " * 500_000 + ">", "<a " + "b='" * 300_000 + ">", "<" * 1_000_000, "<script>" * 120_000]
+
+
+@pytest.mark.parametrize("number", range(len(HOSTILE)))
+def test_html_broken_pages_take_linear_time(number):
+    began = time.process_time()
+    page = html.Page(HOSTILE[number])
+    x, own = html.features(page)
+    html.labels(page)
+    html.render(page, html.decode(page, np.zeros(len(x)), own))
+    assert time.process_time() - began < 20
+
+
+def test_html_tags_and_quotes():
+    tags = lambda h: [(n, a.strip()) for n, _, a in html.pieces(h) if n]
+    assert tags("<a href='x>y' b=\"<\">t</a>") == [("a", "href='x>y' b=\"<\""), ("a", "")]
+    assert tags('<a b="c>d<i>e') == [("a", 'b="c'), ("i", "")]
+    assert tags("1 < 2 <b <i>") == [("b", "<i")] and tags("<a") == [] and tags("<!-- <b> --><?x?><!y><c/>") == [("c", "/")]
+    assert html._tokens("disabled class=\"Main nav\" id='x1' data-id=no role = menu y") == ["main", "nav", "x", "menu"]
+
+
+def test_html_labels_come_from_elements_alone():
+    page = html.Page("<body><div class=ad>x</div><div><article class=ad><p>a</p><nav>b</nav></article></div></body>")
+    assert dict(zip(page.tag[1:], html.labels(page)[1:].tolist())) == {"body": -1, "div": -1, "article": 1, "p": 1, "nav": 1} | {"div": html.labels(page)[3]}
+    assert html.labels(page)[2] == 0 and html.labels(html.Page("<div>a<nav>b</nav></div>")).tolist() == [-1, -1, 0]
+
+
+def test_boosting_splits_where_brute_force_does():
+    rng = np.random.default_rng(50)
+    x = rng.integers(0, 6, (300, 4)).astype(float)
+    y = ((x[:, 2] > 2) ^ (rng.random(300) < 0.15)).astype(float)
+    model = html.Boosted(x, y)
+    p = np.full(300, y.mean())
+    g, h = y - p, p * (1 - p)
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max((gain(x[:, j] > c) + gain(x[:, j] <= c), j) for j in range(4) for c in range(5))
+    feats, cuts, leaf = model.trees[0]
+    j, c = int(feats[0]), model.cuts[int(feats[0])][cuts[0]]
+    assert j == best[1] == 2 and abs(gain(x[:, j] > c) + gain(x[:, j] <= c) - best[0]) < 1e-9
+    # leaves and scores, row by row
+    score = np.full(300, model.base)
+    for f, k, v in model.trees:
+        for i in range(300):
+            node = 0
+            for d in range(html.DEPTH):
+                at = (1 << d) - 1 + node
+                cut = model.cuts[f[at]][k[at]] if k[at] < len(model.cuts[f[at]]) else np.inf
+                node = node * 2 + int(x[i, f[at]] > cut)
+            score[i] += v[node]
+    assert np.allclose(score, model(x))
+    loss = lambda s: np.log1p(np.exp(-np.where(y > 0, s, -s))).mean()
+    assert loss(model(x)) < 0.75 * loss(np.full(300, model.base))
+
+
 def test_html_decoding_is_consistent_and_optimal():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -223,6 +278,8 @@ def test_components(spark):
     got = {r.id: r.label for r in grouping.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {k: v for k, v in got.items() if k != v} == _least(pairs) and got[500] == 500
     assert grouping.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError, match="settled"):
+        grouping.components(spark.createDataFrame(pairs, "a long, b long"), rounds=2)
 
 
 def test_shared_buckets(spark):
@@ -263,11 +320,35 @@ def test_bayesian_bound():
     least = minhash.least_matches(0.5, 0.005)
     rng = np.random.default_rng(8)
     p = (1 + 255 * 0.55) / 256
-    seen = rng.random((20_000, 128)) < p
-    passed = np.all([seen[:, :n].sum(1) >= m for n, m in zip((32, 64, 96, 128), least)], axis=0)
+    places = minhash.BANDS * minhash.ROWS
+    ends = range(minhash.BATCH, places + 1, minhash.BATCH)
+    assert len(least) == len(ends)
+    seen = rng.random((20_000, places)) < p
+    passed = np.all([seen[:, :n].sum(1) >= m for n, m in zip(ends, least)], axis=0)
     assert passed.mean() > 0.97
-    low = rng.random((20_000, 128)) < (1 + 255 * 0.2) / 256
-    assert np.all([low[:, :n].sum(1) >= m for n, m in zip((32, 64, 96, 128), least)], axis=0).mean() < 0.01
+    low = rng.random((20_000, places)) < (1 + 255 * 0.2) / 256
+    assert np.all([low[:, :n].sum(1) >= m for n, m in zip(ends, least)], axis=0).mean() < 0.01
+
+
+def test_sets_that_share_a_mark_are_compared(spark):
+    rng = random.Random(41)
+    rows = [(i, prose(60, rng)) for i in range(40)]
+    rows += [(100 + i, rows[i][1].upper()) for i in range(20)] + [(200, rows[3][1]), (3, rows[30][1])]
+    sets = [(i, frozenset(zip(*[found(t)[k:] for k in range(3)]))) for i, t in rows]
+    want = _least([(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if a != b and s == t])
+    for bits in (64, 3):
+        got = {r.doc_id: r.kept_doc_id for r in minhash.near_duplicates(docs(spark, rows), mark_bits=bits).collect()}
+        assert got == want, bits
+
+
+def test_exact_jaccard():
+    rng = random.Random(42)
+    pairs = [(" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))), " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for _ in range(300)] + [(None, "a b c"), ("x y z " * 9000, "x y z " * 10), ("a", "a"), ("", "")]
+    shingled = lambda t: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if (w := found(t)) else set()
+    got = minhash.jaccard(T.words(pa.array([a for a, _ in pairs])), T.words(pa.array([b for _, b in pairs])))
+    for (a, b), j in zip(pairs, got):
+        x, y = shingled(a), shingled(b)
+        assert abs(j - len(x & y) / max(1, len(x | y))) < 1e-12
 
 
 def test_embeddings_against_brute_force(spark):
@@ -646,3 +727,20 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
     empty = at.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_keep_other_texts_of_an_id(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(60)
+    a, b, c, shared = prose(120, rng), prose(120, rng), prose(200, rng), prose(60, rng)
+    item = prose(30, rng)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(pipeline.STAGES)
+    left = lambda name, rows: sorted((r.doc_id, r.text) for r in stage[name](spark, docs(spark, rows), str(tmp_path)).collect())
+    rows = [(1, a), (1, b), (2, c)]
+    assert left("MinHash near-dedup", rows) == sorted(rows)
+    assert left("MinHash near-dedup", [*rows, (1, b), (0, b), (1, a)]) == sorted([(0, b), (1, a), (2, c)])
+    rows = [(1, f"{shared} {a}"), (2, f"{shared} {b}"), (2, c)]
+    assert left("substring dedup", rows) == sorted([rows[0], (2, b), rows[2]])
+    rows = [(1, f"{a} {item} {a}"), (1, b), (2, c)]
+    assert left("benchmark decontamination", rows) == sorted(rows[1:])
