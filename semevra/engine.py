@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import asdict, replace
 from typing import Any
 
@@ -19,30 +20,70 @@ from semevra.plans.predicate import compile_predicate, count_terms, time_bounds
 from semevra.sources.store import Snapshot, Store, encode
 
 TRAINING_ROWS = 50_000
+IDEMPOTENCY = "tenant_id string, key string, hash string, at long, batch long, day long, n long"
+
+
+#: Bits of the exponent that share a bucket of an exact sum, and bits by which its values are scaled to integers.
+_BUCKET, _SCALE = 32, 54
+
+
+def _power(n: Any) -> Any:
+    return F.pow(F.lit(2.0), n.cast("double"))
+
+
+def _limbs(x: Any) -> tuple[Any, Any, Any]:
+    """(bucket, high, low) of a double: it is (high * 2^40 + low) * 2^(32 bucket - 54) exactly, all three being integers."""
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    b = F.when(finite & (x != 0), F.floor(F.log2(F.abs(x)) / _BUCKET)).otherwise(0).cast("int")
+    v = F.when(finite, x) * _power(-b * (_BUCKET // 2)) * _power(-b * (_BUCKET // 2) + _SCALE)
+    high = F.floor(v / float(1 << 40))
+    return b, high, (v - high * float(1 << 40)).cast("long")
 
 
 def aggregate_columns(plan: S.Plan, df: DataFrame) -> DataFrame:
     """Groups of a bound plan over its rows (with score): sums are 0 over nothing, min and max of anything but numbers NULL,
-    group keys are texts, and LIMIT does not apply."""
-    aggs = []
+    group keys are texts, and LIMIT does not apply.
+
+    No sum depends on the layout. Those of cost hold for every finite double: values of one range of exponents add up as
+    integers, without error, in a first aggregation, and a second adds the few ranges in their order.
+    """
+    names = list(dict.fromkeys(plan.group))
+    keys = [F.col(g).cast("string").alias(f"_key_{g}") for g in names]
+    first: dict[str, Any] = {"_rows": F.count(F.lit(1))}
+    second: dict[str, Any] = {}
+    wide = any(i.kind == "aggregate" and i.function in ("sum", "avg") and i.name == "cost" for i in plan.items)
+    bucket, high, low = _limbs(F.col("cost").cast("double")) if wide else (F.lit(0), None, None)
     for i in plan.items:
-        if i.kind != "aggregate":
+        if i.kind != "aggregate" or i.output in second:
             continue
+        own = f"_{len(second)}"
         c = None if i.name == "*" else F.col(i.name)
         if i.function == "count":
-            a = F.count(F.lit(1)) if c is None else F.count(c)
+            first[own] = F.count(F.lit(1)) if c is None else F.count(c)
+            second[i.output] = F.coalesce(F.sum(own), F.lit(0).cast("long"))
         elif i.name not in M.NUMERIC:
-            a = F.max(F.lit(None).cast("double"))
+            second[i.output] = F.max(F.lit(None).cast("double"))
+        elif i.function in ("min", "max"):
+            f = F.min if i.function == "min" else F.max
+            first[own], second[i.output] = f(c.cast("double")), f(own)
         else:
-            d, total = c.cast("double"), F.sum(c.cast("decimal(38,12)")).cast("double")  # exact sums do not depend on layout
-            a = {"sum": F.coalesce(total, F.lit(0.0)), "avg": total / F.count(c), "min": F.min(d), "max": F.max(d)}[i.function]
-        aggs.append(a.alias(i.output))
-    names = list(dict.fromkeys(plan.group))
-    keys = [F.col(g).cast("string").alias(f"_key_{g}") for g in names]
-    unique = list({str(a): a for a in aggs}.values()) or [F.count(F.lit(1)).alias("_n")]
-    out = df.groupBy(*keys).agg(*unique) if keys else df.agg(*unique)
-    if keys:
-        out = out.orderBy(*[f"_key_{g}" for g in names])
+            first[f"{own}n"] = F.count(c)
+            if i.name == "cost":
+                first[f"{own}h"], first[f"{own}l"] = F.sum(high.cast("decimal(20,0)")), F.sum(low.cast("decimal(20,0)"))
+                d = c.cast("double")
+                first[f"{own}x"] = F.sum(F.when(F.isnan(d) | (F.abs(d) == float("inf")), d))  # in any order the same
+                parts = F.sort_array(F.collect_list(F.struct(F.col("_bucket").alias("b"), (F.col(f"{own}h") * F.lit(1 << 40) + F.col(f"{own}l")).cast("decimal(38,0)").alias("v"))))
+                term = lambda s, x: s + F.coalesce(x["v"].cast("double"), F.lit(0.0)) * _power(x["b"] * (_BUCKET // 2)) * _power(x["b"] * (_BUCKET // 2) - _SCALE)
+                total = F.aggregate(parts, F.lit(0.0), term) + F.coalesce(F.sum(f"{own}x"), F.lit(0.0))
+            else:
+                first[own] = F.sum(c.cast("decimal(38,22)" if i.name == "score" else "decimal(38,0)"))
+                total = F.coalesce(F.sum(own).cast("double"), F.lit(0.0))
+            n = F.sum(f"{own}n")
+            second[i.output] = total if i.function == "sum" else F.when(n > 0, total / n)
+    parts = [f"_key_{g}" for g in names]
+    level = df.groupBy(*keys, bucket.alias("_bucket")).agg(*[a.alias(k) for k, a in first.items()])
+    last = [a.alias(k) for k, a in second.items()] or [F.sum("_rows").alias("_n")]
+    out = level.groupBy(*parts).agg(*last).orderBy(*parts) if keys else level.agg(*last)
     cols = []
     for i in plan.items:
         if i.kind == "aggregate":
@@ -95,6 +136,23 @@ class Engine:
         self.spark, self.store = spark, Store(spark, root)
         self.embedder = embedder or HashEmbedder(self.store.config["dim"])
         self.embedders = {self.embedder.space: self.embedder}
+        self.grants: DataFrame | None = None
+        self._asked: dict[tuple[str, str], int] = {}
+
+    def policy(self, grants: DataFrame | None) -> None:
+        """Let tenants use models only as ``grants`` (tenant_id, model, purpose, budget) say: purpose 'ingest' for events, 'query' for
+        the texts of searches, each up to its budget (null: no bound) while this engine lives."""
+        self.grants, self._asked = grants, {}
+
+    def _may_ask(self, tenant: str | None, model: str) -> None:
+        if self.grants is None:
+            return
+        g = self.grants.filter((F.col("tenant_id") == tenant) & (F.col("model") == model) & (F.col("purpose") == "query")) if tenant else None
+        budgets = [] if g is None else [r[0] for r in g.select(F.max(F.coalesce("budget", F.lit(1 << 62)))).collect() if r[0] is not None]
+        n = self._asked.get((tenant or "", model), 0)
+        if not budgets or n >= budgets[0]:
+            raise M.EngineError(f"tenant {tenant!r} may not embed a query by {model}: " + ("its budget is spent" if budgets else "there is no grant"))
+        self._asked[tenant or "", model] = n + 1
 
     @classmethod
     def init(cls, spark: SparkSession, root: str, embedder: HashEmbedder | None = None, **config: Any) -> Engine:
@@ -135,13 +193,15 @@ class Engine:
         rows = events if "vector" in events.columns else with_vectors(events, self.embedder)
         return self._publish(snap, rows, batch)
 
-    def _publish(self, snap: Snapshot, rows: DataFrame, batch: int | None) -> Snapshot:
+    def _publish(self, snap: Snapshot, rows: DataFrame, batch: int | None, **change: Any) -> Snapshot:
+        """Parts, batch number and whatever else changes with them, in one commit."""
         from semevra.session import materialise
 
         rows = materialise(rows.select(*M.EVENT.fieldNames(), "vector"))
         if rows.filter("vector is null").limit(1).count():
             raise M.EngineError("an event cannot be embedded")
-        change: dict[str, Any] = {} if batch is None else {"batch": batch}
+        if batch is not None:
+            change["batch"] = batch
         if rows.limit(1).count():
             if snap.active is None:
                 snap = self._bootstrap(snap, rows)
@@ -165,10 +225,14 @@ class Engine:
             events = events.withColumn("seq", F.row_number().over(Window.partitionBy("tenant_id").orderBy("event_time", "event_id")))
         seen = None
         if self.store.files.exists("idempotency"):
-            seen = self.spark.read.parquet(f"{self.store.root}/idempotency").filter((F.col("batch") < number) & (F.col("at") >= now - M.IDEMPOTENCY_MS))
+            oldest = (now - M.IDEMPOTENCY_MS) // M.DAY_MS
+            for name, _ in self.store.files.list("idempotency"):  # days that lie wholly outside the window
+                if name.startswith("day=") and int(name[4:]) < oldest:
+                    self.store.files.delete(f"idempotency/{name}")
+            seen = self.spark.read.schema(IDEMPOTENCY).parquet(f"{self.store.root}/idempotency").filter((F.col("batch") < number) & (F.col("at") >= now - M.IDEMPOTENCY_MS))
             seen = seen.groupBy("tenant_id", "key").agg(F.max_by("hash", "at").alias("hash"))
         known = snap.data.get("keys", [])
-        judged = materialise(ingest.admit(events, now, seen, known, grants=grants, model=self.embedder.model_id))
+        judged = materialise(ingest.admit(events, now, seen, known, grants=self.grants if grants is None else grants, model=self.embedder.model_id))
         good = with_vectors(judged.filter("reason is null"), self.embedder)
         good = materialise(good)
         failed = good.filter("vector is null").drop("vector").withColumn("reason", F.lit("embedding_failed"))
@@ -178,10 +242,8 @@ class Engine:
         keys = [r[0] for r in kept.select(F.explode(F.map_keys("attributes"))).distinct().limit(M.MAX_DICTIONARY + 1).collect()]
         from semevra.functions.hashing import content_hash
 
-        kept.select("tenant_id", F.coalesce("idempotency_key", "event_id").alias("key"), content_hash(ingest.CONTENT).alias("hash"), F.lit(now).cast("long").alias("at"), F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.store.root}/idempotency/n={number}")
-        done = self._publish(snap, kept, number)
-        if set(keys) - set(known):
-            self.store.commit(done, keys=sorted(set(keys) | set(known)))
+        kept.select("tenant_id", F.coalesce("idempotency_key", "event_id").alias("key"), content_hash(ingest.CONTENT).alias("hash"), F.lit(now).cast("long").alias("at"), F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.store.root}/idempotency/day={now // M.DAY_MS}/n={number}")
+        self._publish(snap, kept, number, keys=sorted(set(keys) | set(known)))
         out = {r[0] or "admitted": r[1] for r in judged.groupBy("reason").count().collect()}
         n = failed.count()
         if n:
@@ -214,24 +276,31 @@ class Engine:
             fused = search.reciprocal_rank_fusion(each, query.k)
             return M.Result(fused, snap.id, spaces=tuple(spaces), bridged=True)
         explain = M.Explain(parts_total=len(snap.parts), parts_pruned=len(snap.parts) - len(parts))
-        base = self.store.read(parts, snap)
-        if query.tenant is not None:
-            base = base.filter(F.col("tenant_id") == query.tenant)
-        if lo is not None:
-            base = base.filter(F.col("event_time") >= lo)
-        if hi is not None:
-            base = base.filter(F.col("event_time") <= hi)
-        if query.predicate is not None:
-            base = base.filter(compile_predicate(query.predicate, self.store.config["promoted"]))
+
+        def rows_of(parts: list[dict]) -> DataFrame:
+            df = self.store.read(parts, snap)
+            if query.tenant is not None:
+                df = df.filter(F.col("tenant_id") == query.tenant)
+            if lo is not None:
+                df = df.filter(F.col("event_time") >= lo)
+            if hi is not None:
+                df = df.filter(F.col("event_time") <= hi)
+            return df if query.predicate is None else df.filter(compile_predicate(query.predicate, self.store.config["promoted"]))
+
+        base = rows_of(parts)
         if not parts:
             return M.Result(search.exact_topk(base, [0.0] * self.store.config["dim"], 0), snap.id, explain=explain)
         q = self._query_vector(query, spaces[0])
         if query.exact:
             rows = search.exact_topk(base, [float(x) for x in q], query.k, query.threshold)
         else:
-            rows = self._approximate(query, base, parts, q, explain)
+            rows = self._approximate(query, rows_of, snap, parts, q, explain)
         if query.explain:
             self._estimate(query, parts, base, explain)
+            began = time.monotonic()
+            explain.rows_returned = rows.count()
+            explain.elapsed_ms = int(1000 * (time.monotonic() - began))
+            explain.rows_scanned = base.filter(F.col("centroid").isin(explain.lists)).count() if explain.lists else base.count()
         clusters = None
         if query.group_k:
             survivors = replace(query, k=query.rerank, group_k=None, explain=False)
@@ -243,17 +312,37 @@ class Engine:
             return np.array(query.vector, np.float32)
         if space not in self.embedders:
             raise M.EngineError(f"no embedder is registered for the space {space}")
+        self._may_ask(query.tenant, self.embedders[space].model_id)
         return self.embedders[space].embed(query.text)
 
-    def _approximate(self, query: M.Query, base: DataFrame, parts: list[dict], q: np.ndarray, explain: M.Explain) -> DataFrame:
+    def _approximate(self, query: M.Query, rows_of: Callable[[list[dict]], DataFrame], snap: Snapshot, parts: list[dict], q: np.ndarray, explain: M.Explain) -> DataFrame:
+        """Per generation: the parts that have a probed list are scanned for codes, those that have a candidate for whole rows."""
         out: DataFrame | None = None
         for g in sorted({p["generation"] for p in parts}):
             book = self.store.codebook(g)
             order, dists = book.rank(q)
             n = probes(dists, query.nprobe, query.adaptive, query.adaptive_margin, M.ADAPTIVE_MAX)
             explain.nprobe, explain.lists = n, [int(x) for x in order[:n]]
-            part = search.approximate_topk(base.filter(F.col("generation") == g), q, book, explain.lists, max(query.k, 0), query.candidates, query.rerank, query.threshold, query.fetch_budget_bytes)
+            paths = {p["path"] for p in self.store.prune(snap, query.tenant, generations=[g], lists=explain.lists)}
+            own = [p for p in parts if p["path"] in paths]
+            explain.parts_scanned += len(own)
+            if not own:
+                continue
+
+            def source(rows: list, own: list[dict] = own) -> DataFrame:
+                times: dict[str, list[int]] = {}
+                for r in rows:
+                    times.setdefault(r.tenant_id, []).append(r.event_time)
+                some = [p for p in own if any(s["lo"] <= t <= s["hi"] for x, s in p["tenants"].items() for t in times.get(x, ()))]
+                explain.candidates_found += len(rows)
+                explain.parts_fetched += len(some)
+                explain.bytes_fetched += 4 * book.dim * len(rows)
+                return rows_of(some or own[:1])
+
+            part = search.approximate_topk(rows_of(own), q, book, explain.lists, max(query.k, 0), query.candidates, query.rerank, query.threshold, query.fetch_budget_bytes, source)
             out = part if out is None else out.unionByName(part)
+        if out is None:
+            return search.exact_topk(rows_of([]), [float(x) for x in q], 0)
         return out.orderBy(*search.total_order()).limit(query.k)
 
     def _estimate(self, query: M.Query, parts: list[dict], base: DataFrame, explain: M.Explain) -> None:
@@ -284,7 +373,11 @@ class Engine:
         if cursor is not None and plan.aggregate:
             raise M.EngineError("an aggregate has no pages, so it takes no cursor")
         key = search.read_cursor(cursor, plan.fingerprint) if cursor else None
-        snap = self.store.snapshot(key["snapshot"] if key else None)
+        return self.run(plan, self.store.snapshot(key["snapshot"] if key else None), key)
+
+    def run(self, plan: S.Plan, snap: Snapshot, key: dict | None = None) -> M.Result:
+        """A bound plan over one snapshot, from behind ``key`` (score, id) on if there is one."""
+        tenant = plan.tenant
         promoted = self.store.config["promoted"]
         if plan.semantic is not None:
             k = plan.rerank if plan.aggregate or key else max(plan.limit, 1)
@@ -303,11 +396,14 @@ class Engine:
             rows = rows.withColumn("score", F.lit(0.0))
         if key:
             rows = search.after(rows, key["score"], key["id"])
-        page = rows.orderBy(*search.total_order()).limit(plan.limit)
-        last = page.select("score", "event_id").orderBy("score", F.desc("event_id")).first() if plan.limit else None
-        more = search.after(rows, last.score, last.event_id).limit(1).count() if last else 0
-        token = search.make_cursor(snap.id, plan.fingerprint, last.score, last.event_id) if more else None
-        return M.Result(project(plan, page.orderBy(*search.total_order()), promoted), snap.id, token)
+        ahead = rows.orderBy(*search.total_order()).limit(plan.limit + 1)
+        if plan.limit == 0:
+            return M.Result(project(plan, ahead.limit(0), promoted), snap.id)
+        got = ahead.collect()  # one page, as LIMIT bounds it
+        page = got[: plan.limit]
+        token = search.make_cursor(snap.id, plan.fingerprint, page[-1].score, page[-1].event_id) if len(got) > len(page) else None
+        shown = self.spark.createDataFrame(page, ahead.schema)
+        return M.Result(project(plan, shown.orderBy(*search.total_order()), promoted), snap.id, token)
 
     # Analytics ---------------------------------------------------------------------------------------------------------
 
@@ -332,21 +428,48 @@ class Engine:
         df, s = self._gather(tenant, predicate, time_from, time_to, space)
         return analytics.semantic_cluster(df.select("event_id", "vector", "cost", "error"), k, s)
 
-    def baseline_build(self, tenant: str, time_from: int | None = None, time_to: int | None = None) -> analytics.Baseline:
-        """Fit what is known of a tenant in the active generation and keep it in the snapshot."""
+    def baseline_build(self, tenant: str, time_from: int | None = None, time_to: int | None = None, generation: str | None = None) -> analytics.Baseline:
+        """Fit what is known of a tenant in a generation, by default the active one, and keep it in the snapshot."""
         snap = self.store.snapshot()
-        df, _ = self._gather(tenant, None, time_from, time_to, snap.space(snap.active) if snap.active else None)
-        b = analytics.build_baseline(df.filter(F.col("generation") == snap.active), tenant, snap.active, self.store.config["seed"])
-        self.store.commit(snap, baselines=snap.data["baselines"] | {f"{tenant}|{snap.active}": asdict(b)})
+        g = generation or snap.active
+        df, _ = self._gather(tenant, None, time_from, time_to, snap.space(g) if g else None)
+        b = analytics.build_baseline(df.filter(F.col("generation") == g), tenant, g, self.store.config["seed"])
+        self.store.commit(snap, baselines=snap.data["baselines"] | {f"{tenant}|{g}": asdict(b)})
         return b
 
     def baselines_refresh(self) -> dict[str, str]:
-        """Rebuild the baselines of every watched tenant; 'degraded' where redacted rows lie in the tenant's history."""
-        out = {}
-        for tenant in sorted({k.split("|")[0] for k in self.store.snapshot().data["baselines"]}):
-            redacted = any(p.get("redacted") and tenant in p["tenants"] for p in self.store.snapshot().parts)
-            self.baseline_build(tenant)
-            out[tenant] = "degraded" if redacted else "ok"
+        """Give every watched tenant a baseline in each generation that holds its rows; 'ok' or 'degraded' by tenant.
+
+        A sound baseline stays. One is degraded, and kept as such with its reason, where rows with redacted bodies are stranded in
+        another generation: they can never be embedded anew, so what is left is a biased part of the tenant's history. A baseline
+        of a generation without rows goes.
+        """
+        start = self.store.snapshot()
+        rows: dict[tuple[str, str], list[int]] = {}
+        for p in start.parts:
+            for t, s in p["tenants"].items():
+                n = rows.setdefault((t, p["generation"]), [0, 0])
+                n[0] += s["rows"]
+                n[1] += s["rows"] * bool(p.get("redacted"))
+        watched = {k.split("|")[0] for k in start.data["baselines"]}
+        out = {t: "ok" for t in watched}
+        for (tenant, g), (n, _) in sorted(rows.items()):
+            old = start.data["baselines"].get(f"{tenant}|{g}")
+            if tenant not in watched or old and old.get("state", "ok") == "ok":
+                continue
+            stranded = sum(gone for (t, x), (_, gone) in rows.items() if t == tenant and x != g)
+            if stranded:
+                reason = f"{stranded} rows with redacted bodies cannot leave another generation; a baseline of the {n} rows here would be biased, so they are not watched"
+                b = analytics.Baseline(tenant, g, [], 0.0, n, "degraded", reason)
+                snap = self.store.snapshot()
+                self.store.commit(snap, baselines=snap.data["baselines"] | {f"{tenant}|{g}": asdict(b)})
+                out[tenant] = "degraded"
+            else:
+                self.baseline_build(tenant, generation=g)
+        snap = self.store.snapshot()
+        kept = {k: v for k, v in snap.data["baselines"].items() if tuple(k.split("|", 1)) in rows}
+        if kept != snap.data["baselines"]:
+            self.store.commit(snap, baselines=kept)
         return out
 
     def _baselines(self, snap: Snapshot, tenant: str) -> dict[str, analytics.Baseline]:
@@ -358,6 +481,8 @@ class Engine:
         found = self._baselines(snap, tenant)
         if snap.active not in found:
             raise M.EngineError(f"tenant {tenant} has no baseline in the active generation")
+        if found[snap.active].state != "ok":
+            raise M.EngineError(f"the baseline of tenant {tenant} is degraded: {found[snap.active].reason}")
         df, _ = self._gather(tenant, predicate, time_from, time_to, snap.space(snap.active))
         out = analytics.novelty_against(df, found[snap.active])
         share = out.agg(F.avg(F.col("is_novel").cast("double"))).first()[0] or 0.0
@@ -370,7 +495,7 @@ class Engine:
         return analytics.semantic_diff(da, db.select("event_id", "vector", "cost", "error"), k, s)
 
     def drift_check(self, tenant: str, time_from: int | None = None, time_to: int | None = None) -> DataFrame:
-        """Per generation, how much is novel; the bounds are inclusive."""
+        """Per generation, how much is novel, and what is not watched; the bounds are inclusive."""
         snap = self.store.snapshot()
         df = self.store.read(self.store.prune(snap, tenant, time_from, time_to), snap).filter(F.col("tenant_id") == tenant)
         if time_from is not None:
@@ -400,7 +525,7 @@ class Engine:
     def merge_tiered(self) -> Snapshot:
         return maintenance.merge_tiered(self.store)
 
-    def delete(self, ids: list[str]) -> int:
+    def delete(self, ids: list[str] | DataFrame) -> int:
         return maintenance.delete(self.store, ids)
 
     def redact_bodies(self, before_ms: int, reason: str) -> int:
@@ -415,7 +540,7 @@ class Engine:
     def _train(self, embedder: HashEmbedder) -> Codebook:
         snap, c = self.store.snapshot(), self.store.config
         rows = self.store.read(snap.parts, snap).select("event_id", "tenant_id", "body")
-        sample = with_vectors(ingest.stratified_sample(rows, TRAINING_ROWS, c["seed"]), embedder).orderBy(F.sha2("event_id", 256), "event_id").toArrow()
+        sample = with_vectors(ingest.stratified_sample(rows, TRAINING_ROWS, c["seed"]), embedder).filter("vector is not null").orderBy(F.sha2("event_id", 256), "event_id").toArrow()
         x = np.array(sample.column("vector").combine_chunks().flatten(), np.float32).reshape(sample.num_rows, -1)
         return train(x, c["nlist"], c["pq_m"], c["seed"], c["restarts"])
 
@@ -457,3 +582,6 @@ class Engine:
 
     def verify(self) -> list[str]:
         return maintenance.verify(self.store)
+
+    def fsck(self) -> dict[str, list[str]]:
+        return maintenance.fsck(self.store)

@@ -43,7 +43,7 @@ MAX_ID, MAX_TENANT, MAX_NAME, MAX_TRACE, MAX_SPAN, MAX_KEY = 256, 128, 256, 128,
 MAX_BODY, MAX_ATTRIBUTES, MAX_ATTRIBUTE_KEY, MAX_ATTRIBUTE_VALUE, MAX_ATTRIBUTE_BYTES, MAX_DICTIONARY = 1 << 20, 64, 128, 4096, 16 << 10, 512
 LATE_MS, FUTURE_MS = 7 * 86_400_000, 3_600_000
 QUOTA_EVENTS, QUOTA_BYTES, QUOTA_WINDOW_MS = 10_000, 32 << 20, 1000
-IDEMPOTENCY_MS, IDEMPOTENCY_ROWS = 7 * 86_400_000, 1_000_000
+IDEMPOTENCY_MS = 7 * 86_400_000
 DAY_MS, BUCKETS = 86_400_000, 16
 
 
@@ -91,6 +91,13 @@ class Explain:
     candidates: int = 0
     bytes_estimated: int = 0
     cost_micro_dollars: float = 0.0
+    parts_scanned: int = 0
+    candidates_found: int = 0
+    parts_fetched: int = 0
+    bytes_fetched: int = 0
+    rows_scanned: int = 0
+    rows_returned: int = 0
+    elapsed_ms: int = 0
 
 
 @dataclass

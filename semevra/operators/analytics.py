@@ -77,7 +77,8 @@ _FIXED = 1 << 24
 def lloyd(df: DataFrame, centroids: np.ndarray, epochs: int, vector_col: str = "vector") -> tuple[np.ndarray, float, int]:
     """(centroids, inertia, rows) after full passes over all rows.
 
-    Tasks add coordinates as integers of 2^-24, so sums do not depend on partitioning; each task returns k rows.
+    Tasks add coordinates as integers of 2^-24, so sums do not depend on partitioning; a second level adds the k rows of each task
+    by cluster, and k rows reach the driver.
     """
     k, dim = centroids.shape
     inertia, rows = 0.0, 0
@@ -98,7 +99,19 @@ def lloyd(df: DataFrame, centroids: np.ndarray, epochs: int, vector_col: str = "
                     counts += np.bincount(near, minlength=k)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array([s.tobytes() for s in sums], pa.binary()), pa.array(counts), pa.array(cost)], ["c", "s", "n", "d"])
 
-        got = df.select(vector_col).mapInArrow(run, "c int, s binary, n long, d long").toLocalIterator()
+        def add(batches):
+            total: dict[int, list] = {}
+            for b in batches:
+                for c, s, n, d in zip(*(b.column(i).to_pylist() for i in range(4))):
+                    t = total.setdefault(c, [np.zeros(dim, np.int64), 0, 0])
+                    t[0] += np.frombuffer(s, np.int64)
+                    t[1] += n
+                    t[2] += d
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t[0].tobytes() for t in total.values()], pa.binary()), pa.array([t[1] for t in total.values()]), pa.array([t[2] for t in total.values()])], ["c", "s", "n", "d"])
+
+        schema = "c int, s binary, n long, d long"
+        got = df.select(vector_col).mapInArrow(run, schema).repartition("c").mapInArrow(add, schema).collect()
         sums, counts, total = np.zeros((k, dim), np.int64), np.zeros(k, np.int64), 0
         for r in got:
             sums[r.c] += np.frombuffer(r.s, np.int64)
@@ -178,13 +191,16 @@ def semantic_cluster(df: DataFrame, k: int, space: str = "", driver_rows: int =
 
 @dataclass
 class Baseline:
-    """Centroids of what is known, and the novelty that only one in a hundred of the rows exceeded."""
+    """Centroids of what is known, and the novelty that only one in a hundred of the rows exceeded. A degraded one has neither, but
+    the reason why."""
 
     tenant: str
     generation: str
     centroids: list[list[float]]
     threshold: float
     rows: int
+    state: str = "ok"
+    reason: str = ""
 
     @property
     def id(self) -> str:
@@ -197,6 +213,31 @@ def with_novelty(df: DataFrame, centroids: list, vector_col: str = "vector", dig
     return df.withColumn("novelty", v if digits is None else F.round(v, digits))
 
 
+def order_statistic(df: DataFrame, column: str, rank: int) -> float:
+    """The value of that rank (0: the least) of a column of doubles without nulls, at any size: counts by halves of the range of
+    the values' bits close in on it, 2^12 ranges a pass, so no task or driver ever holds the rows."""
+    # Bits of a double in an order that is that of the values.
+    @F.arrow_udf("long")
+    def ordered(x: pa.Array) -> pa.Array:
+        raw = x.to_numpy(zero_copy_only=False).astype(np.float64).view(np.int64)
+        return pa.array(np.where(raw < 0, raw ^ np.int64(0x7FFFFFFFFFFFFFFF), raw))
+
+    keys = df.select(ordered(F.col(column)).alias("b"))
+    prefix, shift = None, 64
+    while shift:
+        below = max(0, shift - 12)
+        found = keys if prefix is None else keys.filter(F.shiftright("b", shift) == prefix)
+        for p, n in sorted(tuple(r) for r in found.groupBy(F.shiftright("b", below).alias("p")).count().collect()):  # 2^12 rows at most
+            if rank < n:
+                prefix = p
+                break
+            rank -= n
+        shift = below
+    bits = np.int64(prefix)
+    raw = bits ^ np.int64(0x7FFFFFFFFFFFFFFF) if bits < 0 else bits
+    return float(np.array([raw], np.int64).view(np.float64)[0])
+
+
 #: Passes of the baseline's k-means, over the sample and over all rows.
 BASELINE_EPOCHS = 25
 
@@ -217,11 +258,7 @@ def build_baseline(df: DataFrame, tenant: str, generation: str, seed: int = 42,
     scores = with_novelty(df, c.tolist()).select("novelty")
     n = scores.count()
     rank = int(round((n - 1) * BASELINE_QUANTILE))
-    top = scores.orderBy(F.desc("novelty")).limit(n - rank) if n - rank <= 1_000_000 else None
-    if top is not None:
-        threshold = top.agg(F.min("novelty")).first()[0]
-    else:
-        threshold = scores.agg(F.expr(f"percentile_disc({BASELINE_QUANTILE}) within group (order by novelty)")).first()[0]
+    threshold = order_statistic(scores, "novelty", rank)
     return Baseline(tenant, generation, c.tolist(), float(threshold), n)
 
 
@@ -234,28 +271,34 @@ def novelty_against(df: DataFrame, baseline: Baseline) -> DataFrame:
 def drift(df: DataFrame, baselines: dict[str, Baseline]) -> DataFrame:
     """(generation, status, rows, novel, fraction, mean_novelty, max_novelty, fires) of (generation, vector) rows.
 
-    Generations without a baseline are reported as such, with their rows.
+    Generations whose baseline is degraded, or that have none, are reported as such with the rows that nobody watches.
     """
+    sound = {g: b for g, b in baselines.items() if b.state == "ok"}
     out: DataFrame | None = None
-    for g, b in sorted(baselines.items()):
+    for g, b in sorted(sound.items()):
         part = with_novelty(df.filter(F.col("generation") == g), b.centroids).select("generation", "novelty", F.lit("ok").alias("status"), (F.col("novelty") > b.threshold).cast("int").alias("n"))
         out = part if out is None else out.unionByName(part)
-    rest = df.filter(~F.col("generation").isin(list(baselines))) if baselines else df
-    rest = rest.select("generation", F.lit(None).cast("double").alias("novelty"), F.lit("no baseline").alias("status"), F.lit(None).cast("int").alias("n"))
+    rest = df.filter(~F.col("generation").isin(list(sound))) if sound else df
+    degraded = [g for g, b in baselines.items() if b.state != "ok"]
+    status = F.when(F.col("generation").isin(degraded), "degraded").otherwise("no baseline") if degraded else F.lit("no baseline")
+    rest = rest.select("generation", F.lit(None).cast("double").alias("novelty"), status.alias("status"), F.lit(None).cast("int").alias("n"))
     out = rest if out is None else out.unionByName(rest)
     g = out.groupBy("generation", "status").agg(F.count("*").alias("rows"), F.sum("n").alias("novel"), F.avg("novelty").alias("mean_novelty"), F.max("novelty").alias("max_novelty"))
     g = g.withColumn("fraction", F.col("novel") / F.col("rows"))
     return g.withColumn("fires", F.col("fraction") > FIRE_MULTIPLE * FIRE_BASE)
 
 
+def untaken(a: DataFrame, b: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """Summary of the clusters of ``b``, by the nearest of the centroids, to which no row of ``a`` is nearest; cluster is the centroid's number."""
+    numbered = summarise(assign(b, centroids, keep=["cost", "error"]))
+    taken = assign(a, centroids).select("cluster").distinct()
+    return numbered.join(F.broadcast(taken), "cluster", "left_anti").select("cluster_id", "count", "avg_cost", "error_rate", "exemplar", "cluster")
+
+
 def semantic_diff(a: DataFrame, b: DataFrame, k: int, space: str = "") -> DataFrame:
     """Summary of the clusters of window b to which no row of window a is nearest."""
     found = semantic_cluster(b, k, space)
-    if not len(found.centroids):
-        return found.summary
-    numbered = summarise(assign(b, found.centroids, keep=["cost", "error"]))
-    taken = assign(a, found.centroids).select("cluster").distinct()
-    return numbered.join(F.broadcast(taken), "cluster", "left_anti").select("cluster_id", "count", "avg_cost", "error_rate", "exemplar")
+    return untaken(a, b, found.centroids).drop("cluster") if len(found.centroids) else found.summary
 
 
 def nearest_given(df: DataFrame, centroids: list[tuple[int, list[float]]], vector_col: str = "vector") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def _rewrite(store: Store, snap: Snapshot, parts: list[dict]) -> list[dict]:
 def merge(store: Store) -> Snapshot:
     """All parts of each partition into one; deleted rows go for good, and the tombstones with them."""
     snap = store.snapshot()
-    return store.commit(snap, parts=_rewrite(store, snap, snap.parts), tombstones=[]) if snap.parts else snap
+    return store.commit(snap, parts=_rewrite(store, snap, snap.parts), tombstones=[], tombstone_tables=[]) if snap.parts else snap
 
 
 def plan_tiers(parts: list[dict]) -> list[list[dict]]:
@@ -76,9 +77,17 @@ def merge_tiered(store: Store) -> Snapshot:
     return store.commit(snap, parts=[p for p in snap.parts if p["path"] not in gone] + _rewrite(store, snap, [p for g in groups for p in g]))
 
 
-def delete(store: Store, ids: list[str]) -> int:
-    """Logical delete; the number of ids that were not deleted before."""
+def delete(store: Store, ids: list[str] | DataFrame) -> int:
+    """Logical delete; the number of ids that were not deleted before. A list goes into the manifest; a DataFrame (event_id), of
+    any size, becomes a table of the store."""
     snap = store.snapshot()
+    if isinstance(ids, DataFrame):
+        name = f"tombstones/{uuid.uuid4().hex}"
+        store.alive(ids.select("event_id").dropna().distinct(), snap).write.parquet(f"{store.root}/{name}")
+        n = store.spark.read.parquet(f"{store.root}/{name}").count()
+        if n:
+            store.commit(snap, tombstone_tables=[*snap.data.get("tombstone_tables", []), name])
+        return n
     old = set(snap.tombstones)
     new = set(ids) - old
     if new:
@@ -118,7 +127,10 @@ MOVES = {("candidate", "canary"), ("canary", "active"), ("candidate", "active"),
 
 
 def set_state(store: Store, generation: str, state: str) -> Snapshot:
-    """Move a generation along candidate, canary, active, deprecated; promoting one deprecates the active one."""
+    """Move a generation along candidate, canary, active, deprecated; promoting one deprecates the active one.
+
+    Promotion to another embedding space is refused while parts remain, unless a bridge joins the two spaces.
+    """
     snap = store.snapshot()
     all_ = {k: dict(v) for k, v in snap.data["generations"].items()}
     if generation not in all_:
@@ -130,6 +142,9 @@ def set_state(store: Store, generation: str, state: str) -> Snapshot:
     active = snap.active
     if state == "active":
         if active and active != generation:
+            pair = sorted((snap.space(active), snap.space(generation)))
+            if pair[0] != pair[1] and snap.parts and not any(x["spaces"] == pair for x in snap.data["bridges"]):
+                raise EngineError(f"parts remain in the space {snap.space(active)}; migrate them or declare a bridge to {snap.space(generation)} first")
             all_[active]["state"] = "deprecated"
         active = generation
     all_[generation]["state"] = state
@@ -155,14 +170,19 @@ def install_generation(store: Store, model_id: str, version: str, book: Codebook
 
 def backup(store: Store, to: str) -> int:
     """Copy the current snapshot (manifest, codebooks, parts) to another root of the same file system or another; a store
-    opened there answers alike. Returns the number of parts. Rows are copied by tasks, one job for each set of files."""
+    opened there answers alike. Returns the number of parts. Rows are copied by tasks, one job for each write that made parts."""
     snap = store.snapshot()
     target = Store.init(store.spark, to, **store.config)
     for g in snap.data["generations"]:
         target.files.write(f"generations/{g}.json", store.files.read(f"generations/{g}.json"))
+    for t in snap.data.get("tombstone_tables", []):
+        store.spark.read.parquet(f"{store.root}/{t}").write.parquet(f"{target.root}/{t}")
+    runs: dict[str, list[str]] = {}
     for p in snap.parts:
-        rows = store.spark.read.parquet(f"{store.root}/{p['path']}")
-        rows.sortWithinPartitions("centroid", "event_time", "event_id").write.parquet(f"{target.root}/{p['path']}")
+        runs.setdefault(p["path"].rsplit("/", 2)[0], []).append(f"{store.root}/{p['path']}")
+    for run, paths in sorted(runs.items()):
+        rows = store.spark.read.option("basePath", f"{store.root}/{run}").parquet(*paths)
+        rows.sortWithinPartitions("bucket", "window", "centroid", "event_time", "event_id").write.partitionBy("bucket", "window").parquet(f"{target.root}/{run}")
     target.commit(target.snapshot(), **{k: v for k, v in snap.data.items() if k not in ("parent", "id", "at")})
     return len(snap.parts)
 
@@ -188,13 +208,16 @@ def migration_status(store: Store) -> dict[str, dict]:
 
 
 def retire(store: Store, generation: str) -> Snapshot:
-    """Drop a deprecated generation that holds no parts."""
+    """Drop a deprecated generation to which no part of any retained snapshot belongs, so all of them can still be read."""
     snap = store.snapshot()
     g = snap.data["generations"].get(generation)
     if g is None:
         raise EngineError(f"unknown generation {generation}")
     if g["state"] != "deprecated" or any(p["generation"] == generation for p in snap.parts):
         raise EngineError("only a deprecated generation without parts can be retired")
+    for name, _ in sorted(store.files.list("snapshots")):
+        if name.endswith(".json") and any(p["generation"] == generation for p in store.snapshot(int(name[:10])).parts):
+            raise EngineError(f"the retained snapshot {int(name[:10])} has parts of generation {generation}; reclaim it first")
     return store.commit(snap, generations={k: v for k, v in snap.data["generations"].items() if k != generation})
 
 
@@ -212,7 +235,7 @@ def declare_bridge(store: Store, a: str, b: str, note: str) -> Snapshot:
 def rollback(store: Store, number: int) -> Snapshot:
     """A new snapshot with the contents of an old one."""
     snap, old = store.snapshot(), store.snapshot(number)
-    return store.commit(snap, parts=old.parts, active=old.active, generations=snap.data["generations"] | old.data["generations"], tombstones=old.tombstones)
+    return store.commit(snap, parts=old.parts, active=old.active, generations=snap.data["generations"] | old.data["generations"], tombstones=old.tombstones, tombstone_tables=old.data.get("tombstone_tables", []))
 
 
 def gc(store: Store, keep: int = 10, dry_run: bool = False, now_ms: int | None = None) -> dict[str, list[str]]:
@@ -225,7 +248,11 @@ def gc(store: Store, keep: int = 10, dry_run: bool = False, now_ms: int | None =
     used = {p["path"].split("/")[1] for n in held for p in store.snapshot(int(n[:10])).parts}
     snaps = [n for n, _ in names if n not in held]
     parts = [n for n, at in store.files.list("parts") if n not in used and now - at >= GC_HORIZON_MS]
+    tables = {t.split("/")[1] for n in held for t in store.snapshot(int(n[:10])).data.get("tombstone_tables", [])}
+    dead = [n for n, at in store.files.list("tombstones") if n not in tables and now - at >= GC_HORIZON_MS]
     if not dry_run:
+        for n in dead:
+            store.files.delete(f"tombstones/{n}")
         for n in parts:
             store.files.delete(f"parts/{n}")
         for n in snaps:
@@ -234,14 +261,37 @@ def gc(store: Store, keep: int = 10, dry_run: bool = False, now_ms: int | None =
 
 
 def verify(store: Store) -> list[str]:
-    """What is wrong: missing parts, or rows and time ranges that differ from the manifest."""
-    snap, wrong = store.snapshot(), []
-    for p in snap.parts:
-        if not store.files.exists(p["path"]):
-            wrong.append(f"{p['path']} is missing")
-            continue
-        r = store.read([p]).agg(F.count("*").alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
+    """What is wrong: missing parts, or rows and time ranges that differ from the manifest. One job reads all parts."""
+    snap = store.snapshot()
+    wrong = [f"{p['path']} is missing" for p in snap.parts if not store.files.exists(p["path"])]
+    there = [p for p in snap.parts if store.files.exists(p["path"])]
+    if not there:
+        return wrong
+    rows = store.spark.read.schema("event_time long").parquet(*[f"{store.root}/{p['path']}" for p in there])
+    part = F.regexp_extract("_metadata.file_path", r"(parts/[^/]+/bucket=[^/]+/window=[^/]+)/[^/]*$", 1)
+    found = rows.groupBy(part.alias("path")).agg(F.count("*").alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"))
+    got = {r.path: (r.n, r.lo, r.hi) for r in found.collect()}  # one row a part
+    for p in there:
         want = (p["rows"], min(s["lo"] for s in p["tenants"].values()), max(s["hi"] for s in p["tenants"].values()))
-        if (r.n, r.lo, r.hi) != want:
-            wrong.append(f"{p['path']} has {(r.n, r.lo, r.hi)}, the manifest {want}")
+        if got.get(p["path"]) != want:
+            wrong.append(f"{p['path']} has {got.get(p['path'])}, the manifest {want}")
     return wrong
+
+
+def fsck(store: Store, now_ms: int | None = None) -> dict[str, list[str]]:
+    """What the store's folder holds beside what its snapshots name: parts that none refers to, generations without a file,
+    snapshots that cannot be read, and temporary files of writers that died. It changes nothing; ``gc`` reclaims."""
+    out: dict[str, list[str]] = {"orphans": [], "codebooks": [], "snapshots": [], "temporary": []}
+    used: set[str] = set()
+    for name, _ in sorted(store.files.list("snapshots")):
+        if not name.endswith(".json"):
+            out["temporary"].append(f"snapshots/{name}")
+            continue
+        try:
+            data = store.snapshot(int(name[:10])).data
+            used |= {p["path"].split("/")[1] for p in data["parts"]}
+            out["codebooks"] += [g for g in data["generations"] if not store.files.exists(f"generations/{g}.json") and g not in out["codebooks"]]
+        except (ValueError, KeyError):
+            out["snapshots"].append(name)
+    out["orphans"] = sorted(n for n, _ in store.files.list("parts") if n not in used)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,27 +51,48 @@ def adc(code: Column, table: np.ndarray) -> Column:
     return run(code)
 
 
-def approximate_topk(df: DataFrame, q: np.ndarray, book: Codebook, lists: Sequence[int], k: int, candidates: int, rerank: int, threshold: float | None = None, fetch_budget_bytes: int | None = None, whole: DataFrame | None = None) -> DataFrame:
-    """IVF-PQ: rows of the probed lists by code distance, the best exactly reranked.
+KEY = ["event_id", "tenant_id", "generation", "event_time"]
+#: Ids that a scan is given as literals; more of them come by a broadcast join alone.
+LITERALS = 1000
 
-    The scan reads ids and codes only; vectors and events are fetched for the candidates by a broadcast join. With a
-    threshold the candidates are all rows within its bound, up to a budget beyond which the search is refused.
+
+def by_code(df: DataFrame, q: np.ndarray, book: Codebook, lists: Sequence[int], candidates: int, rerank: int, threshold: float | None = None, fetch_budget_bytes: int | None = None) -> list:
+    """The rows (KEY, centroid, dist) of the probed lists to fetch, by code distance: the scan reads keys and codes only.
+
+    At most ``candidates``, ``rerank`` and what the byte budget allows. With a threshold they are all rows within its bound, up
+    to a budget beyond which the search is refused.
     """
-    narrow = df.filter(F.col("centroid").isin([int(x) for x in lists])).select("event_id", "tenant_id", "generation", adc(F.col("code"), book.table(q)).alias("dist"))
+    narrow = df.filter(F.col("centroid").isin([int(x) for x in lists])).select(*KEY, "centroid", adc(F.col("code"), book.table(q)).alias("dist"))
     if threshold is not None:
-        narrow = narrow.filter(F.col("dist") <= 2 * (1 - threshold) + THRESHOLD_SLACK)
-        if narrow.limit(THRESHOLD_BUDGET + 1).count() > THRESHOLD_BUDGET:
+        got = narrow.filter(F.col("dist") <= 2 * (1 - threshold) + THRESHOLD_SLACK).limit(THRESHOLD_BUDGET + 1).collect()
+        if len(got) > THRESHOLD_BUDGET:
             raise EngineError(f"threshold keeps more than {THRESHOLD_BUDGET} rows; raise it or narrow the filter")
-        best = narrow.orderBy("dist", "event_id").limit(THRESHOLD_BUDGET)
-    else:
-        best = narrow.orderBy("dist", "event_id").limit(candidates)
-        rows = min(candidates, rerank)
-        if fetch_budget_bytes is not None:
-            rows = min(rows, fetch_budget_bytes // (4 * book.dim))
-        best = best.orderBy("dist", "event_id").limit(rows)
-    # At most THRESHOLD_BUDGET ids, by construction.
-    full = (df if whole is None else whole).join(F.broadcast(best.select("event_id", "tenant_id", "generation")), ["event_id", "tenant_id", "generation"])
-    return exact_topk(full, [float(x) for x in q], k, threshold)
+        return got
+    rows = min(candidates, rerank)
+    if fetch_budget_bytes is not None:
+        rows = min(rows, fetch_budget_bytes // (4 * book.dim))
+    return narrow.orderBy("dist", "event_id").limit(rows).collect()
+
+
+def fetched(df: DataFrame, rows: list) -> DataFrame:
+    """The whole rows of ``df`` that ``rows`` (of ``by_code``) name. Their lists, times and, if few, ids are filters of the scan,
+    so row groups and pages without any are not read."""
+    spark = df.sparkSession
+    df = df.filter(F.col("centroid").isin(sorted({r.centroid for r in rows})))
+    if rows:
+        times = [r.event_time for r in rows]
+        df = df.filter(F.col("event_time").between(min(times), max(times)))
+    if len(rows) <= LITERALS:
+        df = df.filter(F.col("event_id").isin(sorted({r.event_id for r in rows})))
+    keys = spark.createDataFrame(sorted({tuple(r[k] for k in KEY) for r in rows}), "event_id string, tenant_id string, generation string, event_time long")
+    return df.join(F.broadcast(keys), KEY, "left_semi")  # at most THRESHOLD_BUDGET keys
+
+
+def approximate_topk(df: DataFrame, q: np.ndarray, book: Codebook, lists: Sequence[int], k: int, candidates: int, rerank: int, threshold: float | None = None, fetch_budget_bytes: int | None = None, source: Callable[[list], DataFrame] | None = None) -> DataFrame:
+    """IVF-PQ: rows of the probed lists by code distance, the best exactly reranked. ``source`` gives the rows that hold the
+    candidates it is called with; by default that is ``df``."""
+    rows = by_code(df, q, book, lists, candidates, rerank, threshold, fetch_budget_bytes)
+    return exact_topk(fetched(df if source is None else source(rows), rows), [float(x) for x in q], k, threshold)
 
 
 #: Share of the true neighbours that must lie in the probed lists, and that must be found, over CALIBRATION_QUERIES rows as

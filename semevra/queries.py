@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semevra import model as M
-from semevra.engine import run_plan
+from semevra.engine import Engine, run_plan
 from semevra.functions.codebook import train
 from semevra.functions.embed import HashEmbedder, with_vectors
 from semevra.functions.hashing import day_window, tenant_bucket
@@ -21,7 +21,8 @@ from semevra.functions.vectors import dot, l2, nearest
 from semevra.operators import analytics, ingest, search
 from semevra.operators.maintenance import dedup
 from semevra.plans import sql as S
-from semevra.session import materialise
+from semevra.plans.predicate import time_bounds
+from semevra.session import materialise, scratch
 from semevra.sources import readers
 from semevra.sources.store import encode
 
@@ -129,8 +130,21 @@ _rows("filter_not_null", "event_id", "NOT attributes['absent'] = 'x' OR NOT (cos
 _rows("filter_bool", "event_id, error", "error AND NOT FALSE", "error")
 _rows("filter_attr", "event_id, attributes['k']", "attributes['k'] >= 50 AND attributes['k'] <> 60", "k >= 50 AND k <> 60", "event_id, CAST(k AS VARCHAR) AS \"attributes[k]\"")
 _rows("tenant_policy_or_escape", "event_id, tenant_id", "tenant_id = 't2' OR cost >= 0", "tenant_id = 't2' OR cost >= 0")
-_rows("time_window_inclusive", "event_id, event_time", "event_time >= 1704153600000 AND event_time <= 1704672000000", "event_time BETWEEN 1704153600000 AND 1704672000000")
-_rows("time_window_exclusive", "event_id, event_time", "event_time > 1704153600000 AND event_time < 1704672000000", "event_time > 1704153600000 AND event_time < 1704672000000")
+
+
+def _window(name: str, where: str, oracle_where: str) -> None:
+    """Rows within the bounds of event_time that the predicate implies, and by nothing else of it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        plan = S.bind(f"SELECT event_id, event_time FROM events WHERE {where}", "t1")
+        lo, hi = time_bounds(plan.predicate)
+        return canonical(spark, sf_dir).filter((F.col("tenant_id") == plan.tenant) & F.col("event_time").between(lo, hi)).select("event_id", "event_time")
+
+    register(name, f"{EV} SELECT event_id, event_time FROM ev WHERE tenant_id = 't1' AND ({oracle_where})")(run)
+
+
+_window("time_window_inclusive", "event_time >= 1704153600000 AND event_time <= 1704672000000 AND (event_time < 0 OR cost >= 0)", "event_time BETWEEN 1704153600000 AND 1704672000000")
+_window("time_window_exclusive", "cost < 0 AND event_time > 1704153600000 AND event_time < 1704672000000 AND event_time <= 1804672000000", "event_time > 1704153600000 AND event_time < 1704672000000")
 _rows("semantic_precedence", "event_id", "error OR cost < 5 AND event_name = 'click'", "error OR (cost < 5 AND event_name = 'click')")
 
 _sql("agg_count", "SELECT count(*) FROM events WHERE cost > 10", EV + " SELECT count(*) AS \"count(*)\" FROM ev WHERE tenant_id = 't1' AND cost > 10")
@@ -140,6 +154,21 @@ _sql(
     "SELECT sum(cost), avg(cost), min(cost), max(cost), min(event_time), max(event_name) FROM events",
     EV + ' SELECT round(sum(cost), 6) AS "sum(cost)", round(avg(cost), 6) AS "avg(cost)", min(cost) AS "min(cost)", max(cost) AS "max(cost)", CAST(min(event_time) AS DOUBLE) AS "min(event_time)", CAST(NULL AS DOUBLE) AS "max(event_name)" FROM ev WHERE tenant_id = \'t1\'',
 )
+_COSTS = ["1e-13", "2e-13", "1e27", "1e300", "0.1", "123456789.123"]
+
+
+@register("agg_sum_wide", EV + ", w AS (SELECT event_name, (ARRAY[" + ", ".join(_COSTS) + """])[1 + number % 6]::DOUBLE AS cost, number % 6 AS c FROM ev WHERE tenant_id = 't1')
+SELECT event_name || c AS event_name, count(*) AS n, fsum(cost) / any_value(cost) AS sum_in_units, max(cost) AS most FROM w GROUP BY ALL""")
+def agg_sum_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of costs from 1e-13 to 1e300; each group's sum is given in units of its cost."""
+    ev = canonical(spark, sf_dir)
+    c = F.pmod("number", F.lit(6)).cast("int")
+    ev = ev.withColumns({"cost": F.array(*[F.lit(float(x)) for x in _COSTS])[c], "event_name": F.concat("event_name", c.cast("string"))})
+    df = run_plan(S.bind("SELECT event_name, count(*), sum(cost), max(cost) FROM events GROUP BY event_name", "t1"), ev)
+    df = df.toDF("event_name", "n", "total", "most")
+    return df.select("event_name", "n", (F.col("total") / F.col("most")).alias("sum_in_units"), "most")
+
+
 _sql("agg_sum_empty_zero", "SELECT sum(cost), avg(cost) FROM events WHERE cost < 0", EV + ' SELECT coalesce(sum(cost), 0.0) AS "sum(cost)", avg(cost) AS "avg(cost)" FROM ev WHERE tenant_id = \'t1\' AND cost < 0')
 _sql("group_by_one", "SELECT event_name, count(*), sum(cost) FROM events GROUP BY event_name", EV + ' SELECT event_name, count(*) AS "count(*)", round(sum(cost), 6) AS "sum(cost)" FROM ev WHERE tenant_id = \'t1\' GROUP BY event_name')
 _sql(
@@ -161,14 +190,50 @@ def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_topk(e, query_vector(spark, sf_dir), 10, digits=6).select("event_id", "score")
 
 
+class TableEmbedder(HashEmbedder):
+    """Embeds the text 'vector N' as the embedding N, as far as it is given."""
+
+    model_id = "table"
+
+    def __init__(self, vectors: dict[str, list[float]]) -> None:
+        super().__init__(len(next(iter(vectors.values()))))
+        self.vectors = vectors
+
+    def embed(self, text: str) -> np.ndarray:
+        return np.array(self.vectors[text], np.float32)
+
+
+_STORES: dict[tuple[str, str], tuple[Engine, int, int]] = {}
+#: Reads all lists and reranks all rows of the tables at hand, so that the answer is the exact one.
+WHOLE = {"nprobe": 32, "candidates": 1_000_000, "rerank": 1_000_000}
+WITH = "WITH (" + ", ".join(f"{k} = {v}" for k, v in WHOLE.items()) + ")"
+
+
+def store(spark: SparkSession, sf_dir: str) -> tuple[Engine, int, int]:
+    """An engine whose store holds the events with their embeddings, and two of its snapshots: one with all events, one in which
+    the signups are deleted. It is made once a session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        e = Engine.init(spark, scratch(spark), TableEmbedder({"vector 3": query_vector(spark, sf_dir)}), window_ms=30 * M.DAY_MS, restarts=2)
+        df = with_embeddings(spark, sf_dir)
+        whole = e.ingest(df).id
+        e.delete(df.filter("event_name = 'signup'").select("event_id"))
+        _STORES[key] = e, whole, e.snapshot().id
+    return _STORES[key]
+
+
+def _search(spark: SparkSession, sf_dir: str, deleted: bool = False, where: str = "", **options) -> DataFrame:
+    """Rows of a search of the store for the embedding 3, scores rounded."""
+    e, whole, less = store(spark, sf_dir)
+    plan = S.bind(f"SELECT event_id FROM events {where}", "t1")
+    query = M.Query(text="vector 3", predicate=plan.predicate, **({"tenant": "t1", "k": 10} | WHOLE | options))
+    return e.search(query, e.snapshot(less if deleted else whole)).rows.withColumn("score", F.round("score", 6))
+
+
 @register("topk_hybrid", VEC + " SELECT event_id, score, cost FROM sc WHERE tenant_id = 't1' AND cost > 20 AND event_name IN ('purchase', 'view') ORDER BY score DESC, event_id LIMIT 10")
 def topk_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: tenant and scalar predicate, then the ten nearest events."""
-    from semevra.plans.predicate import compile_predicate
-
-    plan = S.bind("SELECT event_id, score, cost FROM events WHERE cost > 20 AND event_name IN ('purchase', 'view')", "t1")
-    df = with_embeddings(spark, sf_dir).filter(F.col("tenant_id") == plan.tenant).filter(compile_predicate(plan.predicate))
-    return search.exact_topk(df, query_vector(spark, sf_dir), 10, digits=6).select("event_id", "score", "cost")
+    """The flagship, by the store: tenant and scalar predicate, code distances of the probed lists, exact reranking, top ten."""
+    return _search(spark, sf_dir, where="WHERE cost > 20 AND event_name IN ('purchase', 'view')").select("event_id", "score", "cost")
 
 
 @register("topk_ties", VEC + " " + TOP.format("sc", 50))
@@ -177,33 +242,35 @@ def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_topk(with_embeddings(spark, sf_dir), query_vector(spark, sf_dir), 50, digits=6).select("event_id", "score")
 
 
-@register("topk_threshold", VEC + " SELECT event_id, score FROM sc WHERE score >= 0.2")
+@register("topk_threshold", VEC + " SELECT event_id, score FROM sc WHERE score >= 0.2 AND tenant_id = 't1'")
 def topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events at a similarity of 0.2 or more."""
-    return search.scored(with_embeddings(spark, sf_dir), query_vector(spark, sf_dir), digits=6).filter("score >= 0.2").select("event_id", "score")
+    """All events of a tenant at a similarity of 0.2 or more: candidates within the code bound, exactly scored."""
+    return _search(spark, sf_dir, threshold=0.2, k=M.THRESHOLD_BUDGET).select("event_id", "score")
 
 
-@register("page_two_keyset", VEC + ", one AS (SELECT score, event_id FROM sc ORDER BY score DESC, event_id LIMIT 10), last AS (SELECT score, event_id FROM one ORDER BY score, event_id DESC LIMIT 1) SELECT sc.event_id, sc.score FROM sc, last WHERE sc.score < last.score OR (sc.score = last.score AND sc.event_id > last.event_id) ORDER BY sc.score DESC, sc.event_id LIMIT 10")
+@register("page_two_keyset", VEC + ", t AS (SELECT * FROM sc WHERE tenant_id = 't1'), one AS (SELECT score, event_id FROM t ORDER BY score DESC, event_id LIMIT 10), last AS (SELECT score, event_id FROM one ORDER BY score, event_id DESC LIMIT 1) SELECT t.event_id, t.score FROM t, last WHERE t.score < last.score OR (t.score = last.score AND t.event_id > last.event_id) ORDER BY t.score DESC, t.event_id LIMIT 10")
 def page_two_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of ten, behind the last key of the first."""
-    df = search.scored(with_embeddings(spark, sf_dir), query_vector(spark, sf_dir), digits=6)
-    last = df.orderBy(*search.total_order()).limit(10).select("score", "event_id").orderBy("score", F.desc("event_id")).first()
-    return search.after(df, last.score, last.event_id).orderBy(*search.total_order()).limit(10).select("event_id", "score")
+    """The second page of ten of a semantic statement, by the cursor that came with the first."""
+    e, whole, _ = store(spark, sf_dir)
+    text = f"SELECT event_id, score FROM events WHERE embedding ~~ 'vector 3' LIMIT 10 {WITH}"
+    plan = S.bind(text, "t1")
+    start = search.make_cursor(whole, plan.fingerprint, 2.0, "")  # before the first row of that snapshot
+    return e.sql(text, "t1", e.sql(text, "t1", start).next_cursor).rows.withColumn("score", F.round("score", 6))
 
 
-@register("tombstone_search", VEC + " SELECT event_id, score FROM sc WHERE NOT (event_name = 'signup') ORDER BY score DESC, event_id LIMIT 10")
+@register("tombstone_search", VEC + " SELECT event_id, score FROM sc WHERE tenant_id = 't1' AND NOT (event_name = 'signup') ORDER BY score DESC, event_id LIMIT 10")
 def tombstone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted events (here the signups) never take a place in the top ten."""
-    df = with_embeddings(spark, sf_dir)
-    dead = df.filter(F.col("event_name") == "signup").select("event_id")
-    return search.exact_topk(df.join(dead, "event_id", "left_anti"), query_vector(spark, sf_dir), 10, digits=6).select("event_id", "score")
+    return _search(spark, sf_dir, deleted=True).select("event_id", "score")
 
 
-@register("agg_over_semantic", VEC + ", top AS (SELECT * FROM sc WHERE tenant_id = 't1' ORDER BY score DESC, event_id LIMIT 50) SELECT event_name, count(*) AS n, round(avg(cost), 6) AS avg_cost FROM top GROUP BY event_name")
+@register("agg_over_semantic", VEC + " SELECT event_name, count(*) AS n, round(avg(cost), 6) AS avg_cost, max(score) AS best FROM sc WHERE tenant_id = 't1' AND cost > 20 GROUP BY event_name")
 def agg_over_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aggregates of the fifty survivors of a semantic predicate."""
-    top = search.exact_topk(with_embeddings(spark, sf_dir).filter("tenant_id = 't1'"), query_vector(spark, sf_dir), M.RERANK, digits=6)
-    return top.groupBy("event_name").agg(F.count("*").alias("n"), F.round(F.avg("cost"), 6).alias("avg_cost"))
+    """Aggregates of the survivors of a semantic predicate; here all rows of the scalar predicate survive."""
+    e, whole, _ = store(spark, sf_dir)
+    plan = S.bind(f"SELECT event_name, count(*), avg(cost), max(score) FROM events WHERE embedding ~~ 'vector 3' AND cost > 20 GROUP BY event_name {WITH}", "t1")
+    df = e.run(plan, e.snapshot(whole)).rows.toDF("event_name", "n", "avg_cost", "best")
+    return df.withColumns({"avg_cost": F.round("avg_cost", 6), "best": F.round("best", 6)})
 
 
 @register(
@@ -242,13 +309,20 @@ def novelty_label_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.with_novelty(with_embeddings(spark, sf_dir), c, digits=6).select("event_id", "novelty", (F.col("novelty") > 0.5).alias("is_novel"))
 
 
-@register("drift_label_baseline", VEC + ", " + CENTROIDS + ", n AS (SELECT event_id, tenant_id, round(1 - max(list_dot_product(vector, c)), 6) AS novelty FROM vec, cen GROUP BY event_id, tenant_id) SELECT tenant_id AS generation, count(*) AS n, CAST(sum(CASE WHEN novelty > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS novel, round(avg(novelty), 5) AS mean_novelty, max(novelty) AS max_novelty, avg(CASE WHEN novelty > 0.5 THEN 1.0 ELSE 0.0 END) > 0.05 AS fires FROM n GROUP BY tenant_id")
+@register(
+    "drift_label_baseline",
+    VEC + ", " + CENTROIDS + """, n AS (SELECT event_id, tenant_id, round(1 - max(list_dot_product(vector, c)), 9) AS novelty FROM vec, cen GROUP BY event_id, tenant_id),
+s AS (SELECT *, CASE tenant_id WHEN 't3' THEN 'no baseline' WHEN 't4' THEN 'degraded' ELSE 'ok' END AS status FROM n)
+SELECT tenant_id AS generation, status, count(*) AS rows, CASE WHEN status = 'ok' THEN CAST(sum(CASE WHEN novelty > 0.5 THEN 1 ELSE 0 END) AS BIGINT) END AS novel,
+  CASE WHEN status = 'ok' THEN round(avg(novelty), 5) END AS mean_novelty, CASE WHEN status = 'ok' THEN round(max(novelty), 6) END AS max_novelty,
+  CASE WHEN status = 'ok' THEN avg(CASE WHEN novelty > 0.5 THEN 1.0 ELSE 0.0 END) > 0.05 END AS fires FROM s GROUP BY tenant_id, status""",
+)
 def drift_label_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of novel events and the alarm, for each of several groups (here the tenants)."""
+    """Drift of several generations (here the tenants) against their baselines: three sound, one degraded, one without."""
     c = [v for _, v in label_centroids(spark, sf_dir)]
-    n = analytics.with_novelty(with_embeddings(spark, sf_dir), c, digits=6)
-    g = n.groupBy(F.col("tenant_id").alias("generation")).agg(F.count("*").alias("n"), F.sum((F.col("novelty") > 0.5).cast("long")).alias("novel"), F.round(F.avg("novelty"), 5).alias("mean_novelty"), F.max("novelty").alias("max_novelty"))
-    return g.withColumn("fires", F.col("novel") / F.col("n") > M.FIRE_MULTIPLE * M.FIRE_BASE)
+    known = {g: analytics.Baseline("all", g, c, 0.5, 0) for g in ("t0", "t1", "t2")} | {"t4": analytics.Baseline("all", "t4", [], 0.0, 0, "degraded", "redacted rows")}
+    d = analytics.drift(with_embeddings(spark, sf_dir).withColumn("generation", F.col("tenant_id")), known)
+    return d.select("generation", "status", "rows", "novel", F.round("mean_novelty", 5).alias("mean_novelty"), F.round("max_novelty", 6).alias("max_novelty"), "fires")
 
 
 NEAR = VEC + ", " + CENTROIDS + ", d AS (SELECT vec.*, cen.label AS cluster, round(list_sum(list_transform(list_zip(vector, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS dist FROM vec, cen), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, cluster) AS rn FROM d) WHERE rn = 1)"
@@ -272,12 +346,18 @@ def cluster_summary_given_centroids(spark: SparkSession, sf_dir: str) -> DataFra
     return s.select("cluster_id", "count", F.round("avg_cost", 6).alias("avg_cost"), F.round("error_rate", 6).alias("error_rate"), "exemplar")
 
 
-@register("semantic_diff_label", NEAR + " SELECT cluster, count(*) AS n FROM a WHERE event_time >= 1705276800000 AND cluster NOT IN (SELECT cluster FROM a WHERE event_time < 1704153600000 AND event_name = 'error' AND tenant_id = 't1') GROUP BY cluster")
+@register(
+    "semantic_diff_label",
+    NEAR + """, g AS (SELECT cluster, count(*) AS count, round(avg(cost), 6) AS avg_cost, round(avg(CASE WHEN error THEN 1.0 ELSE 0.0 END), 6) AS error_rate, arg_min(event_id, {'d': dist, 'e': event_id}) AS exemplar FROM a WHERE event_time >= 1705276800000 GROUP BY cluster),
+r AS (SELECT CAST(row_number() OVER (ORDER BY count DESC, exemplar) - 1 AS INTEGER) AS cluster_id, * FROM g)
+SELECT cluster_id, count, avg_cost, error_rate, exemplar FROM r WHERE cluster NOT IN (SELECT cluster FROM a WHERE event_time < 1704153600000 AND event_name = 'error' AND tenant_id = 't1')""",
+)
 def semantic_diff_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of a later window to which nothing of an earlier one is nearest."""
-    a = _near(spark, sf_dir)
-    before = a.filter("event_time < 1704153600000 and event_name = 'error' and tenant_id = 't1'").select("cluster").distinct()
-    return a.filter("event_time >= 1705276800000").join(F.broadcast(before), "cluster", "left_anti").groupBy("cluster").agg(F.count("*").alias("n"))
+    """Clusters (by given centroids) of a later window to which nothing of an earlier one is nearest."""
+    a = with_embeddings(spark, sf_dir)
+    before = a.filter("event_time < 1704153600000 and event_name = 'error' and tenant_id = 't1'")
+    d = analytics.untaken(before, a.filter("event_time >= 1705276800000"), np.array([v for _, v in label_centroids(spark, sf_dir)]))
+    return d.select("cluster_id", "count", F.round("avg_cost", 6).alias("avg_cost"), F.round("error_rate", 6).alias("error_rate"), "exemplar")
 
 
 @register("column_dot_l2", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS l2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -326,22 +406,25 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ingest and maintenance ------------------------------------------------------------------------------------------------
 
 
-@register("merge_dedup", EV + ", two AS (SELECT event_id, tenant_id, event_time, cost FROM ev UNION ALL SELECT event_id, tenant_id, event_time + 1000 * CAST(k % 2 AS BIGINT), cost + 1 FROM ev WHERE k % 3 = 0) SELECT event_id, tenant_id, event_time, cost FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id ORDER BY event_time DESC, cost DESC) AS n FROM two) WHERE n = 1")
+#: The content hash of a row of ``two``: SHA-256 of its JSON.
+HASH = """sha256('{"tenant_id":"' || tenant_id || '","event_time":' || event_time || ',"event_name":"' || event_name || '","cost":' || cost || ',"error":' || error || ',"body":"' || replace(body, '"', '\\"') || '","trace_id":"","span_id":"","attributes":{"k":{"tag":2,"s":null,"i":' || k || ',"d":null,"b":null}}}')"""
+LAST = "SELECT event_id, tenant_id, event_time, cost FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id ORDER BY event_time DESC, " + HASH + " DESC) AS n FROM two) WHERE n = 1"
+
+
+@register("merge_dedup", EV + ", two AS (SELECT * FROM ev UNION ALL SELECT * REPLACE (event_time + 1000 * CAST(k % 2 AS BIGINT) AS event_time, round(cost + 1, 2) AS cost) FROM ev WHERE k % 3 = 0) " + LAST)
 def merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The later version of each event survives a merge; here cost stands for the content hash on equal times."""
+    """The later version of each event survives a merge, and of equally late ones that of the larger content hash."""
     ev = canonical(spark, sf_dir)
     k = F.col("attributes")["k"]["i"]
-    again = ev.filter(k % 3 == 0).withColumns({"event_time": F.col("event_time") + 1000 * (k % 2), "cost": F.col("cost") + 1})
-    w = Window.partitionBy("tenant_id", "event_id").orderBy(F.desc("event_time"), F.desc("cost"))
-    both = ev.unionByName(again).withColumn("n", F.row_number().over(w)).filter("n = 1")
-    return both.select("event_id", "tenant_id", "event_time", "cost")
+    again = ev.filter(k % 3 == 0).withColumns({"event_time": F.col("event_time") + 1000 * (k % 2), "cost": F.round(F.col("cost") + 1, 2)})
+    return dedup(ev.unionByName(again), []).select("event_id", "tenant_id", "event_time", "cost")
 
 
-@register("merge_supersede_hash")
+@register("merge_supersede_hash", EV + ", two AS (SELECT * FROM ev UNION ALL SELECT * REPLACE (round(cost + 1, 2) AS cost) FROM ev) " + LAST)
 def merge_supersede_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As merge_dedup, with the content hash as the tie-break."""
+    """As merge_dedup, with all times equal, so that the content hash alone decides."""
     ev = canonical(spark, sf_dir)
-    return dedup(ev.unionByName(ev.withColumn("cost", F.col("cost") + 1)), []).select("event_id", "tenant_id", "event_time", "cost")
+    return dedup(ev.unionByName(ev.withColumn("cost", F.round(F.col("cost") + 1, 2))), []).select("event_id", "tenant_id", "event_time", "cost")
 
 
 NOW = 1706659200000
@@ -356,15 +439,21 @@ def skew_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "admission_reasons",
     EV
-    + f""", b AS (SELECT event_id, CASE WHEN number % 7 = 0 THEN '' ELSE tenant_id END AS tenant_id, event_time, CASE WHEN number % 11 = 0 THEN -1.0 ELSE cost END AS cost, CASE WHEN number % 13 = 0 THEN ' ' ELSE body END AS body FROM ev),
-r AS (SELECT CASE WHEN tenant_id = '' THEN 'missing_tenant_id' WHEN cost < 0 THEN 'invalid_cost' WHEN trim(body) = '' THEN 'empty_body' WHEN {NOW} - event_time > 604800000 THEN 'event_time_too_late' WHEN event_time - {NOW} > 3600000 THEN 'event_time_in_future' ELSE 'admitted' END AS reason FROM b)
-SELECT reason, count(*) AS n FROM r GROUP BY reason""",
+    + f""", b AS (SELECT event_id, number, CASE WHEN number % 7 = 0 THEN '' ELSE tenant_id END AS tenant_id, event_time, CASE WHEN number % 11 = 0 THEN -1.0 ELSE cost END AS cost, CASE WHEN number % 13 = 0 THEN ' ' ELSE body END AS body, CASE WHEN number % 17 < 2 THEN 'key' || number // 17 END AS key FROM ev),
+r AS (SELECT *, CASE WHEN tenant_id = '' THEN 'missing_tenant_id' WHEN cost < 0 THEN 'invalid_cost' WHEN trim(body) = '' THEN 'empty_body' WHEN {NOW} - event_time > 604800000 THEN 'event_time_too_late' WHEN event_time - {NOW} > 3600000 THEN 'event_time_in_future' END AS reason FROM b),
+q AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY number) > {M.QUOTA_EVENTS} AS over FROM r WHERE reason IS NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, coalesce(key, event_id) ORDER BY number) AS n FROM q WHERE NOT over),
+p AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY number) AS used FROM k WHERE n = 1)
+SELECT reason, count(*) AS n FROM (SELECT reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT 'quota_exceeded' FROM q WHERE over UNION ALL SELECT 'idempotency_conflict' FROM k WHERE n > 1
+UNION ALL SELECT CASE WHEN tenant_id = 't0' OR tenant_id = 't1' AND used > 50 THEN 'model_policy_denied' ELSE 'admitted' END FROM p) GROUP BY reason""",
 )
 def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by the first rule that they break."""
-    ev = canonical(spark, sf_dir)
-    bad = ev.withColumns({"tenant_id": F.when(F.col("number") % 7 == 0, "").otherwise(F.col("tenant_id")), "cost": F.when(F.col("number") % 11 == 0, -1.0).otherwise(F.col("cost")), "body": F.when(F.col("number") % 13 == 0, " ").otherwise(F.col("body"))})
-    return bad.select(F.coalesce(ingest.validation_reason(NOW), F.lit("admitted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """Events by the first check that they fail at admission: validation, lateness, dictionary, quota, idempotency, grants."""
+    ev, n = canonical(spark, sf_dir), F.col("number")
+    bad = ev.withColumns({"tenant_id": F.when(n % 7 == 0, "").otherwise(F.col("tenant_id")), "cost": F.when(n % 11 == 0, -1.0).otherwise(F.col("cost")), "body": F.when(n % 13 == 0, " ").otherwise(F.col("body")), "idempotency_key": F.when(n % 17 < 2, F.concat(F.lit("key"), F.floor(n / 17).cast("string")))})
+    grants = spark.createDataFrame([("t1", "m", "ingest", 50), ("t2", "m", "ingest", None), ("t3", "m", "ingest", None), ("t4", "m", "ingest", None), ("t0", "m", "query", None)], "tenant_id string, model string, purpose string, budget long")
+    judged = ingest.admit(bad, NOW, seq="number", grants=grants, model="m")
+    return judged.select(F.coalesce("reason", F.lit("admitted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @register("quota_count", EV + " SELECT tenant_id, least(count(*), 1000) AS admitted, greatest(count(*) - 1000, 0) AS rejected FROM ev GROUP BY tenant_id")
@@ -411,7 +500,17 @@ def bucket_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical(spark, sf_dir).select("event_id", tenant_bucket(F.col("tenant_id")).alias("bucket"), day_window(F.col("event_time")).alias("window_start"))
 
 
-@register("stratified_sample")
+@register(
+    "stratified_sample",
+    EV
+    + """, c AS (SELECT tenant_id, count(*) AS n FROM ev GROUP BY tenant_id), f AS (SELECT *, least(n, 125 // (SELECT count(*) FROM c)) AS got FROM c),
+l AS (SELECT *, n - got AS rest, 500 - sum(got) OVER () AS room, greatest(1, sum(n - got) OVER ()) AS spare FROM f),
+s AS (SELECT *, CAST(room * rest AS DOUBLE) / CAST(spare AS DOUBLE) AS share FROM l),
+w AS (SELECT *, floor(share) AS whole, row_number() OVER (ORDER BY share - floor(share) DESC, tenant_id) AS place, 500 - sum(got + floor(share)) OVER () AS extra FROM s),
+q AS (SELECT tenant_id, got + whole + CASE WHEN place <= extra THEN 1 ELSE 0 END AS quota FROM w),
+t AS (SELECT event_id, tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY sha256('42|' || event_id), event_id) AS place FROM ev)
+SELECT event_id, tenant_id FROM t JOIN q USING (tenant_id) WHERE place <= quota OR (SELECT count(*) FROM ev) <= 500""",
+)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 500 events: a sampling operator, so its size is its meaning."""
     return ingest.stratified_sample(canonical(spark, sf_dir), 500, 42).select("event_id", "tenant_id")
@@ -433,7 +532,7 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_jsonl(lines).select("event_id", "tenant_id", "event_time", "cost", "error", F.col("attributes")["k"]["i"].alias("k"))
 
 
-@register("otlp_map", "SELECT 's' || conv_id || '-' || turn AS event_id, 'tenant' || conv_id % 3 AS tenant_id, CAST(1700000000000 + turn AS BIGINT) AS event_time, trim('ask ' || conv_id || chr(10) || 'answer ' || turn) AS body, role = 'system' AS error FROM conversations")
+@register("otlp_map", "SELECT 's' || conv_id || '-' || turn AS event_id, 'tenant' || conv_id % 3 AS tenant_id, CAST(1700000000000 + turn AS BIGINT) AS event_time, regexp_replace('ask ' || conv_id || chr(10) || coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body, role = 'system' AS error FROM conversations")
 def otlp_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of OTLP payloads, one for each turn of the conversations, mapped to events."""
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
@@ -441,7 +540,7 @@ def otlp_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
     span = F.struct(
         text("s", F.col("conv_id"), "-", F.col("turn")).alias("spanId"), F.lit("chat").alias("name"), text((F.lit(1_700_000_000_000) + F.col("turn")), "000000").alias("startTimeUnixNano"),
-        F.array(pair("gen_ai.prompt", text("ask ", F.col("conv_id"))), pair("gen_ai.completion", text("answer ", F.col("turn")))).alias("attributes"),
+        F.array(pair("gen_ai.prompt", text("ask ", F.col("conv_id"))), pair("gen_ai.completion", F.coalesce("text", F.lit("")))).alias("attributes"),
         F.struct(F.when(F.col("role") == "system", "STATUS_CODE_ERROR").otherwise("0").alias("code")).alias("status"),
     )
     resource = F.struct(F.array(pair("tenant.id", text("tenant", F.col("conv_id") % 3))).alias("attributes"))

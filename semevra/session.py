@@ -32,12 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: dict[str, SparkSession] = {}
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. What is not
-    discarded before goes when the driver's Python ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is there goes when the driver's Python ends, if not before."""
     path = f"{shared_dir(spark).rstrip('/')}/semevra-{uuid.uuid4().hex}"
     _TABLES[path] = spark
+    return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._semevra_table = path

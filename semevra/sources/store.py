@@ -1,13 +1,14 @@
 """Snapshot-versioned store: immutable Parquet parts under JSON manifests.
 
 A manifest lists each part's path, partition (tenant bucket, day window, generation), rows, time range and per-tenant
-statistics, so that a reader prunes parts before it opens any, and a pinned snapshot never changes. A commit writes the
-next manifest and swaps CURRENT. All files go through Hadoop's file system, so the root may be any shared folder.
+statistics, so that a reader prunes parts before it opens any, and a pinned snapshot never changes. A commit creates the next
+manifest, which only one writer can, and that alone makes it current: CURRENT says from which number on to look. All files go through Hadoop's file system, so the root may be any shared folder.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass
@@ -22,7 +23,10 @@ from pyspark.sql import types as P
 from semevra.functions.codebook import Codebook
 from semevra.functions.hashing import content_id, day_window, tenant_bucket
 from semevra.model import BUCKETS, DAY_MS, EVENT, EngineError
+from semevra.session import broadcast_if_small
 
+#: Rows of one file of a part.
+PART_FILE_ROWS = 1_000_000
 ROW = P.StructType([*EVENT.fields, P.StructField("vector", P.ArrayType(P.FloatType())), P.StructField("centroid", P.IntegerType()), P.StructField("code", P.BinaryType())])
 
 
@@ -37,15 +41,45 @@ class Files:
     def path(self, name: str) -> Any:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def write(self, name: str, text: str) -> None:
-        """The file appears whole or not at all."""
+    def _local(self, path: Any) -> str | None:
+        """The path on this machine, if the file system is its own; Hadoop's calls are not atomic there."""
+        uri = self.fs.makeQualified(path).toUri()
+        return uri.getPath() if uri.getScheme() == "file" else None
+
+    def _temporary(self, name: str, text: str) -> Any:
         temp = self.path(f"{name}.{uuid.uuid4().hex}")
         out = self.fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self.path(name), False)
-        if not self.fs.rename(temp, self.path(name)):
-            raise EngineError(f"cannot write {name}")
+        return temp
+
+    def write(self, name: str, text: str) -> None:
+        """The file appears, or replaces another, whole or not at all; at no time is there none."""
+        temp, final = self._temporary(name, text), self.path(name)
+        local = self._local(temp)
+        if local:
+            os.replace(local, self._local(final))
+            self.fs.delete(temp, False)  # its checksum
+            return
+        options = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        one = self.jvm.java.lang.reflect.Array.newInstance(options.OVERWRITE.getClass(), 1)
+        one[0] = options.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.conf).rename(temp, final, one)
+
+    def create(self, name: str, text: str) -> bool:
+        """The file appears whole; False, and nothing changes, if there is one of that name. One of several writers succeeds."""
+        temp, final = self._temporary(name, text), self.path(name)
+        local = self._local(temp)
+        try:
+            if local is None:
+                return self.fs.rename(temp, final)
+            try:
+                os.link(local, self._local(final))
+                return True
+            except FileExistsError:
+                return False
+        finally:
+            self.fs.delete(temp, False)
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
@@ -112,12 +146,16 @@ class Store:
         return store
 
     def _put(self, data: dict, number: int) -> Snapshot:
-        self.files.write(f"snapshots/{number:010d}.json", json.dumps(data | {"id": number, "at": int(time.time() * 1000)}))
+        if not self.files.create(f"snapshots/{number:010d}.json", json.dumps(data | {"id": number, "at": int(time.time() * 1000)})):
+            raise EngineError("the snapshot has moved on; one writer at a time")
         self.files.write("CURRENT", str(number))
         return Snapshot(number, data)
 
     def snapshot(self, number: int | None = None) -> Snapshot:
-        number = int(self.files.read("CURRENT")) if number is None else number
+        if number is None:
+            number = int(self.files.read("CURRENT"))
+            while self.files.exists(f"snapshots/{number + 1:010d}.json"):  # a writer died before it could say so
+                number += 1
         name = f"snapshots/{number:010d}.json"
         if not self.files.exists(name):
             raise EngineError(f"snapshot {number} has been reclaimed")
@@ -137,19 +175,26 @@ class Store:
     def write_parts(self, df: DataFrame, generation: str, redacted: bool = False) -> list[dict]:
         """One part for each partition of ``df``, rows in (centroid, event_time, event_id) order; their manifest entries.
 
-        Rows are shuffled once, by partition. Statistics come from one more pass over three columns of what was written.
+        A part has a file for each PART_FILE_ROWS rows at most, so a hot tenant's day is written by many tasks. Rows are shuffled
+        once. Statistics come from one more pass over a few columns of what was written.
         """
         name = f"parts/{uuid.uuid4().hex}"
         out = self.promote(self.partitioned(df.select(*ROW.fieldNames())))
-        out = out.repartition("bucket", "window").sortWithinPartitions("bucket", "window", "centroid", "event_time", "event_id")
-        out.write.partitionBy("bucket", "window").parquet(f"{self.root}/{name}")
-        written = self.spark.read.parquet(f"{self.root}/{name}").select("bucket", "window", "tenant_id", "event_time", "cost", "error")
-        stats = written.groupBy("bucket", "window", "tenant_id").agg(F.count("*").alias("rows"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), F.min("cost").alias("cost_lo"), F.max("cost").alias("cost_hi"), F.max("error").alias("has_error"), F.max(~F.col("error")).alias("has_success"))
+        sizes = [(r.bucket, r.window, -(-r["count"] // PART_FILE_ROWS)) for r in out.groupBy("bucket", "window").count().collect()]  # one row a part
+        if any(n > 1 for _, _, n in sizes):
+            files = self.spark.createDataFrame([x for x in sizes if x[2] > 1], "bucket int, window long, files long")
+            out = out.join(F.broadcast(files), ["bucket", "window"], "left").withColumn("_file", F.coalesce(F.pmod(F.xxhash64("event_id"), "files"), F.lit(0))).drop("files")
+        else:
+            out = out.withColumn("_file", F.lit(0))
+        out = out.repartition("bucket", "window", "_file").sortWithinPartitions("bucket", "window", "_file", "centroid", "event_time", "event_id").drop("_file")
+        out.write.option("maxRecordsPerFile", PART_FILE_ROWS).partitionBy("bucket", "window").parquet(f"{self.root}/{name}")
+        written = self.spark.read.parquet(f"{self.root}/{name}").select("bucket", "window", "tenant_id", "event_time", "cost", "error", "centroid")
+        stats = written.groupBy("bucket", "window", "tenant_id").agg(F.count("*").alias("rows"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), F.min("cost").alias("cost_lo"), F.max("cost").alias("cost_hi"), F.max("error").alias("has_error"), F.max(~F.col("error")).alias("has_success"), F.collect_set("centroid").alias("lists"))
         parts: dict[tuple, dict] = {}
         for r in stats.collect():  # one row a part and tenant
             p = parts.setdefault((r.bucket, r.window), {"path": f"{name}/bucket={r.bucket}/window={r.window}", "bucket": r.bucket, "window": r.window, "generation": generation, "redacted": redacted, "rows": 0, "tenants": {}})
             p["rows"] += r.rows
-            p["tenants"][r.tenant_id] = {"rows": r.rows, "lo": r.lo, "hi": r.hi, "cost": [r.cost_lo, r.cost_hi], "has_error": r.has_error, "has_success": r.has_success}
+            p["tenants"][r.tenant_id] = {"rows": r.rows, "lo": r.lo, "hi": r.hi, "cost": [r.cost_lo, r.cost_hi], "has_error": r.has_error, "has_success": r.has_success, "lists": f"{sum(1 << x for x in r.lists):x}"}
         return [parts[k] for k in sorted(parts)]
 
     def promote(self, df: DataFrame) -> DataFrame:
@@ -165,14 +210,15 @@ class Store:
             df = df.withColumn("attributes", F.map_filter("attributes", lambda k, _: ~k.isin(*self.config["promoted"])))
         return df
 
-    def prune(self, snap: Snapshot, tenant: str | None = None, lo: int | None = None, hi: int | None = None, space: str | None = None, generations: list[str] | None = None) -> list[dict]:
-        """Parts that may hold rows of the tenant in the inclusive time range."""
+    def prune(self, snap: Snapshot, tenant: str | None = None, lo: int | None = None, hi: int | None = None, space: str | None = None, generations: list[str] | None = None, lists: list[int] | None = None) -> list[dict]:
+        """Parts that may hold rows of the tenant in the inclusive time range, and of the coarse lists."""
         keep = []
+        wanted = None if lists is None else sum(1 << int(x) for x in set(lists))
         for p in snap.parts:
             if space and snap.space(p["generation"]) != space or generations and p["generation"] not in generations:
                 continue
             stats = p["tenants"].values() if tenant is None else [p["tenants"][tenant]] if tenant in p["tenants"] else []
-            if any((lo is None or s["hi"] >= lo) and (hi is None or s["lo"] <= hi) for s in stats):
+            if any((lo is None or s["hi"] >= lo) and (hi is None or s["lo"] <= hi) and (wanted is None or wanted & int(s.get("lists", "") or "-1", 16)) for s in stats):
                 keep.append(p)
         return keep
 
@@ -189,11 +235,13 @@ class Store:
         return self.alive(out, snap) if snap is not None else out
 
     def alive(self, df: DataFrame, snap: Snapshot) -> DataFrame:
-        if not snap.tombstones:
-            return df
-        dead = self.spark.createDataFrame([(x,) for x in snap.tombstones], "event_id string")
-        size = sum(len(x) + 8 for x in snap.tombstones)
-        return df.join(F.broadcast(dead) if size < 64 << 20 else dead, "event_id", "left_anti")
+        """``df`` less the deleted ids, those in the manifest and those in tables."""
+        if snap.tombstones:
+            dead = self.spark.createDataFrame([(x,) for x in snap.tombstones], "event_id string")
+            df = df.join(broadcast_if_small(dead), "event_id", "left_anti")
+        for t in snap.data.get("tombstone_tables", []):
+            df = df.join(self.spark.read.schema("event_id string").parquet(f"{self.root}/{t}"), "event_id", "left_anti")
+        return df
 
     def restore(self, df: DataFrame) -> DataFrame:
         """Event rows with promoted attributes back in the map."""

@@ -380,6 +380,9 @@ def test_generations_bridge_and_migration(spark, tmp_path):
     assert e.generation_migrate(g) >= 1 and e.generation_migrate(g) == 0
     status = e.migration_status()
     assert status[first]["parts"] == 0 and status[g]["rows"] == 60
+    with pytest.raises(M.EngineError, match="retained snapshot"):
+        e.generation_retire(first)
+    assert e.gc(keep=1, now_ms=int(time.time() * 1000) + 3 * 3_600_000)["snapshots"]
     e.generation_retire(first)
     assert first not in e.migration_status()
     cmp = e.generation_compare(["refund payment", "login failure"], "t1", ("flipped:1", "flipped:1"))
@@ -388,6 +391,175 @@ def test_generations_bridge_and_migration(spark, tmp_path):
     assert e.search(M.Query(text="refund payment")).spaces == ("hash-embedder:3",)
 
 
+def test_promotion_across_spaces_needs_a_bridge(spark, tmp_path):
+    class Other(HashEmbedder):
+        model_id = "other"
+
+    e = Engine.init(spark, tmp_path.as_uri(), dim=16, nlist=2, pq_m=2, restarts=1)
+    e.ingest(readers.corpus(spark, 20))
+    g = e.generation_create(Other(16))
+    with pytest.raises(M.EngineError, match="declare a bridge"):
+        e.generation_promote(g)
+    e.bridge_declare("hash-embedder:1", "other:1", "checked")
+    e.generation_promote(g)
+    assert e.snapshot().active == g
+
+
+def test_writers_that_die_or_race(spark, tmp_path, monkeypatch):
+    root = tmp_path.as_uri()
+    e = Engine.init(spark, root, dim=16, nlist=2, pq_m=2, restarts=1)
+    e.ingest(events(spark, [event(i) for i in range(5)]))
+    before = e.snapshot()
+    # dies between the manifest and CURRENT: the commit counts
+    whole = e.store.files.write
+    monkeypatch.setattr(e.store.files, "write", lambda name, text: (_ for _ in ()).throw(OSError("dead")) if name == "CURRENT" else whole(name, text))
+    with pytest.raises(OSError, match="dead"):
+        e.delete(["e00001"])
+    other = Engine(spark, root)
+    assert other.snapshot().id == before.id + 1 and other.snapshot().tombstones == ["e00001"]
+    assert other.sql("SELECT count(*) FROM events", "t1").rows.first()[0] == 4
+    # dies before the manifest: nothing has changed, and the next writer goes on
+    monkeypatch.setattr(e.store.files, "create", lambda name, text: (_ for _ in ()).throw(OSError("dead")))
+    with pytest.raises(OSError, match="dead"):
+        e.delete(["e00002"])
+    assert other.snapshot().id == before.id + 1 and other.delete(["e00003"]) == 1
+    # two writers that both saw the same snapshot: one is refused, whoever of them
+    import concurrent.futures
+
+    base = other.snapshot()
+    writers = [Engine(spark, root) for _ in range(4)]
+
+    def write(k):
+        try:
+            writers[k].store._put(base.data | {"tombstones": [str(k)]}, base.id + 1)
+            return k
+        except M.EngineError:
+            return None
+
+    with concurrent.futures.ThreadPoolExecutor(4) as pool:
+        done = [k for k in pool.map(write, range(4)) if k is not None]
+    assert len(done) == 1 and other.snapshot().tombstones == [str(done[0])] and other.snapshot().id == base.id + 1
+    report = other.fsck()
+    assert report["orphans"] == report["snapshots"] == report["codebooks"] == []
+
+
+def test_current_is_never_missing(spark, tmp_path):
+    from semevra.sources.store import Files
+
+    f = Files(spark, tmp_path.as_uri())
+    f.write("CURRENT", "0")
+    seen = []
+    import threading
+
+    def read():
+        while len(seen) < 300:
+            seen.append(f.read("CURRENT"))
+
+    t = threading.Thread(target=read)
+    t.start()
+    n = 0
+    while t.is_alive():
+        n += 1
+        f.write("CURRENT", str(n))
+    t.join()
+    assert len(seen) >= 300 and all(x.isdigit() for x in seen)
+    assert f.create("one", "a") and not f.create("one", "b") and f.read("one") == "a"
+
+
+def test_search_reads_no_more_than_it_needs(spark, tmp_path):
+    e = Engine.init(spark, tmp_path.as_uri(), dim=32, nlist=8, pq_m=4, seed=7, restarts=1)
+    e.ingest(readers.corpus(spark, 400))
+    e.ingest(readers.corpus(spark, 400, seed=99).withColumns({"event_id": F.concat(F.lit("b"), "event_id"), "event_time": F.col("event_time") + 40 * M.DAY_MS}))
+    q = M.Query(text="refund payment", tenant="t1", k=3, nprobe=1, adaptive=False, candidates=4, rerank=4, explain=True)
+    r = e.search(q)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = r.rows._jdf.queryExecution().executedPlan().toString()
+    x = r.explain
+    # whole rows: only of parts with a candidate, filtered by list, time and id in the scan
+    assert x.candidates_found == 4 and 1 <= x.parts_fetched <= min(4, x.parts_scanned) and x.parts_scanned <= x.parts_total - x.parts_pruned
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert all(f in pushed for f in ("In(event_id", "EqualTo(centroid", "GreaterThanOrEqual(event_time", "LessThanOrEqual(event_time", "EqualTo(tenant_id"))
+    assert x.rows_returned == 3 and x.bytes_fetched == 4 * 4 * 32 and 0 < x.rows_scanned < 800 and x.elapsed_ms >= 0
+    # codes: neither vectors nor bodies
+    book = e.store.codebook(e.snapshot().active)
+    v = e.embedder.embed("refund payment")
+    narrow = e.store.read(e.snapshot().parts).filter(F.col("centroid").isin(x.lists)).select(*search.KEY, "centroid", search.adc(F.col("code"), book.table(v)).alias("dist"))
+    scan = narrow._jdf.queryExecution().executedPlan().toString()
+    schema = scan[scan.index("ReadSchema") :].split("\n")[0]
+    assert "vector" not in schema and "body" not in schema and "code" in schema
+    # the byte budget bounds what is fetched
+    less = e.search(M.Query(text="refund payment", tenant="t1", k=3, nprobe=8, explain=True, fetch_budget_bytes=2 * 4 * 32))
+    assert less.explain.candidates_found == 2 and less.rows.count() == 2
+    # parts without a probed list are not opened
+    snap = e.snapshot()
+    for p in snap.parts:
+        held = {c for s in p["tenants"].values() for c in range(8) if int(s["lists"], 16) >> c & 1}
+        for c in range(8):
+            assert (p in e.store.prune(snap, lists=[c])) == (c in held)
+
+
+def test_large_parts_have_several_files(spark, tmp_path, monkeypatch):
+    from semevra.sources import store as stores
+
+    monkeypatch.setattr(stores, "PART_FILE_ROWS", 50)
+    e = Engine.init(spark, tmp_path.as_uri(), dim=16, nlist=2, pq_m=2, restarts=1)
+    e.ingest(events(spark, [event(i) for i in range(300)]))
+    (part,) = e.snapshot().parts
+    files = [n for n, _ in e.store.files.list(part["path"]) if n.endswith(".parquet")]
+    assert len(files) > 1 and part["rows"] == 300 and e.verify() == []
+    assert len(ids(e.sql("SELECT event_id FROM events LIMIT 400", "t1").rows)) == 300
+
+
+def test_deletes_by_table(spark, tmp_path):
+    e = Engine.init(spark, (tmp_path / "a").as_uri(), dim=16, nlist=2, pq_m=2, restarts=1)
+    e.ingest(events(spark, [event(i) for i in range(10)]))
+    gone = spark.createDataFrame([("e00001",), ("e00002",), ("e00002",), (None,)], "event_id string")
+    assert e.delete(["e00001"]) == 1 and e.delete(gone) == 1 and e.delete(gone) == 0
+    count = lambda x: x.sql("SELECT count(*) FROM events", "t1").rows.first()[0]
+    assert count(e) == 8
+    e.backup((tmp_path / "b").as_uri())
+    assert count(Engine(spark, (tmp_path / "b").as_uri())) == 8
+    e.merge()
+    assert count(e) == 8 and e.snapshot().data["tombstone_tables"] == []
+    assert e.gc(keep=1, now_ms=int(time.time() * 1000) + 3 * 3_600_000)["parts"] and count(e) == 8
+
+
+def test_query_grants(spark, tmp_path):
+    e = Engine.init(spark, tmp_path.as_uri(), dim=16, nlist=2, pq_m=2, restarts=1)
+    e.ingest(events(spark, [event(i) for i in range(5)]))
+    e.policy(spark.createDataFrame([("t1", "hash-embedder", "query", 2), ("t2", "hash-embedder", "ingest", None)], "tenant_id string, model string, purpose string, budget long"))
+    ask = lambda t: e.search(M.Query(text="body number", tenant=t)).rows.count()
+    assert ask("t1") == 5 and ask("t1") == 5
+    with pytest.raises(M.EngineError, match="spent"):
+        ask("t1")
+    assert e.search(M.Query(vector=tuple([1.0] + [0.0] * 15), tenant="t1", exact=True)).rows.count() == 5
+    e.ingest(events(spark, [event(9, tenant="t2")]))
+    for t in ("t2", None):
+        with pytest.raises(M.EngineError, match="no grant"):
+            ask(t)
+    e.policy(None)
+    assert ask("t2") == 1
+
+
+def test_sums_hold_for_every_finite_cost(spark):
+    rng = random.Random(8)
+    groups = {"tiny": [1e-13, 2e-13], "huge": [1e300] * 7, "mixed": [rng.random() * 10.0 ** rng.randint(-320, 290) for _ in range(400)], "cents": [rng.randrange(10_000) / 100 for _ in range(3000)], "zero": [0.0, 0.0], "least": [5e-324] * 3}
+    rows = [event(i, name=g, cost=c) for i, (g, c) in enumerate((g, c) for g, cs in groups.items() for c in cs)]
+    plan = S.bind("SELECT event_name, sum(cost), avg(cost), count(cost) FROM events GROUP BY event_name", "t1")
+    import math
+
+    for parts in (1, 7):
+        got = {r[0]: r[1:] for r in run_plan(plan, events(spark, rows).repartition(parts)).collect()}
+        for g, cs in groups.items():
+            want = math.fsum(cs)
+            assert abs(got[g][0] - want) <= abs(want) * 3e-16 and got[g][2] == len(cs), g
+            assert abs(got[g][1] - want / len(cs)) <= abs(want) * 3e-16
+        first = got if parts == 1 else first
+    assert first == got
+    inf = run_plan(S.bind("SELECT sum(cost) FROM events", "t1"), events(spark, [event(0, cost=float("inf")), event(1)])).first()[0]
+    assert inf == float("inf")
+
+
 # analytics -------------------------------------------------------------------------------------------------------------
 
 
@@ -452,6 +624,43 @@ def test_novelty_drift_and_diff(spark, tmp_path):
     assert sum(r["count"] for r in c.summary.collect()) == 125
 
 
+def test_baseline_states(spark, tmp_path):
+    class Two(HashEmbedder):
+        model_id = "two"
+
+    e = Engine.init(spark, tmp_path.as_uri(), dim=64, nlist=2, pq_m=2, restarts=1)
+    rows = readers.cluster_corpus(spark, 300)
+    e.ingest(rows.filter("event_id < 'e'") if rows.filter("event_id < 'e'").count() else rows)
+    e.baseline_build("alpha")
+    old = e.snapshot().active
+    first = e._baselines(e.snapshot(), "alpha")[old]
+    assert e.baselines_refresh() == {"alpha": "ok"} and e._baselines(e.snapshot(), "alpha")[old] == first
+    late = 3_000_000_000_000
+    e.ingest(rows.withColumns({"event_id": F.concat(F.lit("late"), "event_id"), "event_time": F.col("event_time") + late}))
+    assert e.redact_bodies(late, "retention") > 0
+    e.bridge_declare("hash-embedder:1", "two:1", "checked")
+    g = e.generation_create(Two(64))
+    e.generation_promote(g)
+    assert e.generation_migrate(g) > 0
+    # what is redacted cannot follow, so the new generation is not watched, and says so; the old one still is
+    assert e.baselines_refresh() == {"alpha": "degraded"}
+    states = {k: (b.state, b.reason) for k, b in e._baselines(e.snapshot(), "alpha").items()}
+    assert states[old] == ("ok", "") and states[g][0] == "degraded" and "redacted" in states[g][1]
+    d = {r.generation: r for r in e.drift_check("alpha").collect()}
+    assert (d[old].status, d[g].status, d[g].novel, d[g].fires) == ("ok", "degraded", None, None) and d[g].rows == 300
+    with pytest.raises(M.EngineError, match="degraded"):
+        e.novelty_against("alpha")
+
+
+def test_order_statistic(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=500), rng.normal(size=100) * 1e-300, [0.0, -0.0, 1e300, -1e300], np.repeat(0.25, 50)])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(5)
+    s = np.sort(x)
+    for rank in (0, 1, 160, 333, len(x) - 2, len(x) - 1):
+        assert analytics.order_statistic(df, "v", rank) == s[rank]
+
+
 def test_baseline_is_fitted_to_all_rows(spark):
     rng = np.random.default_rng(4)
     means = np.eye(16)
