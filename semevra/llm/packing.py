@@ -1,10 +1,11 @@
 """Best-fit packing by a grouping genetic algorithm (Falkenauer), as islands with elite migration.
 
 Documents, as lengths in words, fill bins of ``capacity``. Hash blocks of documents are packed apart; each block is
-evolved on several islands. A crossover injects the best-filled bins of one parent into the other, removes the bins that
-then hold a document twice, and best-fits the displaced documents. After each epoch every island gets the elite of its
-left neighbour. The block's best packing counts; its last, badly filled bins go back and are packed with those of other
-blocks.
+evolved on several islands. A crossover injects the best-filled bins of one parent into the other and removes the bins that
+then hold a document twice; displaced documents first replace lesser ones in bins that they fill better, and the rest goes by
+best fit. After each epoch every island gets the elite of its left neighbour. The block's best packing counts; its last, badly
+filled bins go back and are packed with those of other blocks. Evolution ends when no packing can have fewer bins, by Martello
+and Toth's lower bound.
 """
 
 from __future__ import annotations
@@ -23,13 +24,28 @@ from semevra.session import bounded_batches, materialise
 
 CAPACITY = 4096
 BLOCK = 2048
-ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 3
-POPULATION = 4
+ISLANDS = 4
+EPOCHS = 3
+GENERATIONS = 8
+POPULATION = 8
 GOOD_FILL = 0.98
 
 
+def lower_bound(size: list[int], capacity: int) -> int:
+    """Bins that any packing needs: Martello and Toth's L2, which is at least the sum over the capacity."""
+    s = np.sort(np.array(size, np.int64))[::-1]
+    if not len(s):
+        return 0
+    total = np.r_[0, np.cumsum(s)]
+    upto = lambda x: np.searchsorted(-s, -x, "left")  # noqa: E731  items greater than x
+    a = np.unique(np.r_[0, s[s <= capacity // 2]])
+    big, half, small = upto(capacity - a), int(upto(np.array([capacity // 2]))[0]), np.searchsorted(-s, -a, "right")
+    small = np.maximum(small, half)
+    free = (half - big) * capacity - (total[half] - total[big])
+    rest = np.maximum(0, -((free - (total[small] - total[half])) // capacity))
+    return int((half + rest).max())
+
+
 def best_fit(items: list[int], size: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
     """Put ``items``, largest first, each into the bin with the least room that holds it, or into a new one."""
     open_ = sorted((r, i) for i, r in enumerate(room) if r > 0)
@@ -55,13 +71,46 @@ def fitness(room: list[int], capacity: int) -> float:
     return float((fill * fill).mean()) if len(room) else 1.0
 
 
+def improve(bins: list[list[int]], room: list[int], loose: list[int], size: list[int]) -> list[int]:
+    """Let items of ``loose`` take the places of lesser ones, one for one or two for one, where a bin is fuller then; what is loose afterwards."""
+    pool = sorted((size[x], x) for x in loose)
+    for b, g in enumerate(bins):
+        if not pool:
+            break
+        k = 0
+        while room[b] and k < len(g):
+            x = g[k]
+            low, high = size[x], size[x] + room[b]
+            at = bisect_left(pool, (high + 1, -1)) - 1
+            best, pair = (pool[at][0], (at,)) if at >= 0 and pool[at][0] > low else (low, ())
+            i, j = 0, at  # two of the loose, as full as can be
+            while best < high and i < j:
+                both = pool[i][0] + pool[j][0]
+                if both > high:
+                    j -= 1
+                    continue
+                if both > best:
+                    best, pair = both, (i, j)
+                i += 1
+            if pair:
+                new = [pool[p][1] for p in pair]
+                for p in reversed(pair):
+                    del pool[p]
+                insort(pool, (low, x))
+                g[k : k + 1] = new
+                room[b] = high - best
+            k += 1
+    return [x for _, x in pool]
+
+
 def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int, rng: np.random.Generator) -> tuple[list[list[int]], list[int]]:
-    """A child: ``b`` with whole well-filled bins of ``a`` injected; also drops a few random bins (mutation)."""
+    """A child: ``b`` with whole well-filled bins of ``a`` injected; also drops a few of the worst bins (mutation)."""
     fill = np.array([sum(size[x] for x in g) for g in a]) / capacity
     take = np.flatnonzero(rng.random(len(a)) < np.where(fill >= np.quantile(fill, 0.5), 0.3, 0.0))
     bins = [list(a[i]) for i in take]
     used = {x for g in bins for x in g}
-    drop = rng.random(len(b)) < 0.03
+    left = np.array([capacity - sum(size[x] for x in g) for g in b])
+    drop = (rng.random(len(b)) < 0.02) | ((left > 0) & (rng.random(len(b)) < 0.3 * left / max(1, left.max())))
     loose: list[int] = []
     for g, gone in zip(b, drop):
         clash = not used.isdisjoint(g)
@@ -70,13 +119,15 @@ def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity:
         else:
             bins.append(list(g))
     room = [capacity - sum(size[x] for x in g) for g in bins]
-    best_fit(loose, size, bins, room, capacity)
+    best_fit(improve(bins, room, loose, size), size, bins, room, capacity)
     return bins, room
 
 
 def evolve(size: list[int], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION, guests: list[list[list[int]]] | None = None) -> tuple[list[list[int]], list[int]]:
     """The best packing (bins, room) after some generations; ``guests`` are packings that join the first population."""
     rng = np.random.Generator(np.random.PCG64(seed))
+    rank = lambda p: (len(p[0]), -fitness(p[1], capacity))
+    least = lower_bound(size, capacity)
     pool = []
     for g in guests or []:
         pool.append((g, [capacity - sum(size[x] for x in b) for b in g]))
@@ -98,9 +149,12 @@ def evolve(size: list[int], capacity: int, seed: int, generations: int = GENERAT
             held = set(head)
             best_fit([x for x in range(len(size)) if x not in held], size, bins, room, capacity)
         pool.append((bins, room))
-    rank = lambda p: (len(p[0]), -fitness(p[1], capacity))
+        if len(pool[-1][0]) <= least:
+            return pool[-1]
     pool.sort(key=rank)
     for _ in range(generations):
+        if len(pool[0][0]) <= least:
+            break
         kids = []
         for i in range(population // 2):
             j = int(rng.integers(0, len(pool)))
