@@ -2,8 +2,9 @@
 
 All pairs of a bucket are candidates, but few need a look. First each member is compared with one centre of its bucket
 (another one in each bucket, chosen by hash), and the verified pairs are contracted. Then only pairs of a bucket whose
-members are still in different components are formed, all of them. Either way the components are those of all candidate
-pairs that verify; a bucket of n copies of one text costs n comparisons, not n^2.
+members are still in different components are formed. Where a bucket still holds more than HOT components, unlike rows have met
+by chance or by a common passage: it is split by further hashes first, again and again, so that no bucket is ever squared that
+could be made smaller. A bucket of n copies of one text costs n comparisons, not n^2.
 """
 
 from __future__ import annotations
@@ -18,18 +19,63 @@ from pyspark.sql import functions as F
 from semevra.session import broadcast_if_small, discard, materialise
 
 
+#: Components of one bucket that are compared pair by pair; splits of larger ones, one within another, at most.
+HOT, SPLITS = 256, 3
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id of its component) of the ids that are not the least, for one piece of an edge list."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while len(x):
+        p, q = label[x], label[y]
+        open_ = p != q
+        x, y, p, q = x[open_], y[open_], p[open_], q[open_]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while True:  # every label is a root again
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    held = 0
+    for batch in batches:
+        a.append(batch.column("a").to_numpy())
+        b.append(batch.column("b").to_numpy())
+        held += batch.num_rows
+        if held > 1 << 22:  # what a task holds is bounded
+            x, y = contract(np.concatenate(a), np.concatenate(b))
+            a, b, held = [x], [y], 0
+            if len(x) > 1 << 21:
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    x, y = contract(np.concatenate(a), np.concatenate(b))
+    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) for the ends of ``edges`` (a, b), label being the least id of the component.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014), with each step's edges written to the shared
-    folder. Self-loops keep their node as a component of its own. An empty input gives an empty result. Edges that do not
-    settle in ``rounds`` rounds (their number grows with the logarithm of the longest path) raise an error.
+    Each task contracts its own piece of the edges. Then alternating large-star and small-star steps (Kiveris et al. 2014)
+    join the pieces, with each step's edges written to the shared folder. Self-loops keep their node as a component of its own.
+    An empty input gives an empty result. Edges that do not settle in ``rounds`` rounds (their number grows with the logarithm
+    of the longest path) raise an error.
     """
-    every = materialise(edges.dropna().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def count(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+    every = materialise(edges.dropna().select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     loops = every.filter("a = b").select(F.col("a").alias("id"))
-    e = every.filter("a <> b")
-    last = None
-    for _ in range(rounds):
+    e = materialise(every.filter("a <> b").mapInArrow(_contract, "a long, b long"))
+    last = count(e)
+    for _ in range(rounds if last[0] else 0):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -38,12 +84,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         before, e = e, materialise(small.filter("a <> b").distinct())
         discard(before)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        now = count(e)
         if now == last:
             break
         last = now
     else:
-        raise RuntimeError(f"components have not settled in {rounds} rounds")
+        if last[0]:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("label"))
     roots = e.select(F.col("b").alias("id")).unionByName(loops)
     return labels.unionByName(roots.distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label")))
@@ -90,26 +137,42 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return p.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, that share a bucket and have different labels; ids without a label are their own."""
+def cross_pairs(buckets: DataFrame, labels: DataFrame, refine: Callable[[DataFrame, int], DataFrame], depth: int = 1) -> DataFrame:
+    """Distinct (a, b), a < b, that share a bucket and have different labels; ids without a label are their own.
+
+    Buckets of more than HOT labels give the pairs that share a bucket of theirs after ``refine``.
+    """
     b = buckets.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
     open_ = b.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
     b = materialise(b.join(open_, "bucket"))
     parts = b.select("bucket", "label").distinct()
+    crowded = materialise(parts.groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket")) if depth <= SPLITS else None
+    finer: DataFrame | None = None
+    if crowded is not None and not crowded.isEmpty():
+        split = materialise(shared(refine(b.join(crowded, "bucket").select("bucket", "id"), depth)))
+        finer = cross_pairs(split, labels, refine, depth + 1)
+        b = materialise(b.join(crowded, "bucket", "left_anti"))
+        parts = b.select("bucket", "label").distinct()
     split = parts.alias("x").join(parts.alias("y"), "bucket").filter("x.label < y.label").select("bucket", F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
     p = split.join(b.select("bucket", F.col("label").alias("la"), F.col("id").alias("a")), ["bucket", "la"])
     p = p.join(b.select("bucket", F.col("label").alias("lb"), F.col("id").alias("b")), ["bucket", "lb"])
-    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    p = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return (p if finer is None else p.unionByName(finer)).distinct()
 
 
-def group(buckets: DataFrame, sieve: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], same: DataFrame) -> DataFrame:
-    """(id, label) of the ids in verified pairs, or in pairs (a, b) of ``same``, which need no verification.
+def group(buckets: DataFrame, sieve: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame] | None, same: DataFrame, refine: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(id, label) of the ids in verified pairs, or in pairs (a, b) of ``same``, which are verified already.
 
     ``sieve`` maps pairs (a, b) to those worth verifying with an estimate (a, b, est); ``verify`` maps pairs to the true
-    ones. Of the first survivors, verification begins with each id's best; the rest follow only where their ends are
-    still in different components.
+    ones, and is None where the sieve's are. Of the first survivors, verification begins with each id's best; the rest follow
+    only where their ends are still in different components. ``refine`` (rows, depth) splits crowded buckets.
     """
     first = materialise(sieve(star_pairs(buckets)))
+    if verify is None:
+        one = first.select("a", "b")
+        labels = materialise(components(one))
+        two = materialise(sieve(cross_pairs(buckets, labels, refine)).select("a", "b"))
+        return components(one.unionByName(two).unionByName(same))
     ends = first.select(F.col("a").alias("id"), "est", "a", "b").unionByName(first.select(F.col("b").alias("id"), "est", "a", "b"))
     best = ends.groupBy("id").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     one = materialise(verify(best))
@@ -118,6 +181,6 @@ def group(buckets: DataFrame, sieve: Callable[[DataFrame], DataFrame], verify: C
     rest = rest.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
     rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     # What the sieve refused once it refuses again; only unseen pairs are worth its time.
-    later = sieve(cross_pairs(buckets, labels)).select("a", "b")
+    later = sieve(cross_pairs(buckets, labels, refine)).select("a", "b")
     two = verify(rest.unionByName(later).distinct())
     return components(one.unionByName(materialise(two)).unionByName(same))
