@@ -279,7 +279,48 @@ def test_components(spark):
     assert {k: v for k, v in got.items() if k != v} == _least(pairs) and got[500] == 500
     assert grouping.components(spark.createDataFrame([], "a long, b long")).count() == 0
     with pytest.raises(RuntimeError, match="settled"):
-        grouping.components(spark.createDataFrame(pairs, "a long, b long"), rounds=2)
+        grouping.components(spark.createDataFrame(pairs, "a long, b long"), rounds=0)
+
+
+def test_contracted_pieces_keep_their_components():
+    rng = np.random.default_rng(43)
+    for n in (1, 5, 60, 2000):
+        a, b = rng.integers(0, n, n), rng.integers(0, n, n)
+        x, y = grouping.contract(a, b)
+        assert dict(zip(x.tolist(), y.tolist())) == _least(list(zip(a.tolist(), b.tolist())))
+    assert len(grouping.contract(np.arange(99), np.arange(1, 100))[0]) == 99 and not len(grouping.contract(np.zeros(0, int), np.zeros(0, int))[0])
+
+
+def test_components_of_many_pieces(spark):
+    rng = random.Random(44)
+    pairs = [(i, i + 1) for i in range(0, 3000)] + [(rng.randrange(10_000, 14_000), rng.randrange(10_000, 14_000)) for _ in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.label for r in grouping.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {k: v for k, v in got.items() if k != v} == _least(pairs)
+
+
+def test_crowded_buckets_are_split_before_they_are_squared(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "HOT", 8)
+    b = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 0), (2, 50)], "bucket long, id long")
+    none = spark.createDataFrame([], "id long, label long")
+    finer = lambda rows, depth: rows.select((F.col("bucket") * 100 + F.floor(F.col("id") / 4)).alias("bucket"), "id")
+    got = {tuple(r) for r in grouping.cross_pairs(b, none, finer).collect()}
+    assert got == {(x, y) for x in range(40) for y in range(x + 1, 40) if x // 4 == y // 4} | {(0, 50)}
+    # what no split parts is compared in full
+    got = grouping.cross_pairs(b, none, lambda rows, depth: rows).count()
+    assert got == 40 * 39 // 2 + 1
+    # and near copies are found all the same
+    monkeypatch.setattr(grouping, "HOT", 2)
+    rng = random.Random(45)
+    base = prose(80, rng)
+    rows = [(i, _near(base, 0.12, rng)) for i in range(30)] + [(100 + i, prose(80, rng)) for i in range(20)]
+    sets = [(i, frozenset(zip(*[found(t)[k:] for k in range(3)]))) for i, t in rows]
+    want = _least([(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if len(s & t) / len(s | t) >= minhash.THRESHOLD])
+    got = {r.doc_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got <= set(want) and len(got) >= 0.95 * len(want)
 
 
 def test_shared_buckets(spark):
@@ -368,6 +409,23 @@ def test_embeddings_against_brute_force(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_units_and_signs_against_plain_numpy():
+    rows = [[3.0, 4.0], None, [], [0.0, 0.0], [1.0, None], [float("inf"), 1.0], [float("nan")], [1e30, 1e30, 0.0], [5.0], [1.0, 2.0]]
+    keep, packed_ = neighbours.units(pa.array(range(len(rows)))[2:], pa.array(rows, pa.list_(pa.float32()))[2:])
+    assert keep.to_pylist() == [7, 8, 9]
+    got = [np.frombuffer(x, np.float32).tolist() for x in packed_.to_pylist()]
+    assert np.allclose(got[0], [0.5**0.5, 0.5**0.5, 0]) and got[1] == [1.0] and np.allclose(got[2], np.array([1, 2]) / 5**0.5)
+    rng = np.random.default_rng(46)
+    x = rng.normal(size=(50, 16)).astype(np.float32)
+    x[1] = x[0]
+    x[2] = -x[0]
+    (part, key), = neighbours.signs(np.arange(50), neighbours.packed(x.ravel(), np.full(50, 16)), 11, 7, {})
+    planes = np.random.Generator(np.random.PCG64(16)).standard_normal((16, 77), dtype=np.float32)
+    on = (x @ planes > 0).reshape(50, 7, 11)
+    same = (on[:, None] == on[None]).all(3)
+    assert ((key[:, None] == key[None]) == same).all() and len(part) == 50
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -674,6 +732,69 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(d.limit(0)).count() == 0
 
 
+def _fewest(size, capacity):
+    best = [len(size)]
+    size = sorted(size, reverse=True)
+
+    def place(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(size):
+            best[0] = len(room)
+            return
+        for r in set(room):
+            if r >= size[i]:
+                rest = list(room)
+                rest[rest.index(r)] -= size[i]
+                place(i + 1, rest)
+        place(i + 1, [*room, capacity - size[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_of_small_sets_is_optimal():
+    rng = random.Random(70)
+    hits = 0
+    for n in range(60):
+        size = [rng.randint(3, 14) for _ in range(rng.randint(1, 11))]
+        best = _fewest(size, 20)
+        assert -(-sum(size) // 20) <= packing.lower_bound(size, 20) <= best
+        got = len(packing.evolve(size, 20, n)[0])
+        assert got >= best
+        hits += got == best
+    assert hits >= 57
+
+
+def test_evolution_saves_bins_where_best_fit_does_not():
+    """Triplets that fill their bins exactly: best fit alone is far off. Without generations nothing is gained."""
+    rng = random.Random(71)
+    size = []
+    for _ in range(120):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        size += [a, b, 1000 - a - b]
+    bins, room = [], []
+    packing.best_fit(list(range(len(size))), size, bins, room, 1000)
+    best, left = packing.evolve(size, 1000, 1)
+    assert packing.lower_bound(size, 1000) == 120 <= len(best) <= len(bins) - 8
+    assert len(packing.evolve(size, 1000, 1, generations=0)[0]) > len(best)
+    assert sorted(x for g in best for x in g) == list(range(360)) and min(left) >= 0
+
+
+def test_packing_of_documents_by_evolution(spark):
+    rng = random.Random(72)
+    rows = []
+    for _ in range(60):
+        a = rng.randint(38, 49)
+        b = rng.randint(25, (100 - a) // 2)
+        rows += [(len(rows), prose(a, rng)), (len(rows) + 1, prose(b, rng)), (len(rows) + 2, prose(100 - a - b, rng))]
+    out = packing.pack(docs(spark, rows), capacity=100, block=200)
+    bins, room = [], []
+    packing.best_fit(list(range(180)), [len(found(t)) for _, t in rows], bins, room, 100)
+    assert out.select("bin").distinct().count() < len(bins)
+
+
 def test_evolution_is_no_worse_than_best_fit():
     rng = random.Random(18)
     size = [rng.randint(20, 70) for _ in range(200)]
