@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Training streams a bounded, hash-ordered sample of labelled rows (``max_labelled``) through one executor task; the L1
-penalty leaves a short list of weights, which alone reach the driver. Scoring is one pass over the documents with the
-dense table of 2^bits single floats broadcast: its size is fixed and does not follow the data.
+Texts of a bounded, hash-ordered sample of labelled rows (``max_labelled``) become sets of hashed features where they lie; one
+executor task streams the sets, of at most 2^bits features each, through the learner. The L1 penalty leaves a short list of
+weights, which alone reach the driver and are broadcast: its size is bounded by 2^bits and does not follow the data. The bias
+is shifted to where a held-out fifth of the sample is parted best, so 0.5 is the cut point, not a calibrated probability.
 """
 
 from __future__ import annotations
@@ -82,20 +83,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bi
     bounded_batches(docs)
     lab = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
     lab = lab.orderBy(F.xxhash64("k"), "k").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).dropna().join(F.broadcast(lab), "k").select(F.xxhash64("k", "t").alias("o"), "y", "t")
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).dropna().join(F.broadcast(lab), "k").select(F.xxhash64("k", "t").alias("o"), "y", "t")
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs: list[np.ndarray] = []
-        ys: list[int] = []
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in T.slices(b, "t"):
-                w = T.words(s.column("t"))
-                idx, own = features(w, bits)
+                idx, own = features(T.words(s.column("t")), bits)
                 key = np.unique((own.astype(np.int64) << bits) | idx)
                 cut = np.searchsorted(key >> bits, np.arange(s.num_rows + 1))
                 low = (key & ((1 << bits) - 1)).astype(np.int32)
-                xs += [low[a:z] for a, z in zip(cut, cut[1:])]
-                ys += s.column("y").to_pylist()
+                yield pa.RecordBatch.from_arrays([s.column("o"), s.column("y"), pa.array([low[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["o", "y", "x"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs: list[np.ndarray] = []
+        ys: list[int] = []
+        for b in batches:
+            xs += [np.frombuffer(x, np.int32) for x in b.column("x").to_pylist()]
+            ys += b.column("y").to_pylist()
         if xs:
             y = np.array(ys, float)
             b0 = -cut_point(xs, y, bits)
@@ -104,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bi
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[b0, w[at]])], ["i", "w"])
 
-    got = rows.repartition(1).sortWithinPartitions("o", "y").mapInArrow(train, "i int, w double").toArrow()
+    rows = rows.mapInArrow(sets, "o long, y int, x binary")
+    got = rows.repartition(1).sortWithinPartitions("o", "y", "x").mapInArrow(train, "i int, w double").toArrow()
     weights, bias = np.zeros(1 << bits, np.float32), -5.0
     i, w = got.column("i").to_numpy(), got.column("w").to_numpy()
     weights[i[i >= 0]] = w[i >= 0]
@@ -116,16 +121,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bi
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, toxicity, toxic) for every row that has an id.
 
-    toxicity is the probability over the distinct features of the whole text; toxic is ``toxicity >= 0.5``. Null and
-    empty texts score by the bias alone. Repeated rows give repeated, equal results; rows without an id give none; other
+    toxicity is the model's value, from 0 to 1, over the distinct features of the whole text, very long ones included; toxic is
+    ``toxicity >= 0.5``. Null and empty texts score by the bias alone. Repeated rows give repeated, equal results; rows without an id give none; other
     columns are not looked at. An empty table gives an empty result.
     """
     bounded_batches(docs)
     bits = int(len(weights)).bit_length() - 1
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+    at = np.flatnonzero(weights).astype(np.int32)
+    held = docs.sparkSession.sparkContext.broadcast((at, weights[at].astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
+        table = np.zeros(1 << bits, np.float32)
+        table[held.value[0]] = held.value[1]
         for b in batches:
             for s in T.slices(b, "t"):
                 idx, own = features(T.words(s.column("t")), bits)
