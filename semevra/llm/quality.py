@@ -3,7 +3,8 @@
 A logistic model over text statistics gives each document a log-odds of being good. Grouped sums turn those into
 posteriors of hosts, shrunk toward the corpus, and of paths, shrunk toward their host; the strength of either shrinkage
 is the method-of-moments ratio of the variance within groups to that between them. A document is kept if its own
-evidence, with its path's posterior as the prior odds, makes it at least as likely good as bad.
+evidence, with its path's posterior as the prior odds, makes it at least as likely good as bad. That posterior leaves the
+document itself out, so on a sparse site its evidence does not count twice.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def _kappa(within: float, between: float) -> float:
 
 
 def posteriors(paths: DataFrame) -> DataFrame:
-    """(host, path, host_quality, path_quality) from sums (host, path, n, s, ss) of the documents' probabilities.
+    """(host, path, host_quality, path_quality, and what they are made of) from sums (host, path, n, s, ss) of the documents' probabilities.
 
     An empty input gives an empty result. One host, or one path a host, has no variance between groups: the parent's
     value holds.
@@ -141,8 +142,16 @@ def posteriors(paths: DataFrame) -> DataFrame:
         host_var = (t["hms"] - t["s"] ** 2 / n - (t["nh"] - 1) * within) / max(n - t["hn2"] / n, 1e-9) if t["nh"] > 1 else 0.0
         path_var = (t["pms"] - t["hms"] - (t["np"] - t["nh"]) * within) / max(n - t["pn2h"], 1e-9) if t["np"] > t["nh"] else 0.0
         kh, kp = _kappa(within, host_var), _kappa(within, path_var)
-    hosts = hosts.select("host", ((F.col("hs") + F.lit(kh * mu)) / (F.col("hn") + F.lit(kh))).alias("host_quality"))
-    return paths.join(hosts, "host").select("host", "path", "host_quality", ((F.col("s") + F.lit(kp) * F.col("host_quality")) / (F.col("n") + F.lit(kp))).alias("path_quality"))
+    hosts = hosts.select("host", "hn", "hs")
+    p = paths.select("host", "path", "n", "s").join(hosts, "host").withColumns({"mu": F.lit(mu), "kh": F.lit(kh), "kp": F.lit(kp)})
+    h, q = shrunk(F.lit(0.0), F.lit(0))
+    return p.withColumns({"host_quality": h, "path_quality": q})
+
+
+def shrunk(own: Column, left_out: Column) -> tuple[Column, Column]:
+    """Posteriors of host and path from the columns of ``posteriors``, without ``left_out`` (0 or 1) documents of value ``own``."""
+    h = (F.col("hs") - own + F.col("kh") * F.col("mu")) / (F.col("hn") - left_out + F.col("kh"))
+    return h, (F.col("s") - own + F.col("kp") * h) / (F.col("n") - left_out + F.col("kp"))
 
 
 def judge(docs: DataFrame, model: tuple, text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
@@ -150,7 +159,8 @@ def judge(docs: DataFrame, model: tuple, text_col: str = "text", host: Column |
 
     quality is the posterior probability of good; keep is ``quality >= 0.5``. By default the host is the column source and
     the path the column lang below it. A null host or path counts as the empty one. Null and empty texts are judged by their
-    (zero) statistics. Repeated rows are judged alike, and each counts in its path. Columns of the input may have any names.
+    (zero) statistics, very long ones by those of the whole text. The only document of a site has the corpus's mean as its prior.
+    Repeated rows are judged alike, and each counts in its path. Columns of the input may have any names.
     An empty table gives an empty result. A hot host is no problem: the sums are combined map-side and the site table is
     joined by broadcast while its counted size allows.
     """
@@ -165,7 +175,8 @@ def judge(docs: DataFrame, model: tuple, text_col: str = "text", host: Column |
     sums = scored.select("host", "path", F.round(p * unit).cast("long").alias("u")).groupBy("host", "path")
     sums = sums.agg(F.count("*").alias("n"), F.sum("u").alias("u"), F.sum(F.round(F.col("u").cast("double") * F.col("u") / unit).cast("long")).alias("uu"))
     paths = materialise(sums.select("host", "path", F.col("n").cast("double").alias("n"), (F.col("u") / unit).alias("s"), (F.col("uu") / unit).alias("ss")))
-    q = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("path_quality")))
+    _, q = shrunk(F.round(p * unit).cast("long") / unit, F.lit(1))
+    q = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), q))
     quality = 1 / (1 + F.exp(-(F.col("l") - F.lit(prior) + F.log(q / (1 - q)))))
     out = scored.join(broadcast_if_small(materialise(posteriors(paths))), ["host", "path"]).withColumn("quality", quality)
     return out.select("doc", "host", "path", "host_quality", "path_quality", "quality", (F.col("quality") >= 0.5).alias("keep"))
