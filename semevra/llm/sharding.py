@@ -4,6 +4,9 @@ A partial partition is k sums with the groups in each. The method repeatedly tak
 (largest less smallest sum) and adds them in opposite order, large onto small. Partial partitions stay closed under that
 step, so it runs as a tree: hash blocks of groups are differenced in parallel, each to one partial partition, and those
 k sums a block are differenced again, until one is left. What a task holds is bounded by the block size.
+
+Adding two partial partitions in opposite order never makes a spread larger than the larger of the two, so with blocks as
+without, the fullest shard exceeds the emptiest by no more than the bytes of the largest group.
 """
 
 from __future__ import annotations
@@ -93,7 +96,7 @@ def assign_groups(sizes: DataFrame, shards: int = SHARDS, block: int = BLOCK) ->
 def shard(docs: DataFrame, shards: int = SHARDS, keys: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, shard, group_bytes) for every row; rows equal in all ``keys`` go to one shard.
 
-    Bytes are those of the whole UTF-8 text; null and empty texts have none. A null key is a value of its own. Rows
+    Bytes are those of the whole UTF-8 text, however long; null and empty texts have none. A null key is a value of its own. Rows
     without an id keep a null one; repeated rows count each. Groups of equal size are taken in the order of their keys, so
     ties have one result. With fewer groups than shards some shards stay empty. An empty table gives an empty result.
     """

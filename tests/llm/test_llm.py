@@ -211,6 +211,49 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert not empty[0].any() and toxicity.score(d.limit(0), *empty).count() == 0
 
 
+def test_ftrl_against_the_formulas_one_coordinate_at_a_time():
+    rng = np.random.default_rng(80)
+    rows = [np.unique(rng.integers(0, 32, rng.integers(0, 9))).astype(np.int32) for _ in range(120)]
+    y = (rng.random(120) < 0.4).astype(float)
+    alpha, beta, l1, l2 = 0.3, 1.0, 1.5, 1.0
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i, cut):
+        return 0.0 if abs(z[i]) <= cut else -(z[i] - math.copysign(cut, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for x, t in zip(rows, y):
+            w = {i: weight(i, l1) for i in x.tolist()} | {"bias": weight("bias", 0.0)}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - t
+            for i, v in w.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * v
+                n[i] += g * g
+    got, bias = toxicity.ftrl(rows, y, 5, alpha, beta, l1, l2, 3)
+    assert np.allclose(got, [weight(i, l1) for i in range(32)]) and abs(bias - weight("bias", 0.0)) < 1e-12
+    assert 0 < (got == 0).sum() < 32  # the penalty leaves some out
+
+
+def test_toxicity_query_against_brute_force(spark, tmp_path):
+    from semevra.llm import queries
+
+    rng = random.Random(81)
+    rows = [(i, " ".join([*prose(30, rng).split(), *(["zorga", "mufsk"] if i % 3 == 0 else [])])) for i in range(150)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.toxicity for r in queries.op2_toxicity(spark, str(tmp_path)).collect()}
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = [r.doc_id for r in d.filter("doc_id < 100").orderBy(F.xxhash64("doc_id", "text")).select("doc_id").collect()]
+    text = dict(rows)
+    sets = lambda t: np.unique(toxicity.features(T.words(pa.array([t])))[0])
+    xs, y = [sets(text[i]) for i in order], np.array([float(i % 3 == 0) for i in order])
+    w, b = toxicity.ftrl(xs, y)
+    b -= toxicity.cut_point(xs, y, toxicity.BITS)
+    score = {i: 1 / (1 + math.exp(-(float(w[sets(t)].astype(np.float32).sum()) + b))) for i, t in rows}
+    assert set(got) == {i for i, s in score.items() if s >= 0.5} and len(got) >= 45
+    assert all(abs(got[i] - score[i]) < 1e-4 for i in got)
+
+
 def test_toxicity_score_is_the_sum_of_distinct_feature_weights(spark):
     w = np.zeros(1 << 10, np.float32)
     w[:] = np.random.default_rng(0).normal(0, 0.2, 1 << 10)
@@ -455,6 +498,14 @@ def test_sharding_balances_like_the_textbook(spark):
     for r in tree:
         sums[r.shard] += r.bytes
     assert max(sums.values()) < 1.05 * sum(sizes) / 4
+    for seed, block in ((1, 16), (2, 20), (3, 1000)):
+        rng = random.Random(seed)
+        sizes = [int(1000 / rng.random()) for _ in range(200)]
+        df = spark.createDataFrame([(f"g{i:03}", s) for i, s in enumerate(sizes)], "g string, bytes long")
+        sums = collections.Counter({k: 0 for k in range(4)})
+        for r in sharding.assign_groups(df, 4, block=block).collect():
+            sums[r.shard] += r.bytes
+        assert max(sums.values()) - min(sums.values()) <= max(sizes)
 
 
 def test_shard_odd_rows(spark):
@@ -497,7 +548,7 @@ def test_posteriors_shrink_as_the_formulas_say(spark):
     for h in range(6):
         for p in range(4):
             n = int(rng.integers(1, 60))
-            x = np.clip(rng.normal(0.3 + 0.1 * h, 0.1, n), 0, 1)
+            x = np.clip(rng.normal(0.2 + 0.1 * h + 0.04 * p, 0.1, n), 0, 1)
             docs_ += [(h, p, v) for v in x]
             rows.append((f"h{h}", f"p{p}", float(n), float(x.sum()), float((x * x).sum())))
     got = {(r.host, r.path): r for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, n double, s double, ss double")).collect()}
@@ -512,8 +563,49 @@ def test_posteriors_shrink_as_the_formulas_say(spark):
     kh = within / tau
     for h, x in hs.items():
         assert abs(got[f"h{h}", "p0"].host_quality - (x.sum() + kh * mu) / (len(x) + kh)) < 1e-6
-    sizes = [len(got)]
-    assert sizes == [24] and all(min(r.host_quality, rows[i][3] / rows[i][2]) - 1e-9 <= r.path_quality <= max(r.host_quality, rows[i][3] / rows[i][2]) + 1e-9 for i, r in enumerate(got[k[0], k[1]] for k in rows))
+    k = both
+    mean_in = sum(len(x) * (x.mean() - hs[int(c) // 4].mean()) ** 2 for c, x in group(k).items())
+    tau = (mean_in - (24 - 6) * within) / (n - sum(sum((k == c).sum() ** 2 for c in np.unique(k[host == h])) / len(x) for h, x in hs.items()))
+    kp = within / tau
+    assert len(got) == 24
+    for c, x in group(k).items():
+        r = got[f"h{int(c) // 4}", f"p{int(c) % 4}"]
+        assert abs(r.path_quality - (x.sum() + kp * r.host_quality) / (len(x) + kp)) < 1e-6
+
+
+def test_quality_query_against_brute_force(spark, tmp_path):
+    from semevra.llm import queries
+
+    rng = random.Random(82)
+    rows, labels = [], []
+    for i in range(240):
+        t = ". ".join(prose(9, rng).capitalize() for _ in range(5))
+        good = rng.random() < (0.9 if i % 4 else 0.3)
+        rows.append((i, t if good else t.upper().replace(" ", "!! "), f"l{i % 3}", f"s{i % 4}", 0))
+        labels.append((i, int(good), 0))
+    rows.append((900, rows[1][1], "alone", "alone", 0))
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels[:120], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op6_quality(spark, str(tmp_path)).collect()}
+    x = quality.statistics(pa.array([r[1] for r in rows]))
+    y = np.array([float(lab[1]) for lab in labels[:120]])
+    mean, scale, b = quality.logistic(x[:120], y)
+    logit = np.clip(np.clip((x - mean) / scale, -8, 8) @ b[:-1] + b[-1], -12, 12)
+    p = 1 / (1 + np.exp(-logit))
+    prior = math.log(y.mean() / (1 - y.mean()))
+    sites = {r[:2]: r for r in quality.posteriors(spark.createDataFrame([(h, q, float(len(v)), float(v.sum()), float((v * v).sum())) for (h, q), v in ((k, np.array([p[i] for i, r in enumerate(rows) if (r[3], r[2]) == k])) for k in {(r[3], r[2]) for r in rows})], "host string, path string, n double, s double, ss double")).collect()}
+    keep = set()
+    for i, r in enumerate(rows):
+        own = [j for j, q in enumerate(rows) if q[3] == r[3] and j != i]
+        site = [j for j in own if rows[j][2] == r[2]]
+        s = sites[r[3], r[2]]
+        h = (p[own].sum() + s.kh * s.mu) / (len(own) + s.kh)
+        q = np.clip((p[site].sum() + s.kp * h) / (len(site) + s.kp), 1e-4, 1 - 1e-4)
+        v = 1 / (1 + math.exp(-(logit[i] - prior + math.log(q / (1 - q)))))
+        if v >= 0.5:
+            keep.add(r[0])
+            assert abs(got[r[0]].quality - v) < 1e-4, (r[0], v)
+    assert set(got) == keep and 100 < len(keep) < 230
 
 
 # 7 ---------------------------------------------------------------------------------------------------------------------
