@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into blocks of 32 words; two neighbouring blocks are a passage. Words are hashed into 2^14 features, weighted
-by their inverse block frequency over the whole corpus; features in over a tenth of the blocks carry none. One pass
+by their inverse block frequency over the whole corpus; features in over a tenth of the blocks carry none, and a segment that
+mostly consists of such is held against every passage without regard to its vector. One pass
 multiplies the block-feature matrix A and its transpose with a random test matrix, from which the driver has the leading
 right singular vectors (randomised SVD by the Nystrom formula, which needs no second pass). Every passage is then projected
 and compared by cosine with every benchmark segment; pairs above a threshold that follows the segment's length go to the
 checks: the longest common subsequence of the segment and the passage with one block on either side, by a bit-parallel
-recurrence over all pairs at once, and the share of it in the segment's last quarter, where the answer stands.
+recurrence over all pairs at once, and the share of it in the item's last quarter, where the answer stands. Of an item longer
+than a segment, the segments that hold the answer are looked for.
 
 Beside that every item, of any length, is looked for as a run of words, exactly and without any threshold.
 """
@@ -35,8 +37,11 @@ COSINE = 0.2
 UNGATED = 12
 LCS = 0.7
 ANSWER = 0.5
-#: Segments that one pass over the documents looks for; a larger benchmark takes several passes.
-SEGMENTS_A_PASS = 10_000
+#: Bytes of benchmark texts that one pass over the documents looks for, about; a larger benchmark takes several passes, and only
+#: one pass's part of it is on the driver at a time.
+PASS_BYTES = 1 << 20
+#: Tasks whose sums are added up before all are.
+FAN_IN = 32
 _GRID = 1 << 12
 
 
@@ -136,14 +141,16 @@ def sketch(texts: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndar
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for r, raw in zip(b.column("r").to_pylist(), b.column("y").to_pylist()):
-                x = np.frombuffer(raw, np.int32)
+                x = np.frombuffer(raw, np.int32 if len(raw) == 4 * rows * rank else np.int64)
                 if r in sums:
                     sums[r] += x
                 else:
                     sums[r] = x.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["r", "y"])
 
-    got = texts.mapInArrow(multiply, "r int, y binary").repartition("r").mapInArrow(add, "r int, y binary").toArrow()
+    parts = texts.mapInArrow(multiply, "r int, y binary").withColumn("p", F.floor(F.spark_partition_id() / FAN_IN))
+    parts = parts.repartition("r", "p").mapInArrow(add, "r int, y binary")
+    got = parts.repartition("r").mapInArrow(add, "r int, y binary").toArrow()
     y = np.zeros((1 << BITS, rank))
     for r, raw in zip(got.column("r").to_pylist(), got.column("y").to_pylist()):
         y[r * rows : (r + 1) * rows] = np.frombuffer(raw, np.int64).reshape(rows, rank) / _GRID
@@ -172,24 +179,34 @@ def slot(h: np.ndarray) -> np.ndarray:
 
 
 class Target:
-    """Benchmark segments of at most 64 words: item, words, and their bit masks by vocabulary word."""
+    """Benchmark segments of at most 64 words: item, words, words of the answer at the end, and bit masks by vocabulary word."""
 
     def __init__(self, items: np.ndarray, w: T.Words) -> None:
-        self.item, self.hash = [], []
+        self.item, self.hash, tail = [], [], []
         for i, (a, z) in enumerate(zip(w.first, w.first[1:])):
             h = w.hash[a:z]
             if len(h) < MIN_WORDS:
                 continue
             starts = [0] if len(h) <= SEGMENT else [*range(0, len(h) - SEGMENT, SEGMENT // 2), len(h) - SEGMENT]
+            answer = int(answer_words(np.array(len(h))))
             for s in starts:
-                self.item.append(int(items[i]))
-                self.hash.append(h[s : s + SEGMENT])
+                own = min(s + SEGMENT, len(h)) - max(s, len(h) - answer)
+                if 2 * own >= min(answer, SEGMENT):
+                    self.item.append(int(items[i]))
+                    self.hash.append(h[s : s + SEGMENT])
+                    tail.append(own)
         self.size = np.array([len(h) for h in self.hash], np.int64)
+        self.tail = np.array(tail, np.int64)
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
         v = np.array([table[(h >> T.U64(64 - BITS)).astype(np.int64)].sum(0) for h in self.hash]).reshape(len(self.hash), -1)
         return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
+    def least(self, idf: np.ndarray, cosine: float) -> np.ndarray:
+        """Least cosine of the passages to look at; none for segments of which over half the words carry no weight."""
+        weighty = np.array([(idf[(h >> T.U64(64 - BITS)).astype(np.int64)] > 0).mean() for h in self.hash])
+        return np.where(weighty < 0.5, -np.inf, threshold(self.size, cosine))
+
     def rare(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of each segment's rarest words, and how many of those an LCS of the needed length must hold: it can miss so many words in all."""
         miss = self.size - np.ceil(LCS * self.size - 1e-9).astype(np.int64)
@@ -220,15 +237,16 @@ class Target:
         return m
 
 
-def subsequences(mask: np.ndarray, segment: np.ndarray, tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(LCS, LCS without the last quarter of the segment) of each pair; tokens are columns of ``mask``, one row a pair."""
+def subsequences(mask: np.ndarray, segment: np.ndarray, tokens: np.ndarray, size: np.ndarray, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(LCS, LCS without the last ``tail`` words of the segment) of each pair; tokens are columns of ``mask``, one row a pair."""
+    tail = answer_words(size) if tail is None else tail
     v = np.full(len(segment), np.iinfo(np.uint64).max, T.U64)
     with np.errstate(over="ignore"):
         for j in range(tokens.shape[1]):
             u = v & mask[segment, tokens[:, j]]
             v = (v + u) | (v - u)
     low = lambda n: np.where(n >= 64, ~T.U64(0), (T.U64(1) << np.minimum(n, 63).astype(T.U64)) - T.U64(1))
-    return np.bitwise_count(~v & low(size)).astype(np.int64), np.bitwise_count(~v & low(size - answer_words(size))).astype(np.int64)
+    return np.bitwise_count(~v & low(size)).astype(np.int64), np.bitwise_count(~v & low(size - tail)).astype(np.int64)
 
 
 def answer_words(size: np.ndarray) -> np.ndarray:
@@ -326,8 +344,9 @@ def search(w: T.Words, table: np.ndarray, target: Target, vectors: np.ndarray, g
             col[col == len(vocabulary)] = 0
             col = np.where((vocabulary[col] == words[p]) & ~out[p], col, len(vocabulary))
             n = target.size[a + s]
-            lcs, head = subsequences(mask, s, col, n)
-            good = (lcs >= LCS * n - 1e-9) & (lcs - head >= ANSWER * answer_words(n) - 1e-9)
+            tail = target.tail[a + s]
+            lcs, head = subsequences(mask, s, col, n, tail)
+            good = (lcs >= LCS * n - 1e-9) & (lcs - head >= ANSWER * tail - 1e-9)
             text.append(owner[part[p]][good])
             seg.append(a + s[good])
             share.append((lcs / n)[good])
@@ -340,36 +359,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     """(doc_id, item_id, share): documents that hold a benchmark item or a paraphrase, with the largest share found.
 
     An item that stands in the text word for word, whatever its length, has a share of 1. Otherwise share is the part of the
-    item's words (of its best 64-word segment) that the passage has in their order; at least LCS of them and ANSWER of those
-    in the last quarter. Items of fewer than MIN_WORDS words are found word for word only; those without words, null ones
-    among them, match nothing. Rows of one doc_id (or item_id) are one document (item). Null and empty texts and rows without
-    an id match nothing; other columns are not looked at. Empty tables give an empty result.
+    item's words (of its best 64-word segment that holds the answer) that the passage has in their order; at least LCS of them and
+    ANSWER of those of the item's last quarter. Items of fewer than MIN_WORDS words are found word for word only; those without
+    words, null ones among them, match nothing. Rows of one doc_id (or item_id) are one document (item). Null and empty texts and
+    rows without an id match nothing; very long texts are searched whole; other columns are not looked at. Empty tables give an
+    empty result.
     """
     bounded_batches(docs)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null and t is not null")
-    bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct().orderBy("i", "t").toArrow()
-    numbers, words = bench.column("i").to_numpy(), T.words(bench.column("t").combine_chunks() if bench.num_rows else pa.array([], pa.string()))
-    whole = Target(numbers, words)
-    if not len(words.hash):
-        return d.limit(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), F.lit(0.0).alias("share"))
+    bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct()
+    passes = -(-int(bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PASS_BYTES)
     idf = table = None
-    if whole.hash:
-        idf = weights(*block_frequency(d))
-        u, s = singular_vectors(*sketch(d, idf, rank))
-        table = with_zero((u / np.maximum(s, s.max() * 1e-3) * idf[:, None]).astype(np.float32))
-    single = [words.hash[a:z] for a, z in zip(words.first, words.first[1:])]
     sc = docs.sparkSession.sparkContext
-    out: DataFrame | None = None
-    for at in range(0, max(len(whole.hash), len(single)), SEGMENTS_A_PASS):
-        part = Target(np.zeros(0), T.Words(np.zeros(0, T.U64), np.zeros(1, np.int64), None, None))
-        part.item, part.hash, part.size = whole.item[at : at + SEGMENTS_A_PASS], whole.hash[at : at + SEGMENTS_A_PASS], whole.size[at : at + SEGMENTS_A_PASS]
-        runs = Runs(numbers[at : at + SEGMENTS_A_PASS], single[at : at + SEGMENTS_A_PASS])
-        held = sc.broadcast((table, part, idf, runs))
+    out = d.limit(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), F.lit(0.0).alias("share"))
+    for number in range(passes):
+        items = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == number).orderBy("i", "t").toArrow()
+        words = T.words(items.column("t").combine_chunks() if items.num_rows else pa.array([], pa.string()))
+        if not len(words.hash):
+            continue
+        numbers = items.column("i").to_numpy()
+        target = Target(numbers, words)
+        runs = Runs(numbers, [words.hash[a:z] for a, z in zip(words.first, words.first[1:])])
+        if target.hash and table is None:
+            idf = weights(*block_frequency(d))
+            u, s = singular_vectors(*sketch(d, idf, rank))
+            table = with_zero((u / np.maximum(s, s.max() * 1e-3) * idf[:, None]).astype(np.float32))
+        held = sc.broadcast((table, target, idf, runs))  # the table's size is fixed, that of the rest follows PASS_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             table, target, weight, runs = held.value
             if target.hash:
-                vectors, groups, least, rare = target.vectors(table), target.groups(), threshold(target.size, cosine), target.rare(weight)
+                vectors, groups, least, rare = target.vectors(table), target.groups(), target.least(weight, cosine), target.rare(weight)
             item = np.array(target.item, np.int64)
             for b in batches:
                 for s in T.slices(b, "t"):
@@ -381,6 +401,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
                     text, seg, share = search(w, table, target, vectors, groups, least, rare)
                     yield pa.RecordBatch.from_arrays([s.column("id").take(pa.array(text)), pa.array(item[seg]), pa.array(np.round(share, 6))], ["doc_id", "item_id", "share"])
 
-        found = d.mapInArrow(run, "doc_id long, item_id long, share double")
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(d.mapInArrow(run, "doc_id long, item_id long, share double"))
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
