@@ -679,6 +679,37 @@ def test_altered_items_of_every_length_pass_the_gate(spark):
     assert min(shares) >= 0.9, shares
 
 
+def test_items_of_common_words_are_found(spark):
+    rng = random.Random(90)
+    common = VOCABULARY[:20]
+    # every block holds all the common words, in the wrong order, so none of them carries weight
+    rows = [(i, " ".join(x for _ in range(6) for x in [*reversed(common), *prose(12, rng).split()])) for i in range(80)]
+    w = list(common)
+    w[3], w[9] = "unheard", "of"
+    rows.append((500, f"{rows[0][1]} {' '.join(w)} {rows[1][1]}"))
+    got = decontamination.leaks(docs(spark, rows), spark.createDataFrame([(1, " ".join(common))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(500, 1)] and got[0].share == 0.9
+
+
+def test_long_items_match_where_their_answer_is(spark):
+    rng = random.Random(91)
+    item = prose(150, rng).split()
+    rows = [(i, prose(300, rng)) for i in range(60)]
+    question, answer = _near(" ".join(item[:100]), 0.05, rng), _near(" ".join(item[80:]), 0.05, rng)
+    rows += [(500, f"{prose(50, rng)} {question} {prose(50, rng)}"), (501, f"{prose(50, rng)} {answer} {prose(50, rng)}"), (502, " ".join(item)), (503, _near(" ".join(item), 0.1, rng))]
+    got = {r.doc_id for r in decontamination.leaks(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {501, 502, 503}
+
+
+def test_a_large_benchmark_takes_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 700)
+    rng = random.Random(92)
+    items = [(i, prose(rng.choice([3, 20, 40]), rng)) for i in range(20)]
+    rows = [(i, prose(200, rng)) for i in range(40)] + [(100 + i, f"{prose(30, rng)} {t} {prose(30, rng)}") for i, t in items]
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(100 + i, i) for i, _ in items}
+
+
 def test_nystrom_finds_the_leading_space():
     rng = np.random.default_rng(15)
     a = rng.normal(size=(400, 8)) * np.array([9, 8, 7, 6, 5, 4, 3, 2.0]) @ rng.normal(size=(8, 60)) + rng.normal(size=(400, 60)) * 0.01
