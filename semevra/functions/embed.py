@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -14,35 +14,45 @@ from semevra.model import EngineError
 
 MAX_INPUT = 32 << 10
 SIGN_SEED = 0x9E3779B9
+#: What str.isalnum calls letters and digits.
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def tokens(text: str) -> list[str]:
     """Lower-cased runs of letters and digits."""
-    return ["".join(g).lower() for ok, g in itertools.groupby(text, str.isalnum) if ok]
+    return [w.lower() for w in _TOKEN.findall(text)]
+
+
+class _Codes(dict):
+    """Twice the coordinate of each feature, and one more where its sign is negative; a bounded memory of those seen."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+
+    def __missing__(self, feature: str) -> int:
+        raw = feature.encode()
+        code = 2 * (fnv1a64(raw) % self.dim) + (fnv1a64(raw, SIGN_SEED) & 1)
+        if len(self) < 200_000:
+            self[feature] = code
+        return code
 
 
 class HashEmbedder:
-    """``embed`` raises EngineError for a text without tokens, or of zero norm. Subclasses may embed by other means."""
+    """``embed`` raises EngineError for a text without tokens, or of zero norm. Subclasses may embed by other means.
+
+    As the model is defined, it reads the first 32 KiB of a text (MAX_INPUT): what lies behind has no part in the vector.
+    """
 
     model_id = "hash-embedder"
 
     def __init__(self, dim: int = 64, version: str = "1") -> None:
         self.dim, self.version = dim, version
-        self._seen: dict[str, tuple[int, float]] = {}
+        self._codes = _Codes(dim)
 
     @property
     def space(self) -> str:
         return f"{self.model_id}:{self.version}"
 
-    def _feature(self, f: str) -> tuple[int, float]:
-        got = self._seen.get(f)
-        if got is None:
-            raw = f.encode()
-            got = (fnv1a64(raw) % self.dim, 1.0 if fnv1a64(raw, SIGN_SEED) & 1 == 0 else -1.0)
-            if len(self._seen) < 200_000:
-                self._seen[f] = got
-        return got
-
     def embed(self, text: str) -> np.ndarray:
         raw = text.encode()
         if len(raw) > MAX_INPUT:
@@ -50,17 +60,16 @@ class HashEmbedder:
         words = tokens(text)
         if not words:
             raise EngineError("text has no tokens; its embedding would have no direction")
-        v = np.zeros(self.dim, np.float32)
-        for w in words:
-            i, s = self._feature(w)
-            v[i] += np.float32(s)
-        for a, b in zip(words, words[1:]):
-            i, s = self._feature(f"{a}_{b}")
-            v[i] += np.float32(0.5 * s)
-        norm = float(np.sqrt(np.sum(v.astype(np.float64) ** 2)))
+        n = len(words)
+        words += map("_".join, zip(words[:-1], words[1:]))
+        code = np.fromiter(map(self._codes.__getitem__, words), np.int64, len(words))
+        weight = np.where(code & 1, -1.0, 1.0)
+        weight[n:] *= 0.5
+        v = np.bincount(code >> 1, weight, self.dim)
+        norm = float(np.sqrt(np.sum(v**2)))
         if not np.isfinite(norm) or norm < 1e-12:
             raise EngineError("embedding has no norm")
-        return (v.astype(np.float64) / norm).astype(np.float32)
+        return (v / norm).astype(np.float32)
 
 
 def embed_column(embedder: HashEmbedder, text: Column) -> Column:

@@ -69,7 +69,7 @@ def summarise(assigned: DataFrame, id_col: str = "event_id") -> DataFrame:
     return g.withColumn("cluster_id", (F.row_number().over(Window.orderBy(F.desc("count"), "exemplar")) - 1).cast("int"))
 
 
-#: Rows that one k-means of the driver may hold; beyond it centroids are refined over all rows by the cluster.
+#: Rows of the sample from which the driver's k-means starts.
 DRIVER_ROWS = 200_000
 _FIXED = 1 << 24
 
@@ -130,9 +130,9 @@ def lloyd(df: DataFrame, centroids: np.ndarray, epochs: int, vector_col: str = "
 def semantic_cluster(df: DataFrame, k: int, space: str = "", driver_rows: int = DRIVER_ROWS, state_budget: int = STATE_BUDGET) -> Clusters:
     """Semantic GROUP BY of (event_id, vector, cost, error).
 
-    Up to ``driver_rows`` rows are fitted on the driver, in event_id order, with a seed from their content. More rows are
-    fitted from the ``driver_rows`` of least SHA-256 ticket and then refined by full passes over all rows, so the result
-    does not depend on partitioning either way. Assignment and summaries cover all rows and run on the cluster.
+    One procedure at every size: restarts of k-means, seeded by content, on a sample (the ``driver_rows`` of least SHA-256
+    ticket, or as many as the state budget holds, in event_id order), then passes over all rows from the best of them until
+    nothing moves. Nothing depends on partitioning. Assignment and summaries cover all rows and run on the cluster.
     """
     if not 1 <= k <= MAX_SEMANTIC_K:
         raise EngineError(f"k must lie between 1 and {MAX_SEMANTIC_K}")
@@ -141,14 +141,13 @@ def semantic_cluster(df: DataFrame, k: int, space: str = "", driver_rows: int =
         none = df.select("event_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("dist"), "cost", "error").limit(0)
         s = summarise(none)
         return Clusters(s.select("cluster_id", "count", "avg_cost", "error_rate", "exemplar"), none.select("event_id", F.lit(0).alias("cluster_id"), "dist"), np.zeros((0, 0)), 0.0, "low")
-    sample = df.select("event_id", "vector")
-    if n > driver_rows:
-        sample = sample.orderBy(F.sha2("event_id", 256), "event_id").limit(driver_rows)
-    got = sample.toArrow()
+    dim = df.select(F.size("vector")).first()[0]
+    held = min(driver_rows, max(0, state_budget - 4 * k * dim) // (4 * dim))
+    if held < min(n, 10 * k):
+        raise EngineError("clustering state is over its budget; narrow the filter")
+    got = df.select("event_id", "vector").orderBy(F.sha2("event_id", 256), "event_id").limit(held).toArrow()
     order = np.argsort(np.array(got.column("event_id").to_pylist(), object), kind="stable")
     x = np.array(got.column("vector").combine_chunks().flatten(), np.float32).reshape(len(order), -1)[order]
-    if len(x) * x.shape[1] * 4 + k * x.shape[1] * 4 > state_budget:
-        raise EngineError("clustering state is over its budget; narrow the filter")
     ids = [got.column("event_id")[int(i)].as_py() for i in order]
     k = min(k, len(x))
     seed = content_seed(ids, k, space)
@@ -175,12 +174,9 @@ def semantic_cluster(df: DataFrame, k: int, space: str = "", driver_rows: int =
         inertia = float(distances(x, c).min(1).sum())
         if best is None or inertia < best[1]:
             best = (c, inertia)
-    centroids, inertia = best
-    mean = x.astype(np.float64).mean(0)
-    one = float(((x - mean) ** 2).sum())
-    if n > driver_rows:
-        centroids, inertia, _ = lloyd(df, centroids, CLUSTER_EPOCHS)
-        _, one, _ = lloyd(df, lloyd(df, mean[None].astype(np.float32), 1)[0], 1)
+    centroids, inertia, _ = lloyd(df, best[0], CLUSTER_EPOCHS)
+    mean, total, rows = lloyd(df, np.zeros((1, dim), np.float32), 1)
+    one = total - rows * float((mean.astype(np.float64) ** 2).sum())
     quality = float(np.clip(1 - inertia / one, 0, 1)) if one > 0 else 0.0
     assigned = assign(df, centroids, keep=["cost", "error"])
     numbered = summarise(assigned)

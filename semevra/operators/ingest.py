@@ -51,7 +51,9 @@ def fair_order(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def quota(df: DataFrame, arrival: str = "arrival_ms", seq: str = "seq", events: int = M.QUOTA_EVENTS, size: int = M.QUOTA_BYTES, window: int = M.QUOTA_WINDOW_MS) -> DataFrame:
-    """``df`` with over_quota, per tenant: fixed windows from a tenant's first use. What is rejected is not charged, so the choice is greedy, in order; one group is one tenant's batch."""
+    """``df`` with over_quota, per tenant: fixed windows from a tenant's first use. What is rejected is not charged, so the choice is
+    greedy, in order; one group is a tenant's batch, of which only times, numbers and sizes meet in a task. ``seq`` is unique
+    within a tenant."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([arrival, seq], kind="stable").reset_index(drop=True)
@@ -63,11 +65,13 @@ def quota(df: DataFrame, arrival: str = "arrival_ms", seq: str = "seq", events:
             over.append(bad)
             if not bad:
                 n, held = n + 1, held + b
-        return pdf.assign(over_quota=over)
+        pdf = pdf.assign(over=over)
+        return pdf[pdf["over"]][["tenant_id", seq]]
 
-    sized = df.withColumn("bytes_", _bytes("body").cast("long"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema) + ", over_quota boolean"
-    return sized.groupBy("tenant_id").applyInPandas(run, schema).drop("bytes_")
+    narrow = df.select("tenant_id", arrival, seq, _bytes("body").cast("long").alias("bytes_"))
+    schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in ("tenant_id", seq))
+    over = narrow.groupBy("tenant_id").applyInPandas(run, schema).withColumn("over_quota", F.lit(True))
+    return df.join(over, ["tenant_id", seq], "left").withColumn("over_quota", F.coalesce("over_quota", F.lit(False)))
 
 
 def key_dictionary(df: DataFrame, known: list[str], turn: list[str], limit: int = M.MAX_DICTIONARY) -> DataFrame:

@@ -397,10 +397,11 @@ def ivf_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("hash_embed")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hash embedding of every document, as its norm and first coordinates."""
+    """The hash embedding of every document, all 64 coordinates. The model reads the first 32 KiB of a text; that is a part of
+    its definition, as vectors of other lengths would not compare with stored ones."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     v = with_vectors(d, HashEmbedder(64))
-    return v.select("doc_id", F.round(dot(F.col("vector"), F.col("vector")), 4).alias("norm"), F.slice("vector", 1, 4).alias("head"))
+    return v.select("doc_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
 
 
 # Ingest and maintenance ------------------------------------------------------------------------------------------------
