@@ -1,7 +1,7 @@
 """Embedding near-duplicates: random-hyperplane sign hashing in several tables, exact cosines, connected components.
 
-The signs of ``bits`` random projections make a vector's bucket in each table. ``bits`` follows the logarithm of the number
-of vectors, so that buckets of unrelated vectors stay small, and the number of tables follows ``bits``, so that a pair at
+The signs of ``bits`` random projections make a vector's bucket in each table. ``bits`` is SPARE more than the logarithm of the
+number of vectors, so that few unrelated vectors meet (2^-SPARE of their number in each table), and the number of tables follows ``bits``, so that a pair at
 the threshold is missed with a probability of at most ``miss`` at every size.
 """
 
@@ -21,11 +21,12 @@ from semevra.session import bounded_batches, discard, materialise
 
 THRESHOLD = 0.95
 MISS = 0.02
+SPARE = 4
 
 
 def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """(bits, tables) for n vectors."""
-    bits = int(min(48, max(8, math.ceil(math.log2(max(n, 2))))))
+    bits = int(min(48, max(8, math.ceil(math.log2(max(n, 2))) + SPARE)))
     agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-min(agree, 1 - 1e-12))))
 
