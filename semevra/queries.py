@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from semevra import model as M
 from semevra.engine import Engine, run_plan
 from semevra.functions.codebook import train
-from semevra.functions.embed import HashEmbedder, with_vectors
+from semevra.functions.embed import SIGN_SEED, HashEmbedder, with_vectors
 from semevra.functions.hashing import day_window, tenant_bucket
 from semevra.functions.vectors import dot, l2, nearest
 from semevra.operators import analytics, ingest, search
 from semevra.operators.maintenance import dedup
 from semevra.plans import sql as S
-from semevra.plans.predicate import time_bounds
+from semevra.plans.predicate import compile_predicate, time_bounds
 from semevra.session import materialise, scratch
 from semevra.sources import readers
 from semevra.sources.store import encode
@@ -111,8 +111,6 @@ def _rows(name: str, columns: str, where: str, oracle_where: str, oracle_columns
         plan = S.bind(text, "t1")
         rows = canonical(spark, sf_dir).filter(F.col("tenant_id") == plan.tenant)
         if plan.predicate is not None:
-            from semevra.plans.predicate import compile_predicate
-
             rows = rows.filter(compile_predicate(plan.predicate))
         from semevra.engine import project
 
@@ -171,6 +169,7 @@ def agg_sum_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _sql("agg_sum_empty_zero", "SELECT sum(cost), avg(cost) FROM events WHERE cost < 0", EV + ' SELECT coalesce(sum(cost), 0.0) AS "sum(cost)", avg(cost) AS "avg(cost)" FROM ev WHERE tenant_id = \'t1\' AND cost < 0')
 _sql("group_by_one", "SELECT event_name, count(*), sum(cost) FROM events GROUP BY event_name", EV + ' SELECT event_name, count(*) AS "count(*)", round(sum(cost), 6) AS "sum(cost)" FROM ev WHERE tenant_id = \'t1\' GROUP BY event_name')
+_sql("agg_beside_key", "SELECT body, event_name, count(*) FROM events GROUP BY event_name LIMIT 1", EV + " SELECT CAST(NULL AS VARCHAR) AS body, event_name, count(*) AS \"count(*)\" FROM ev WHERE tenant_id = 't1' GROUP BY event_name")
 _sql(
     "group_by_two",
     "SELECT error, event_name, count(*), avg(cost), max(cost) FROM events GROUP BY event_name, error",
@@ -273,6 +272,59 @@ def agg_over_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"avg_cost": F.round("avg_cost", 6), "best": F.round("best", 6)})
 
 
+@register("alias_and_order", VEC + " SELECT event_id, score FROM sc WHERE tenant_id = 't1' AND error ORDER BY score DESC, event_id LIMIT 7")
+def alias_and_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A semantic statement with aliases (which name nothing anew), the one order there is, and options."""
+    e, whole, _ = store(spark, sf_dir)
+    plan = S.bind(f"SELECT event_id AS x, score AS y FROM events WHERE embedding ~~ 'vector 3' AND error ORDER BY score DESC, event_id ASC LIMIT 7 {WITH}", "t1")
+    return e.run(plan, e.snapshot(whole)).rows.withColumn("score", F.round("score", 6))
+
+
+@register("snapshot_scan", EV + " SELECT event_id, cost, 'whole' AS at FROM ev WHERE tenant_id = 't1' AND event_time > 1705276800000 AND cost > 20 UNION ALL SELECT event_id, cost, 'less' FROM ev WHERE tenant_id = 't1' AND event_time > 1705276800000 AND cost > 20 AND event_name <> 'signup'")
+def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan of each of two pinned snapshots, parts pruned by tenant and time, deleted rows left out where they are."""
+    e, whole, less = store(spark, sf_dir)
+    plan = S.bind("SELECT event_id, cost FROM events WHERE event_time > 1705276800000 AND cost > 20 LIMIT 1000000000", "t1")
+    lo, hi = time_bounds(plan.predicate)
+    out = []
+    for number, at in ((whole, "whole"), (less, "less")):
+        snap = e.snapshot(number)
+        rows = e.store.read(e.store.prune(snap, plan.tenant, lo, hi), snap).filter((F.col("tenant_id") == plan.tenant) & compile_predicate(plan.predicate))
+        out.append(rows.select("event_id", "cost", F.lit(at).alias("at")))
+    return out[0].unionByName(out[1])
+
+
+@register("gather_window", EV + " SELECT event_id FROM ev WHERE tenant_id = 't2' AND event_time >= 1704672000000 AND event_time < 1705276800000 AND NOT error AND event_name <> 'signup'")
+def gather_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that analytics gather: a tenant's, in a half-open window, of one embedding space, by a predicate, less the deleted."""
+    e, _, _ = store(spark, sf_dir)
+    rows, _ = e._gather("t2", S.bind("SELECT * FROM events WHERE NOT error", "t2").predicate, 1704672000000, 1705276800000)
+    return rows.select("event_id")
+
+
+@register(
+    "explain_counters",
+    EV
+    + """, p AS (SELECT DISTINCT tenant_id, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 16 AS b, event_time - event_time % 2592000000 AS w FROM (SELECT *, sha256(tenant_id) AS h FROM ev)),
+r AS (SELECT count(*) AS n FROM ev WHERE tenant_id = 't1' AND cost > 20)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT b, w FROM p)) AS parts_total, (SELECT count(*) FROM (SELECT DISTINCT b, w FROM p)) - (SELECT count(DISTINCT w) FROM p WHERE tenant_id = 't1') AS parts_pruned, n AS rows_scanned, n AS candidates_found, 256 * n AS bytes_fetched, least(n, 10) AS rows_returned FROM r""",
+)
+def explain_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What EXPLAIN says of a search that reads all lists: parts, rows, candidates and bytes as they were."""
+    e, whole, _ = store(spark, sf_dir)
+    plan = S.bind("SELECT event_id FROM events WHERE cost > 20", "t1")
+    x = e.search(M.Query(text="vector 3", tenant="t1", predicate=plan.predicate, explain=True, **WHOLE), e.snapshot(whole)).explain
+    names = ["parts_total", "parts_pruned", "rows_scanned", "candidates_found", "bytes_fetched", "rows_returned"]
+    return spark.createDataFrame([tuple(getattr(x, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@register("recall_at_k", VEC + ", a AS (SELECT event_id FROM sc WHERE tenant_id = 't1' ORDER BY score DESC, event_id LIMIT 50), b AS (SELECT event_id FROM sc WHERE tenant_id = 't1' AND cost > 20 ORDER BY score DESC, event_id LIMIT 50) SELECT round((SELECT count(*) FROM a WHERE event_id IN (SELECT event_id FROM b)) / (SELECT count(*)::DOUBLE FROM a), 6) AS recall")
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which share of a top fifty another one has: here that of a search with a predicate."""
+    found, truth = _search(spark, sf_dir, where="WHERE cost > 20", k=50), _search(spark, sf_dir, k=50)
+    return spark.createDataFrame([(round(search.recall(found, truth), 6),)], "recall double")
+
+
 @register(
     "rrf_bridge",
     """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), w AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 11),
@@ -395,7 +447,22 @@ def ivf_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.approximate_topk_all(coded, asked, book, 10, nprobe, cap, M.ADAPTIVE_MARGIN, candidates).withColumn("score", F.round("score", 6))
 
 
-@register("hash_embed")
+def _fnv(seed: int) -> str:
+    """FNV-1a of the bytes of ``w``."""
+    return f"list_reduce(list_prepend({0xCBF29CE484222325 ^ seed}::UHUGEINT, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS UHUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+@register(
+    "hash_embed",
+    """WITH d AS (SELECT doc_id, CASE WHEN octet_length(encode(text)) > 32768 THEN left(text, len(list_filter(range(8192, 32769), lambda i: octet_length(encode(left(text, i))) <= 32768)) + 8191) ELSE text END AS text FROM documents),
+l AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS l FROM d),
+f AS (SELECT doc_id, unnest(l) AS w, 1.0 AS s FROM l UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || '_' || l[i + 1])), 0.5 FROM l),
+u AS (SELECT w, """ + _fnv(0) + " % 64 AS i, " + _fnv(SIGN_SEED) + """ % 2 AS odd FROM (SELECT DISTINCT w FROM f)),
+v AS (SELECT doc_id, i, sum(CASE WHEN odd = 0 THEN s ELSE -s END)::DOUBLE AS x FROM f JOIN u USING (w) GROUP BY doc_id, i),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY doc_id),
+g AS (SELECT doc_id, list(round(CAST(CAST(coalesce(v.x, 0.0) / norm AS FLOAT) AS DOUBLE), 5) ORDER BY k.i) AS vector FROM n CROSS JOIN (SELECT unnest(range(64)) AS i) k LEFT JOIN v USING (doc_id, i) WHERE norm >= 1e-12 GROUP BY doc_id)
+SELECT doc_id, vector FROM documents LEFT JOIN g USING (doc_id)""",
+)
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hash embedding of every document, all 64 coordinates. The model reads the first 32 KiB of a text; that is a part of
     its definition, as vectors of other lengths would not compare with stored ones."""
@@ -404,6 +471,17 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
 
 
+ARI = """, t AS (SELECT label, event_name, count(*) AS n FROM vec GROUP BY ALL), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS b, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY label)) AS x, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY event_name)) AS y, (SELECT sum(n) FROM t) AS n)
+SELECT round((b - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)), 9) AS ari FROM s"""
+
+
+@register("adjusted_rand_index", VEC + ARI)
+def adjusted_rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the labels of the embeddings with the names of the events."""
+    v = analytics.adjusted_rand_index(with_embeddings(spark, sf_dir), "label", "event_name")
+    return spark.createDataFrame([(round(v, 9),)], "ari double")
+
+
 # Ingest and maintenance ------------------------------------------------------------------------------------------------
 
 
@@ -428,6 +506,59 @@ def merge_supersede_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(ev.unionByName(ev.withColumn("cost", F.round(F.col("cost") + 1, 2))), []).select("event_id", "tenant_id", "event_time", "cost")
 
 
+_HISTORIES: dict[tuple[str, str], tuple[Engine, dict[str, int]]] = {}
+REDACTED_BEFORE = 1704844800000  # 2024-01-10
+
+
+def history(spark: SparkSession, sf_dir: str) -> tuple[Engine, dict[str, int]]:
+    """An engine whose store went through two loads, a delete, a merge, a redaction and a rollback, and its snapshots by name."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HISTORIES:
+        e = Engine.init(spark, scratch(spark), TableEmbedder({"vector 3": query_vector(spark, sf_dir)}), window_ms=7 * M.DAY_MS, restarts=1, nlist=8)
+        df = with_embeddings(spark, sf_dir)
+        e.ingest(df)
+        at = {"loaded": e.ingest(df.filter("number % 3 = 0").withColumn("cost", F.round(F.col("cost") + 1, 2))).id}
+        e.delete(df.filter("number % 11 = 0").select("event_id"))
+        at["merged"] = e.merge().id
+        e.redact_bodies(REDACTED_BEFORE, "retention")
+        at["redacted"] = e.snapshot().id
+        at["back"] = e.rollback(at["merged"]).id
+        _HISTORIES[key] = e, at
+    return _HISTORIES[key]
+
+
+TWO = ", two AS (SELECT * FROM ev UNION ALL SELECT * REPLACE (round(cost + 1, 2) AS cost) FROM ev WHERE number % 3 = 0) "
+MERGED = "SELECT event_id, tenant_id, event_time, cost FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id ORDER BY event_time DESC, " + HASH + " DESC) AS n FROM two WHERE number % 11 <> 0) WHERE n = 1"
+
+
+@register("store_merge", EV + TWO + MERGED)
+def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of a store after a merge: of two versions the one that supersedes, without the deleted."""
+    e, at = history(spark, sf_dir)
+    snap = e.snapshot(at["merged"])
+    return e.store.read(snap.parts, snap).select("event_id", "tenant_id", "event_time", "cost")
+
+
+@register("store_rollback", EV + TWO + ", r AS (" + MERGED + ") SELECT 'loaded' AS at, count(*) AS n FROM two UNION ALL SELECT 'merged', count(*) FROM r UNION ALL SELECT 'back', count(*) FROM r")
+def store_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a store's snapshots: before the merge, after it, and after a rollback to it."""
+    e, at = history(spark, sf_dir)
+    out = None
+    for name in ("loaded", "merged", "back"):
+        snap = e.snapshot(at[name])
+        part = e.store.read(snap.parts, snap).agg(F.lit(name).alias("at"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("store_redact", EV + TWO + ", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id ORDER BY event_time DESC, " + HASH + " DESC) AS n FROM two WHERE number % 11 <> 0) WHERE n = 1), h AS (SELECT *, sha256(tenant_id) AS h FROM r), b AS (SELECT *, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 16 AS b, event_time - event_time % 604800000 AS w FROM h) SELECT event_id, CASE WHEN max(event_time) OVER (PARTITION BY b, w) < " + str(REDACTED_BEFORE) + " THEN '' ELSE body END AS body FROM b")
+def store_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of a store after a redaction: empty in the parts that lie wholly before its time."""
+    e, at = history(spark, sf_dir)
+    snap = e.snapshot(at["redacted"])
+    return e.store.read(snap.parts, snap).select("event_id", "body")
+
+
 NOW = 1706659200000
 
 
@@ -457,6 +588,34 @@ def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.coalesce("reason", F.lit("admitted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@register("key_dictionary", EV + ", f AS (SELECT k % 40 AS key, min(number) AS first FROM ev GROUP BY ALL), r AS (SELECT key, row_number() OVER (ORDER BY first) AS place FROM f WHERE key NOT IN (3, 4)) SELECT event_id, coalesce(place > 10, FALSE) AS over FROM ev LEFT JOIN r ON ev.k % 40 = r.key")
+def key_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose attribute key no longer fits a dictionary of twelve, two of which are known."""
+    ev = canonical(spark, sf_dir)
+    value = F.col("attributes")["k"]
+    ev = ev.withColumn("attributes", F.create_map(F.concat(F.lit("k"), (value["i"] % 40).cast("string")), value))
+    return ingest.key_dictionary(ev, ["k3", "k4"], ["number"], limit=12).select("event_id", F.col("over_dictionary").alias("over"))
+
+
+@register(
+    "ingest_outcomes",
+    EV
+    + f""", b AS (SELECT number, tenant_id, event_id, CASE WHEN number % 11 = 0 THEN -1.0 ELSE cost END AS cost, CASE WHEN number % 13 = 0 THEN '?!' WHEN number % 17 = 0 THEN ' ' ELSE body END AS body, event_time FROM ev WHERE tenant_id < 't2'),
+r AS (SELECT *, CASE WHEN cost < 0 THEN 'invalid_cost' WHEN trim(body) = '' THEN 'empty_body' WHEN {NOW} - event_time > 604800000 THEN 'event_time_too_late' WHEN event_time - {NOW} > 3600000 THEN 'event_time_in_future' END AS reason FROM b),
+q AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY tenant_id, reason IS NULL ORDER BY event_time, event_id) > {M.QUOTA_EVENTS} THEN 'quota_exceeded' WHEN reason IS NULL AND body = '?!' THEN 'embedding_failed' ELSE reason END AS outcome FROM r)
+SELECT coalesce(outcome, 'stored') AS outcome, count(*) AS n FROM q GROUP BY ALL""",
+)
+def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch through admission into a store: its dead letters by reason, and the rows stored."""
+    ev, n = canonical(spark, sf_dir).filter("tenant_id < 't2'"), F.col("number")
+    bad = ev.withColumns({"cost": F.when(n % 11 == 0, -1.0).otherwise(F.col("cost")), "body": F.when(n % 13 == 0, "?!").when(n % 17 == 0, " ").otherwise(F.col("body"))}).drop("number")
+    e = Engine.init(spark, scratch(spark), dim=64, nlist=8, window_ms=30 * M.DAY_MS, restarts=1)
+    e.admit_and_ingest(bad, NOW)
+    snap = e.snapshot()
+    dead = spark.read.schema("reason string").json(f"{e.store.root}/dead_letters").select(F.col("reason").alias("outcome"))
+    return dead.unionByName(e.store.read(snap.parts, snap).select(F.lit("stored").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @register("quota_count", EV + " SELECT tenant_id, least(count(*), 1000) AS admitted, greatest(count(*) - 1000, 0) AS rejected FROM ev GROUP BY tenant_id")
 def quota_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quota of 1000 events a tenant, when all arrive at once."""
