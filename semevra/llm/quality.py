@@ -32,7 +32,13 @@ def statistics(texts: pa.Array) -> np.ndarray:
     n, size = len(texts), np.maximum(np.diff(off), 1)
     out = np.zeros((n, N_FEATURES))
     k = len(_CLASSES)
-    kinds = np.bincount(np.repeat(np.arange(n, dtype=np.int32) * (k + 1), np.diff(off)) + _CLASS[raw], minlength=n * (k + 1)).reshape(n, k + 1)
+    kinds = np.zeros(n * (k + 1))
+    for a in range(0, len(raw), T.WINDOW_BYTES):
+        z = min(a + T.WINDOW_BYTES, len(raw))
+        lo, hi = int(np.searchsorted(off, a, "right")) - 1, int(np.searchsorted(off, z, "left"))
+        owner = np.repeat(np.arange(lo, hi, dtype=np.int32) * (k + 1), np.diff(np.clip(off[lo : hi + 1], a, z)))
+        kinds += np.bincount(owner + _CLASS[raw[a:z]], minlength=len(kinds))
+    kinds = kinds.reshape(n, k + 1)
     out[:, :k] = kinds[:, :k] / size[:, None]
     words = np.maximum(w.counts, 1)
     doc = w.doc

@@ -53,6 +53,49 @@ def test_words_match_the_regular_expression():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_words_in_windows_are_those_of_the_whole():
+    rng = random.Random(100)
+    w = T.WINDOW_BYTES
+    texts = ["a" * (w - 1) + " b", "c" * w, "d" * (w + 1), "", "e" * (3 * w + 7) + " f", None, "g h " * w, "é" * w, *["x" * rng.randint(1, 9) for _ in range(50)]]
+    every = T.words(pa.array(texts))
+    for i, t in enumerate(texts):
+        one = T.words(pa.array([t]))
+        lo, hi = every.first[i], every.first[i + 1]
+        assert (every.hash[lo:hi] == one.hash).all() and (every.start[lo:hi] == one.start).all() and (every.end[lo:hi] == one.end).all()
+        assert len(one.hash) == len(found(t))
+    # the hash of a word follows its letters alone, wherever a window ends in it
+    a, b = T.words(pa.array(["z" * (2 * w + 5)])), T.words(pa.array([". " * 1000 + "z" * (2 * w + 5) + " y"]))
+    assert a.hash[0] == b.hash[0] != b.hash[1]
+
+
+def test_plain_words():
+    texts = ["  É a,b -- C1! ", None, "", "x", "..", prose(300).upper()]
+    raw, start, end, first = T.plain(pa.array(texts))
+    for i, t in enumerate(texts):
+        lo, hi = first[i], first[i + 1]
+        assert [raw[a:z].tobytes().decode() for a, z in zip(start[lo:hi], end[lo:hi])] == found(t)
+        if hi > lo:
+            assert raw[start[lo] : end[hi - 1]].tobytes().decode() == " ".join(found(t))
+
+
+def test_scratch_memory_does_not_follow_the_longest_text():
+    import tracemalloc
+
+    def peak(f, text):
+        a = pa.array([text])
+        tracemalloc.start()
+        f(a)
+        n = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n / len(text)
+
+    assert peak(T.words, "x" * 40_000_000) < 1
+    text = "lorem ipsum dolor " * 1_000_000
+    assert peak(T.words, text) < 8
+    for f in (lambda a: minhash.signatures(T.words(a)), quality.statistics, lambda a: substrings.paths(T.words(a)), lambda a: decontamination.blocks(T.words(a))):
+        assert peak(f, text) < 20
+
+
 def test_grams_and_ranges_are_functions_of_the_words():
     h = T.mix(np.arange(300, dtype=np.uint64) % np.uint64(100))
     for n in (2, 8, 20, 50):
