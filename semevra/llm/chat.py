@@ -445,7 +445,10 @@ def format_chats(turns: DataFrame, template: str = CHATML) -> DataFrame:
     """
     bounded_batches(turns)
     compile_template(template)
-    t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = turns.select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     grouped = t.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +462,10 @@ def format_chats(turns: DataFrame, template: str = CHATML) -> DataFrame:
                     n.append(len(m))
                     texts.append(text)
                     spans.append(",".join(f"{a}-{z}" for a, z in marks))
-                yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array(n, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.string())], ["conv_id", "n_turns", "rendered", "generation"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("conv_id"), pa.array(n, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.string())],
+                    ["conv_id", "n_turns", "rendered", "generation"]
+                )
 
     return grouped.mapInArrow(render, "conv_id long, n_turns long, rendered string, generation string")
 

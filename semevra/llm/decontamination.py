@@ -306,7 +306,9 @@ class Runs:
         return np.concatenate(texts), np.concatenate(items)
 
 
-def search(w: T.Words, table: np.ndarray, target: Target, vectors: np.ndarray, groups: list, least: np.ndarray, rare: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(
+    w: T.Words, table: np.ndarray, target: Target, vectors: np.ndarray, groups: list, least: np.ndarray, rare: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, segment, share of the segment in the LCS) of the pairs that pass all checks. table ends with a row of zeros."""
     f, block, first = blocks(w)
     total = int(first[-1])
@@ -355,7 +357,10 @@ def search(w: T.Words, table: np.ndarray, target: Target, vectors: np.ndarray, g
     return np.concatenate(text), np.concatenate(seg), np.concatenate(share)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text: str = "text"
+) -> DataFrame:
     """(doc_id, item_id, share): documents that hold a benchmark item or a paraphrase, with the largest share found.
 
     An item that stands in the text word for word, whatever its length, has a share of 1. Otherwise share is the part of the

@@ -81,7 +81,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        small = large.join(low, "a").select(
+            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")
+        ).select("x.a", "x.b")
         before, e = e, materialise(small.filter("a <> b").distinct())
         discard(before)
         now = count(e)
@@ -160,7 +162,10 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, refine: Callable[[DataFra
     return (p if finer is None else p.unionByName(finer)).distinct()
 
 
-def group(buckets: DataFrame, sieve: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame] | None, same: DataFrame, refine: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def group(
+    buckets: DataFrame, sieve: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame] | None, same: DataFrame,
+    refine: Callable[[DataFrame, int], DataFrame]
+) -> DataFrame:
     """(id, label) of the ids in verified pairs, or in pairs (a, b) of ``same``, which are verified already.
 
     ``sieve`` maps pairs (a, b) to those worth verifying with an estimate (a, b, est); ``verify`` maps pairs to the true
@@ -178,7 +183,9 @@ def group(buckets: DataFrame, sieve: Callable[[DataFrame], DataFrame], verify: C
     one = materialise(verify(best))
     labels = materialise(components(one))
     rest = first.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = rest.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+    rest = rest.join(
+        labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left"
+    ).join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
     rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     # What the sieve refused once it refuses again; only unseen pairs are worth its time.
     later = sieve(cross_pairs(buckets, labels, refine)).select("a", "b")

@@ -411,6 +411,8 @@ def extract(pages: DataFrame, model: Boosted, id_col: str = "page_id", html_col:
                     texts.append(render(p, keep))
                     total.append(len(x) - 1)
                     kept.append(int(keep[1:].sum()))
-                yield pa.RecordBatch.from_arrays([s.column("k"), pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(kept, pa.int32())], ["k", "text", "nodes", "kept_nodes"])
+                yield pa.RecordBatch.from_arrays(
+                    [s.column("k"), pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(kept, pa.int32())], ["k", "text", "nodes", "kept_nodes"]
+                )
 
     return d.mapInArrow(run, f"k {d.schema['k'].dataType.simpleString()}, text string, nodes int, kept_nodes int").withColumnRenamed("k", id_col)

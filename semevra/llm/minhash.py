@@ -138,7 +138,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
                         band[:, j] = h
                 low = np.ascontiguousarray(flat.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, T.int64(mark >> T.U64(64 - mark_bits)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(low.shape[1]), len(has), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary()), pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(has), [None, pa.py_buffer(band.tobytes())]).cast(pa.binary())],
+                    [
+                        ids, T.int64(mark >> T.U64(64 - mark_bits)),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(low.shape[1]), len(has), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary()),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(has), [None, pa.py_buffer(band.tobytes())]).cast(pa.binary())
+                    ],
                     ["id", "mark", "sig", "bands"],
                 )
 
@@ -146,12 +150,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     # One row for each distinct set: the least id and its signature; the rest follow it.
     signed = materialise(signed)
     sets = materialise(signed.groupBy("mark").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    same = signed.select("id", "mark").join(sets.filter("n > 1").select("mark", F.col("id").alias("b")), "mark").select(F.col("id").alias("a"), "b", "mark").filter("a <> b").distinct()
+    same = signed.select("id", "mark").join(
+        sets.filter("n > 1").select("mark", F.col("id").alias("b")), "mark"
+    ).select(F.col("id").alias("a"), "b", "mark").filter("a <> b").distinct()
     same = materialise(same)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         texts = only(d, pairs)
-        return pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y")
+        return pairs.join(
+            texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a"
+        ).join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y")
 
     def at_least(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,7 +123,9 @@ def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity:
     return bins, room
 
 
-def evolve(size: list[int], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION, guests: list[list[list[int]]] | None = None) -> tuple[list[list[int]], list[int]]:
+def evolve(
+    size: list[int], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION, guests: list[list[list[int]]] | None = None
+) -> tuple[list[list[int]], list[int]]:
     """The best packing (bins, room) after some generations; ``guests`` are packings that join the first population."""
     rng = np.random.Generator(np.random.PCG64(seed))
     rank = lambda p: (len(p[0]), -fitness(p[1], capacity))
@@ -185,7 +187,12 @@ def _pack_blocks(items: DataFrame, capacity: int, islands: int, epochs: int) ->
             fill = np.empty(len(size), np.int32)
             for i, (g, r) in enumerate(zip(bins, room)):
                 where[g], fill[g] = i, capacity - r
-            return pd.DataFrame({"block": pdf["block"], "island": pdf["island"], "item": pdf["item"], "n": pdf["n"], "own": where, "fill": fill, "bins": len(bins), "fit": fitness(room, capacity)})
+            return pd.DataFrame(
+                {
+                    "block": pdf["block"], "island": pdf["island"], "item": pdf["item"], "n": pdf["n"], "own": where, "fill": fill, "bins": len(bins),
+                    "fit": fitness(room, capacity)
+                }
+            )
 
         return run
 
@@ -225,7 +232,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands:
     total = n.count()
     cap = F.lit(capacity)
     full = n.filter(F.col("n") >= cap).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {capacity}") - 1)).alias("piece"))
-    full = full.select(F.col("id").alias("doc_id"), F.col("piece").cast("int").alias("piece"), cap.cast("int").alias("n_words"), F.concat_ws("-", F.lit("full"), "id", "piece").alias("bin"), cap.cast("int").alias("bin_words"))
+    full = full.select(
+        F.col("id").alias("doc_id"), F.col("piece").cast("int").alias("piece"), cap.cast("int").alias("n_words"),
+        F.concat_ws("-", F.lit("full"), "id", "piece").alias("bin"), cap.cast("int").alias("bin_words")
+    )
     empty = n.filter("n = 0").select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).alias("n_words"), F.lit("empty").alias("bin"), F.lit(0).alias("bin_words"))
     rest = n.filter(F.pmod("n", cap) > 0).select("id", F.expr(f"cast(n div {capacity} as int)").alias("piece"), F.pmod("n", cap).cast("int").alias("n"))
     blocks = max(1, -(-total // block))

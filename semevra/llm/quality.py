@@ -136,8 +136,14 @@ def posteriors(paths: DataFrame) -> DataFrame:
     An empty input gives an empty result. One host, or one path a host, has no variance between groups: the parent's
     value holds.
     """
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum(F.col("n") * F.col("n")).alias("pn2"), F.count("*").alias("np"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("pms"))
-    t = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("hms"), F.sum("pms").alias("pms"), F.sum(F.col("hn") * F.col("hn")).alias("hn2"), F.sum(F.col("pn2") / F.col("hn")).alias("pn2h"), F.count("*").alias("nh"), F.sum("np").alias("np")).first()
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum(F.col("n") * F.col("n")).alias("pn2"), F.count("*").alias("np"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("pms")
+    )
+    t = hosts.agg(
+        F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("hms"), F.sum("pms").alias("pms"),
+        F.sum(F.col("hn") * F.col("hn")).alias("hn2"), F.sum(F.col("pn2") / F.col("hn")).alias("pn2h"), F.count("*").alias("nh"), F.sum("np").alias("np")
+    ).first()
     ss = paths.agg(F.sum("ss")).first()[0] or 0.0
     n = float(t["n"] or 0)
     if not n:
@@ -174,7 +180,10 @@ def judge(docs: DataFrame, model: tuple, text_col: str = "text", host: Column |
     host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit(""))
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
     prior = model[3]
-    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), host.alias("host"), path.alias("path"), evidence(model, F.col(text_col).cast("string")).alias("l"))
+    scored = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), host.alias("host"), path.alias("path"),
+        evidence(model, F.col(text_col).cast("string")).alias("l")
+    )
     p = 1 / (1 + F.exp(-F.col("l")))
     # Sums of integers do not depend on the order in which tasks end.
     unit = 1 << 30

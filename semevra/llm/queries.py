@@ -31,7 +31,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     out = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).filter("keep")
-    return out.select("doc.doc_id", "host", "path", F.round("host_quality", 6).alias("host_quality"), F.round("path_quality", 6).alias("path_quality"), F.round("quality", 6).alias("quality"), "keep")
+    return out.select(
+        "doc.doc_id", "host", "path", F.round("host_quality", 6).alias("host_quality"), F.round("path_quality", 6).alias("path_quality"),
+        F.round("quality", 6).alias("quality"), "keep"
+    )
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +99,10 @@ def _oracle_substrings() -> str:
     return substrings.ORACLE_SQL
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_chat_format, op4_minhash_dedup, op5_sharding, op6_quality, op7_decontamination, op8_substring_dedup, op9_packing, op10_embedding_dedup)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_html_extraction, op2_toxicity, op3_chat_format, op4_minhash_dedup, op5_sharding, op6_quality, op7_decontamination, op8_substring_dedup, op9_packing,
+        op10_embedding_dedup
+    )
+}
 ORACLE: dict[str, str] = {"op3_chat_format": _oracle_chat(), "op8_substring_dedup": _oracle_substrings()}

@@ -101,7 +101,13 @@ def repeated(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", te
                 at, count, text, least, loop = paths(w, k, m)
                 text_ = pa.array(text)
                 place = ((at - w.first[text]) << _START) | count | np.where(loop, _LOOP, 0)
-                yield pa.RecordBatch.from_arrays([T.int64(least), T.int64(T.range_hash(w.hash, at, at + count + k - 1)), s.column("doc").take(text_), s.column("row").take(text_), pa.array(place)], ["least", "path", "doc", "row", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        T.int64(least), T.int64(T.range_hash(w.hash, at, at + count + k - 1)), s.column("doc").take(text_), s.column("row").take(text_),
+                        pa.array(place)
+                    ],
+                    ["least", "path", "doc", "row", "place"]
+                )
 
     every = materialise(d.withColumn("row", row_key(F.col("t"))).mapInArrow(cut, "least long, path long, doc long, row long, place long"))
     # What repeats, and where a minimiser has more than one path.
@@ -115,7 +121,9 @@ def repeated(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", te
     # Distinct paths with their least source coordinates; the pieces of those that branch.
     distinct = rows.groupBy("least", "path", "count", "mixed").agg(F.min(F.struct("doc", "row", "start")).alias("at"), F.max("doc").alias("hi"))
     distinct = materialise(distinct.select("least", "path", "count", "mixed", "at.*", "hi"))
-    whole = distinct.filter("not mixed").select("least", "path", F.lit(0).alias("offset"), "count", F.col("doc").alias("a_doc"), F.col("row").alias("a_row"), F.col("start").alias("a_start"))
+    whole = distinct.filter("not mixed").select(
+        "least", "path", F.lit(0).alias("offset"), "count", F.col("doc").alias("a_doc"), F.col("row").alias("a_row"), F.col("start").alias("a_start")
+    )
     lists = materialise(distinct.filter("mixed").groupBy("doc", "row").agg(F.collect_list(F.struct("least", "path", "start", "count", "hi")).alias("x")))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +140,10 @@ def repeated(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", te
                 after = pa.array(g[np.minimum(at + 1, len(g) - 1)].view(np.int64), mask=offset == count[each] - 1)
                 before = pa.array(g[np.maximum(at - 1, 0)].view(np.int64), mask=offset == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [x.field("least").take(each_), x.field("path").take(each_), pa.array(offset.astype(np.int32)), T.int64(g[at]), after, before, s.column("doc").take(own), s.column("row").take(own), pa.array(begin[each] + offset), x.field("hi").take(each_)],
+                    [
+                        x.field("least").take(each_), x.field("path").take(each_), pa.array(offset.astype(np.int32)), T.int64(g[at]), after, before,
+                        s.column("doc").take(own), s.column("row").take(own), pa.array(begin[each] + offset), x.field("hi").take(each_)
+                    ],
                     ["least", "path", "offset", "g", "after", "before", "doc", "row", "start", "hi"],
                 )
 
@@ -150,10 +161,17 @@ def repeated(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", te
 
     # Pieces along each document; rows that repeat an id and a text count once.
     here = rows.select("least", "path", "doc", "row", "start").join(pieces, ["least", "path"])
-    here = here.groupBy("doc", "row", (F.col("start") + F.col("offset")).alias("start")).agg(F.min("count").alias("count"), F.min("a_doc").alias("a_doc"), F.min("a_row").alias("a_row"), F.min("a_start").alias("a_start"))
+    here = here.groupBy("doc", "row", (F.col("start") + F.col("offset")).alias("start")).agg(
+        F.min("count").alias("count"), F.min("a_doc").alias("a_doc"), F.min("a_row").alias("a_row"), F.min("a_start").alias("a_start")
+    )
     text = Window.partitionBy("doc", "row").orderBy("start")
     name = F.xxhash64("a_doc", "a_row", "a_start")
-    here = here.withColumns({"touch": F.lag(F.col("start") + F.col("count")).over(text) == F.col("start"), "before": F.lag(name).over(text), "follow": F.lead("start").over(text) == F.col("start") + F.col("count"), "after": F.lead(name).over(text)})
+    here = here.withColumns(
+        {
+            "touch": F.lag(F.col("start") + F.col("count")).over(text) == F.col("start"), "before": F.lag(name).over(text),
+            "follow": F.lead("start").over(text) == F.col("start") + F.col("count"), "after": F.lead(name).over(text)
+        }
+    )
     here = here.withColumns({"before": F.when(F.col("touch"), F.col("before")), "after": F.when(F.col("follow"), F.col("after"))}).drop("touch", "follow")
     here = materialise(here)
     discard(rows), discard(distinct), discard(lists)
@@ -162,7 +180,11 @@ def repeated(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", te
     same = F.col("touch") & F.col("in") & F.lag("out").over(text)
     here = here.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("unit", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0)))
     units = here.groupBy("doc", "row", "unit").agg(F.min(F.struct("start", "a_doc", "a_row", "a_start")).alias("f"), (F.sum("count") + k - 1).cast("int").alias("words"))
-    units = materialise(units.select("doc", "row", "f.start", "words", F.col("f.a_doc").alias("first"), F.col("f.a_row").alias("first_row"), F.col("f.a_start").alias("first_start")))
+    units = materialise(
+        units.select(
+            "doc", "row", "f.start", "words", F.col("f.a_doc").alias("first"), F.col("f.a_row").alias("first_row"), F.col("f.a_start").alias("first_start")
+        )
+    )
     wrong = _unequal(d, units)
     return units if wrong.isEmpty() else units.join(wrong, ["doc", "row", "start"], "left_anti")
 
@@ -180,9 +202,14 @@ def _unequal(d: DataFrame, units: DataFrame) -> DataFrame:
                 at = first[owner] + x.field("start").to_numpy()
                 spelled = [raw[a:z].tobytes() for a, z in zip(begin[at], end[at + x.field("words").to_numpy() - 1])]
                 own = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([s.column("doc").take(own), s.column("row").take(own), x.field("start"), pa.array(spelled, pa.binary())], ["first", "first_row", "first_start", "spelled"])
+                yield pa.RecordBatch.from_arrays(
+                    [s.column("doc").take(own), s.column("row").take(own), x.field("start"), pa.array(spelled, pa.binary())],
+                    ["first", "first_row", "first_start", "spelled"]
+                )
 
-    spelled = _of_documents(d, materialise(heads)).dropDuplicates(["doc", "row"]).select("doc", "row", "t", "x").mapInArrow(read, "first long, first_row long, first_start long, spelled binary")
+    spelled = _of_documents(d, materialise(heads)).dropDuplicates(["doc", "row"]).select("doc", "row", "t", "x").mapInArrow(
+        read, "first long, first_row long, first_start long, spelled binary"
+    )
     rest = units.filter("not (doc = first and row = first_row and start = first_start)")
     rest = rest.join(spelled, ["first", "first_row", "first_start"], "left")
     rest = rest.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "words", F.coalesce("spelled", F.lit(b"")).alias("spelled"))).alias("x"))
@@ -195,7 +222,9 @@ def _unequal(d: DataFrame, units: DataFrame) -> DataFrame:
                 at = first[owner] + x.field("start").to_numpy()
                 bad = [raw[a:z].tobytes() != want for a, z, want in zip(begin[at], end[at + x.field("words").to_numpy() - 1], x.field("spelled").to_pylist())]
                 own = pa.array(owner[np.array(bad, bool)])
-                yield pa.RecordBatch.from_arrays([s.column("doc").take(own), s.column("row").take(own), x.field("start").filter(pa.array(bad, pa.bool_()))], ["doc", "row", "start"])
+                yield pa.RecordBatch.from_arrays(
+                    [s.column("doc").take(own), s.column("row").take(own), x.field("start").filter(pa.array(bad, pa.bool_()))], ["doc", "row", "start"]
+                )
 
     rest = materialise(rest)
     wrong = materialise(_of_documents(d, rest).select("doc", "row", "t", "x").mapInArrow(compare, "doc long, row long, start long").distinct())
@@ -215,7 +244,10 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     are taken whole, in slices of windows of words; other columns are not looked at. An empty table gives an empty result.
     """
     u = repeated(docs, k, m, id_col, text_col)
-    return u.select(F.col("doc").alias("doc_id"), F.col("row").alias("text_key"), F.col("start").alias("start_word"), F.col("words").alias("n_words"), F.concat_ws("-", "first", "first_row", "first_start").alias("path_id"), F.col("first").alias("first_doc_id"))
+    return u.select(
+        F.col("doc").alias("doc_id"), F.col("row").alias("text_key"), F.col("start").alias("start_word"), F.col("words").alias("n_words"),
+        F.concat_ws("-", "first", "first_row", "first_start").alias("path_id"), F.col("first").alias("first_doc_id")
+    )
 
 
 #: The same result in DuckDB: k-mers as lists of words, links between them by window functions.
@@ -242,7 +274,9 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     """
     bounded_batches(docs)
     doc, key, cuts, new = (fresh(docs, c) for c in ("doc", "key", "cuts", "new"))
-    found = repeated(docs, k, m, id_col, text_col).filter("first <> doc").groupBy(F.col("doc").alias(doc), F.col("row").alias(key)).agg(F.collect_list(F.struct("start", "words")).alias(cuts))
+    found = repeated(docs, k, m, id_col, text_col).filter("first <> doc").groupBy(F.col("doc").alias(doc), F.col("row").alias(key)).agg(
+        F.collect_list(F.struct("start", "words")).alias(cuts)
+    )
     found = materialise(found)
     mine = (F.col(id_col).cast("long") == F.col(doc)) & (row_key(F.col(text_col).cast("string")) == F.col(key))
     joined = docs.join(broadcast_if_small(found), mine, "left").drop(doc, key)

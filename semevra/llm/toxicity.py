@@ -41,7 +41,9 @@ def features(w: T.Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(idx), np.concatenate(own)
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def ftrl(
+    rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, epochs: int = EPOCHS
+) -> tuple[np.ndarray, float]:
     """Weights and bias after ``epochs`` passes; every coordinate has its own rate, alpha / (beta + sqrt(sum of g^2))."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
@@ -76,7 +78,10 @@ def cut_point(rows: list[np.ndarray], y: np.ndarray, bits: int) -> float:
     return float(np.clip((s[best] + (s[best + 1] if best + 1 < len(s) else s[best])) / 2, -4, 4))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "toxic"
+) -> tuple[np.ndarray, float]:
     """Dense weights and bias. Rows without id, text or label are not used; an id labelled twice counts as toxic if any
     of its labels says so, and with several texts each is an example. With no usable row all weights are 0 and the bias
     says clean."""

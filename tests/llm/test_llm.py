@@ -131,7 +131,10 @@ def test_html_extraction_finds_the_article_of_held_out_pages(spark):
 
 
 def test_html_odd_pages(spark):
-    rows = [(1, None), (2, ""), (3, "no tags < at all > &amp; 5"), (4, "<p>a<p>b<b>c<div>d"), (4, "<p>a<p>b<b>c<div>d"), (None, "<p>x</p>"), (6, "<div>" * 3000 + "deep"), (7, "<!-- open"), (8, "<p>" + "w " * 200_000)]
+    rows = [
+        (1, None), (2, ""), (3, "no tags < at all > &amp; 5"), (4, "<p>a<p>b<b>c<div>d"), (4, "<p>a<p>b<b>c<div>d"), (None, "<p>x</p>"),
+        (6, "<div>" * 3000 + "deep"), (7, "<!-- open"), (8, "<p>" + "w " * 200_000)
+    ]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumns({"k": F.lit(1), "h": F.lit(2), "text": F.lit("z")})
     model = html.fit(df)
     out = html.extract(df, model).collect()
@@ -140,7 +143,11 @@ def test_html_odd_pages(spark):
     assert html.render(html.Page("<p>a<p>b <b>c</b><div>d&eacute;</div>")) == "a\nb c\ndé"
 
 
-HOSTILE = ["<a " * 350_000, '<a x="' * 170_000, "<b>" * 150_000 + "</i>" * 150_000, "<b>" * 350_000, '<a ">" ' * 140_000 + '"', "<p><div>" + "<b>" * 100_000 + "<hr>" * 100_000, "<!" * 500_000, "<a " + "b" * 1_000_000 + ">", "<a " + "b " * 500_000 + ">", "<a " + "b='" * 300_000 + ">", "<" * 1_000_000, "<script>" * 120_000]
+HOSTILE = [
+    "<a " * 350_000, '<a x="' * 170_000, "<b>" * 150_000 + "</i>" * 150_000, "<b>" * 350_000, '<a ">" ' * 140_000 + '"',
+    "<p><div>" + "<b>" * 100_000 + "<hr>" * 100_000, "<!" * 500_000, "<a " + "b" * 1_000_000 + ">", "<a " + "b " * 500_000 + ">", "<a " + "b='" * 300_000 + ">",
+    "<" * 1_000_000, "<script>" * 120_000
+]
 
 
 @pytest.mark.parametrize("number", range(len(HOSTILE)))
@@ -470,7 +477,9 @@ def test_sets_that_share_a_mark_are_compared(spark):
 
 def test_exact_jaccard():
     rng = random.Random(42)
-    pairs = [(" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))), " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for _ in range(300)] + [(None, "a b c"), ("x y z " * 9000, "x y z " * 10), ("a", "a"), ("", "")]
+    pairs = [
+        (" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))), " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for _ in range(300)
+    ] + [(None, "a b c"), ("x y z " * 9000, "x y z " * 10), ("a", "a"), ("", "")]
     shingled = lambda t: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if (w := found(t)) else set()
     got = minhash.jaccard(T.words(pa.array([a for a, _ in pairs])), T.words(pa.array([b for _, b in pairs])))
     for (a, b), j in zip(pairs, got):
@@ -484,7 +493,10 @@ def test_embeddings_against_brute_force(spark):
     near = base[rng.integers(0, 300, 120)] + rng.normal(size=(120, 32)) * rng.choice([0.05, 0.15, 0.3, 0.6], (120, 1))
     x = np.vstack([base, near, base[:3], base[:1] * 7]).astype(np.float32)
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    odd = [(900, None, 1), (901, [], 1), (902, [0.0] * 32, 1), (903, [float("nan")] * 32, 1), (904, [1.0, None], 1), (None, rows[0][1], 1), (905, [1.0, 2.0], 1), (906, [1.0, 2.0], 1), (7, rows[7][1], 1)]
+    odd = [
+        (900, None, 1), (901, [], 1), (902, [0.0] * 32, 1), (903, [float("nan")] * 32, 1), (904, [1.0, None], 1), (None, rows[0][1], 1), (905, [1.0, 2.0], 1),
+        (906, [1.0, 2.0], 1), (7, rows[7][1], 1)
+    ]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     c = u.astype(np.float64) @ u.T
     pairs = [(a, b) for a, b in zip(*np.nonzero(np.triu(c, 1) >= neighbours.THRESHOLD))] + [(905, 906)]
@@ -636,7 +648,18 @@ def test_quality_query_against_brute_force(spark, tmp_path):
     logit = np.clip(np.clip((x - mean) / scale, -8, 8) @ b[:-1] + b[-1], -12, 12)
     p = 1 / (1 + np.exp(-logit))
     prior = math.log(y.mean() / (1 - y.mean()))
-    sites = {r[:2]: r for r in quality.posteriors(spark.createDataFrame([(h, q, float(len(v)), float(v.sum()), float((v * v).sum())) for (h, q), v in ((k, np.array([p[i] for i, r in enumerate(rows) if (r[3], r[2]) == k])) for k in {(r[3], r[2]) for r in rows})], "host string, path string, n double, s double, ss double")).collect()}
+    sites = {
+        r[:2]: r for r in quality.posteriors(
+            spark.createDataFrame(
+                [
+                    (h, q, float(len(v)), float(v.sum()), float((v * v).sum())) for (h, q), v in (
+                        (k, np.array([p[i] for i, r in enumerate(rows) if (r[3], r[2]) == k])) for k in {(r[3], r[2]) for r in rows}
+                    )
+                ],
+                "host string, path string, n double, s double, ss double"
+            )
+        ).collect()
+    }
     keep = set()
     for i, r in enumerate(rows):
         own = [j for j, q in enumerate(rows) if q[3] == r[3] and j != i]
@@ -701,7 +724,10 @@ def test_short_items_are_found_word_for_word(spark):
     rng = random.Random(31)
     items = [(1, "What is the capital of France?"), (2, "yes"), (3, "Paris, of course"), (4, prose(150, rng)), (5, "what is the capital of"), (6, None), (7, " ?!")]
     rows = [(i, prose(200, rng)) for i in range(60)]
-    rows += [(100, prose(90, rng) + " what IS the\ncapital of France " + prose(90, rng)), (101, "paris of"), (102, "course"), (103, "Yes"), (104, prose(30, rng) + " " + items[3][1]), (105, "what is the capital of"), (106, "paris of the course")]
+    rows += [
+        (100, prose(90, rng) + " what IS the\ncapital of France " + prose(90, rng)), (101, "paris of"), (102, "course"), (103, "Yes"),
+        (104, prose(30, rng) + " " + items[3][1]), (105, "what is the capital of"), (106, "paris of the course")
+    ]
     found_ = lambda b: {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, rows), spark.createDataFrame(b, "item_id long, text string")).filter("share = 1").collect()}
     want = {(100, 1), (100, 5), (103, 2), (104, 4), (105, 5)}
     assert found_(items) == want
@@ -739,7 +765,10 @@ def test_long_items_match_where_their_answer_is(spark):
     item = prose(150, rng).split()
     rows = [(i, prose(300, rng)) for i in range(60)]
     question, answer = _near(" ".join(item[:100]), 0.05, rng), _near(" ".join(item[80:]), 0.05, rng)
-    rows += [(500, f"{prose(50, rng)} {question} {prose(50, rng)}"), (501, f"{prose(50, rng)} {answer} {prose(50, rng)}"), (502, " ".join(item)), (503, _near(" ".join(item), 0.1, rng))]
+    rows += [
+        (500, f"{prose(50, rng)} {question} {prose(50, rng)}"), (501, f"{prose(50, rng)} {answer} {prose(50, rng)}"), (502, " ".join(item)),
+        (503, _near(" ".join(item), 0.1, rng))
+    ]
     got = {r.doc_id for r in decontamination.leaks(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
     assert got == {501, 502, 503}
 
@@ -773,7 +802,10 @@ def _repeated_corpus():
     for i in range(60, 110):
         w = prose(rng.randint(0, 80), rng)
         rows.append((i, f"{w} {rng.choice(shared)}. {prose(rng.randint(0, 80), rng)}"))
-    rows += [(205, "same " * 290), (200, shared[5] + " " + shared[4]), (201, shared[4][: len(shared[4]) // 2] + "  --  " + shared[5]), (202, "same " * 300), (203, (prose(60, rng) + " ") * 3), (204, rows[70][1].upper()), (61, rows[61][1])]
+    rows += [
+        (205, "same " * 290), (200, shared[5] + " " + shared[4]), (201, shared[4][: len(shared[4]) // 2] + "  --  " + shared[5]), (202, "same " * 300),
+        (203, (prose(60, rng) + " ") * 3), (204, rows[70][1].upper()), (61, rows[61][1])
+    ]
     return rows
 
 
@@ -859,7 +891,10 @@ def test_repeated_spans_and_cuts_against_brute_force(spark):
 def test_unequal_words_are_no_repeat(spark):
     d = spark.createDataFrame([(1, "a b c d"), (2, "x A b, c"), (3, "a b q")], "doc long, t string")
     key = {r.doc: r.k for r in d.select("doc", substrings.row_key(F.col("t")).alias("k")).collect()}
-    units = spark.createDataFrame([(1, key[1], 0, 3, 1, key[1], 0), (2, key[2], 1, 3, 1, key[1], 0), (3, key[3], 0, 3, 1, key[1], 0)], "doc long, row long, start long, words int, first long, first_row long, first_start long")
+    units = spark.createDataFrame(
+        [(1, key[1], 0, 3, 1, key[1], 0), (2, key[2], 1, 3, 1, key[1], 0), (3, key[3], 0, 3, 1, key[1], 0)],
+        "doc long, row long, start long, words int, first long, first_row long, first_start long"
+    )
     assert [tuple(r) for r in substrings._unequal(d, units).collect()] == [(3, key[3], 0)]
 
 
@@ -987,7 +1022,10 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
     sentences = lambda n: ". ".join(prose(9, rng).capitalize() for _ in range(n)) + "."
     item, passage = sentences(5), sentences(9)
     copy = rows[7][1]
-    rows += [(500, copy), (501, rows[8][1] + " " + item), (502, sentences(8) + passage), (503, sentences(7) + " " + passage), (504, None), (505, ""), (None, rows[11][1]), (12, rows[12][1])]
+    rows += [
+        (500, copy), (501, rows[8][1] + " " + item), (502, sentences(8) + passage), (503, sentences(7) + " " + passage), (504, None), (505, ""),
+        (None, rows[11][1]), (12, rows[12][1])
+    ]
     columns = [*CLASH, "doc", "cuts", "new", "gone", "again", "place", "_doc", "keep", "host"]
     d = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOC).withColumns({c: F.lit("x") for c in columns})
     d.write.parquet(f"{tmp_path}/documents.parquet")
