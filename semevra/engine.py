@@ -100,7 +100,9 @@ def attribute_text(key: str, promoted: dict[str, str] | None = None) -> Any:
     if promoted and key in promoted:
         return F.col(f"`attr.{key}`").cast("string")
     a = F.col("attributes")[key]
-    return F.when(a["tag"] == M.STR, a["s"]).when(a["tag"] == M.INT, a["i"].cast("string")).when(a["tag"] == M.DOUBLE, a["d"].cast("string")).when(a["tag"] == M.BOOL, a["b"].cast("string"))
+    return F.when(a["tag"] == M.STR, a["s"]).when(a["tag"] == M.INT, a["i"].cast("string")).when(
+        a["tag"] == M.DOUBLE, a["d"].cast("string")
+    ).when(a["tag"] == M.BOOL, a["b"].cast("string"))
 
 
 def project(plan: S.Plan, df: DataFrame, promoted: dict[str, str] | None = None) -> DataFrame:
@@ -242,7 +244,10 @@ class Engine:
         keys = [r[0] for r in kept.select(F.explode(F.map_keys("attributes"))).distinct().limit(M.MAX_DICTIONARY + 1).collect()]
         from semevra.functions.hashing import content_hash
 
-        kept.select("tenant_id", F.coalesce("idempotency_key", "event_id").alias("key"), content_hash(ingest.CONTENT).alias("hash"), F.lit(now).cast("long").alias("at"), F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.store.root}/idempotency/day={now // M.DAY_MS}/n={number}")
+        kept.select(
+            "tenant_id", F.coalesce("idempotency_key", "event_id").alias("key"), content_hash(ingest.CONTENT).alias("hash"),
+            F.lit(now).cast("long").alias("at"), F.lit(number).cast("long").alias("batch")
+        ).write.mode("overwrite").parquet(f"{self.store.root}/idempotency/day={now // M.DAY_MS}/n={number}")
         self._publish(snap, kept, number, keys=sorted(set(keys) | set(known)))
         out = {r[0] or "admitted": r[1] for r in judged.groupBy("reason").count().collect()}
         n = failed.count()
@@ -355,7 +360,10 @@ class Engine:
             explain.selectivity = ok / max(1, head.count())
         terms = count_terms(query.predicate) + 1
         share = min(1.0, explain.nprobe / self.store.config["nlist"]) if explain.nprobe else 1.0
-        costs = {"scalar-first": rows * terms + rows * explain.selectivity * share, "semantic-first": rows * share + rows * share * terms, "interleaved": rows * share * (terms + explain.selectivity)}
+        costs = {
+            "scalar-first": rows * terms + rows * explain.selectivity * share, "semantic-first": rows * share + rows * share * terms,
+            "interleaved": rows * share * (terms + explain.selectivity)
+        }
         explain.strategy = query.plan if query.plan != "auto" else min(sorted(costs), key=costs.get)
         explain.estimated_cost = costs.get(explain.strategy, 0.0)
         explain.candidates = query.candidates
@@ -382,7 +390,13 @@ class Engine:
         if plan.semantic is not None:
             k = plan.rerank if plan.aggregate or key else max(plan.limit, 1)
             k = max(k, plan.rerank)
-            rows = self.search(M.Query(text=plan.semantic, tenant=tenant, k=k, predicate=plan.predicate, nprobe=plan.nprobe, candidates=max(plan.candidates, plan.rerank), rerank=plan.rerank), snap).rows
+            rows = self.search(
+                M.Query(
+                    text=plan.semantic, tenant=tenant, k=k, predicate=plan.predicate, nprobe=plan.nprobe, candidates=max(plan.candidates, plan.rerank),
+                    rerank=plan.rerank
+                ),
+                snap
+            ).rows
             if plan.aggregate:
                 return M.Result(run_plan(plan, rows, rows, promoted), snap.id)
         else:
@@ -407,7 +421,9 @@ class Engine:
 
     # Analytics ---------------------------------------------------------------------------------------------------------
 
-    def _gather(self, tenant: str, predicate: Any = None, time_from: int | None = None, time_to: int | None = None, space: str | None = None, inclusive: bool = False) -> tuple[DataFrame, str]:
+    def _gather(
+        self, tenant: str, predicate: Any = None, time_from: int | None = None, time_to: int | None = None, space: str | None = None, inclusive: bool = False
+    ) -> tuple[DataFrame, str]:
         """Rows of a tenant; ``time_to`` is exclusive here unless said otherwise. One space only."""
         snap = self.store.snapshot()
         hi = time_to if inclusive or time_to is None else time_to - 1
@@ -424,7 +440,9 @@ class Engine:
             df = df.filter(compile_predicate(predicate, self.store.config["promoted"]))
         return df, spaces[0] if spaces else ""
 
-    def semantic_cluster(self, tenant: str, k: int, predicate: Any = None, time_from: int | None = None, time_to: int | None = None, space: str | None = None) -> analytics.Clusters:
+    def semantic_cluster(
+        self, tenant: str, k: int, predicate: Any = None, time_from: int | None = None, time_to: int | None = None, space: str | None = None
+    ) -> analytics.Clusters:
         df, s = self._gather(tenant, predicate, time_from, time_to, space)
         return analytics.semantic_cluster(df.select("event_id", "vector", "cost", "error"), k, s)
 
@@ -515,7 +533,9 @@ class Engine:
                 recalls[s].append(len(ids[s] & exact) / max(1, len(exact)))
             a, b = ids[spaces[0]], ids[spaces[1]]
             jaccard.append(len(a & b) / max(1, len(a | b)))
-        return {"jaccard": float(np.mean(jaccard))} | {f"recall {s}": float(np.mean(r)) for s, r in recalls.items()} | {f"recall p1 {s}": float(np.quantile(r, 0.01)) for s, r in recalls.items()}
+        return {"jaccard": float(np.mean(jaccard))} | {f"recall {s}": float(np.mean(r)) for s, r in recalls.items()} | {
+            f"recall p1 {s}": float(np.quantile(r, 0.01)) for s, r in recalls.items()
+        }
 
     # Maintenance -------------------------------------------------------------------------------------------------------
 
@@ -540,7 +560,9 @@ class Engine:
     def _train(self, embedder: HashEmbedder) -> Codebook:
         snap, c = self.store.snapshot(), self.store.config
         rows = self.store.read(snap.parts, snap).select("event_id", "tenant_id", "body")
-        sample = with_vectors(ingest.stratified_sample(rows, TRAINING_ROWS, c["seed"]), embedder).filter("vector is not null").orderBy(F.sha2("event_id", 256), "event_id").toArrow()
+        sample = with_vectors(
+            ingest.stratified_sample(rows, TRAINING_ROWS, c["seed"]), embedder
+        ).filter("vector is not null").orderBy(F.sha2("event_id", 256), "event_id").toArrow()
         x = np.array(sample.column("vector").combine_chunks().flatten(), np.float32).reshape(sample.num_rows, -1)
         return train(x, c["nlist"], c["pq_m"], c["seed"], c["restarts"])
 

@@ -7,7 +7,12 @@ from typing import Any
 
 from pyspark.sql import types as P
 
-ATTRIBUTE = P.StructType([P.StructField("tag", P.ByteType()), P.StructField("s", P.StringType()), P.StructField("i", P.LongType()), P.StructField("d", P.DoubleType()), P.StructField("b", P.BooleanType())])
+ATTRIBUTE = P.StructType(
+    [
+        P.StructField("tag", P.ByteType()), P.StructField("s", P.StringType()), P.StructField("i", P.LongType()), P.StructField("d", P.DoubleType()),
+        P.StructField("b", P.BooleanType())
+    ]
+)
 STR, INT, DOUBLE, BOOL = 1, 2, 3, 4
 
 EVENT = P.StructType(
@@ -27,7 +32,10 @@ EVENT = P.StructType(
     ]
 )
 STAR = ["event_id", "tenant_id", "event_time", "observed_time", "event_name", "cost", "error", "body", "trace_id", "span_id"]
-FAMILY = {"event_id": "str", "tenant_id": "str", "event_time": "num", "observed_time": "num", "event_name": "str", "cost": "num", "error": "bool", "body": "str", "trace_id": "str", "span_id": "str", "score": "num"}
+FAMILY = {
+    "event_id": "str", "tenant_id": "str", "event_time": "num", "observed_time": "num", "event_name": "str", "cost": "num", "error": "bool", "body": "str",
+    "trace_id": "str", "span_id": "str", "score": "num"
+}
 NUMERIC = {"cost", "event_time", "observed_time", "score"}
 
 NPROBE, CANDIDATES, RERANK, LIMIT = 11, 50, 50, 10

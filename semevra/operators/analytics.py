@@ -49,7 +49,10 @@ def assign(df: DataFrame, centroids: np.ndarray, id_col: str = "event_id", vecto
                 d = ((part[:, None] - c[None].astype(np.float64)) ** 2).sum(2) if len(c) <= 32 else distances(part, c)
                 near = d.argmin(1)
                 rows = b.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in (id_col, *keep)], pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(part)), near])], [id_col, *keep, "cluster", "dist"])
+                yield pa.RecordBatch.from_arrays(
+                    [*[rows.column(n) for n in (id_col, *keep)], pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(part)), near])],
+                    [id_col, *keep, "cluster", "dist"]
+                )
 
     types = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in (id_col, *keep))
     return df.select(id_col, *keep, vector_col).mapInArrow(run, f"{types}, cluster int, dist double")
@@ -97,7 +100,10 @@ def lloyd(df: DataFrame, centroids: np.ndarray, epochs: int, vector_col: str = "
                     np.add.at(sums, near, np.rint(part * _FIXED).astype(np.int64))
                     np.add.at(cost, near, np.rint(d[np.arange(len(part)), near] * _FIXED).astype(np.int64))
                     counts += np.bincount(near, minlength=k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array([s.tobytes() for s in sums], pa.binary()), pa.array(counts), pa.array(cost)], ["c", "s", "n", "d"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(k, dtype=np.int32)), pa.array([s.tobytes() for s in sums], pa.binary()), pa.array(counts), pa.array(cost)],
+                ["c", "s", "n", "d"]
+            )
 
         def add(batches):
             total: dict[int, list] = {}
@@ -108,7 +114,13 @@ def lloyd(df: DataFrame, centroids: np.ndarray, epochs: int, vector_col: str = "
                     t[1] += n
                     t[2] += d
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t[0].tobytes() for t in total.values()], pa.binary()), pa.array([t[1] for t in total.values()]), pa.array([t[2] for t in total.values()])], ["c", "s", "n", "d"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(list(total), pa.int32()), pa.array([t[0].tobytes() for t in total.values()], pa.binary()),
+                        pa.array([t[1] for t in total.values()]), pa.array([t[2] for t in total.values()])
+                    ],
+                    ["c", "s", "n", "d"]
+                )
 
         schema = "c int, s binary, n long, d long"
         got = df.select(vector_col).mapInArrow(run, schema).repartition("c").mapInArrow(add, schema).collect()
@@ -140,7 +152,10 @@ def semantic_cluster(df: DataFrame, k: int, space: str = "", driver_rows: int =
     if not n:
         none = df.select("event_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("dist"), "cost", "error").limit(0)
         s = summarise(none)
-        return Clusters(s.select("cluster_id", "count", "avg_cost", "error_rate", "exemplar"), none.select("event_id", F.lit(0).alias("cluster_id"), "dist"), np.zeros((0, 0)), 0.0, "low")
+        return Clusters(
+            s.select("cluster_id", "count", "avg_cost", "error_rate", "exemplar"), none.select("event_id", F.lit(0).alias("cluster_id"), "dist"),
+            np.zeros((0, 0)), 0.0, "low"
+        )
     dim = df.select(F.size("vector")).first()[0]
     held = min(driver_rows, max(0, state_budget - 4 * k * dim) // (4 * dim))
     if held < min(n, 10 * k):
@@ -272,14 +287,18 @@ def drift(df: DataFrame, baselines: dict[str, Baseline]) -> DataFrame:
     sound = {g: b for g, b in baselines.items() if b.state == "ok"}
     out: DataFrame | None = None
     for g, b in sorted(sound.items()):
-        part = with_novelty(df.filter(F.col("generation") == g), b.centroids).select("generation", "novelty", F.lit("ok").alias("status"), (F.col("novelty") > b.threshold).cast("int").alias("n"))
+        part = with_novelty(df.filter(F.col("generation") == g), b.centroids).select(
+            "generation", "novelty", F.lit("ok").alias("status"), (F.col("novelty") > b.threshold).cast("int").alias("n")
+        )
         out = part if out is None else out.unionByName(part)
     rest = df.filter(~F.col("generation").isin(list(sound))) if sound else df
     degraded = [g for g, b in baselines.items() if b.state != "ok"]
     status = F.when(F.col("generation").isin(degraded), "degraded").otherwise("no baseline") if degraded else F.lit("no baseline")
     rest = rest.select("generation", F.lit(None).cast("double").alias("novelty"), status.alias("status"), F.lit(None).cast("int").alias("n"))
     out = rest if out is None else out.unionByName(rest)
-    g = out.groupBy("generation", "status").agg(F.count("*").alias("rows"), F.sum("n").alias("novel"), F.avg("novelty").alias("mean_novelty"), F.max("novelty").alias("max_novelty"))
+    g = out.groupBy("generation", "status").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("novel"), F.avg("novelty").alias("mean_novelty"), F.max("novelty").alias("max_novelty")
+    )
     g = g.withColumn("fraction", F.col("novel") / F.col("rows"))
     return g.withColumn("fires", F.col("fraction") > FIRE_MULTIPLE * FIRE_BASE)
 

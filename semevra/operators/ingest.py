@@ -26,7 +26,13 @@ def validation_reason(now_ms: int) -> Column:
     rules = [
         (_bytes("event_id") == 0, "missing_event_id"),
         (_bytes("tenant_id") == 0, "missing_tenant_id"),
-        (F.greatest(_bytes("event_id") - M.MAX_ID, _bytes("tenant_id") - M.MAX_TENANT, _bytes("event_name") - M.MAX_NAME, _bytes("trace_id") - M.MAX_TRACE, _bytes("span_id") - M.MAX_SPAN, _bytes("idempotency_key") - M.MAX_KEY) > 0, "invalid_identifier"),
+        (
+            F.greatest(
+                _bytes("event_id") - M.MAX_ID, _bytes("tenant_id") - M.MAX_TENANT, _bytes("event_name") - M.MAX_NAME, _bytes("trace_id") - M.MAX_TRACE,
+                _bytes("span_id") - M.MAX_SPAN, _bytes("idempotency_key") - M.MAX_KEY
+            ) > 0,
+            "invalid_identifier"
+        ),
         (_bytes("event_name") == 0, "invalid_identifier"),
         (F.col("cost").isNull() | F.isnan("cost") | (F.col("cost") < 0) | (F.col("cost") == float("inf")), "invalid_cost"),
         (_bytes("body") > M.MAX_BODY, "body_too_large"),
@@ -133,7 +139,10 @@ def preflight(df: DataFrame, grants: DataFrame, model: str, purpose: str = "inge
     return d.withColumn("denied", F.col("_budget").isNull() | (F.col("_n") > F.col("_budget"))).drop("_budget", "_n")
 
 
-def admit(df: DataFrame, now_ms: int, seen: DataFrame | None = None, known_keys: list[str] | None = None, seq: str = "seq", grants: DataFrame | None = None, model: str = "") -> DataFrame:
+def admit(
+    df: DataFrame, now_ms: int, seen: DataFrame | None = None, known_keys: list[str] | None = None, seq: str = "seq", grants: DataFrame | None = None,
+    model: str = ""
+) -> DataFrame:
     """``df`` (events and a sequence number) with observed_time stamped, and reason (null: admitted; 'replay': suppressed).
 
     Order of the checks: validation, lateness, key dictionary, quota, idempotency, and the model's grants if any are given;

@@ -123,7 +123,10 @@ def reembed(store: Store, embedder: HashEmbedder, book: Codebook) -> Snapshot:
     return store.commit(snap, parts=store.write_parts(encode(rows, book), g), active=g, generations=states)
 
 
-MOVES = {("candidate", "canary"), ("canary", "active"), ("candidate", "active"), ("active", "deprecated"), ("canary", "deprecated"), ("candidate", "deprecated"), ("deprecated", "active")}
+MOVES = {
+    ("candidate", "canary"), ("canary", "active"), ("candidate", "active"), ("active", "deprecated"), ("canary", "deprecated"), ("candidate", "deprecated"),
+    ("deprecated", "active")
+}
 
 
 def set_state(store: Store, generation: str, state: str) -> Snapshot:
@@ -204,7 +207,11 @@ def migrate(store: Store, generation: str, embedder: HashEmbedder, max_parts: in
 
 def migration_status(store: Store) -> dict[str, dict]:
     snap = store.snapshot()
-    return {g: {"state": v["state"], "parts": sum(p["generation"] == g for p in snap.parts), "rows": sum(p["rows"] for p in snap.parts if p["generation"] == g)} for g, v in snap.data["generations"].items()}
+    return {
+        g: {
+            "state": v["state"], "parts": sum(p["generation"] == g for p in snap.parts), "rows": sum(p["rows"] for p in snap.parts if p["generation"] == g)
+        } for g, v in snap.data["generations"].items()
+    }
 
 
 def retire(store: Store, generation: str) -> Snapshot:
@@ -235,7 +242,10 @@ def declare_bridge(store: Store, a: str, b: str, note: str) -> Snapshot:
 def rollback(store: Store, number: int) -> Snapshot:
     """A new snapshot with the contents of an old one."""
     snap, old = store.snapshot(), store.snapshot(number)
-    return store.commit(snap, parts=old.parts, active=old.active, generations=snap.data["generations"] | old.data["generations"], tombstones=old.tombstones, tombstone_tables=old.data.get("tombstone_tables", []))
+    return store.commit(
+        snap, parts=old.parts, active=old.active, generations=snap.data["generations"] | old.data["generations"], tombstones=old.tombstones,
+        tombstone_tables=old.data.get("tombstone_tables", [])
+    )
 
 
 def gc(store: Store, keep: int = 10, dry_run: bool = False, now_ms: int | None = None) -> dict[str, list[str]]:

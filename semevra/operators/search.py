@@ -56,7 +56,10 @@ KEY = ["event_id", "tenant_id", "generation", "event_time"]
 LITERALS = 1000
 
 
-def by_code(df: DataFrame, q: np.ndarray, book: Codebook, lists: Sequence[int], candidates: int, rerank: int, threshold: float | None = None, fetch_budget_bytes: int | None = None) -> list:
+def by_code(
+    df: DataFrame, q: np.ndarray, book: Codebook, lists: Sequence[int], candidates: int, rerank: int, threshold: float | None = None,
+    fetch_budget_bytes: int | None = None
+) -> list:
     """The rows (KEY, centroid, dist) of the probed lists to fetch, by code distance: the scan reads keys and codes only.
 
     At most ``candidates``, ``rerank`` and what the byte budget allows. With a threshold they are all rows within its bound, up
@@ -88,7 +91,10 @@ def fetched(df: DataFrame, rows: list) -> DataFrame:
     return df.join(F.broadcast(keys), KEY, "left_semi")  # at most THRESHOLD_BUDGET keys
 
 
-def approximate_topk(df: DataFrame, q: np.ndarray, book: Codebook, lists: Sequence[int], k: int, candidates: int, rerank: int, threshold: float | None = None, fetch_budget_bytes: int | None = None, source: Callable[[list], DataFrame] | None = None) -> DataFrame:
+def approximate_topk(
+    df: DataFrame, q: np.ndarray, book: Codebook, lists: Sequence[int], k: int, candidates: int, rerank: int, threshold: float | None = None,
+    fetch_budget_bytes: int | None = None, source: Callable[[list], DataFrame] | None = None
+) -> DataFrame:
     """IVF-PQ: rows of the probed lists by code distance, the best exactly reranked. ``source`` gives the rows that hold the
     candidates it is called with; by default that is ``df``."""
     rows = by_code(df, q, book, lists, candidates, rerank, threshold, fetch_budget_bytes)
@@ -135,7 +141,10 @@ def exact_topk_of(df: DataFrame, queries: Sequence[tuple[str, Sequence[float]]],
                 for i, v in enumerate(q):
                     s = _pair_scores(v[None], x[None])[0]
                     t = np.lexsort((ids, -s))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(t)), pa.array(ids[t].tolist(), pa.string()), pa.array(s[t]), pa.array(cent[t])], ["query_id", "event_id", "score", "centroid"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[i]] * len(t)), pa.array(ids[t].tolist(), pa.string()), pa.array(s[t]), pa.array(cent[t])],
+                        ["query_id", "event_id", "score", "centroid"]
+                    )
 
     return _best(df.select("event_id", "vector", "centroid").mapInArrow(run, RANKED + ", centroid int"), k)
 
@@ -198,7 +207,12 @@ def approximate_topk_all(df: DataFrame, queries: DataFrame, book: Codebook, k: i
                 scores.append(np.take_along_axis(s, t, 1).ravel())
         if not names:
             return pa.table({"query_id": pa.array([], pa.string()), "event_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        return pa.table({"query_id": left.column("query_id").take(pa.array(np.concatenate(names))).combine_chunks(), "event_id": right.column("event_id").take(pa.array(np.concatenate(found))).combine_chunks(), "score": np.concatenate(scores)})
+        return pa.table(
+            {
+                "query_id": left.column("query_id").take(pa.array(np.concatenate(names))).combine_chunks(),
+                "event_id": right.column("event_id").take(pa.array(np.concatenate(found))).combine_chunks(), "score": np.concatenate(scores)
+            }
+        )
 
     key = ["centroid", "rb", "qb"]
     return _best(visits.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(search_list, RANKED), k)
@@ -243,7 +257,13 @@ def group_survivors(rows: DataFrame, group_k: int, seed: int, survivors: int) ->
     out = []
     for c in np.unique(near):
         at = np.flatnonzero(near == c)
-        out.append({"cluster_id": int(c), "count": len(at), "avg_cost": float(np.mean([got[i].cost for i in at])), "error_rate": float(np.mean([bool(got[i].error) for i in at])), "exemplar": got[at[d[at, c].argmin()]].event_id, "member_ids": sorted(got[i].event_id for i in at)})
+        out.append(
+            {
+                "cluster_id": int(c), "count": len(at), "avg_cost": float(np.mean([got[i].cost for i in at])),
+                "error_rate": float(np.mean([bool(got[i].error) for i in at])), "exemplar": got[at[d[at, c].argmin()]].event_id,
+                "member_ids": sorted(got[i].event_id for i in at)
+            }
+        )
     return sorted(out, key=lambda g: (-g["count"], g["cluster_id"]))
 
 

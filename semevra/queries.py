@@ -45,7 +45,10 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table events in the engine's data model."""
     local = "ts" if spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC") else "convert_timezone('UTC', current_timezone(), ts)"
     k = F.get_json_object("props", "$.k").try_cast("long")
-    value = F.struct(F.lit(M.INT).cast("byte").alias("tag"), F.lit(None).cast("string").alias("s"), k.alias("i"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("boolean").alias("b"))
+    value = F.struct(
+        F.lit(M.INT).cast("byte").alias("tag"), F.lit(None).cast("string").alias("s"), k.alias("i"), F.lit(None).cast("double").alias("d"),
+        F.lit(None).cast("boolean").alias("b")
+    )
     ms = F.expr(f"unix_millis(cast({local} as timestamp))")
     return table(spark, sf_dir, "events").select(
         padded("e", "event_id").alias("event_id"),
@@ -122,7 +125,10 @@ def _rows(name: str, columns: str, where: str, oracle_where: str, oracle_columns
 _rows("scan_project_star", "*", "", "TRUE", STAR)
 _rows("scan_project_cols", "event_id, cost, error", "", "TRUE")
 _rows("attr_project", "event_id, attributes['k']", "", "TRUE", "event_id, CAST(k AS VARCHAR) AS \"attributes[k]\"")
-_rows("filter_cmp_matrix", "event_id, cost", "cost >= 10 AND cost < 50.5 AND event_name <> 'click' AND 'purchase' = event_name OR cost > 'x'", "cost >= 10 AND cost < 50.5 AND event_name <> 'click' AND event_name = 'purchase'")
+_rows(
+    "filter_cmp_matrix", "event_id, cost", "cost >= 10 AND cost < 50.5 AND event_name <> 'click' AND 'purchase' = event_name OR cost > 'x'",
+    "cost >= 10 AND cost < 50.5 AND event_name <> 'click' AND event_name = 'purchase'"
+)
 _rows("filter_in", "event_id, event_name", "event_name IN ('click', 'view', 3) AND attributes['k'] IN (1, 2, 3, 'x')", "event_name IN ('click', 'view') AND k IN (1, 2, 3)")
 _rows("filter_not_null", "event_id", "NOT attributes['absent'] = 'x' OR NOT (cost > 20)", "NOT (cost > 20)")
 _rows("filter_bool", "event_id, error", "error AND NOT FALSE", "error")
@@ -141,12 +147,21 @@ def _window(name: str, where: str, oracle_where: str) -> None:
     register(name, f"{EV} SELECT event_id, event_time FROM ev WHERE tenant_id = 't1' AND ({oracle_where})")(run)
 
 
-_window("time_window_inclusive", "event_time >= 1704153600000 AND event_time <= 1704672000000 AND (event_time < 0 OR cost >= 0)", "event_time BETWEEN 1704153600000 AND 1704672000000")
-_window("time_window_exclusive", "cost < 0 AND event_time > 1704153600000 AND event_time < 1704672000000 AND event_time <= 1804672000000", "event_time > 1704153600000 AND event_time < 1704672000000")
+_window(
+    "time_window_inclusive", "event_time >= 1704153600000 AND event_time <= 1704672000000 AND (event_time < 0 OR cost >= 0)",
+    "event_time BETWEEN 1704153600000 AND 1704672000000"
+)
+_window(
+    "time_window_exclusive", "cost < 0 AND event_time > 1704153600000 AND event_time < 1704672000000 AND event_time <= 1804672000000",
+    "event_time > 1704153600000 AND event_time < 1704672000000"
+)
 _rows("semantic_precedence", "event_id", "error OR cost < 5 AND event_name = 'click'", "error OR (cost < 5 AND event_name = 'click')")
 
 _sql("agg_count", "SELECT count(*) FROM events WHERE cost > 10", EV + " SELECT count(*) AS \"count(*)\" FROM ev WHERE tenant_id = 't1' AND cost > 10")
-_sql("agg_count_empty", "SELECT count(*), count(cost) FROM events WHERE cost < 0", EV + " SELECT count(*) AS \"count(*)\", count(cost) AS \"count(cost)\" FROM ev WHERE tenant_id = 't1' AND cost < 0")
+_sql(
+    "agg_count_empty", "SELECT count(*), count(cost) FROM events WHERE cost < 0",
+    EV + " SELECT count(*) AS \"count(*)\", count(cost) AS \"count(cost)\" FROM ev WHERE tenant_id = 't1' AND cost < 0"
+)
 _sql(
     "agg_sum_avg_min_max",
     "SELECT sum(cost), avg(cost), min(cost), max(cost), min(event_time), max(event_name) FROM events",
@@ -167,9 +182,18 @@ def agg_sum_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_name", "n", (F.col("total") / F.col("most")).alias("sum_in_units"), "most")
 
 
-_sql("agg_sum_empty_zero", "SELECT sum(cost), avg(cost) FROM events WHERE cost < 0", EV + ' SELECT coalesce(sum(cost), 0.0) AS "sum(cost)", avg(cost) AS "avg(cost)" FROM ev WHERE tenant_id = \'t1\' AND cost < 0')
-_sql("group_by_one", "SELECT event_name, count(*), sum(cost) FROM events GROUP BY event_name", EV + ' SELECT event_name, count(*) AS "count(*)", round(sum(cost), 6) AS "sum(cost)" FROM ev WHERE tenant_id = \'t1\' GROUP BY event_name')
-_sql("agg_beside_key", "SELECT body, event_name, count(*) FROM events GROUP BY event_name LIMIT 1", EV + " SELECT CAST(NULL AS VARCHAR) AS body, event_name, count(*) AS \"count(*)\" FROM ev WHERE tenant_id = 't1' GROUP BY event_name")
+_sql(
+    "agg_sum_empty_zero", "SELECT sum(cost), avg(cost) FROM events WHERE cost < 0",
+    EV + ' SELECT coalesce(sum(cost), 0.0) AS "sum(cost)", avg(cost) AS "avg(cost)" FROM ev WHERE tenant_id = \'t1\' AND cost < 0'
+)
+_sql(
+    "group_by_one", "SELECT event_name, count(*), sum(cost) FROM events GROUP BY event_name",
+    EV + ' SELECT event_name, count(*) AS "count(*)", round(sum(cost), 6) AS "sum(cost)" FROM ev WHERE tenant_id = \'t1\' GROUP BY event_name'
+)
+_sql(
+    "agg_beside_key", "SELECT body, event_name, count(*) FROM events GROUP BY event_name LIMIT 1",
+    EV + " SELECT CAST(NULL AS VARCHAR) AS body, event_name, count(*) AS \"count(*)\" FROM ev WHERE tenant_id = 't1' GROUP BY event_name"
+)
 _sql(
     "group_by_two",
     "SELECT error, event_name, count(*), avg(cost), max(cost) FROM events GROUP BY event_name, error",
@@ -182,7 +206,10 @@ _sql(
 TOP = "SELECT event_id, score FROM {} ORDER BY score DESC, event_id LIMIT {}"
 
 
-@register("topk_exact", "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), sc AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS event_id, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], q.v))), 6) AS score FROM embeddings, q) " + TOP.format("sc", 10))
+@register(
+    "topk_exact",
+    "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), sc AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS event_id, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], q.v))), 6) AS score FROM embeddings, q) " + TOP.format("sc", 10)
+)
 def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest embeddings."""
     e = table(spark, sf_dir, "embeddings").select(padded("v", "vec_id").alias("event_id"), F.col("embedding").alias("vector"))
@@ -229,7 +256,10 @@ def _search(spark: SparkSession, sf_dir: str, deleted: bool = False, where: str
     return e.search(query, e.snapshot(less if deleted else whole)).rows.withColumn("score", F.round("score", 6))
 
 
-@register("topk_hybrid", VEC + " SELECT event_id, score, cost FROM sc WHERE tenant_id = 't1' AND cost > 20 AND event_name IN ('purchase', 'view') ORDER BY score DESC, event_id LIMIT 10")
+@register(
+    "topk_hybrid",
+    VEC + " SELECT event_id, score, cost FROM sc WHERE tenant_id = 't1' AND cost > 20 AND event_name IN ('purchase', 'view') ORDER BY score DESC, event_id LIMIT 10"
+)
 def topk_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship, by the store: tenant and scalar predicate, code distances of the probed lists, exact reranking, top ten."""
     return _search(spark, sf_dir, where="WHERE cost > 20 AND event_name IN ('purchase', 'view')").select("event_id", "score", "cost")
@@ -247,7 +277,10 @@ def topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, threshold=0.2, k=M.THRESHOLD_BUDGET).select("event_id", "score")
 
 
-@register("page_two_keyset", VEC + ", t AS (SELECT * FROM sc WHERE tenant_id = 't1'), one AS (SELECT score, event_id FROM t ORDER BY score DESC, event_id LIMIT 10), last AS (SELECT score, event_id FROM one ORDER BY score, event_id DESC LIMIT 1) SELECT t.event_id, t.score FROM t, last WHERE t.score < last.score OR (t.score = last.score AND t.event_id > last.event_id) ORDER BY t.score DESC, t.event_id LIMIT 10")
+@register(
+    "page_two_keyset",
+    VEC + ", t AS (SELECT * FROM sc WHERE tenant_id = 't1'), one AS (SELECT score, event_id FROM t ORDER BY score DESC, event_id LIMIT 10), last AS (SELECT score, event_id FROM one ORDER BY score, event_id DESC LIMIT 1) SELECT t.event_id, t.score FROM t, last WHERE t.score < last.score OR (t.score = last.score AND t.event_id > last.event_id) ORDER BY t.score DESC, t.event_id LIMIT 10"
+)
 def page_two_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of ten of a semantic statement, by the cursor that came with the first."""
     e, whole, _ = store(spark, sf_dir)
@@ -263,7 +296,10 @@ def tombstone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, deleted=True).select("event_id", "score")
 
 
-@register("agg_over_semantic", VEC + " SELECT event_name, count(*) AS n, round(avg(cost), 6) AS avg_cost, max(score) AS best FROM sc WHERE tenant_id = 't1' AND cost > 20 GROUP BY event_name")
+@register(
+    "agg_over_semantic",
+    VEC + " SELECT event_name, count(*) AS n, round(avg(cost), 6) AS avg_cost, max(score) AS best FROM sc WHERE tenant_id = 't1' AND cost > 20 GROUP BY event_name"
+)
 def agg_over_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggregates of the survivors of a semantic predicate; here all rows of the scalar predicate survive."""
     e, whole, _ = store(spark, sf_dir)
@@ -280,7 +316,10 @@ def alias_and_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.run(plan, e.snapshot(whole)).rows.withColumn("score", F.round("score", 6))
 
 
-@register("snapshot_scan", EV + " SELECT event_id, cost, 'whole' AS at FROM ev WHERE tenant_id = 't1' AND event_time > 1705276800000 AND cost > 20 UNION ALL SELECT event_id, cost, 'less' FROM ev WHERE tenant_id = 't1' AND event_time > 1705276800000 AND cost > 20 AND event_name <> 'signup'")
+@register(
+    "snapshot_scan",
+    EV + " SELECT event_id, cost, 'whole' AS at FROM ev WHERE tenant_id = 't1' AND event_time > 1705276800000 AND cost > 20 UNION ALL SELECT event_id, cost, 'less' FROM ev WHERE tenant_id = 't1' AND event_time > 1705276800000 AND cost > 20 AND event_name <> 'signup'"
+)
 def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan of each of two pinned snapshots, parts pruned by tenant and time, deleted rows left out where they are."""
     e, whole, less = store(spark, sf_dir)
@@ -294,7 +333,10 @@ def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@register("gather_window", EV + " SELECT event_id FROM ev WHERE tenant_id = 't2' AND event_time >= 1704672000000 AND event_time < 1705276800000 AND NOT error AND event_name <> 'signup'")
+@register(
+    "gather_window",
+    EV + " SELECT event_id FROM ev WHERE tenant_id = 't2' AND event_time >= 1704672000000 AND event_time < 1705276800000 AND NOT error AND event_name <> 'signup'"
+)
 def gather_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that analytics gather: a tenant's, in a half-open window, of one embedding space, by a predicate, less the deleted."""
     e, _, _ = store(spark, sf_dir)
@@ -318,7 +360,10 @@ def explain_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(getattr(x, n) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-@register("recall_at_k", VEC + ", a AS (SELECT event_id FROM sc WHERE tenant_id = 't1' ORDER BY score DESC, event_id LIMIT 50), b AS (SELECT event_id FROM sc WHERE tenant_id = 't1' AND cost > 20 ORDER BY score DESC, event_id LIMIT 50) SELECT round((SELECT count(*) FROM a WHERE event_id IN (SELECT event_id FROM b)) / (SELECT count(*)::DOUBLE FROM a), 6) AS recall")
+@register(
+    "recall_at_k",
+    VEC + ", a AS (SELECT event_id FROM sc WHERE tenant_id = 't1' ORDER BY score DESC, event_id LIMIT 50), b AS (SELECT event_id FROM sc WHERE tenant_id = 't1' AND cost > 20 ORDER BY score DESC, event_id LIMIT 50) SELECT round((SELECT count(*) FROM a WHERE event_id IN (SELECT event_id FROM b)) / (SELECT count(*)::DOUBLE FROM a), 6) AS recall"
+)
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which share of a top fifty another one has: here that of a search with a predicate."""
     found, truth = _search(spark, sf_dir, where="WHERE cost > 20", k=50), _search(spark, sf_dir, k=50)
@@ -354,7 +399,10 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[fl
     return [(r.label, [x.m for x in r.c]) for r in rows]
 
 
-@register("novelty_label_baseline", VEC + ", " + CENTROIDS + " SELECT event_id, round(1 - max(list_dot_product(vector, c)), 6) AS novelty, round(1 - max(list_dot_product(vector, c)), 6) > 0.5 AS is_novel FROM vec, cen GROUP BY event_id")
+@register(
+    "novelty_label_baseline",
+    VEC + ", " + CENTROIDS + " SELECT event_id, round(1 - max(list_dot_product(vector, c)), 6) AS novelty, round(1 - max(list_dot_product(vector, c)), 6) > 0.5 AS is_novel FROM vec, cen GROUP BY event_id"
+)
 def novelty_label_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Novelty of every event against the labels' mean vectors."""
     c = [v for _, v in label_centroids(spark, sf_dir)]
@@ -391,7 +439,10 @@ def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).select("event_id", "cluster", "dist")
 
 
-@register("cluster_summary_given_centroids", NEAR + ", g AS (SELECT cluster, count(*) AS count, round(avg(cost), 6) AS avg_cost, round(avg(CASE WHEN error THEN 1.0 ELSE 0.0 END), 6) AS error_rate, arg_min(event_id, {'d': dist, 'e': event_id}) AS exemplar FROM a GROUP BY cluster) SELECT CAST(row_number() OVER (ORDER BY count DESC, exemplar) - 1 AS INTEGER) AS cluster_id, count, avg_cost, error_rate, exemplar FROM g")
+@register(
+    "cluster_summary_given_centroids",
+    NEAR + ", g AS (SELECT cluster, count(*) AS count, round(avg(cost), 6) AS avg_cost, round(avg(CASE WHEN error THEN 1.0 ELSE 0.0 END), 6) AS error_rate, arg_min(event_id, {'d': dist, 'e': event_id}) AS exemplar FROM a GROUP BY cluster) SELECT CAST(row_number() OVER (ORDER BY count DESC, exemplar) - 1 AS INTEGER) AS cluster_id, count, avg_cost, error_rate, exemplar FROM g"
+)
 def cluster_summary_given_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, cost, errors and exemplar of each cluster."""
     s = analytics.summarise(_near(spark, sf_dir))
@@ -412,7 +463,10 @@ def semantic_diff_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("cluster_id", "count", F.round("avg_cost", 6).alias("avg_cost"), F.round("error_rate", 6).alias("error_rate"), "exemplar")
 
 
-@register("column_dot_l2", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS l2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@register(
+    "column_dot_l2",
+    "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS l2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+)
 def column_dot_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dot product and squared distance of two vector columns."""
     e = table(spark, sf_dir, "embeddings")
@@ -423,7 +477,9 @@ def column_dot_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("semantic_cluster")
 def semantic_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic GROUP BY of all embeddings into ten groups."""
-    e = table(spark, sf_dir, "embeddings").select(F.format_string("v%08d", "vec_id").alias("event_id"), F.col("embedding").alias("vector"), F.lit(0.0).alias("cost"), F.lit(False).alias("error"))
+    e = table(spark, sf_dir, "embeddings").select(
+        F.format_string("v%08d", "vec_id").alias("event_id"), F.col("embedding").alias("vector"), F.lit(0.0).alias("cost"), F.lit(False).alias("error")
+    )
     return analytics.semantic_cluster(e, 10).summary
 
 
@@ -438,7 +494,9 @@ def baseline_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate top ten of every embedding as a query: coarse lists, code distances, exact reranking. Lists and candidates
     start at the model's defaults and grow until a sample of the queries finds 0.95 of its exact neighbours."""
-    e = table(spark, sf_dir, "embeddings").select(F.format_string("v%08d", "vec_id").alias("event_id"), F.lit("t").alias("tenant_id"), F.lit("g").alias("generation"), F.col("embedding").alias("vector"))
+    e = table(spark, sf_dir, "embeddings").select(
+        F.format_string("v%08d", "vec_id").alias("event_id"), F.lit("t").alias("tenant_id"), F.lit("g").alias("generation"), F.col("embedding").alias("vector")
+    )
     got = ingest.stratified_sample(e, 50_000, 42).orderBy(F.sha2("event_id", 256)).toArrow()
     book = train(np.array(got.column("vector").combine_chunks().flatten(), np.float32).reshape(got.num_rows, -1), 32, 8, 42, 8)
     coded = materialise(encode(e, book).select("event_id", "vector", "centroid", "code"))
@@ -490,7 +548,10 @@ HASH = """sha256('{"tenant_id":"' || tenant_id || '","event_time":' || event_tim
 LAST = "SELECT event_id, tenant_id, event_time, cost FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id ORDER BY event_time DESC, " + HASH + " DESC) AS n FROM two) WHERE n = 1"
 
 
-@register("merge_dedup", EV + ", two AS (SELECT * FROM ev UNION ALL SELECT * REPLACE (event_time + 1000 * CAST(k % 2 AS BIGINT) AS event_time, round(cost + 1, 2) AS cost) FROM ev WHERE k % 3 = 0) " + LAST)
+@register(
+    "merge_dedup",
+    EV + ", two AS (SELECT * FROM ev UNION ALL SELECT * REPLACE (event_time + 1000 * CAST(k % 2 AS BIGINT) AS event_time, round(cost + 1, 2) AS cost) FROM ev WHERE k % 3 = 0) " + LAST
+)
 def merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The later version of each event survives a merge, and of equally late ones that of the larger content hash."""
     ev = canonical(spark, sf_dir)
@@ -539,7 +600,10 @@ def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.store.read(snap.parts, snap).select("event_id", "tenant_id", "event_time", "cost")
 
 
-@register("store_rollback", EV + TWO + ", r AS (" + MERGED + ") SELECT 'loaded' AS at, count(*) AS n FROM two UNION ALL SELECT 'merged', count(*) FROM r UNION ALL SELECT 'back', count(*) FROM r")
+@register(
+    "store_rollback",
+    EV + TWO + ", r AS (" + MERGED + ") SELECT 'loaded' AS at, count(*) AS n FROM two UNION ALL SELECT 'merged', count(*) FROM r UNION ALL SELECT 'back', count(*) FROM r"
+)
 def store_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a store's snapshots: before the merge, after it, and after a rollback to it."""
     e, at = history(spark, sf_dir)
@@ -551,7 +615,10 @@ def store_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@register("store_redact", EV + TWO + ", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id ORDER BY event_time DESC, " + HASH + " DESC) AS n FROM two WHERE number % 11 <> 0) WHERE n = 1), h AS (SELECT *, sha256(tenant_id) AS h FROM r), b AS (SELECT *, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 16 AS b, event_time - event_time % 604800000 AS w FROM h) SELECT event_id, CASE WHEN max(event_time) OVER (PARTITION BY b, w) < " + str(REDACTED_BEFORE) + " THEN '' ELSE body END AS body FROM b")
+@register(
+    "store_redact",
+    EV + TWO + ", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id ORDER BY event_time DESC, " + HASH + " DESC) AS n FROM two WHERE number % 11 <> 0) WHERE n = 1), h AS (SELECT *, sha256(tenant_id) AS h FROM r), b AS (SELECT *, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 16 AS b, event_time - event_time % 604800000 AS w FROM h) SELECT event_id, CASE WHEN max(event_time) OVER (PARTITION BY b, w) < " + str(REDACTED_BEFORE) + " THEN '' ELSE body END AS body FROM b"
+)
 def store_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of a store after a redaction: empty in the parts that lie wholly before its time."""
     e, at = history(spark, sf_dir)
@@ -562,7 +629,10 @@ def store_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOW = 1706659200000
 
 
-@register("skew_dead_letters", EV + f" SELECT event_id, CASE WHEN {NOW} - event_time > 604800000 THEN 'event_time_too_late' ELSE 'event_time_in_future' END AS reason FROM ev WHERE {NOW} - event_time > 604800000 OR event_time - {NOW} > 3600000")
+@register(
+    "skew_dead_letters",
+    EV + f" SELECT event_id, CASE WHEN {NOW} - event_time > 604800000 THEN 'event_time_too_late' ELSE 'event_time_in_future' END AS reason FROM ev WHERE {NOW} - event_time > 604800000 OR event_time - {NOW} > 3600000"
+)
 def skew_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events too late or too early at admission."""
     return canonical(spark, sf_dir).select("event_id", ingest.validation_reason(NOW).alias("reason")).filter("reason is not null")
@@ -582,13 +652,25 @@ UNION ALL SELECT CASE WHEN tenant_id = 't0' OR tenant_id = 't1' AND used > 50 TH
 def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by the first check that they fail at admission: validation, lateness, dictionary, quota, idempotency, grants."""
     ev, n = canonical(spark, sf_dir), F.col("number")
-    bad = ev.withColumns({"tenant_id": F.when(n % 7 == 0, "").otherwise(F.col("tenant_id")), "cost": F.when(n % 11 == 0, -1.0).otherwise(F.col("cost")), "body": F.when(n % 13 == 0, " ").otherwise(F.col("body")), "idempotency_key": F.when(n % 17 < 2, F.concat(F.lit("key"), F.floor(n / 17).cast("string")))})
-    grants = spark.createDataFrame([("t1", "m", "ingest", 50), ("t2", "m", "ingest", None), ("t3", "m", "ingest", None), ("t4", "m", "ingest", None), ("t0", "m", "query", None)], "tenant_id string, model string, purpose string, budget long")
+    bad = ev.withColumns(
+        {
+            "tenant_id": F.when(n % 7 == 0, "").otherwise(F.col("tenant_id")), "cost": F.when(n % 11 == 0, -1.0).otherwise(F.col("cost")),
+            "body": F.when(n % 13 == 0, " ").otherwise(F.col("body")),
+            "idempotency_key": F.when(n % 17 < 2, F.concat(F.lit("key"), F.floor(n / 17).cast("string")))
+        }
+    )
+    grants = spark.createDataFrame(
+        [("t1", "m", "ingest", 50), ("t2", "m", "ingest", None), ("t3", "m", "ingest", None), ("t4", "m", "ingest", None), ("t0", "m", "query", None)],
+        "tenant_id string, model string, purpose string, budget long"
+    )
     judged = ingest.admit(bad, NOW, seq="number", grants=grants, model="m")
     return judged.select(F.coalesce("reason", F.lit("admitted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@register("key_dictionary", EV + ", f AS (SELECT k % 40 AS key, min(number) AS first FROM ev GROUP BY ALL), r AS (SELECT key, row_number() OVER (ORDER BY first) AS place FROM f WHERE key NOT IN (3, 4)) SELECT event_id, coalesce(place > 10, FALSE) AS over FROM ev LEFT JOIN r ON ev.k % 40 = r.key")
+@register(
+    "key_dictionary",
+    EV + ", f AS (SELECT k % 40 AS key, min(number) AS first FROM ev GROUP BY ALL), r AS (SELECT key, row_number() OVER (ORDER BY first) AS place FROM f WHERE key NOT IN (3, 4)) SELECT event_id, coalesce(place > 10, FALSE) AS over FROM ev LEFT JOIN r ON ev.k % 40 = r.key"
+)
 def key_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose attribute key no longer fits a dictionary of twelve, two of which are known."""
     ev = canonical(spark, sf_dir)
@@ -608,7 +690,9 @@ SELECT coalesce(outcome, 'stored') AS outcome, count(*) AS n FROM q GROUP BY ALL
 def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch through admission into a store: its dead letters by reason, and the rows stored."""
     ev, n = canonical(spark, sf_dir).filter("tenant_id < 't2'"), F.col("number")
-    bad = ev.withColumns({"cost": F.when(n % 11 == 0, -1.0).otherwise(F.col("cost")), "body": F.when(n % 13 == 0, "?!").when(n % 17 == 0, " ").otherwise(F.col("body"))}).drop("number")
+    bad = ev.withColumns(
+        {"cost": F.when(n % 11 == 0, -1.0).otherwise(F.col("cost")), "body": F.when(n % 13 == 0, "?!").when(n % 17 == 0, " ").otherwise(F.col("body"))}
+    ).drop("number")
     e = Engine.init(spark, scratch(spark), dim=64, nlist=8, window_ms=30 * M.DAY_MS, restarts=1)
     e.admit_and_ingest(bad, NOW)
     snap = e.snapshot()
@@ -630,21 +714,33 @@ def fair_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.fair_order(canonical(spark, sf_dir), "number").select("event_id", "tenant_id", F.col("turn").cast("long").alias("turn"))
 
 
-@register("idempotency_verdicts", EV + ", b AS (SELECT *, event_name || k AS key FROM ev), f AS (SELECT *, row_number() OVER w AS rn, first_value(cost) OVER w AS c0, first_value(event_time) OVER w AS t0 FROM b WINDOW w AS (PARTITION BY tenant_id, key ORDER BY number)) SELECT event_id, CASE WHEN rn = 1 THEN 'new' WHEN cost = c0 AND event_time = t0 THEN 'replay' ELSE 'conflict' END AS verdict FROM f")
+@register(
+    "idempotency_verdicts",
+    EV + ", b AS (SELECT *, event_name || k AS key FROM ev), f AS (SELECT *, row_number() OVER w AS rn, first_value(cost) OVER w AS c0, first_value(event_time) OVER w AS t0 FROM b WINDOW w AS (PARTITION BY tenant_id, key ORDER BY number)) SELECT event_id, CASE WHEN rn = 1 THEN 'new' WHEN cost = c0 AND event_time = t0 THEN 'replay' ELSE 'conflict' END AS verdict FROM f"
+)
 def idempotency_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New, replayed and conflicting events where several share a key."""
     d = canonical(spark, sf_dir).withColumn("idempotency_key", F.concat("event_name", F.col("attributes")["k"]["i"].cast("string")))
     return ingest.idempotency(d, None, "number").select("event_id", "verdict")
 
 
-@register("model_preflight", EV + ", g(tenant_id, budget) AS (VALUES ('t0', 100), ('t1', 700), ('t2', NULL), ('t3', 0)) SELECT event_id, CASE WHEN tenant_id NOT IN (SELECT tenant_id FROM g) THEN TRUE ELSE coalesce(rn > budget, FALSE) END AS denied FROM (SELECT ev.event_id, ev.tenant_id, g.budget, row_number() OVER (PARTITION BY ev.tenant_id ORDER BY number) AS rn FROM ev LEFT JOIN g ON ev.tenant_id = g.tenant_id)")
+@register(
+    "model_preflight",
+    EV + ", g(tenant_id, budget) AS (VALUES ('t0', 100), ('t1', 700), ('t2', NULL), ('t3', 0)) SELECT event_id, CASE WHEN tenant_id NOT IN (SELECT tenant_id FROM g) THEN TRUE ELSE coalesce(rn > budget, FALSE) END AS denied FROM (SELECT ev.event_id, ev.tenant_id, g.budget, row_number() OVER (PARTITION BY ev.tenant_id ORDER BY number) AS rn FROM ev LEFT JOIN g ON ev.tenant_id = g.tenant_id)"
+)
 def model_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that their tenant's grants for the model do not cover."""
-    grants = spark.createDataFrame([("t0", "m", "ingest", 100), ("t1", "m", "ingest", 700), ("t2", "m", "ingest", None), ("t3", "m", "ingest", 0), ("t4", "other", "ingest", 9)], "tenant_id string, model string, purpose string, budget long")
+    grants = spark.createDataFrame(
+        [("t0", "m", "ingest", 100), ("t1", "m", "ingest", 700), ("t2", "m", "ingest", None), ("t3", "m", "ingest", 0), ("t4", "other", "ingest", 9)],
+        "tenant_id string, model string, purpose string, budget long"
+    )
     return ingest.preflight(canonical(spark, sf_dir), grants, "m", seq="number").select("event_id", "denied")
 
 
-@register("lookup_vectors", EV + ", v AS (SELECT DISTINCT event_type || ' ' || props AS body FROM events WHERE event_type = 'view') SELECT event_id, body IN (SELECT body FROM v) AS found FROM ev")
+@register(
+    "lookup_vectors",
+    EV + ", v AS (SELECT DISTINCT event_type || ' ' || props AS body FROM events WHERE event_type = 'view') SELECT event_id, body IN (SELECT body FROM v) AS found FROM ev"
+)
 def lookup_vectors_by_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frozen vectors found by body (here those of the views)."""
     from semevra.functions.embed import lookup_vectors
@@ -654,7 +750,10 @@ def lookup_vectors_by_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_vectors(ev, frozen).select("event_id", F.col("vector").isNotNull().alias("found"))
 
 
-@register("bucket_window", EV + ", b AS (SELECT event_id, tenant_id, event_time, sha256(tenant_id) AS h FROM ev) SELECT event_id, CAST(CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 16 AS INTEGER) AS bucket, event_time - event_time % 86400000 AS window_start FROM b")
+@register(
+    "bucket_window",
+    EV + ", b AS (SELECT event_id, tenant_id, event_time, sha256(tenant_id) AS h FROM ev) SELECT event_id, CAST(CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 16 AS INTEGER) AS bucket, event_time - event_time % 86400000 AS window_start FROM b"
+)
 def bucket_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The partition of every event: tenant bucket and day."""
     return canonical(spark, sf_dir).select("event_id", tenant_bucket(F.col("tenant_id")).alias("bucket"), day_window(F.col("event_time")).alias("window_start"))
@@ -692,14 +791,19 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_jsonl(lines).select("event_id", "tenant_id", "event_time", "cost", "error", F.col("attributes")["k"]["i"].alias("k"))
 
 
-@register("otlp_map", "SELECT 's' || conv_id || '-' || turn AS event_id, 'tenant' || conv_id % 3 AS tenant_id, CAST(1700000000000 + turn AS BIGINT) AS event_time, regexp_replace('ask ' || conv_id || chr(10) || coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body, role = 'system' AS error FROM conversations")
+@register(
+    "otlp_map",
+    "SELECT 's' || conv_id || '-' || turn AS event_id, 'tenant' || conv_id % 3 AS tenant_id, CAST(1700000000000 + turn AS BIGINT) AS event_time, regexp_replace('ask ' || conv_id || chr(10) || coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body, role = 'system' AS error FROM conversations"
+)
 def otlp_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of OTLP payloads, one for each turn of the conversations, mapped to events."""
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
     c = table(spark, sf_dir, "conversations")
     text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
     span = F.struct(
-        text("s", F.col("conv_id"), "-", F.col("turn")).alias("spanId"), F.lit("chat").alias("name"), text((F.lit(1_700_000_000_000) + F.col("turn")), "000000").alias("startTimeUnixNano"),
+        text("s", F.col("conv_id"), "-", F.col("turn")).alias("spanId"), F.lit("chat").alias("name"), text(
+            (F.lit(1_700_000_000_000) + F.col("turn")), "000000"
+        ).alias("startTimeUnixNano"),
         F.array(pair("gen_ai.prompt", text("ask ", F.col("conv_id"))), pair("gen_ai.completion", F.coalesce("text", F.lit("")))).alias("attributes"),
         F.struct(F.when(F.col("role") == "system", "STATUS_CODE_ERROR").otherwise("0").alias("code")).alias("status"),
     )

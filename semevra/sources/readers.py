@@ -42,7 +42,9 @@ def parse_tsv(lines: DataFrame, column: str = "value") -> DataFrame:
     number = lambda n, t: F.coalesce(F.col(n).try_cast(t), bad(n).cast(t)).alias(n)
     time = F.when(F.col("fields") == 7, F.col("event_time").try_cast("long"))
     return x.select(
-        text["event_id"], text["tenant_id"], F.coalesce(time, bad("field count or event_time").cast("long")).alias("event_time"), time.alias("observed_time"), text["event_name"], number("cost", "double"), error.alias("error"), text["body"],
+        text["event_id"], text["tenant_id"], F.coalesce(
+            time, bad("field count or event_time").cast("long")
+        ).alias("event_time"), time.alias("observed_time"), text["event_name"], number("cost", "double"), error.alias("error"), text["body"],
         F.lit("").alias("trace_id"), F.lit("").alias("span_id"), F.expr(_NO_ATTRIBUTES).alias("attributes"), F.lit(None).cast("string").alias("idempotency_key"),
     )
 
@@ -54,7 +56,10 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 def tsv_lines(events: DataFrame) -> DataFrame:
     """One TSV line (value) a row."""
     cost = F.col("cost").cast("string")
-    fields = [escape(F.col("event_id")), escape(F.col("tenant_id")), F.col("event_time").cast("string"), escape(F.col("event_name")), cost, F.when(F.col("error"), "1").otherwise("0"), escape(F.col("body"))]
+    fields = [
+        escape(F.col("event_id")), escape(F.col("tenant_id")), F.col("event_time").cast("string"), escape(F.col("event_name")), cost,
+        F.when(F.col("error"), "1").otherwise("0"), escape(F.col("body"))
+    ]
     return events.select(F.concat_ws("\t", *fields).alias("value"))
 
 
@@ -63,7 +68,12 @@ def write_tsv(events: DataFrame, path: str) -> None:
 
 
 #: The JSON form of an event: attribute values are {"type": ..., "value": ...}.
-JSON_EVENT = P.StructType([*[f for f in EVENT.fields if f.name != "attributes"], P.StructField("attributes", P.MapType(P.StringType(), P.StructType([P.StructField("type", P.StringType()), P.StructField("value", P.StringType())])))])
+JSON_EVENT = P.StructType(
+    [
+        *[f for f in EVENT.fields if f.name != "attributes"],
+        P.StructField("attributes", P.MapType(P.StringType(), P.StructType([P.StructField("type", P.StringType()), P.StructField("value", P.StringType())])))
+    ]
+)
 
 
 def _tagged(kind: Column, value: Column) -> Column:
@@ -132,7 +142,11 @@ def parse_otlp(payloads: DataFrame, tenant: str, now_ms: int, column: str = "val
     body = F.trim(F.concat(F.coalesce("prompt", F.lit("")), F.lit("\n"), F.coalesce("completion", F.lit(""))))
     body = F.regexp_replace(body, r"^\s+|\s+$", "")
     v = lambda p: p["value"]
-    known = F.filter("a", lambda p: ~p["key"].isin(*PROMPT_KEYS, *COMPLETION_KEYS) & (v(p)["stringValue"].isNotNull() | v(p)["intValue"].isNotNull() | v(p)["doubleValue"].isNotNull() | v(p)["boolValue"].isNotNull()))
+    known = F.filter(
+        "a", lambda p: ~p["key"].isin(*PROMPT_KEYS, *COMPLETION_KEYS) & (
+            v(p)["stringValue"].isNotNull() | v(p)["intValue"].isNotNull() | v(p)["doubleValue"].isNotNull() | v(p)["boolValue"].isNotNull()
+        )
+    )
     kind = lambda p: F.when(v(p)["stringValue"].isNotNull(), "str").when(v(p)["intValue"].isNotNull(), "int").when(v(p)["doubleValue"].isNotNull(), "double").otherwise("bool")
     value = lambda p: F.coalesce(v(p)["stringValue"], v(p)["intValue"], v(p)["doubleValue"], v(p)["boolValue"])
     # The last of equal keys counts.
@@ -141,8 +155,12 @@ def parse_otlp(payloads: DataFrame, tenant: str, now_ms: int, column: str = "val
     span = F.when(F.coalesce(F.length("s.spanId"), F.lit(0)) > 0, F.col("s.spanId")).otherwise(F.raise_error(F.lit("span without spanId")).cast("string"))
     time = F.coalesce((F.col("s.startTimeUnixNano").try_cast("decimal(20,0)") / 1_000_000).cast("long"), F.lit(now_ms).cast("long"))
     return s.select(
-        span.alias("event_id"), F.coalesce(_find(F.col("ra"), TENANT_KEYS), F.lit(tenant)).alias("tenant_id"), time.alias("event_time"), F.lit(now_ms).cast("long").alias("observed_time"), F.col("s.name").alias("event_name"),
-        F.coalesce(_find(F.col("a"), COST_KEYS).try_cast("double"), F.lit(0.0)).alias("cost"), F.coalesce(F.col("s.status.code").isin("2", "STATUS_CODE_ERROR"), F.lit(False)).alias("error"), body.alias("body"),
+        span.alias("event_id"), F.coalesce(
+            _find(F.col("ra"), TENANT_KEYS), F.lit(tenant)
+        ).alias("tenant_id"), time.alias("event_time"), F.lit(now_ms).cast("long").alias("observed_time"), F.col("s.name").alias("event_name"),
+        F.coalesce(_find(F.col("a"), COST_KEYS).try_cast("double"), F.lit(0.0)).alias("cost"), F.coalesce(
+            F.col("s.status.code").isin("2", "STATUS_CODE_ERROR"), F.lit(False)
+        ).alias("error"), body.alias("body"),
         F.coalesce("s.traceId", F.lit("")).alias("trace_id"), span.alias("span_id"), attributes.alias("attributes"), span.alias("idempotency_key"),
     )
 
@@ -187,5 +205,10 @@ def cluster_corpus(spark: SparkSession, n: int, shape: str = "balanced", seed: i
         rows.append((f"e{i:08d}", "alpha", 1_760_000_000_000 + i, 1_760_000_000_000 + i, "noise" if shape == "noise" else f"c{c}", 0.01, False, " ".join(words), "", "", {}, None))
     for i in range(novel):
         c = i % 2
-        rows.append((f"nv{c}_{i}", "alpha", 1_770_000_000_000 + i, 1_770_000_000_000 + i, f"nv{c}", 0.01, False, " ".join(f"v{c}q{rng.below(4)}" for _ in range(3)), "", "", {}, None))
+        rows.append(
+            (
+                f"nv{c}_{i}", "alpha", 1_770_000_000_000 + i, 1_770_000_000_000 + i, f"nv{c}", 0.01, False, " ".join(f"v{c}q{rng.below(4)}" for _ in range(3)),
+                "", "", {}, None
+            )
+        )
     return spark.createDataFrame(rows, EVENT)

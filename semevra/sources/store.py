@@ -189,12 +189,24 @@ class Store:
         out = out.repartition("bucket", "window", "_file").sortWithinPartitions("bucket", "window", "_file", "centroid", "event_time", "event_id").drop("_file")
         out.write.option("maxRecordsPerFile", PART_FILE_ROWS).partitionBy("bucket", "window").parquet(f"{self.root}/{name}")
         written = self.spark.read.parquet(f"{self.root}/{name}").select("bucket", "window", "tenant_id", "event_time", "cost", "error", "centroid")
-        stats = written.groupBy("bucket", "window", "tenant_id").agg(F.count("*").alias("rows"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), F.min("cost").alias("cost_lo"), F.max("cost").alias("cost_hi"), F.max("error").alias("has_error"), F.max(~F.col("error")).alias("has_success"), F.collect_set("centroid").alias("lists"))
+        stats = written.groupBy("bucket", "window", "tenant_id").agg(
+            F.count("*").alias("rows"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), F.min("cost").alias("cost_lo"),
+            F.max("cost").alias("cost_hi"), F.max("error").alias("has_error"), F.max(~F.col("error")).alias("has_success"),
+            F.collect_set("centroid").alias("lists")
+        )
         parts: dict[tuple, dict] = {}
         for r in stats.collect():  # one row a part and tenant
-            p = parts.setdefault((r.bucket, r.window), {"path": f"{name}/bucket={r.bucket}/window={r.window}", "bucket": r.bucket, "window": r.window, "generation": generation, "redacted": redacted, "rows": 0, "tenants": {}})
+            p = parts.setdefault(
+                (r.bucket, r.window),
+                {
+                    "path": f"{name}/bucket={r.bucket}/window={r.window}", "bucket": r.bucket, "window": r.window, "generation": generation,
+                    "redacted": redacted, "rows": 0, "tenants": {}
+                }
+            )
             p["rows"] += r.rows
-            p["tenants"][r.tenant_id] = {"rows": r.rows, "lo": r.lo, "hi": r.hi, "cost": [r.cost_lo, r.cost_hi], "has_error": r.has_error, "has_success": r.has_success, "lists": f"{sum(1 << x for x in r.lists):x}"}
+            p["tenants"][r.tenant_id] = {
+                "rows": r.rows, "lo": r.lo, "hi": r.hi, "cost": [r.cost_lo, r.cost_hi], "has_error": r.has_error, "has_success": r.has_success, "lists": f"{sum(1 << x for x in r.lists):x}"
+            }
         return [parts[k] for k in sorted(parts)]
 
     def promote(self, df: DataFrame) -> DataFrame:
@@ -205,12 +217,20 @@ class Store:
             a = F.col("attributes")[key]
             value = F.when(a["tag"] == 2, a["i"].cast("double")).otherwise(a["d"]) if family == "num" else a[slot]
             wrong = a["tag"].isNotNull() & ~a["tag"].isin(*tags)
-            df = df.withColumn(f"attr.{key}", F.when(wrong, F.raise_error(F.lit(f"two types under promoted key {key!r}")).cast({"str": "string", "num": "double", "bool": "boolean"}[family])).otherwise(value))
+            df = df.withColumn(
+                f"attr.{key}",
+                F.when(
+                    wrong, F.raise_error(F.lit(f"two types under promoted key {key!r}")).cast({"str": "string", "num": "double", "bool": "boolean"}[family])
+                ).otherwise(value)
+            )
         if self.config["promoted"]:
             df = df.withColumn("attributes", F.map_filter("attributes", lambda k, _: ~k.isin(*self.config["promoted"])))
         return df
 
-    def prune(self, snap: Snapshot, tenant: str | None = None, lo: int | None = None, hi: int | None = None, space: str | None = None, generations: list[str] | None = None, lists: list[int] | None = None) -> list[dict]:
+    def prune(
+        self, snap: Snapshot, tenant: str | None = None, lo: int | None = None, hi: int | None = None, space: str | None = None,
+        generations: list[str] | None = None, lists: list[int] | None = None
+    ) -> list[dict]:
         """Parts that may hold rows of the tenant in the inclusive time range, and of the coarse lists."""
         keep = []
         wanted = None if lists is None else sum(1 << int(x) for x in set(lists))
@@ -224,7 +244,16 @@ class Store:
 
     def read(self, parts: list[dict], snap: Snapshot | None = None, columns: list[str] | None = None) -> DataFrame:
         """Rows of the parts, by their paths alone, less the snapshot's tombstones. Each row carries its generation."""
-        schema = P.StructType([*ROW.fields, *[P.StructField(f"attr.{k}", {"str": P.StringType(), "num": P.DoubleType(), "bool": P.BooleanType()}[f]) for k, f in self.config["promoted"].items()]])
+        schema = P.StructType(
+            [
+                *ROW.fields,
+                *[
+                    P.StructField(
+                        f"attr.{k}", {"str": P.StringType(), "num": P.DoubleType(), "bool": P.BooleanType()}[f]
+                    ) for k, f in self.config["promoted"].items()
+                ]
+            ]
+        )
         if not parts:
             return self.spark.createDataFrame([], P.StructType([*schema.fields, P.StructField("generation", P.StringType())]))
         out: DataFrame | None = None
@@ -248,8 +277,20 @@ class Store:
         for key, family in self.config["promoted"].items():
             c = F.col(f"`attr.{key}`")
             tag = {"str": 1, "num": 3, "bool": 4}[family]
-            value = F.struct(F.lit(tag).cast("byte").alias("tag"), (c if family == "str" else F.lit(None).cast("string")).alias("s"), F.lit(None).cast("long").alias("i"), (c if family == "num" else F.lit(None).cast("double")).alias("d"), (c if family == "bool" else F.lit(None).cast("boolean")).alias("b"))
-            df = df.withColumn("attributes", F.when(c.isNotNull(), F.map_concat(F.coalesce("attributes", F.create_map().cast("map<string,struct<tag:tinyint,s:string,i:bigint,d:double,b:boolean>>")), F.create_map(F.lit(key), value))).otherwise(F.col("attributes"))).drop(f"attr.{key}")
+            value = F.struct(
+                F.lit(tag).cast("byte").alias("tag"), (c if family == "str" else F.lit(None).cast("string")).alias("s"), F.lit(None).cast("long").alias("i"),
+                (c if family == "num" else F.lit(None).cast("double")).alias("d"), (c if family == "bool" else F.lit(None).cast("boolean")).alias("b")
+            )
+            df = df.withColumn(
+                "attributes",
+                F.when(
+                    c.isNotNull(),
+                    F.map_concat(
+                        F.coalesce("attributes", F.create_map().cast("map<string,struct<tag:tinyint,s:string,i:bigint,d:double,b:boolean>>")),
+                        F.create_map(F.lit(key), value)
+                    )
+                ).otherwise(F.col("attributes"))
+            ).drop(f"attr.{key}")
         return df
 
     # Generations -------------------------------------------------------------------------------------------------------

@@ -189,7 +189,10 @@ def test_grammar_details():
     assert S.bind("SELECT * FROM events WHERE error OR cost = 1 AND embedding ~~ 'q'", "t").predicate == Or(Col("error"), a)
 
 
-ESCAPES = ["tenant_id = 't2'", "tenant_id = 't2' OR TRUE", "NOT (tenant_id = 't1')", "TRUE OR tenant_id = 't2'", "tenant_id IN ('t2', 't3')", "tenant_id <> 't1'", "cost >= 0 OR cost < 0"]
+ESCAPES = [
+    "tenant_id = 't2'", "tenant_id = 't2' OR TRUE", "NOT (tenant_id = 't1')", "TRUE OR tenant_id = 't2'", "tenant_id IN ('t2', 't3')", "tenant_id <> 't1'",
+    "cost >= 0 OR cost < 0"
+]
 
 
 @pytest.mark.parametrize("where", ESCAPES)
@@ -204,7 +207,9 @@ def test_aggregates(spark):
     run = lambda t: [tuple(r) for r in run_plan(S.bind(t, "t1"), df).collect()]
     assert run("SELECT count(*), sum(cost), avg(cost), min(cost), max(cost), min(body) FROM events") == [(10, 4.5, 0.45, 0.0, 0.9, None)]
     assert run("SELECT count(*), sum(cost), avg(cost) FROM events WHERE cost > 5") == [(0, 0.0, None)]
-    assert run("SELECT error, event_name, count(*) FROM events GROUP BY event_name, error LIMIT 1") == [("false", "n0", 3), ("true", "n0", 2), ("false", "n1", 3), ("true", "n1", 2)]
+    assert run(
+        "SELECT error, event_name, count(*) FROM events GROUP BY event_name, error LIMIT 1"
+    ) == [("false", "n0", 3), ("true", "n0", 2), ("false", "n1", 3), ("true", "n1", 2)]
     assert run("SELECT body, count(*) FROM events GROUP BY error") == [(None, 6), (None, 4)]
     assert run("SELECT event_id FROM events LIMIT 0") == []
 
@@ -235,7 +240,9 @@ def test_answers_do_not_depend_on_layout(spark, store, tmp_path):
     want = [(r.event_id, r.score) for r in store.search(q).rows.collect()]
     for _ in range(2):
         assert [(r.event_id, r.score) for r in other.search(q).rows.collect()] == want
-        assert [tuple(r) for r in other.sql("SELECT count(*), sum(cost) FROM events", "t1").rows.collect()] == [tuple(r) for r in store.sql("SELECT count(*), sum(cost) FROM events", "t1").rows.collect()]
+        assert [
+            tuple(r) for r in other.sql("SELECT count(*), sum(cost) FROM events", "t1").rows.collect()
+        ] == [tuple(r) for r in store.sql("SELECT count(*), sum(cost) FROM events", "t1").rows.collect()]
         other.merge()
     assert other.verify() == []
 
@@ -543,7 +550,10 @@ def test_query_grants(spark, tmp_path):
 
 def test_sums_hold_for_every_finite_cost(spark):
     rng = random.Random(8)
-    groups = {"tiny": [1e-13, 2e-13], "huge": [1e300] * 7, "mixed": [rng.random() * 10.0 ** rng.randint(-320, 290) for _ in range(400)], "cents": [rng.randrange(10_000) / 100 for _ in range(3000)], "zero": [0.0, 0.0], "least": [5e-324] * 3}
+    groups = {
+        "tiny": [1e-13, 2e-13], "huge": [1e300] * 7, "mixed": [rng.random() * 10.0 ** rng.randint(-320, 290) for _ in range(400)],
+        "cents": [rng.randrange(10_000) / 100 for _ in range(3000)], "zero": [0.0, 0.0], "least": [5e-324] * 3
+    }
     rows = [event(i, name=g, cost=c) for i, (g, c) in enumerate((g, c) for g, cs in groups.items() for c in cs)]
     plan = S.bind("SELECT event_name, sum(cost), avg(cost), count(cost) FROM events GROUP BY event_name", "t1")
     import math
@@ -683,12 +693,18 @@ def test_admission_order_and_reasons(spark):
     big = {f"k{i}": i for i in range(65)}
     rows = [
         event(0), event(1, tenant=""), event(2, cost=float("nan")), event(3, body=" \t\n"), event(4, body="x" * ((1 << 20) + 1)), event(5, attributes=big), event(6, attributes={"k" * 129: 1}),
-        event(7, attributes={"k": "v" * 4097}), event(8, attributes={f"k{i}": "v" * 4000 for i in range(5)}), event(9, at=NOW - 8 * 86_400_000), event(10, at=NOW + 3_600_001), event(11, name="n" * 257),
+        event(7, attributes={"k": "v" * 4097}), event(
+            8, attributes={f"k{i}": "v" * 4000 for i in range(5)}
+        ), event(9, at=NOW - 8 * 86_400_000), event(10, at=NOW + 3_600_001), event(11, name="n" * 257),
         event(12, key="a"), event(13, key="a", body="other"), event(0), event(14, at=NOW - 7 * 86_400_000), event(15, at=NOW + 3_600_000),
     ]
     df = events(spark, rows).withColumn("seq", F.monotonically_increasing_id())
     got = [(r.event_id, r.reason) for r in ingest.admit(df.coalesce(1), NOW).orderBy("seq").collect()]
-    want = [None, "missing_tenant_id", "invalid_cost", "empty_body", "body_too_large", "too_many_attribute_keys", "attribute_key_too_long", "attribute_value_too_long", "attributes_too_large", "event_time_too_late", "event_time_in_future", "invalid_identifier", None, "idempotency_conflict", "replay", None, None]
+    want = [
+        None, "missing_tenant_id", "invalid_cost", "empty_body", "body_too_large", "too_many_attribute_keys", "attribute_key_too_long",
+        "attribute_value_too_long", "attributes_too_large", "event_time_too_late", "event_time_in_future", "invalid_identifier", None, "idempotency_conflict",
+        "replay", None, None
+    ]
     assert [r for _, r in got] == want
 
 

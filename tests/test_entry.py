@@ -104,7 +104,11 @@ def test_command_line(spark, tmp_path):
     root = (tmp_path / "s").as_uri()
     go = lambda *a: cli.run(spark, ["--root", root, *a])
     go("init", "--dim", "16", "--nlist", "2", "--pq-m", "2")
-    (tmp_path / "x.tsv").write_text("event_id\ttenant_id\tevent_time\tevent_name\tcost\terror\tbody\n" + "".join(f"e{i}\tt\t{1_760_000_000_000 + i}\tn\t0.5\t0\thello number {i}\n" for i in range(9)))
+    (tmp_path / "x.tsv").write_text(
+        "event_id\ttenant_id\tevent_time\tevent_name\tcost\terror\tbody\n" + "".join(
+            f"e{i}\tt\t{1_760_000_000_000 + i}\tn\t0.5\t0\thello number {i}\n" for i in range(9)
+        )
+    )
     go("ingest", str(tmp_path / "x.tsv"))
     assert go("sql", "SELECT count(*) FROM events", "--tenant", "t") == [{"count(*)": 9}]
     assert len(go("search", "hello number 3", "--tenant", "t", "--k", "2")) == 2
