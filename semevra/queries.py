@@ -16,6 +16,7 @@ from semevra import model as M
 from semevra.engine import Engine, run_plan
 from semevra.functions.codebook import train
 from semevra.functions.embed import SIGN_SEED, HashEmbedder, with_vectors
+from semevra.functions.half import halves
 from semevra.functions.hashing import day_window, tenant_bucket
 from semevra.functions.vectors import dot, l2, nearest
 from semevra.operators import analytics, ingest, search
@@ -216,6 +217,21 @@ def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_topk(e, query_vector(spark, sf_dir), 10, digits=6).select("event_id", "score")
 
 
+_STEP = "pow(2.0, greatest(floor(log2(abs(x))), -14) - 10)"
+
+
+@register(
+    "half_scores",
+    f"""WITH h AS (SELECT vec_id, list_transform(embedding::DOUBLE[], x -> CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / {_STEP}, 0) * {_STEP} END) AS v FROM embeddings)
+SELECT 'v' || lpad(CAST(h.vec_id AS VARCHAR), greatest(8, length(CAST(h.vec_id AS VARCHAR))), '0') AS event_id,
+       round(greatest(-1.0, least(1.0, list_dot_product(h.v, q.embedding::DOUBLE[]))), 6) AS score FROM h, (SELECT embedding FROM embeddings WHERE vec_id = 3) q""",
+)
+def half_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine of every embedding, as half floats hold it, with the query."""
+    e = table(spark, sf_dir, "embeddings").select(padded("v", "vec_id").alias("event_id"), halves(F.col("embedding")).alias("vector"))
+    return search.scored(e, query_vector(spark, sf_dir), digits=6).select("event_id", "score")
+
+
 class TableEmbedder(HashEmbedder):
     """Embeds the text 'vector N' as the embedding N, as far as it is given."""
 
