@@ -228,11 +228,11 @@ class Engine:
         seen = None
         if self.store.files.exists("idempotency"):
             oldest = (now - M.IDEMPOTENCY_MS) // M.DAY_MS
-            for name, _ in self.store.files.list("idempotency"):  # days that lie wholly outside the window
-                if name.startswith("day=") and int(name[4:]) < oldest:
+            for name, _ in self.store.files.list("idempotency"):  # days whose events, an hour ahead at most, lie outside the window
+                if name.startswith("day=") and int(name[4:]) < oldest - 1:
                     self.store.files.delete(f"idempotency/{name}")
             seen = self.spark.read.schema(IDEMPOTENCY).parquet(f"{self.store.root}/idempotency").filter((F.col("batch") < number) & (F.col("at") >= now - M.IDEMPOTENCY_MS))
-            seen = seen.groupBy("tenant_id", "key").agg(F.max_by("hash", "at").alias("hash"))
+            seen = seen.groupBy("tenant_id", "key").agg(F.max_by("hash", "batch").alias("hash"))
         known = snap.data.get("keys", [])
         judged = materialise(ingest.admit(events, now, seen, known, grants=self.grants if grants is None else grants, model=self.embedder.model_id))
         good = with_vectors(judged.filter("reason is null"), self.embedder)
@@ -245,8 +245,8 @@ class Engine:
         from semevra.functions.hashing import content_hash
 
         kept.select(
-            "tenant_id", F.coalesce("idempotency_key", "event_id").alias("key"), content_hash(ingest.CONTENT).alias("hash"),
-            F.lit(now).cast("long").alias("at"), F.lit(number).cast("long").alias("batch")
+            "tenant_id", F.coalesce("idempotency_key", "event_id").alias("key"), content_hash(ingest.CONTENT).alias("hash"), F.col("event_time").alias("at"),
+            F.lit(number).cast("long").alias("batch")
         ).write.mode("overwrite").parquet(f"{self.store.root}/idempotency/day={now // M.DAY_MS}/n={number}")
         self._publish(snap, kept, number, keys=sorted(set(keys) | set(known)))
         out = {r[0] or "admitted": r[1] for r in judged.groupBy("reason").count().collect()}
