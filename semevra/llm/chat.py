@@ -435,16 +435,18 @@ def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int,
     return render
 
 
-def format_chats(turns: DataFrame, template: str = CHATML) -> DataFrame:
+def format_chats(turns: DataFrame, template: str = CHATML, add_generation_prompt: bool = False, variables: dict | None = None) -> DataFrame:
     """(conv_id, n_turns, rendered, generation) for each conversation of (conv_id, turn, role, text).
 
+    The template sees the list ``messages`` (role, content), ``add_generation_prompt`` and ``variables``, plain values by name.
     generation lists the ranges as 'start-end,...' in characters. Turns go by turn number, then role, then text; a null
-    turn comes first; repeated rows are repeated turns. A null role or text is the empty one. Rows without a conv_id are
-    left out. A faulty template raises TemplateError before any row is read. Other columns are not looked at. An empty
+    turn comes first; repeated rows are repeated turns. A null role or text is the empty one, and very long ones are rendered
+    whole. Rows without a conv_id are left out. A faulty template raises TemplateError before any row is read. Other columns are not looked at. An empty
     table gives an empty result.
     """
     bounded_batches(turns)
     compile_template(template)
+    known = {**(variables or {}), "add_generation_prompt": add_generation_prompt}
     t = turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -458,7 +460,7 @@ def format_chats(turns: DataFrame, template: str = CHATML) -> DataFrame:
                 part = b.slice(at, 256)
                 n, texts, spans = [], [], []
                 for m in part.column("m").to_pylist():
-                    text, marks = f({"messages": [{"role": x["role"], "content": x["text"]} for x in m]})
+                    text, marks = f({**known, "messages": [{"role": x["role"], "content": x["text"]} for x in m]})
                     n.append(len(m))
                     texts.append(text)
                     spans.append(",".join(f"{a}-{z}" for a, z in marks))
