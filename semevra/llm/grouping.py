@@ -21,6 +21,8 @@ from semevra.session import broadcast_if_small, discard, materialise
 
 #: Components of one bucket that are compared pair by pair; splits of larger ones, one within another, at most.
 HOT, SPLITS = 256, 3
+#: Rows from which a bucket is spread over tasks; rows that a task counts at once, and those of a bucket among them that it reports.
+SPREAD, COUNTED, SEEN = 1 << 20, 1 << 20, 64
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +100,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.unionByName(roots.distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("label")))
 
 
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n) of the buckets that have SEEN rows at least among some COUNTED of a task."""
+
+    def report(parts: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+        often = n >= SEEN
+        return pa.RecordBatch.from_arrays([pa.array(bucket[often]), pa.array(n[often])], ["bucket", "n"])
+
+    parts, held = [], 0
+    for batch in batches:
+        parts.append(batch.column("bucket").to_numpy())
+        held += batch.num_rows
+        if held >= COUNTED:
+            yield report(parts)
+            parts, held = [], 0
+    yield report(parts)
+
+
 def shared(rows: DataFrame) -> DataFrame:
-    """The distinct rows (bucket long, id long) whose bucket has two ids at least: one shuffle, one sort, no growing state."""
+    """The distinct rows (bucket long, id long) whose bucket has two ids at least: one shuffle, one sort, no growing state.
+
+    A bucket of SPREAD rows or more, which tasks see by counting what they make, never meets in one task: nobody need ask
+    whether it is shared, so its rows are only made distinct, by bucket and id.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, linked = None, False
@@ -122,7 +146,16 @@ def shared(rows: DataFrame) -> DataFrame:
         if linked:
             yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["bucket", "id"])
 
-    return rows.select("bucket", "id").repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(keep, "bucket long, id long")
+    rows = rows.select("bucket", "id")
+    hot = rows.select("bucket").mapInArrow(_heavy, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    hot = materialise(hot.filter(F.col("n") >= SPREAD).select("bucket"))
+    spread: DataFrame | None = None
+    if not hot.isEmpty():
+        known = broadcast_if_small(hot)
+        spread = rows.join(known, "bucket", "left_semi").dropDuplicates(["bucket", "id"])
+        rows = rows.join(known, "bucket", "left_anti")
+    cold = rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(keep, "bucket long, id long")
+    return cold if spread is None else cold.unionByName(spread)
 
 
 def only(df: DataFrame, pairs: DataFrame) -> DataFrame:

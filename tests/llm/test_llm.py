@@ -346,6 +346,10 @@ def test_chats_odd_rows(spark):
     assert [out[1].rendered[a:b] for a, b in marks] == ["b<|im_end|>"] * 2
     assert out[2].rendered.startswith("<|im_start|>\n<|im_end|>\n") and out[2].generation == ""
     assert chat.format_chats(df.limit(0)).count() == 0
+    prompt = chat.CHATML + "{{ eos }}{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"
+    with_prompt = {r.conv_id: r.rendered for r in chat.format_chats(df, prompt, True, {"eos": "</s>", "messages": "hidden"}).collect()}
+    assert with_prompt == {k: r.rendered + "</s><|im_start|>assistant\n" for k, r in out.items()}
+    assert {r.rendered for r in chat.format_chats(df, prompt).collect()} == {r.rendered for r in out.values()}
 
 
 # 4 and 10 --------------------------------------------------------------------------------------------------------------
@@ -431,6 +435,23 @@ def test_shared_buckets(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_hot_buckets_are_spread(spark, monkeypatch):
+    rng = random.Random(61)
+    rows = [(rng.randrange(300), rng.randrange(5)) for _ in range(300)] + [(b, i) for b in (901, 902) for i in range(400)] + [(901, 7)] * 3
+    rng.shuffle(rows)
+    by = collections.defaultdict(set)
+    for b, i in rows:
+        by[b].add(i)
+    want = sorted((b, i) for b, s in by.items() if len(s) > 1 for i in s)
+    df = spark.createDataFrame(rows, "bucket long, id long").repartition(3)
+    assert sorted(map(tuple, grouping.shared(df).collect())) == want
+    for name, value in (("SPREAD", 300), ("COUNTED", 100), ("SEEN", 5)):
+        monkeypatch.setattr(grouping, name, value)
+    got = grouping.shared(df)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def _near(text, share, rng):
     return " ".join(rng.choice(VOCABULARY) if rng.random() < share else w for w in text.split())
 
