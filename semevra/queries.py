@@ -73,7 +73,7 @@ def query_vector(spark: SparkSession, sf_dir: str, number: int = 3) -> list[floa
 
 
 EV = """WITH ev AS (
-  SELECT 'e' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS event_id, 't' || CAST(user_id % 5 AS VARCHAR) AS tenant_id,
+  SELECT printf('e%08d', event_id) AS event_id, 't' || CAST(user_id % 5 AS VARCHAR) AS tenant_id,
          CAST(epoch_us(ts) // 1000 AS BIGINT) AS event_time, CAST(epoch_us(ts) // 1000 AS BIGINT) AS observed_time, event_type AS event_name,
          value AS cost, event_type = 'error' AS error, event_type || ' ' || props AS body, '' AS trace_id, '' AS span_id,
          CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id AS number FROM events)"""
@@ -209,7 +209,7 @@ TOP = "SELECT event_id, score FROM {} ORDER BY score DESC, event_id LIMIT {}"
 
 @register(
     "topk_exact",
-    "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), sc AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS event_id, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], q.v))), 6) AS score FROM embeddings, q) " + TOP.format("sc", 10)
+    "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), sc AS (SELECT printf('v%08d', vec_id) AS event_id, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], q.v))), 6) AS score FROM embeddings, q) " + TOP.format("sc", 10)
 )
 def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest embeddings."""
@@ -222,8 +222,8 @@ _STEP = "pow(2.0, greatest(floor(log2(abs(x))), -14) - 10)"
 
 @register(
     "half_scores",
-    f"""WITH h AS (SELECT vec_id, list_transform(embedding::DOUBLE[], x -> CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / {_STEP}, 0) * {_STEP} END) AS v FROM embeddings)
-SELECT 'v' || lpad(CAST(h.vec_id AS VARCHAR), greatest(8, length(CAST(h.vec_id AS VARCHAR))), '0') AS event_id,
+    f"""WITH h AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / {_STEP}, 0) * {_STEP} END) AS v FROM embeddings)
+SELECT printf('v%08d', h.vec_id) AS event_id,
        round(greatest(-1.0, least(1.0, list_dot_product(h.v, q.embedding::DOUBLE[]))), 6) AS score FROM h, (SELECT embedding FROM embeddings WHERE vec_id = 3) q""",
 )
 def half_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +389,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "rrf_bridge",
     """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), w AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 11),
-s AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS event_id, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], q.v))), 6) AS a, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], w.v))), 6) AS b FROM embeddings, q, w),
+s AS (SELECT printf('v%08d', vec_id) AS event_id, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], q.v))), 6) AS a, round(greatest(-1.0, least(1.0, list_dot_product(embedding::DOUBLE[], w.v))), 6) AS b FROM embeddings, q, w),
 r AS (SELECT event_id, row_number() OVER (ORDER BY a DESC, event_id) AS ra, row_number() OVER (ORDER BY b DESC, event_id) AS rb FROM s),
 u AS (SELECT event_id, 1.0::DOUBLE / (60 + ra) AS s FROM r WHERE ra <= 50 UNION ALL SELECT event_id, 1.0::DOUBLE / (60 + rb) FROM r WHERE rb <= 50)
 SELECT event_id, round(sum(s), 9) AS score FROM u GROUP BY event_id ORDER BY score DESC, event_id LIMIT 10""",
