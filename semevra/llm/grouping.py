@@ -21,6 +21,9 @@ from semevra.session import broadcast_if_small, discard, materialise
 
 #: Components of one bucket that are compared pair by pair; splits of larger ones, one within another, at most.
 HOT, SPLITS = 256, 3
+#: Pairs that are verified at once without a look at what joins first; pairs of a bucket's components that are formed at once, for each
+#: row and in all. They decide on time, not on results.
+AT_ONCE, FEW, AHEAD = 1 << 14, 16, 1 << 22
 #: Rows from which a bucket is spread over tasks; rows that a task counts at once, and those of a bucket among them that it reports.
 SPREAD, COUNTED, SEEN = 1 << 20, 1 << 20, 64
 
@@ -164,22 +167,72 @@ def only(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(broadcast_if_small(ids), "id", "left_semi")
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: each member of a bucket (bucket, id) with the bucket's centre."""
-    centre = F.min(F.struct(F.xxhash64("bucket", "id").alias("o"), "id")).alias("c")
-    c = buckets.groupBy("bucket").agg(centre, F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("c.id").alias("c"))
-    p = buckets.join(c, "bucket").filter("id <> c")
+def star_pairs(buckets: DataFrame, salt: int = 0) -> DataFrame:
+    """Distinct (a, b), a < b: each member of a bucket (bucket, id) with the bucket's centre, another one for each ``salt``. Where
+    the rows have labels (bucket, id, label), the members of the centre's own label are left out."""
+    labelled = "label" in buckets.columns
+    order = F.xxhash64("bucket", "id", F.lit(salt)) if salt else F.xxhash64("bucket", "id")
+    centre = F.min(F.struct(order.alias("o"), "id", *["label"] * labelled)).alias("c")
+    c = buckets.groupBy("bucket").agg(centre, F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("c.id").alias("c"), *[F.col("c.label").alias("l")] * labelled)
+    p = buckets.join(c, "bucket").filter("label <> l" if labelled else "id <> c")
     return p.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
+def still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, label) of the buckets whose members have different labels; ids without a label are their own."""
+    b = buckets.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    open_ = b.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
+    return materialise(b.join(open_, "bucket"))
+
+
+def pairs_ahead(rows: DataFrame) -> tuple[int, int]:
+    """Rows (bucket, id, label), and the pairs of different labels in one bucket, which cross_pairs would form."""
+    n = rows.groupBy("bucket", "label").agg(F.count("*").cast("double").alias("n")).groupBy("bucket")
+    got = n.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q")).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
+    return int(got[0] or 0), int(got[1] or 0)
+
+
+def settle(pairs: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], spent: int) -> tuple[DataFrame, int]:
+    """``labels`` (id, label) after all true ones of ``pairs`` (a, b, est) have joined components, and ``spent`` with the pairs verified.
+
+    The best pair of each component is verified, the true ones are contracted, and so on (Boruvka): a pair whose ends have met
+    in the meantime needs no look. All that is left is verified at once when a round takes away less than a quarter, or
+    when it is no more than was verified before.
+    """
+    last: int | None = None
+    spare: list[DataFrame] = []
+    while True:
+        p = pairs.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
+        p = p.join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+        p = p.select("a", "b", "est", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+        p = materialise(p.filter("la <> lb"))
+        for x in spare:
+            discard(x)
+        n = p.count()
+        whole = n <= max(spent, AT_ONCE) or last is not None and 4 * n > 3 * last
+        if not n:
+            return labels, spent
+        if whole:
+            chosen = p.select("a", "b")
+        else:
+            ends = p.select(F.col("la").alias("id"), "est", "a", "b").unionByName(p.select(F.col("lb").alias("id"), "est", "a", "b"))
+            chosen = materialise(ends.groupBy("id").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
+        good = materialise(verify(chosen))
+        if not good.isEmpty():
+            labels = materialise(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(good)))
+        discard(good)
+        if whole:
+            return labels, spent + n
+        spent += chosen.count()
+        pairs, last, spare = p.select("a", "b", "est").join(chosen, ["a", "b"], "left_anti"), n, [p, chosen]
+
+
 def cross_pairs(buckets: DataFrame, labels: DataFrame, refine: Callable[[DataFrame, int], DataFrame], depth: int = 1) -> DataFrame:
     """Distinct (a, b), a < b, that share a bucket and have different labels; ids without a label are their own.
 
     Buckets of more than HOT labels give the pairs that share a bucket of theirs after ``refine``.
     """
-    b = buckets.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    open_ = b.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    b = materialise(b.join(open_, "bucket"))
+    b = still_open(buckets, labels)
     parts = b.select("bucket", "label").distinct()
     crowded = materialise(parts.groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket")) if depth <= SPLITS else None
     finer: DataFrame | None = None
@@ -202,8 +255,10 @@ def group(
     """(id, label) of the ids in verified pairs, or in pairs (a, b) of ``same``, which are verified already.
 
     ``sieve`` maps pairs (a, b) to those worth verifying with an estimate (a, b, est); ``verify`` maps pairs to the true
-    ones, and is None where the sieve's are. Of the first survivors, verification begins with each id's best; the rest follow
-    only where their ends are still in different components. ``refine`` (rows, depth) splits crowded buckets.
+    ones, and is None where the sieve's are. What the sieve lets through is verified the best of each component first, and the
+    rest only where its ends are still in different components. Before all pairs of different components are formed, further
+    centres join what belongs together, as long as they halve the pairs that are ahead: n near copies cost some n comparisons then,
+    not n^2. ``refine`` (rows, depth) splits crowded buckets.
     """
     first = materialise(sieve(star_pairs(buckets)))
     if verify is None:
@@ -211,16 +266,17 @@ def group(
         labels = materialise(components(one))
         two = materialise(sieve(cross_pairs(buckets, labels, refine)).select("a", "b"))
         return components(one.unionByName(two).unionByName(same))
-    ends = first.select(F.col("a").alias("id"), "est", "a", "b").unionByName(first.select(F.col("b").alias("id"), "est", "a", "b"))
-    best = ends.groupBy("id").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    one = materialise(verify(best))
-    labels = materialise(components(one))
-    rest = first.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = rest.join(
-        labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left"
-    ).join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-    rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    labels, spent = settle(first, materialise(components(same)), verify, 0)
+    rows = still_open(buckets, labels)
+    held, ahead = pairs_ahead(rows)
+    salt = 0
+    while ahead > max(FEW * held, AHEAD):
+        salt += 1
+        labels, spent = settle(materialise(sieve(star_pairs(rows, salt))), labels, verify, spent)
+        before, rows = rows, still_open(rows, labels)
+        discard(before)
+        last, (held, ahead) = ahead, pairs_ahead(rows)
+        if 2 * ahead > last:
+            break
     # What the sieve refused once it refuses again; only unseen pairs are worth its time.
-    later = sieve(cross_pairs(buckets, labels, refine)).select("a", "b")
-    two = verify(rest.unionByName(later).distinct())
-    return components(one.unionByName(materialise(two)).unionByName(same))
+    return settle(materialise(sieve(cross_pairs(rows, labels, refine))), labels, verify, spent)[0]

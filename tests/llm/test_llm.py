@@ -420,6 +420,51 @@ def test_crowded_buckets_are_split_before_they_are_squared(spark, monkeypatch):
     assert got <= set(want) and len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("at_once", [0, grouping.AT_ONCE])
+def test_near_copies_in_pieces_cost_a_few_comparisons_each(spark, monkeypatch, at_once):
+    """Pairs of near copies that are closest to each other, and one bucket that holds all: it is not squared once its centre is compared."""
+    monkeypatch.setattr(grouping, "AT_ONCE", at_once)
+    n = 400
+    rows = [(i // 2, i) for i in range(n)] + [(-1, i) for i in range(n)] + [(-2, n), (-2, n + 1), (-2, 0)]
+    seen = {"sieved": 0, "verified": 0}
+
+    def sieve(pairs):
+        seen["sieved"] += pairs.count()
+        return pairs.withColumn("est", F.when((F.floor(F.col("a") / 2) == F.floor(F.col("b") / 2)), 160).otherwise(100))
+
+    def verify(pairs):
+        seen["verified"] += pairs.count()
+        return pairs.filter(f"b < {n}")
+
+    none = spark.createDataFrame([], "a long, b long")
+    labels = grouping.group(spark.createDataFrame(rows, "bucket long, id long"), sieve, verify, none, lambda rows, depth: rows)
+    got = {r.id: r.label for r in labels.collect()}
+    assert {got.get(i) for i in range(n)} == {0} and got.get(n, n) == n and got.get(n + 1, n + 1) == n + 1
+    assert seen["sieved"] < 10 * n and seen["verified"] < 10 * n
+
+
+def test_grouping_in_rounds_finds_the_components_of_all_true_pairs(spark, monkeypatch):
+    """Against brute force, with further centres and rounds at every size, and true pairs that only cross pairs show."""
+    monkeypatch.setattr(grouping, "AT_ONCE", 0)
+    rng = np.random.default_rng(3)
+    for ahead, few in ((0, 0), (1 << 22, 16)):
+        monkeypatch.setattr(grouping, "AHEAD", ahead)
+        monkeypatch.setattr(grouping, "FEW", few)
+        rows = sorted({(int(x), int(i)) for x, i in zip(rng.integers(0, 12, 150), rng.integers(0, 60, 150))})
+        true = {(int(min(p)), int(max(p))) for p in rng.integers(0, 60, (60, 2)) if p[0] != p[1]}
+        shared = {(a, b) for x, a in rows for y, b in rows if x == y and a < b}
+        at = list(range(60))
+        for _ in range(60):
+            for a, b in true & shared:
+                at[a] = at[b] = min(at[a], at[b])
+        good = spark.createDataFrame(sorted(true), "a long, b long")
+        got = grouping.group(
+            spark.createDataFrame(rows, "bucket long, id long"), lambda p: p.withColumn("est", F.pmod(F.xxhash64("a", "b"), F.lit(9)).cast("int")),
+            lambda p: p.join(good, ["a", "b"], "left_semi"), spark.createDataFrame([], "a long, b long"), lambda rows, depth: rows
+        )
+        assert {r.id: r.label for r in got.filter("id <> label").collect()} == {i: x for i, x in enumerate(at) if i != x}
+
+
 def test_shared_buckets(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(40), rng.randrange(6)) for _ in range(80)] + [(77, 1), (77, 1)]
