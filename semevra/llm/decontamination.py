@@ -87,7 +87,8 @@ def block_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
         for b in batches:
             for s in T.slices(b, "t"):
                 f, block, first = blocks(T.words(s.column("t")))
-                key = np.sort((block << BITS) | f)
+                key = (block << BITS) | f
+                key = np.sort(key.astype(np.int32) if first[-1] < 1 << 31 - BITS else key)
                 key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
                 df += np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS)
                 total += int(first[-1])
@@ -129,7 +130,7 @@ def sketch(texts: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndar
                 any_ = True
                 z = sum_rows(table, f, block, int(first[-1]))
                 z /= np.maximum(np.bincount(block, weight[f].astype(float) ** 2, len(z)), 1e-9)[:, None].astype(np.float32)
-                order = np.argsort(f, kind="stable")
+                order = np.argsort(f.astype(np.uint16), kind="stable")
                 y += sum_rows(with_zero(z), block[order], f[order], 1 << BITS, 16)
                 del z, order
         if any_:
@@ -172,6 +173,8 @@ def singular_vectors(omega: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 SLOTS = 2048
+#: Segments that are looked at together.
+GROUP = 128
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -207,19 +210,22 @@ class Target:
         weighty = np.array([(idf[(h >> T.U64(64 - BITS)).astype(np.int64)] > 0).mean() for h in self.hash])
         return np.where(weighty < 0.5, -np.inf, threshold(self.size, cosine))
 
-    def rare(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of each segment's rarest words, and how many of those an LCS of the needed length must hold: it can miss so many words in all."""
+    def rare(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, list["Rare"]]:
+        """Slots of each segment's rarest words, how many of those an LCS of the needed length must hold (it can miss so many words
+        in all), and the words by group."""
         miss = self.size - np.ceil(LCS * self.size - 1e-9).astype(np.int64)
         width = int(min(SEGMENT, (miss + 4).max())) if len(miss) else 1
         slots, need = np.full((len(self.hash), width), -1, np.int16), np.zeros(len(self.hash), np.int64)
+        rarest = []
         for i, h in enumerate(self.hash):
             n = int(min(len(h), miss[i] + 4))
             order = np.argsort(-idf[(h >> T.U64(64 - BITS)).astype(np.int64)], kind="stable")[:n]
             slots[i, :n] = slot(h[order])
             need[i] = n - miss[i]
-        return slots, need
+            rarest.append(h[order])
+        return slots, need, [Rare(rarest[a : a + GROUP]) for a in range(0, len(rarest), GROUP)]
 
-    def groups(self, size: int = 128) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    def groups(self, size: int = GROUP) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first segment, last, vocabulary, masks) of each group."""
         out = []
         for a in range(0, len(self.hash), size):
@@ -237,6 +243,30 @@ class Target:
         return m
 
 
+class Rare:
+    """The rarest words of a group of segments, each with the segments that have it, once for each place."""
+
+    def __init__(self, words: list[np.ndarray]) -> None:
+        self.width = len(words)
+        h, seg = np.concatenate(words), np.repeat(np.arange(len(words)), [len(x) for x in words])
+        order = np.argsort(h, kind="stable")
+        self.word, n = np.unique(h, return_counts=True)
+        self.seg, self.first = seg[order], np.r_[0, np.cumsum(n)]
+        self.marked = np.zeros(1 << 16, bool)
+        self.marked[self.word >> T.U64(48)] = True
+
+    def count(self, h: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+        """For each block and segment, places of rare words that the block's words have; a word that comes again counts again, so
+        these are upper bounds."""
+        at = np.flatnonzero(self.marked[h >> T.U64(48)])
+        k = np.minimum(np.searchsorted(self.word, h[at]), len(self.word) - 1)
+        ok = self.word[k] == h[at]
+        at, k = at[ok], k[ok]
+        n = self.first[k + 1] - self.first[k]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
+        return np.bincount(np.repeat(block[at], n) * self.width + self.seg[place], minlength=blocks * self.width).reshape(blocks, self.width)
+
+
 def subsequences(mask: np.ndarray, segment: np.ndarray, tokens: np.ndarray, size: np.ndarray, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(LCS, LCS without the last ``tail`` words of the segment) of each pair; tokens are columns of ``mask``, one row a pair."""
     tail = answer_words(size) if tail is None else tail
@@ -307,7 +337,7 @@ class Runs:
 
 
 def search(
-    w: T.Words, table: np.ndarray, target: Target, vectors: np.ndarray, groups: list, least: np.ndarray, rare: tuple[np.ndarray, np.ndarray]
+    w: T.Words, table: np.ndarray, target: Target, vectors: np.ndarray, groups: list, least: np.ndarray, rare: tuple[np.ndarray, np.ndarray, list[Rare]]
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, segment, share of the segment in the LCS) of the pairs that pass all checks. table ends with a row of zeros."""
     f, block, first = blocks(w)
@@ -320,24 +350,32 @@ def search(
     pair = np.flatnonzero(np.r_[owner[1:] == owner[:-1], False])
     alone = first[np.flatnonzero(np.diff(first) == 1)]
     at = np.concatenate([pair, alone])
-    v = np.concatenate([z[pair] + z[pair + 1], z[alone]])
+    order = np.argsort(at, kind="stable")
+    at, v = at[order], np.concatenate([z[pair] + z[pair + 1], z[alone]])[order]
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     text, seg, share = [], [], []
-    slots, need = rare
+    slots, need, rarest = rare
     for r in range(0, len(v), 1024):
-        # Words of the passage and of one block on either side, by slot; the bound that they set ends most pairs.
+        # Rare words of the passage and of one block on either side, by block and then by slot: two bounds that end most pairs.
         part = at[r : r + 1024]
-        held = np.zeros((len(part), SLOTS + 1), bool)
-        start = w.first[owner[part]] + (part - 1 - first[owner[part]]) * BLOCK
-        grid = start[:, None] + np.arange(4 * BLOCK)
-        out = (grid < w.first[owner[part]][:, None]) | (grid >= w.first[owner[part] + 1][:, None])
-        words = w.hash[np.where(out, 0, grid)]
-        held[np.arange(len(part))[:, None], np.where(out, SLOTS, slot(words))] = True
-        held[:, -1] = False
-        for a, b, vocabulary, mask in groups:
-            p, s = np.nonzero(v[r : r + 1024] @ vectors[a:b].T >= least[a:b])
+        low, high = int(part[0]) - 1, int(part[-1]) + 3
+        lo, hi = np.searchsorted(block, [low, high])
+        row = part - low
+        words = None
+        for (a, b, vocabulary, mask), own in zip(groups, rarest):
+            c = own.count(w.hash[lo:hi], block[lo:hi] - low, high - low)
+            c = c[row - 1] + c[row] + c[row + 1] + c[row + 2]
+            p, s = np.nonzero((c >= need[a:b]) & (v[r : r + 1024] @ vectors[a:b].T >= least[a:b]))
             if not len(p):
                 continue
+            if words is None:
+                held = np.zeros((len(part), SLOTS + 1), bool)
+                start = w.first[owner[part]] + (part - 1 - first[owner[part]]) * BLOCK
+                grid = start[:, None] + np.arange(4 * BLOCK)
+                out = (grid < w.first[owner[part]][:, None]) | (grid >= w.first[owner[part] + 1][:, None])
+                words = w.hash[np.where(out, 0, grid)]
+                held[np.arange(len(part))[:, None], np.where(out, SLOTS, slot(words))] = True
+                held[:, -1] = False
             live = held[p[:, None], slots[a + s]].sum(1) >= need[a + s]
             p, s = p[live], s[live]
             if not len(p):

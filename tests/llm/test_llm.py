@@ -786,6 +786,31 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.leaks(d.limit(0), bench).count() == 0 and decontamination.leaks(d, bench.limit(0)).count() == 0
 
 
+def test_rare_words_end_pairs_before_they_are_looked_at(monkeypatch):
+    """The bound by blocks loses no pair, at any length of texts, and passages without rare words cost no look at their words."""
+    rng = random.Random(15)
+    items = [prose(rng.randint(8, 90), rng) for _ in range(150)]
+    texts = [prose(rng.choice([1, 5, 20, 40, 300, 3000]), rng) for _ in range(200)] + ["", None]
+    for i in range(80):
+        w = prose(rng.choice([0, 3, 30, 200]), rng).split()
+        texts.append(" ".join(w[: len(w) // 2] + _near(rng.choice(items), 0.1, rng).split() + w[len(w) // 2 :]))
+    rng.shuffle(texts)
+    w, b = T.words(pa.array(texts)), T.words(pa.array(items))
+    idf = np.random.default_rng(16).random(1 << decontamination.BITS).astype(np.float32) + 1
+    table = decontamination.with_zero(np.random.default_rng(17).standard_normal((1 << decontamination.BITS, 64)).astype(np.float32) * idf[:, None])
+    target = decontamination.Target(np.arange(len(items)), b)
+    rest = target.vectors(table), target.groups(), target.least(idf, decontamination.COSINE), target.rare(idf)
+    assert len(rest[1]) > 1
+    sort = lambda found: sorted(zip(*(x.tolist() for x in found)))
+    got = sort(decontamination.search(w, table, target, *rest))
+    monkeypatch.setattr(decontamination.Rare, "count", lambda self, h, block, blocks: np.full((blocks, self.width), 99))
+    assert got == sort(decontamination.search(w, table, target, *rest)) and len({t for t, _, _ in got}) >= 60
+    monkeypatch.undo()
+    monkeypatch.setattr(decontamination, "slot", None)
+    other = T.words(pa.array([" ".join(f"{i}x{j}" for j in range(500)) for i in range(20)]))
+    assert not len(decontamination.search(other, table, target, *rest)[0])
+
+
 def test_short_items_are_found_word_for_word(spark):
     rng = random.Random(31)
     items = [(1, "What is the capital of France?"), (2, "yes"), (3, "Paris, of course"), (4, prose(150, rng)), (5, "what is the capital of"), (6, None), (7, " ?!")]
