@@ -1145,6 +1145,27 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_near_duplicate_stage_does_not_square_a_cluster(spark, tmp_path, monkeypatch):
+    """200 near copies of one text, in pairs that are closer: the stage keeps one and forms few pairs of what has not met."""
+    import corpus_pipeline
+
+    rng = random.Random(91)
+    base = prose(120, rng)
+    twin = [_near(base, 0.04, rng) for _ in range(100)]
+    rows = [(2 * i + k, t if k == 0 else t + " end" + str(i), "en", "x", 0) for i, t in enumerate(twin) for k in (0, 1)] + [(900, prose(120, rng), "en", "x", 0)]
+    formed, of = [], grouping.cross_pairs
+
+    def cross(*given):
+        out = of(*given)
+        formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(grouping, "cross_pairs", cross)
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC), str(tmp_path))
+    assert {r.doc_id for r in got.collect()} == {0, 900}
+    assert formed and sum(formed) < 10 * len(rows)
+
+
 def test_pipeline_stages_keep_other_texts_of_an_id(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(60)
