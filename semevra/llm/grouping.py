@@ -4,7 +4,8 @@ All pairs of a bucket are candidates, but few need a look. First each member is
 (another one in each bucket, chosen by hash), and the verified pairs are contracted. Then only pairs of a bucket whose
 members are still in different components are formed. Where a bucket still holds more than HOT components, unlike rows have met
 by chance or by a common passage: it is split by further hashes first, again and again, so that no bucket is ever squared that
-could be made smaller. A bucket of n copies of one text costs n comparisons, not n^2.
+could be made smaller. A bucket of n copies of one text costs n comparisons, not n^2. Where what decides on a pair is small, the
+pairs of a bucket are formed and judged in the task that holds its rows, and only those that pass leave it (``inside``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from semevra.session import broadcast_if_small, discard, materialise
 
 #: Components of one bucket that are compared pair by pair; splits of larger ones, one within another, at most.
 HOT, SPLITS = 256, 3
+#: The same where pairs are judged inside of buckets; rows of a block of a bucket; pairs that a task forms at once.
+WIDE, BLOCK, TILE = 1 << 14, 1 << 12, 1 << 16
 #: Pairs that are verified at once without a look at what joins first; pairs of a bucket's components that are formed at once, for each
 #: row and in all. They decide on time, not on results.
 AT_ONCE, FEW, AHEAD = 1 << 14, 16, 1 << 22
@@ -227,20 +230,80 @@ def settle(pairs: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], Da
         pairs, last, spare = p.select("a", "b", "est").join(chosen, ["a", "b"], "left_anti"), n, [p, chosen]
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame, refine: Callable[[DataFrame, int], DataFrame], depth: int = 1) -> DataFrame:
+def blocks(rows: DataFrame) -> DataFrame:
+    """(bucket, low, high, side) before the other columns of ``rows`` (bucket, id, ...): each bucket in blocks of some BLOCK rows, and
+    a part (bucket, low, high) for every two of them and for each with itself. Rows of block ``high`` are on side 1 if it is another."""
+    n = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    r = rows.join(n, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    side = (F.col("block") > F.col("other")).cast("int").alias("side")
+    return r.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side, *[c for c in rows.columns if c != "bucket"])
+
+
+def tiles(part: np.ndarray, both: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of rows of one part, some TILE at once; where ``both``, of rows on different sides only. ``part`` numbers the
+    parts in the order of rows, which within one part are in the order of sides."""
+    n = len(part)
+    end = np.searchsorted(part, part, "right")
+    start = np.where(both, np.searchsorted(part * 2 + side, part * 2 + 1), np.arange(n) + 1)
+    count = np.where(both & (side == 1), 0, end - start)
+    total = np.r_[0, np.cumsum(count)]
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + TILE, "right")) - 1)
+        i = np.repeat(np.arange(at, to), count[at:to])
+        yield i, start[i] + np.arange(total[at], total[to]) - total[i]
+        at = to
+
+
+def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of ``blocks`` in order, as (rows, part, both) for ``tiles``, with no part torn."""
+
+    def numbered(t: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for c in ("bucket", "low", "high"):
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.cumsum(new)
+
+    def ready(t: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        return t, numbered(t), t.column("low").to_numpy() != t.column("high").to_numpy()
+
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = batch if held is None else pa.concat_batches([held, batch])
+        part = numbered(t)
+        cut = int(np.searchsorted(part, part[-1]))
+        if cut:
+            yield ready(t.slice(0, cut))
+        held = t.slice(cut)
+    if held is not None:
+        yield ready(held)
+
+
+def cross_pairs(
+    buckets: DataFrame, labels: DataFrame, refine: Callable[[DataFrame, int], DataFrame], depth: int = 1, inside: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Distinct (a, b), a < b, that share a bucket and have different labels; ids without a label are their own.
 
-    Buckets of more than HOT labels give the pairs that share a bucket of theirs after ``refine``.
+    Buckets of more than HOT labels give the pairs that share a bucket of theirs after ``refine``. With ``inside``, which maps rows
+    (bucket, id, label) to those of their pairs that are worth verifying (a, b, est), the result is these, and WIDE is in HOT's place.
     """
     b = still_open(buckets, labels)
+    most = HOT if inside is None else WIDE
     parts = b.select("bucket", "label").distinct()
-    crowded = materialise(parts.groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket")) if depth <= SPLITS else None
+    crowded = materialise(parts.groupBy("bucket").count().filter(F.col("count") > most).select("bucket")) if depth <= SPLITS else None
     finer: DataFrame | None = None
     if crowded is not None and not crowded.isEmpty():
         split = materialise(shared(refine(b.join(crowded, "bucket").select("bucket", "id"), depth)))
-        finer = cross_pairs(split, labels, refine, depth + 1)
+        finer = cross_pairs(split, labels, refine, depth + 1, inside)
         b = materialise(b.join(crowded, "bucket", "left_anti"))
         parts = b.select("bucket", "label").distinct()
+    if inside is not None:
+        p = inside(b)
+        return p if finer is None else p.unionByName(finer).groupBy("a", "b").agg(F.max("est").alias("est"))
     split = parts.alias("x").join(parts.alias("y"), "bucket").filter("x.label < y.label").select("bucket", F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
     p = split.join(b.select("bucket", F.col("label").alias("la"), F.col("id").alias("a")), ["bucket", "la"])
     p = p.join(b.select("bucket", F.col("label").alias("lb"), F.col("id").alias("b")), ["bucket", "lb"])
@@ -250,7 +313,7 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, refine: Callable[[DataFra
 
 def group(
     buckets: DataFrame, sieve: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame] | None, same: DataFrame,
-    refine: Callable[[DataFrame, int], DataFrame]
+    refine: Callable[[DataFrame, int], DataFrame], inside: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """(id, label) of the ids in verified pairs, or in pairs (a, b) of ``same``, which are verified already.
 
@@ -258,7 +321,7 @@ def group(
     ones, and is None where the sieve's are. What the sieve lets through is verified the best of each component first, and the
     rest only where its ends are still in different components. Before all pairs of different components are formed, further
     centres join what belongs together, as long as they halve the pairs that are ahead: n near copies cost some n comparisons then,
-    not n^2. ``refine`` (rows, depth) splits crowded buckets.
+    not n^2. ``refine`` (rows, depth) splits crowded buckets. ``inside`` sieves all pairs of rows (bucket, id, label) where they lie.
     """
     first = materialise(sieve(star_pairs(buckets)))
     if verify is None:
@@ -279,4 +342,5 @@ def group(
         if 2 * ahead > last:
             break
     # What the sieve refused once it refuses again; only unseen pairs are worth its time.
-    return settle(materialise(sieve(cross_pairs(rows, labels, refine))), labels, verify, spent)[0]
+    last_pairs = sieve(cross_pairs(rows, labels, refine)) if inside is None else cross_pairs(rows, labels, refine, 1, inside)
+    return settle(materialise(last_pairs), labels, verify, spent)[0]

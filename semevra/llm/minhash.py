@@ -5,7 +5,9 @@ compared. 160 minimum hashes make 40 bands of 4; documents with an equal band ar
 0.5 is with a probability of 0.92, and one at 0.6 of 0.996. A pair's signatures are compared 32 places at a time: after each batch it is dropped if
 the posterior probability of a similarity at the threshold or above, under a uniform prior, is below ``miss`` (so ``miss`` bounds
 what pruning loses, beside what the bands do not propose). Survivors
-are verified exactly on their texts, and the verified pairs' connected components are the groups.
+are verified exactly on their texts, and the verified pairs' connected components are the groups. Where all pairs of a bucket are
+formed, its rows meet in one task with their signatures and, up to SMALL shingles, their sets: texts that share a common line and
+little else meet pair by pair there, but no pair of them leaves it that is not near by these.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semevra.llm import text as T
-from semevra.llm.grouping import group, only, shared
-from semevra.session import bounded_batches, discard, materialise
+from semevra.llm.grouping import blocks, group, only, shared, tiles, whole_parts
+from semevra.session import bounded_batches, broadcast_if_small, discard, materialise
 
 SHINGLE = 3
 BANDS, ROWS = 40, 4
 THRESHOLD = 0.5
 MISS = 0.005
 BATCH = 32
+#: Shingles of a text up to which its set goes with its signature where all pairs of a bucket are formed; larger ones are verified on texts.
+SMALL = 256
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(T.U64) * T.U64(2) + T.U64(1)
@@ -113,6 +117,39 @@ def jaccard(a: T.Words, b: T.Words) -> np.ndarray:
     return out
 
 
+def small_sets(w: T.Words) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Texts that have words, the size of their shingle sets, and the sets of up to SMALL shingles as bytes, empty for larger ones."""
+    s, doc = shingles(w)
+    order = np.lexsort((s, doc))
+    s, doc = s[order], doc[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
+    s, doc = s[new], doc[new]
+    size = np.bincount(doc, minlength=len(w.counts))
+    has = np.flatnonzero(size)
+    at = np.r_[0, np.cumsum(np.where(size[has] <= SMALL, 8 * size[has], 0))].astype(np.int32)
+    kept = np.ascontiguousarray(s[size[doc] <= SMALL])
+    return has, size[has], pa.BinaryArray.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(kept.tobytes())])
+
+
+def intersections(sets: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j, pair by pair."""
+    size = np.array([len(x) // 8 for x in sets], np.int64)
+    first = np.r_[0, np.cumsum(size)]
+    values, rank = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    out, cost = np.zeros(len(i), np.int64), np.r_[0, np.cumsum(size[i] + size[j])]
+    at = 0
+    while at < len(i):  # sorts stay in cache
+        to = max(at + 1, int(np.searchsorted(cost, cost[at] + (1 << 16), "right")) - 1)
+        row, pair = np.r_[i[at:to], j[at:to]], np.tile(np.arange(to - at), 2)
+        n = size[row]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[row], n)
+        key = np.sort(np.repeat(pair, n) * len(values) + rank[place])
+        out[at:to] = np.bincount(key[1:][key[1:] == key[:-1]] // max(len(values), 1), minlength=to - at)
+        at = to
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text", mark_bits: int = 64) -> DataFrame:
     """(doc_id, kept_doc_id) for every document of a group but the one that stays, its least id.
 
@@ -223,7 +260,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
 
         return rows.join(sigs, "id").select("bucket", "id", "sig").mapInArrow(again, "bucket long, id long")
 
-    labels = group(buckets, sieve, verify, equal, refine)
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in T.slices(b, "t"):
+                has, size, raw = small_sets(T.words(s.column("t")))
+                yield pa.RecordBatch.from_arrays([s.column("id").take(pa.array(has)), pa.array(size.astype(np.int64)), raw], ["id", "size", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, part, both in whole_parts(batches):
+            ids, label, size = (rows.column(c).to_numpy() for c in ("id", "label", "size"))
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            sig = [np.ascontiguousarray(sig[:, k : k + BATCH]) for k in range(0, sig.shape[1], BATCH)]
+            sets = rows.column("shingles").to_pylist()
+            known = np.array([len(x) > 0 for x in sets], bool)
+            for i, j in tiles(part, both, rows.column("side").to_numpy()):
+                live = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= (threshold - 1e-12) * np.maximum(size[i], size[j]))
+                i, j = i[live], j[live]
+                m = np.zeros(len(i), np.int64)
+                for x, need in zip(sig, least):
+                    m += np.bitwise_count((x[i] == x[j]).view(np.uint64)).sum(1, dtype=np.int64)
+                    live = m >= need
+                    i, j, m = i[live], j[live], m[live]
+                exact = np.flatnonzero(known[i] & known[j])
+                if len(exact):
+                    used, at = np.unique(np.r_[i[exact], j[exact]], return_inverse=True)
+                    n = intersections([sets[k] for k in used], at[: len(exact)], at[len(exact) :])
+                    live = np.ones(len(i), bool)
+                    live[exact] = n / (size[i[exact]] + size[j[exact]] - n) >= threshold - 1e-12
+                    i, j, m = i[live], j[live], m[live]
+                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m.astype(np.int32))], ["a", "b", "est"])
+
+    def inside(rows: DataFrame) -> DataFrame:
+        ids = broadcast_if_small(materialise(rows.select("id").distinct()))
+        facts = sigs.join(ids, "id", "left_semi").join(d.join(ids, "id", "left_semi").mapInArrow(sized, "id long, size long, shingles binary"), "id")
+        r = blocks(rows.join(materialise(facts), "id").select("bucket", "id", "label", "sig", "size", "shingles"))
+        p = r.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side").mapInArrow(compare, "a long, b long, est int")
+        return p.groupBy("a", "b").agg(F.max("est").alias("est"))
+
+    labels = group(buckets, sieve, verify, equal, refine, inside)
     return labels.filter("id <> label").select(F.col("id").alias("doc_id"), F.col("label").alias("kept_doc_id"))
 
 

@@ -465,6 +465,28 @@ def test_grouping_in_rounds_finds_the_components_of_all_true_pairs(spark, monkey
         assert {r.id: r.label for r in got.filter("id <> label").collect()} == {i: x for i, x in enumerate(at) if i != x}
 
 
+def test_pairs_of_a_bucket_in_blocks_and_tiles(spark, monkeypatch):
+    """Every two rows of a bucket meet once, at any size of blocks, tiles and batches; exact sizes of intersections."""
+    monkeypatch.setattr(grouping, "TILE", 5)
+    rng = np.random.default_rng(8)
+    rows = [(int(x), i) for i, x in enumerate(rng.integers(0, 4, 60))]
+    want = sorted((a, b) for x, a in rows for y, b in rows if x == y and a < b)
+    for block in (1, 7, 1000):
+        monkeypatch.setattr(grouping, "BLOCK", block)
+        cut = grouping.blocks(spark.createDataFrame(rows, "bucket long, id long")).sort("bucket", "low", "high", "side").toArrow().combine_chunks()
+        got = []
+        for t, part, both in grouping.whole_parts(cut.slice(k, 9).combine_chunks().to_batches()[0] for k in range(0, len(cut), 9)):
+            ids = t.column("id").to_numpy()
+            for i, j in grouping.tiles(part, both, t.column("side").to_numpy()):
+                got += [tuple(sorted(p)) for p in zip(ids[i].tolist(), ids[j].tolist())]
+        assert sorted(got) == want
+    sets = [sorted({int(x) for x in rng.integers(0, 30, n)}) for n in (0, 1, 5, 20, 40)]
+    i, j = np.divmod(np.arange(25), 5)
+    n = minhash.intersections([np.array(x, np.uint64).tobytes() for x in sets], i, j)
+    assert n.tolist() == [len(set(sets[a]) & set(sets[b])) for a, b in zip(i, j)]
+
+
+
 def test_shared_buckets(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(40), rng.randrange(6)) for _ in range(80)] + [(77, 1), (77, 1)]
@@ -1166,6 +1188,36 @@ def test_near_duplicate_stage_does_not_square_a_cluster(spark, tmp_path, monkeyp
     assert formed and sum(formed) < 10 * len(rows)
 
 
+def test_near_duplicate_stage_verifies_no_pair_of_a_common_line(spark, tmp_path, monkeypatch):
+    """300 unlike short texts with one line in common, and near copies among them: pairs of the line alone neither leave the tasks
+    that form them nor are verified, and the groups are those of all true pairs, with small blocks and split buckets too."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    line = prose(16, rng)
+    texts = [prose(rng.randint(9, 13), rng) + "\n" + line for _ in range(300)]
+    texts += [_near(x, 0.06, rng) for x in texts[:40]]
+    sets = [frozenset(zip(*[found(t)[k:] for k in range(3)])) for t in texts]
+    want = _least([(a, b) for b, t in enumerate(sets) for a, s in enumerate(sets[:b]) if len(s & t) / len(s | t) >= minhash.THRESHOLD])
+    formed, of = [], grouping.cross_pairs
+
+    def cross(*given):
+        out = of(*given)
+        formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(grouping, "cross_pairs", cross)
+    for block, wide in ((1 << 12, 1 << 14), (50, 40)):
+        monkeypatch.setattr(grouping, "BLOCK", block)
+        monkeypatch.setattr(grouping, "WIDE", wide)
+        formed.clear()
+        kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "x", 0) for i, t in enumerate(texts)], DOC), str(tmp_path))
+        gone = set(range(len(texts))) - {r.doc_id for r in kept.collect()}
+        assert gone <= set(want) and len(gone) >= 0.95 * len(want)
+        assert max(formed) < len(texts)
+
+
+
 def test_pipeline_stages_keep_other_texts_of_an_id(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(60)
