@@ -817,3 +817,28 @@ def test_corpora(spark):
     assert skew.tenant_id == "acme" and skew["count"] > 150
     assert readers.corpus(spark, 4, "edge").filter(F.length("body") > 1 << 20).count() == 1
     assert random.Random(1).random() and readers.corpus(spark, 5).collect() == readers.corpus(spark, 5).collect()
+
+
+# size --------------------------------------------------------------------------------------------------------------------
+
+
+def test_large_answers_stay_in_the_cluster(spark, store, monkeypatch):
+    q = M.Query(text="refund payment", tenant="t1", nprobe=8, k=40, candidates=60, rerank=60)
+    want = [(r.event_id, r.score) for r in store.search(q).rows.collect()]
+    bounded = M.Query(text="refund payment", tenant="t1", threshold=-1.0, k=10_000, nprobe=8)
+    whole = ids(store.search(bounded).rows)
+    assert whole == ids(store.exact_search(bounded).rows) and len(whole) > 60
+    monkeypatch.setattr(search, "HELD_ROWS", 5)
+    monkeypatch.setattr(search, "by_code", None)  # the driver takes no candidates
+    assert [(r.event_id, r.score) for r in store.search(q).rows.collect()] == want
+    assert ids(store.search(bounded).rows) == whole
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 150, 299, 300, 400])
+def test_best_cuts_among_ties(spark, monkeypatch, n):
+    rows = [(f"e{i:04d}", float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id string, score double").repartition(7)
+    monkeypatch.setattr(search, "HELD_ROWS", 0)
+    for down in (True, False):
+        want = sorted(rows, key=lambda r: (-r[1] if down else r[1], r[0]))[:n]
+        assert [tuple(r) for r in search.best(df, n, "score", down).collect()] == want
