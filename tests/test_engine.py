@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semevra import model as M
 from semevra.engine import Engine, run_plan
-from semevra.functions.codebook import kmeans, probes, train
+from semevra.functions.codebook import distances, kmeans, nearest_of, probes, sums_by, train
 from semevra.functions.embed import HashEmbedder, tokens, with_vectors
 from semevra.functions.hashing import Random, content_id, fnv1a64, tenant_bucket
 from semevra.operators import analytics, ingest, maintenance, search
@@ -842,3 +842,70 @@ def test_best_cuts_among_ties(spark, monkeypatch, n):
     for down in (True, False):
         want = sorted(rows, key=lambda r: (-r[1] if down else r[1], r[0]))[:n]
         assert [tuple(r) for r in search.best(df, n, "score", down).collect()] == want
+
+
+def test_nearest_by_blocks_is_what_all_distances_give():
+    rng = np.random.default_rng(3)
+    for n, k in ((0, 4), (1, 1), (1000, 256)):
+        x, c = rng.normal(size=(n, 8)).astype(np.float32), rng.normal(size=(k, 8)).astype(np.float32)
+        near, served = nearest_of(x, c)
+        d = distances(x, c)
+        assert (near == d.argmin(1)).all() and np.allclose(served, d.min(1))
+        assert np.allclose(sums_by(near, x, k)[near], np.array([x[near == j].astype(float).sum(0) for j in range(k)])[near])
+
+
+def test_rows_are_shuffled_once_by_file(spark, tmp_path, monkeypatch):
+    from semevra.sources import store as stores
+
+    monkeypatch.setattr(stores, "PART_FILE_ROWS", 40)
+    e = Engine.init(spark, tmp_path.as_uri(), dim=16, nlist=2, pq_m=2, restarts=1)
+    rows = [event(i) for i in range(300)]
+    e.ingest(events(spark, rows))
+    e.ingest(events(spark, rows[:100]).withColumn("cost", F.col("cost") + 1))
+    e.delete(spark.createDataFrame([("e00001",), ("e00150",)], "event_id string"))
+    e.delete(["e00002"])
+    placed = e.store._placed(e.store.partitioned(e.store.read(e.snapshot().parts)))
+    sizes = [r.n for r in placed.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("_place").alias("n")).collect()]
+    assert len(sizes) >= 8 and set(sizes) == {1}
+    e.merge()
+    got = {r.event_id: r.cost for r in e.store.read(e.snapshot().parts, e.snapshot()).collect()}
+    assert len(got) == 297 and not got.keys() & {"e00001", "e00002", "e00150"} and e.verify() == []
+    files = len(spark.read.parquet(*[f"{tmp_path.as_uri()}/{p['path']}" for p in e.snapshot().parts]).inputFiles())
+    assert files >= 7
+    writes = []
+    placed = stores.Store._placed
+    monkeypatch.setattr(stores.Store, "_placed", lambda *a: writes.append(1) or placed(*a))
+    assert e.redact_bodies(2**60, "retention") == 1 and not writes and e.verify() == []
+    assert {r.body for r in e.store.read(e.snapshot().parts).collect()} == {""}
+
+
+def test_sample_sorts_only_low_tickets(spark):
+    rows = spark.range(40_000).select(F.concat(F.lit("e"), "id").alias("event_id"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tenant_id"))
+    got = ingest.stratified_sample(rows, 90, 5)
+    import hashlib
+
+    want = set()
+    for t in range(3):
+        ticket = sorted((hashlib.sha256(f"5|e{i}".encode()).hexdigest(), f"e{i}") for i in range(40_000) if i % 3 == t)
+        want |= {i for _, i in ticket[:30]}
+    assert set(ids(got)) == want
+    same = rows.withColumn("event_id", F.lit("e1"))  # one ticket for all rows
+    assert ingest.stratified_sample(same, 90, 5).count() == 90
+
+
+def test_texts_embedded_together_are_as_one_by_one(monkeypatch):
+    from semevra.functions import embed
+
+    texts = ["Refund failed refund", None, "", " ?! ", "é_ß İstanbul x" * 40, "a", "b", "x" * 40_000, "word " * 9000, "é" * 20_000 + " end", "refund failed"]
+    monkeypatch.setattr(embed, "GROUP_CHARS", 100)
+    for dim in (64, 48):
+        e = HashEmbedder(dim)
+        together, one = e.embed_many(texts), [e._one(t) for t in texts]
+        assert [x is None for x in together] == [x is None for x in one]
+        assert all((x == y).all() for x, y in zip(together, one) if x is not None)
+
+    def never(self, feature):
+        raise AssertionError("a feature was hashed by itself")
+
+    monkeypatch.setattr(embed._Codes, "__missing__", never)
+    assert len([v for v in HashEmbedder(64).embed_many(texts) if v is not None]) == 8
