@@ -117,3 +117,11 @@ def test_command_line(spark, tmp_path):
     assert [r["event_id"] for r in page[:3]] == ["e0", "e2", "e3"] and "next_cursor" in page[3]
     assert go("merge") and go("verify") == [{"wrong": []}] and go("inspect")[0]["rows"] == 8
     assert go("baseline", "--tenant", "t") and go("drift", "--tenant", "t") and len(go("cluster", "--tenant", "t", "--k", "2")) == 3
+
+
+def test_lists_follow_the_rows(spark, monkeypatch):
+    from semevra.operators import search
+
+    assert search.lists_for(2000) == 32 and all(1024 < n / search.lists_for(n) <= 2048 for n in (100_000, 600_000, 5_000_000))
+    monkeypatch.setattr(search, "ROWS_OF_LIST", 8)  # many short lists find as much
+    test_every_embedding_finds_its_exact_neighbours(spark)
